@@ -106,7 +106,8 @@ def mixed(docs: DataFrame, keep: Sequence[str] = (), **options) -> DataFrame:
     from the start when the target asks for more than there is. A whole
     document is taken if at least half of it lies before the target's end.
     Columns: doc_id, size, source, source_size, target, taken, position (of
-    the first take; null if it isn't taken), times, and those in `keep`.
+    the first take; null if it isn't taken), times, before (words of the source
+    that come first), weight_class, and those in `keep`.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep).withColumn(
         "order_key", order_key(F.col("doc_id"), F.col("source"))
@@ -127,6 +128,8 @@ def mixed(docs: DataFrame, keep: Sequence[str] = (), **options) -> DataFrame:
         (F.col("size") * F.col("times")).alias("taken"),
         F.when(F.col("times") > 0, training_position(F.least(share, F.lit(1.0)), F.col("weight_class"))).alias("position"),
         "times",
+        "before",
+        "weight_class",
         *keep,
     )
 
@@ -142,3 +145,13 @@ def in_order(mix: DataFrame) -> DataFrame:
     order = [F.col("_place"), F.col("doc_id")]
     parts = int(mix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return mix.withColumn("_place", last).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_place")
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The columns of `docs`, a row per take of a document, range-sorted by training position."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    mix = mixed(rows, keep=("_row",), **options).where("times > 0")
+    takes = mix.withColumn("_take", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    share = (F.col("_take") * F.col("source_size") + F.col("before")).cast("double") / F.col("target")
+    placed = takes.select("doc_id", training_position(F.least(share, F.lit(1.0)), F.col("weight_class")).alias("position"), "_row")
+    return in_order(placed).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

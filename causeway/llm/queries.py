@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, simhash, token_store, toxicity
+from . import mixing, packing, pii, sharding, simhash, token_store, toxicity
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_token_store": op4_token_store,
     "op5_toxicity": op5_toxicity,
+    "op7_personal_data": op7_personal_data,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
