@@ -36,10 +36,23 @@ placed AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 """
 
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+q AS (SELECT vec_id AS query_id, min(z) AS z FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
+s AS (
+  SELECT q.query_id, v.vec_id, list_sum(list_transform(list_zip(q.z, v.z), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM q JOIN v ON v.vec_id <> q.query_id AND len(v.z) = len(q.z)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": _MIX + """
 SELECT doc_id, size, source_size, target,
        (size * (CASE WHEN size > 0 AND (2 * before + size)::DOUBLE <= 2 * target THEN 1 ELSE 0 END
               + CASE WHEN size > 0 AND (2 * (source_size + before) + size)::DOUBLE <= 2 * target THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM placed""",
+    "op3_exact_topk": _TOPK,
 }

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, sharding, simhash, token_store, toxicity
-from .common import documents
+from . import ann, exact_topk, mixing, packing, pii, sharding, simhash, token_store, toxicity
+from .common import documents, embeddings
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(embeddings(spark, sf_dir))
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(embeddings(spark, sf_dir))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(documents(spark, sf_dir))
 
@@ -41,6 +49,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_nearest": op2_nearest,
+    "op3_exact_topk": op3_exact_topk,
     "op4_token_store": op4_token_store,
     "op5_toxicity": op5_toxicity,
     "op7_personal_data": op7_personal_data,
