@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_topk, mixing, packing, pii, sharding, simhash, token_store, toxicity
+from . import ann, exact_topk, mixing, packing, pii, sharding, simhash, substring_dedup, token_store, toxicity
 from .common import documents, embeddings
 
 
@@ -31,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.deduplicated(documents(spark, sf_dir)))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_token_store": op4_token_store,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_array": op6_suffix_array,
     "op7_personal_data": op7_personal_data,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
