@@ -674,9 +674,9 @@ def policy_summary(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
-@query("wait_percentiles", f"WITH RECURSIVE {_FCFS2} SELECT user_key, round(quantile_cont(wait_us, 0.5), 2) AS p50_us, round(quantile_cont(wait_us, 0.9), 2) AS p90_us, round(quantile_cont(wait_us, 0.999), 2) AS p999_us FROM r GROUP BY user_key")
+@query("wait_percentiles", f"WITH RECURSIVE {_FCFS2} SELECT user_key, round(quantile_cont(wait_us, 0.5)) AS p50_us, round(quantile_cont(wait_us, 0.9)) AS p90_us, round(quantile_cont(wait_us, 0.999)) AS p999_us FROM r GROUP BY user_key")
 def wait_percentiles(spark, sf_dir):
-    return fcfs_waits(spark, sf_dir).groupBy("user_key").agg(*(F.round(F.percentile("wait_us", F.lit(p)), 2).alias(n) for p, n in ((0.5, "p50_us"), (0.9, "p90_us"), (0.999, "p999_us"))))
+    return fcfs_waits(spark, sf_dir).groupBy("user_key").agg(*(F.round(F.percentile("wait_us", F.lit(p))).alias(n) for p, n in ((0.5, "p50_us"), (0.9, "p90_us"), (0.999, "p999_us"))))
 
 
 @query("count_distribution", f"WITH RECURSIVE {_FCFS2} SELECT user_key, count(*) FILTER (wait_us > 0) AS positive, count(*) FILTER (wait_us > 0) / count(*) AS share, max(wait_us) AS most FROM r GROUP BY user_key")
@@ -962,3 +962,111 @@ def adversarial_scores(spark, sf_dir):
 @query("pushdown_scan", "SELECT event_id, value FROM events WHERE event_id < 500 AND value > 10")
 def pushdown_scan(spark, sf_dir):
     return table(spark, sf_dir, "events").where((F.col("event_id") < 500) & (F.col("value") > 10)).select("event_id", "value")
+
+
+# ---------------------------------------------------------------- prediction
+@query("rolling_origin_mask", f"WITH {JOBS}, b AS (SELECT min(arrival_us) AS s FROM t WHERE week = 2821) SELECT job_id FROM t, b WHERE week < 2821 AND available_us < s")
+def rolling_origin_mask(spark, sf_dir):
+    from ..operators import predict
+
+    return predict.training_rows(timed(spark, sf_dir), "week", 2821).select("job_id")
+
+
+def _featured(spark, sf_dir):
+    rows = timed(spark, sf_dir)
+    stream = history.merged_stream(rows, ["user_key", "item_key", "work_us", "is_error"])
+    item = history.keyed_history(stream, ["item_key"], "item")
+    user = history.keyed_history(stream, ["user_key"], "user")
+    return rows.join(item, "job_id").join(user, "job_id")
+
+
+_FEATURES = ("item_n", "item_mean_us", "item_err", "user_n", "user_mean_us", "user_err")
+
+
+@query("tweedie_scores")
+def tweedie_scores(spark, sf_dir):
+    from ..operators import predict
+
+    rows = _featured(spark, sf_dir).withColumn("label", F.col("work_us") / 1e6).withColumns({c: F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in _FEATURES})
+    return predict.scores(rows, "week", [2821], _FEATURES, "label").select("job_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query("log_scores")
+def log_scores(spark, sf_dir):
+    from ..operators import predict
+
+    rows = _featured(spark, sf_dir).withColumn("label", F.col("work_us") / 1e6)
+    return predict.scores(rows, "week", [2821], _FEATURES, "label", kind="log").select("job_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query("superposition_forecast", f"WITH {JOBS}, p AS (SELECT kind, (arrival_us % 86400000000) // 3600000000 AS phase, count(*) AS n FROM a GROUP BY ALL), l AS (SELECT kind, avg(n) AS level FROM p GROUP BY kind), s AS (SELECT phase, sum(n) / sum(level) AS shape FROM p JOIN l ON p.kind = l.kind GROUP BY phase) SELECT p.kind, p.phase, round(level * shape, 6) AS forecast FROM p JOIN l ON p.kind = l.kind JOIN s ON p.phase = s.phase")
+def superposition_forecast(spark, sf_dir):
+    from ..operators import predict
+
+    phase = F.floor(F.pmod(F.col("arrival_us"), F.lit(clock.DAY)) / clock.HOUR).alias("phase")
+    panel = timed(spark, sf_dir).groupBy("kind", phase).agg(F.count("*").alias("n"))
+    return predict.superposition_forecast(panel, "kind", "phase", "n").withColumn("forecast", F.round("forecast", 6))
+
+
+# ---------------------------------------------------------------- streams
+def _stream(spark, sf_dir):
+    from ..streaming import live
+
+    schema = table(spark, sf_dir, "events").schema
+    return live.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
+
+
+def _drained(spark, stream, mode):
+    import tempfile
+    import uuid
+
+    from ..streaming import live
+
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeway-stream-")
+    name = f"live_{uuid.uuid4().hex}"
+    return live.drained(stream, name, f"{base}/{name}", mode)
+
+
+@query("live_hours", "SELECT time_bucket(INTERVAL '1 hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def live_hours(spark, sf_dir):
+    from ..streaming import live
+
+    rows = _drained(spark, live.tumbling(_stream(spark, sf_dir)), "complete")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("live_sliding", "SELECT (time_bucket(INTERVAL '1 hour', ts) - to_hours(i::INTEGER))::TIMESTAMP AS start, event_type, count(*) AS n FROM events, range(0, 24) r(i) GROUP BY ALL")
+def live_sliding(spark, sf_dir):
+    from ..streaming import live
+
+    rows = _drained(spark, live.sliding(_stream(spark, sf_dir)), "complete")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("live_sessions", "WITH m AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), g AS (SELECT *, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL '30 minutes' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m) SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM g GROUP BY user_id, s")
+def live_sessions(spark, sf_dir):
+    from ..streaming import live
+
+    rows = _drained(spark, live.live_sessions(_stream(spark, sf_dir)), "complete")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("live_waits", f"WITH RECURSIVE {_FCFS2} SELECT job_id AS event_id, wait_us FROM r")
+def live_waits(spark, sf_dir):
+    from ..streaming import live
+
+    return _drained(spark, live.live_waits(_stream(spark, sf_dir), SERVERS), "append").select("event_id", "wait_us")
+
+
+# ---------------------------------------------------------------- audits
+@query("table_digest", "SELECT 'events' AS name, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM orders")
+def table_digest(spark, sf_dir):
+    one = table(spark, sf_dir, "events").agg(F.lit("events").alias("name"), F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return one.unionAll(table(spark, sf_dir, "orders").agg(F.lit("orders"), F.count("*"), F.sum("o_orderkey")))
+
+
+@query("sealed_read", f"WITH {JOBS} SELECT week, count(*) AS n FROM j WHERE week NOT IN (2820, 2821) GROUP BY week")
+def sealed_read(spark, sf_dir):
+    from ..access import Guard
+
+    return Guard("week", frozenset({2820, 2821})).open_part(jobs(spark, sf_dir)).groupBy("week").agg(F.count("*").alias("n"))
