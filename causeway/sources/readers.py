@@ -150,7 +150,7 @@ def dump_rows(text: str) -> Iterator[list[str | None]]:
 
 def dump_table(spark: SparkSession, path: str, table: str, columns: Sequence[str]) -> DataFrame:
     """A table of a dump as strings, statement by statement; rows with another count of fields fail."""
-    statements = spark.read.option("lineSep", ";\n").text(path).where(F.col("value").rlike(rf"^\s*INSERT INTO `?{table}`?\b"))
+    statements = spark.read.option("lineSep", ";\n").text(path).where(F.col("value").rlike(rf"^(?:\s|--[^\n]*\n)*INSERT INTO `?{table}`?\b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
