@@ -37,25 +37,29 @@ class Words(dict):
         super().__init__({"": b""})
         self.tokenizer, self.dtype, self.model = tokenizer, dtype, tokenizer.model
         self.alphabet = byte_alphabet()
+        self.space = self.alphabet[32]
         self.code = "H" if dtype.itemsize == 2 else "I"
 
     def encode(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if "\n" in word:
+        stem = word.rstrip(CLOSING)
+        letters = stem[1:] if stem[:1] == " " else stem
+        if letters.isalpha():
+            if len(stem) < len(word):
+                ids = self[stem] + self[word[len(stem) :]]
+            elif letters.isascii():  # one part of the pattern: straight to the model
+                ids = array(self.code, [t.id for t in self.model.tokenize(self.space + letters if letters is not stem else stem)]).tobytes()
+            elif max(letters) < SURE:
+                ids = array(self.code, [t.id for t in self.model.tokenize(stem.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+            else:
+                ids = self.encode(word)
+        elif "\n" in word and word != "\n":
             lines = word.split("\n")
-            ids = self["\n"].join([self[x] for x in lines]) if word != "\n" and all(lines) else self.encode(word)
+            ids = self["\n"].join([self[x] for x in lines]) if all(lines) else self.encode(word)
         else:
-            stem = word.rstrip(CLOSING)
-            letters = stem[1:] if stem[:1] == " " else stem
-            if not (letters.isalpha() and max(letters) < SURE):
-                ids = self.encode(word)
-            elif len(stem) < len(word):
-                ids = self[stem] + self[word[len(stem) :]]
-            else:  # one part of the pattern: straight to the model
-                units = stem.encode().decode("latin-1").translate(self.alphabet)
-                ids = array(self.code, [t.id for t in self.model.tokenize(units)]).tobytes()
+            ids = self.encode(word)
         if len(self) < CACHE_WORDS and len(word) < 40:
             self[word] = ids
         return ids
