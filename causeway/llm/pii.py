@@ -303,7 +303,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with every selected span of the text replaced by its kind, overlapping ones as one."""
-    model = fit(candidates(docs))
+    # written first: under an explode the planner would match the patterns again for each element
+    model = fit(materialise(candidates(docs, ()), "candidates"))
     spans = selected(candidates(docs, tuple(docs.columns)), model)
     merged = F.aggregate(
         "all",
