@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import clock
 from ..operators import history, metrics, replay, study, temporal
+from ..session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,7 @@ SERVERS = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
