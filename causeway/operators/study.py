@@ -184,3 +184,57 @@ def compare_tables(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequ
 
 def _same(x: Column, y: Column, tolerance: float) -> Column:
     return x.eqNullSafe(y) if not tolerance else x.eqNullSafe(y) | (F.abs(x - y) <= tolerance)
+
+
+# ---------------------------------------------------------------- more of overlays, scores and intervals
+def single_server_pool(histogram: DataFrame, term: str, hour: str, work: str, capacity_us: int, most: int = 64) -> list:
+    """Terms whose summed busiest hour stays within one server: each step adds the one that leaves the busiest hour least.
+
+    The histogram of terms by hours is small and is searched on the driver.
+    """
+    rows = histogram.orderBy(term, hour).limit(200_000).collect()
+    by_term: dict = {}
+    for r in rows:
+        by_term.setdefault(r[term], {})[r[hour]] = r[work]
+    total: dict = {}
+    chosen: list = []
+    while len(chosen) < most:
+        best = None
+        for name in sorted(set(by_term) - set(chosen)):
+            peak = max(total.get(h, 0) + by_term[name].get(h, 0) for h in {*total, *by_term[name]})
+            if peak <= capacity_us and (best is None or peak < best[0]):
+                best = (peak, name)
+        if best is None:
+            break
+        chosen.append(best[1])
+        for h, w in by_term[best[1]].items():
+            total[h] = total.get(h, 0) + w
+    return chosen
+
+
+def simultaneous_band(replicates: DataFrame, at: str, value: str, level: float = 0.95) -> DataFrame:
+    """(at, estimate, low, high) that hold together: the quantile of the largest standardised deviation."""
+    drawn = F.when(F.col("resample") > 0, F.col(value))
+    centre = replicates.groupBy(at).agg(F.max(F.when(F.col("resample") == 0, F.col(value))).alias("estimate"), F.stddev_samp(drawn).alias("sd"))
+    both = replicates.where("resample > 0").join(F.broadcast(centre), at)  # a row per point of the curve
+    worst = both.groupBy("resample").agg(F.max(F.abs(F.try_divide(F.col(value) - F.col("estimate"), F.col("sd")))).alias("z"))
+    width = worst.agg(F.percentile("z", F.lit(level)).alias("z"))
+    return centre.crossJoin(F.broadcast(width)).select(at, "estimate", (F.col("estimate") - F.col("z") * F.col("sd")).alias("low"), (F.col("estimate") + F.col("z") * F.col("sd")).alias("high"))
+
+
+def noisy(score: Column, sigma: float, *keys: str) -> Column:
+    """A score times lognormal noise, one draw per source row, from its keys alone."""
+    u = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(salt), *keys), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+    normal = F.sqrt(F.lit(-2.0) * F.log(u(1))) * F.cos(F.lit(2 * 3.141592653589793) * u(2))
+    return score * F.exp(F.lit(sigma) * normal)
+
+
+def two_class(score: Column, threshold: float) -> Column:
+    return F.when(score > threshold, F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def repaired(rows: DataFrame, score: str, truth: str, share: float) -> DataFrame:
+    """`rows` with the truth in place of the score where the error is among the largest `share`."""
+    error = F.abs(F.col(score) - F.col(truth))
+    cut = rows.agg(F.percentile(error, F.lit(1 - share)).alias("_cut"))
+    return rows.crossJoin(F.broadcast(cut)).withColumn(score, F.when(error > F.col("_cut"), F.col(truth)).otherwise(F.col(score))).drop("_cut")  # one row

@@ -21,9 +21,9 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, r
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError("direction must be backward, forward or nearest")
     payload = F.struct(F.col(right_time).alias("_t"), *(F.col(c).alias(c) for c in take))
-    tie_column = F.col(tie).cast("string") if tie else F.lit(None).cast("string")
-    one = left.select(*by, F.col(left_time).alias("_at"), F.lit(0).alias("_side"), tie_column.alias("_tie") if tie and tie in left.columns else F.lit(None).cast("string").alias("_tie"), F.struct(*left.columns).alias("_left"))
-    two = right.select(*by, F.col(right_time).alias("_at"), F.lit(1).alias("_side"), tie_column.alias("_tie"), payload.alias("_right"))
+    order_tie = F.col(tie).cast("string") if tie else F.lit(None).cast("string")
+    one = left.select(*by, F.col(left_time).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.struct(*left.columns).alias("_left"))
+    two = right.select(*by, F.col(right_time).alias("_at"), F.lit(1).alias("_side"), order_tie.alias("_tie"), payload.alias("_right"))
     stream = one.unionByName(two, allowMissingColumns=True)
     # at equal times right rows come first for backward, unless strict; and last for forward
     late = F.lit(-1) if strict else F.lit(1)

@@ -1072,3 +1072,86 @@ def sealed_read(spark, sf_dir):
     from ..access import Guard
 
     return Guard("week", frozenset({2820, 2821})).open_part(jobs(spark, sf_dir)).groupBy("week").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- online scores and controls
+@query("online_replay")
+def online_replay(spark, sf_dir):
+    from ..operators import online
+
+    return online.online_replay(heavy_load(spark, sf_dir), ["user_key"], "item_key", SERVERS).select("job_id", "wait_us", F.round("score", 3).alias("score"))
+
+
+@query("withheld_history", f"""WITH {JOBS}, s AS (SELECT available_us AS at_us, 0 AS k, * FROM t WHERE job_id % 5 <> 0 UNION ALL SELECT arrival_us, 1, * FROM t),
+w AS (SELECT job_id, k, count(*) FILTER (k = 0) OVER (PARTITION BY item_key ORDER BY at_us, k, job_id) AS n FROM s) SELECT job_id, n AS open_n FROM w WHERE k = 1""")
+def withheld_history(spark, sf_dir):
+    stream = history.merged_stream(timed(spark, sf_dir), ["item_key", "work_us", "is_error"], eligible=F.col("job_id") % 5 != 0)
+    return history.keyed_history(stream, ["item_key"], "open").select("job_id", "open_n")
+
+
+_CONTROLS = " UNION ALL ".join(
+    f"""SELECT '{name}' AS control, q.job_id, (SELECT count(*) FROM t x WHERE x.user_key = q.user_key AND {extra} AND x.available_us + {lag} <= q.arrival_us) AS n FROM t q"""
+    for name, lag, extra in (("plain", 0, "true"), ("lag_1h", 3_600_000_000, "true"), ("lag_6h", 21_600_000_000, "true"), ("replayed", 0, "NOT x.is_result_only"), ("own_class", 0, "x.class_term = q.class_term"))
+)
+
+
+@query("visibility_controls", f"WITH {JOBS} {_CONTROLS}")
+def visibility_controls(spark, sf_dir):
+    """How many results of its user a job sees under each control: lags, dropped kinds, a narrower namespace."""
+    rows = timed(spark, sf_dir)
+    out = None
+    for name, lag, keys, eligible in (
+        ("plain", 0, ["user_key"], None),
+        ("lag_1h", clock.HOUR, ["user_key"], None),
+        ("lag_6h", 6 * clock.HOUR, ["user_key"], None),
+        ("replayed", 0, ["user_key"], ~F.col("is_result_only")),
+        ("own_class", 0, ["user_key", "class_term"], None),
+    ):
+        later = rows.withColumn("available_us", F.col("available_us") + lag)
+        stream = history.merged_stream(later, [*keys, "work_us", "is_error"], eligible)
+        one = history.keyed_history(stream, keys, "x").select(F.lit(name).alias("control"), "job_id", F.col("x_n").alias("n"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("same_phase_work", f"""WITH RECURSIVE {_FCFS2}, c AS (SELECT h.user_key, h.job_id, h.arrival_us + r.wait_us AS start_us, h.big_us, h.arrival_us FROM h JOIN r USING (job_id))
+SELECT q.job_id, coalesce(sum(x.big_us) FILTER ((x.arrival_us, x.job_id) > (q.arrival_us, q.job_id)), 0)::BIGINT AS phase_us FROM c q JOIN c x ON q.user_key = x.user_key AND q.start_us = x.start_us GROUP BY q.job_id""")
+def same_phase_work(spark, sf_dir):
+    """Work of later jobs that started at the same instant."""
+    rows = fcfs_waits(spark, sf_dir).withColumn("start_us", F.col("arrival_us") + F.col("wait_us"))
+    later = Window.partitionBy("user_key", "start_us").orderBy("arrival_us", "job_id").rowsBetween(1, Window.unboundedFollowing)
+    return rows.select("job_id", F.coalesce(F.sum("work_us").over(later), F.lit(0)).alias("phase_us"))
+
+
+@query("single_server_pool")
+def single_server_pool(spark, sf_dir):
+    histogram = timed(spark, sf_dir).groupBy((F.col("user_key") % 40).alias("term"), F.floor(F.col("arrival_us") / clock.HOUR).alias("hour")).agg(F.sum("work_us").alias("work"))
+    chosen = study.single_server_pool(histogram, "term", "hour", "work", clock.HOUR // 8)
+    return spark.createDataFrame(list(enumerate(chosen)), "place int, term long")
+
+
+@query("simultaneous_band")
+def simultaneous_band(spark, sf_dir):
+    rows = timed(spark, sf_dir)
+    weeks = [r.week for r in rows.select("week").distinct().orderBy("week").collect()]  # a handful of blocks
+    means = study.resampled_mean(rows, "week", "work_us", ["kind"], study.multiplicities(spark, weeks, 200, seed=5))
+    return study.simultaneous_band(means, "kind", "mean")
+
+
+@query("noisy_scores")
+def noisy_scores(spark, sf_dir):
+    return jobs(spark, sf_dir).select("job_id", F.round(study.noisy(F.col("cost_us") / 1e6, 0.5, "job_id"), 6).alias("score"))
+
+
+@query("repaired_scores", f"WITH {JOBS}, e AS (SELECT job_id, cost_us::DOUBLE AS truth, (cost_us % 50000000)::DOUBLE AS score FROM j), c AS (SELECT quantile_cont(abs(score - truth), 0.9) AS cut FROM e) SELECT job_id, CASE WHEN abs(score - truth) > cut THEN truth ELSE score END AS score FROM e, c")
+def repaired_scores(spark, sf_dir):
+    rows = jobs(spark, sf_dir).select("job_id", F.col("cost_us").cast("double").alias("truth"), (F.col("cost_us") % 50_000_000).cast("double").alias("score"))
+    return study.repaired(rows, "score", "truth", 0.1).select("job_id", "score")
+
+
+@query("id_time_anchors", f"WITH {JOBS}, m AS (SELECT user_key, job_id AS x, arrival_us AS y FROM a WHERE job_id % 4 = 0), l AS (SELECT q.job_id, q.user_key, b.x AS x0, b.y AS y0, f.x AS x1, f.y AS y1 FROM a q ASOF LEFT JOIN m b ON q.user_key = b.user_key AND q.job_id >= b.x ASOF LEFT JOIN m f ON q.user_key = f.user_key AND q.job_id <= f.x) SELECT job_id, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * ((job_id - x0)::DOUBLE / (x1 - x0)) END / 1e6, 2) AS at_s FROM l")
+def id_time_anchors(spark, sf_dir):
+    rows = timed(spark, sf_dir)
+    anchors = rows.where("job_id % 4 = 0").select("user_key", F.col("job_id").alias("x"), F.col("arrival_us").alias("y"))
+    out = temporal.interpolated(anchors, ["user_key"], "x", "y", rows.select("user_key", "job_id"), "job_id")
+    return out.select("job_id", F.round(F.col("y") / 1e6, 2).alias("at_s"))

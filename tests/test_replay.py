@@ -176,3 +176,16 @@ def test_varying_capacity_never_exceeds_it(trace):
     for t in begin:
         most = max(n for s, n in steps if s <= t) if t >= 300_000_000 else 2
         assert sum(b <= t < b + s for b, s in zip(begin, service, strict=True)) <= most
+
+
+def test_online_scores_by_pausing_and_by_rounds(spark, trace):
+    from causeway.operators import online
+
+    rows = []
+    for t in range(2):
+        arrival, service, _ = trace(16, 20 + t)
+        rows += [(t, i % 3, 100 * t + i, a, s) for i, (a, s) in enumerate(zip(arrival, service, strict=True))]
+    jobs = spark.createDataFrame(rows, "t long, key long, job_id long, arrival_us long, work_us long")
+    paused = {r.job_id: (r.wait_us, r.score) for r in online.online_replay(jobs, ["t"], "key", 2).collect()}
+    by_rounds, used = online.fixed_point(jobs, ["t"], "key", 2)
+    assert {r.job_id: (r.wait_us, r.score) for r in by_rounds.collect()} == paused and used > 1
