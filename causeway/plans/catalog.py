@@ -620,7 +620,7 @@ def in_out_work(spark, sf_dir):
     return replay.overtaking(heavy_load(spark, sf_dir).withColumn("place", F.row_number().over(order)), ["user_key"]).select("job_id", "in_us", "out_us")
 
 
-@query("identity_residual")
+@query("identity_residual", "SELECT event_id AS job_id, 0::BIGINT AS residual_us FROM events")
 def identity_residual(spark, sf_dir):
     """One server: a job waits longer by exactly the work that overtook it less what it overtook."""
     rows = heavy_load(spark, sf_dir)
