@@ -206,7 +206,12 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     row = F.xxhash64(*(F.col(c) for c in docs.columns))
     rows = docs.withColumn("_row", row)
     prints = materialise(fingerprints(rows, ("doc_id", "_row"), shingle), "prints")
-    kept = grouped(prints).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("k"))
+    return keep_first(docs, rows, grouped(prints))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of `rows` (`docs` with _row, a hash of the row) the first of each root of `rooted` (doc_id, _row, root)."""
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("k"))
     kept = materialise(kept.select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_kept")), "kept")
     joined = rows.join(kept, (F.col("_row") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     from pyspark.sql.window import Window

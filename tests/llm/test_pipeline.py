@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from causeway.llm import simhash
+from causeway.llm import near_copies, simhash
 
 from .test_operators import base_spans, joined, plain_ids, plain_print, prose
 
@@ -59,3 +59,48 @@ def test_pipeline(spark, tmp_path):
 def test_stages_name_the_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "pii", "mixing", "best_fit_packing"]
     assert corpus_pipeline.STAGES[1][1].__module__ == "corpus_pipeline" and simhash.DISTANCE == 2
+
+
+def test_near_copies_from_four_fifths(spark):
+    rng = random.Random(11)
+    texts = {}
+    for i in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        texts[i * 10] = " ".join(words)
+        for j in range(1, 6):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), max(1, round(len(copy) * rng.choice([0.004, 0.01, 0.02, 0.025, 0.05])))):
+                copy[at] = "edited"
+            texts[i * 10 + j] = " ".join(copy)
+    # a passage that all have, copies of one text by the hundred, and short texts
+    texts |= {1000 + i: prose(random.Random(5), 60) + " " + prose(rng, 30) for i in range(60)}
+    base = [f"v{i}" for i in range(300)]
+    texts |= {2000 + i: " ".join(base[: i + 1] + ["other", str(i)] + base[i + 3 :]) for i in range(0, 250)}
+    texts |= {3000: "a b c", 3001: "a  b C", 3002: "a b c d", 3003: None, 3004: " ", 3005: "a b c d e f"}
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    ids = sorted(texts)
+    sets = [shingles(texts[i]) for i in ids]
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    between = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both, either = len(a & sets[j]), len(a | sets[j])
+            if 5 * both >= 4 * either:
+                between += both < 0.95 * either
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert between > 50
+    docs = spark.createDataFrame([(i, texts[i], "en", "s", 1) for i in ids] + [(0, texts[0], "en", "s", 1)], DOCUMENTS)
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(kept) == sorted({ids[find(i)] for i in range(len(ids))})
+    assert near_copies.one_of_each(docs.where("false")).count() == 0
