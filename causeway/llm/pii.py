@@ -50,7 +50,7 @@ WIDE = {
     "phone": r"(?<![0-9A-Za-z+(])\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,14}(?![0-9A-Za-z])",
 }
 #: Without one of these a text has no match of the kind.
-NEEDS = {"email": r"@|\bdot\b", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+NEEDS = {"email": r"@|[\[({]at[\])}]|\x20at\x20", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 #: Words near personal data.
 CUES = r"(?i)(?:mail|tel|phone|call|mobile|fax|contact|card|visa|account|konto|ip|addr|server|host|from|user)[a-z]{0,4}[\x20:=#.\-]{0,3}$"
 

@@ -378,6 +378,13 @@ def test_long_runs_stay_linear(spark):
     assert got[2].n_ip == 1_000 and got[3].spans == "" and got[0].n_card == 0
 
 
+def test_skipping_texts_loses_no_candidate(spark):
+    found = ["john [at] example.com", "john(at)example.com", "john {at} example [dot] com", "john at example.com", "john at example dot com", "john@example.com"]
+    rows = docs(spark, [(i, f"see {t} now", "s") for i, t in enumerate(found)] + [(90, "a dot b", "s"), (91, "chat atom", "s"), (92, None, "s")])
+    spans = {r.doc_id: [m.m for m in r.wemail or []] for r in pii._spans(rows, pii.WIDE, "w").select("doc_id", "wemail").collect()}
+    assert spans == {**{i: [t] for i, t in enumerate(found)}, 90: [], 91: [], 92: []}
+
+
 def test_trees_learn_format():
     cells = []
     for digits in range(8):
