@@ -1,11 +1,11 @@
 """Exact top-k by inner product with multi-resolution segment statistics.
 
-Vectors are cut into equal segments. With mean m and deviation d of each
-segment of length L, the squared distance of two vectors is at least
-sum L ((m - m')^2 + (d - d')^2), so their inner product is at most
-sum L (m m' + d d'). Bounds go from few segments to many; candidates whose
-bound is under a query's known k-th score are out, and survivors are scored
-exactly, in integers.
+Vectors are cut into segments of equal length, give or take one. With mean m
+and deviation d of each segment of length L, the squared distance of two
+vectors is at least sum L ((m - m')^2 + (d - d')^2), so their inner product is
+at most sum L (m m' + d d'). Bounds go from few segments to many; candidates
+whose bound is under a query's known k-th score are out, and survivors are
+scored exactly, in integers.
 
 Rows are dealt evenly into blocks, and each query block meets each candidate
 block once. A query's first k-th score comes from one block that all query
@@ -14,7 +14,8 @@ blocks see first; its size is bounded, so it is broadcast.
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do rows without an id; a query meets candidates of its own
 length only and not rows of its own id; of repeated query ids the smallest
-vector asks; repeated candidates count each; ties go to the smaller id.
+vector asks; repeated candidates count each; ties go to the smaller id; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ QUERY_EVERY = 20
 SCALE = 64
 #: Rows of a block, and queries of a query block.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 1_024
-#: Segments of each resolution, coarse to fine; those that don't divide the length are left out.
+#: Segments of each resolution, coarse to fine; shorter vectors use those with fewer segments than components.
 RESOLUTIONS = (4, 16)
 #: Share of pairs under which survivors are scored one by one.
 SPARSE = 0.02
@@ -79,9 +80,10 @@ def unpacked(dim: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarr
 
 def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of each segment, times the root of its length, side by side."""
-    length = vectors.shape[1] // segments
-    parts = vectors.reshape(len(vectors), segments, length).astype(np.float64)
-    return np.concatenate([parts.mean(axis=2), parts.std(axis=2)], axis=1) * np.sqrt(length)
+    cuts = np.linspace(0, vectors.shape[1], segments + 1).astype(np.int64)
+    parts = [vectors[:, a:b].astype(np.float64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    roots = np.sqrt(np.diff(cuts))
+    return np.concatenate([np.stack([f(x, axis=1) for x in parts], axis=1) * roots for f in (np.mean, np.std)], axis=1)
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,10 +102,12 @@ def block_top(queries: tuple, candidates: tuple, least: np.ndarray, k: int, reso
         return none, none, none
     alive = qid[:, None] != cid[None, :]
     for segments in resolutions:
-        if q.shape[1] % segments or segments >= q.shape[1]:
+        if segments >= q.shape[1]:
             continue
-        bound = segment_statistics(q, segments) @ segment_statistics(c, segments).T
-        alive &= bound * (1 + 1e-9) + 1e-6 >= least[:, None]
+        mine, theirs = segment_statistics(q, segments), segment_statistics(c, segments)
+        # terms may cancel, so rounding goes with the lengths and not with the bound
+        slack = np.linalg.norm(mine, axis=1)[:, None] * (1e-9 * np.linalg.norm(theirs, axis=1))[None, :]
+        alive &= mine @ theirs.T + slack + 1e-6 >= least[:, None]
         keep = alive.any(axis=0)  # candidates that no query needs leave at once
         if not keep.all():
             cid, c, alive = cid[keep], c[keep], alive[:, keep]

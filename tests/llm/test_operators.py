@@ -165,6 +165,27 @@ def test_bounds_prune_and_keep_all_that_matters():
     assert (stats >= score - 1e-6).all()
 
 
+def plain_top(z, every=20, k=20):
+    return {q: [(int(i), int(s[i])) for i in np.lexsort((np.arange(len(z)), -s)) if i != q][:k] for q in range(0, len(z), every) for s in [z @ z[q]]}
+
+
+@pytest.mark.parametrize("kind", ["negative", "constant", "few", "odd length"])
+def test_exact_top_k_where_bounds_are_tight(spark, kind):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((60, {"odd length": 37}.get(kind, 64)))
+    if kind == "negative":  # each query's 20th score is far under zero
+        x = np.where(np.arange(60)[:, None] < 2, 5.0, -5.0 - np.arange(60)[:, None] / 8) * np.ones((1, 64))
+    if kind == "constant":
+        x = np.repeat(rng.integers(-3, 4, (60, 4)), 16, axis=1).astype(float)
+    if kind == "few":
+        x = x[:7]
+    got: dict = {}
+    for r in exact_topk.top_k(vectors(spark, [(i, [float(v) for v in row], 0, 0, 0, 0) for i, row in enumerate(x)])).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    want = plain_top(np.floor(64 * x.astype(np.float32).astype(float)).astype(np.int64))
+    assert {q: [v[i] for i in sorted(v)] for q, v in got.items()} == want
+
+
 @pytest.mark.parametrize("n", [1, 8, 700])
 def test_nearest_neighbours(spark, n):
     rows, x = search_rows(n if n > 100 else 700)
