@@ -10,8 +10,9 @@ import numpy as np
 
 #: Words that a worker remembers; beyond that it encodes others each time.
 CACHE_WORDS = 600_000
-#: White space beside a space: there the pattern of the tokenizer may join more than one space.
-UNEVEN = re.compile(r" \s|\s |\0")
+#: White space beside other white space: there the pattern of the tokenizer may join them.
+#: The separators from x1c on are white space to Python's patterns and not to the tokenizer's.
+UNEVEN = re.compile(r"\s\s|[\0\x1c-\x1f]")
 CLOSING = ".,;:!?"
 #: Letters below this one are letters to any Unicode version.
 SURE = "ɐ"
@@ -72,22 +73,25 @@ class Encoder:
     its parts. A space between two non-spaces always opens a part, a lone
     line feed is one, and a run of letters ends one. So a text's ids are those
     of its words in a row, and the ids of frequent words are remembered.
-    Texts with other runs of white space are encoded whole.
+    Texts with other runs of white space, or with the written form of a
+    special token, are encoded whole. Such a form gets the special id, as the
+    library does it by default; `marks_as_text` makes it ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, marks_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = marks_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words = Words(self.tokenizer, self.dtype)
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_word = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        self.marks = [] if marks_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_word or UNEVEN.search(text):
+        if not self.by_word or UNEVEN.search(text) or any(m in text for m in self.marks):
             return self.words.encode(text)
         words = text.replace(" ", "\0 ").split("\0")
         return b"".join(map(self.words.__getitem__, words))

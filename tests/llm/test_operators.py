@@ -214,9 +214,12 @@ def test_search_of_nothing(spark):
 def plain_ids(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tok.default_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    if not _PLAIN:
+        _PLAIN.append(Tokenizer.from_file(tok.default_path()))
+    return _PLAIN[0].encode(text or "", add_special_tokens=False).ids
+
+
+_PLAIN: list = []
 
 
 def crc(ids):
@@ -225,10 +228,15 @@ def crc(ids):
 
 def test_encoder_is_the_tokenizer():
     rng, encode = random.Random(4), tok.encoder(tok.default_path())
-    parts = ["a", "Bc", " ", " ", "\n", "'s", "é", "1", ".", ",", "!", "\t", "²", "日本", "　", "_", "\0", "<|endoftext|>", "don't"]
-    for _ in range(1500):
-        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
-        assert np.frombuffer(encode(text), encode.dtype).tolist() == plain_ids(text)
+    parts = ["a", "Bc", " ", " ", "\n", "'s", "é", "1", ".", ",", "!", "\t", "²", "日本", "　", "_", "\0", "<|endoftext|>", "<|endof", "don't", "\u00a0", "\u2028", "\x1c", "\x85", "\u200b", "\u0301", "\U0001f600"]
+    for i in range(20_000):
+        some = parts if i % 2 else [*parts, *(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x30000)])) for _ in range(4))]
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(12)))
+        assert np.frombuffer(encode(text), encode.dtype).tolist() == plain_ids(text), repr(text)
+    for code in range(0x3000):  # every character of the first planes' white space, beside each kind of neighbour
+        for text in (f"a {chr(code)}b", f"é\n{chr(code)}1", f"{chr(code)} x", f"a{chr(code)}b c"):
+            if not 0xD800 <= code < 0xE000:
+                assert np.frombuffer(encode(text), encode.dtype).tolist() == plain_ids(text), repr(text)
 
 
 def test_store_round_trip(spark):
