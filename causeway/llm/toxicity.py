@@ -14,7 +14,8 @@ is fitted on a bounded sample of labelled rows; the rest covers all documents.
 Defined results: a null or empty text gets the score of a text without any
 such word; rows without label are scored alike; repeated labels of a document
 count as toxic if one is; without labelled rows of both kinds all scores are
-the share of toxic labels (0 without labels); texts are read whole.
+the share of toxic labels (0 without labels); texts are read whole; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,8 +57,6 @@ _S = r"0-9@$!|+€"
 DISGUISED = re.compile(rf"[A-Za-z][{_S}]{{1,3}}[A-Za-z]|(?<![A-Za-z{_S}])[{_S}]{{1,2}}[A-Za-z]{{2}}|[A-Za-z]{{2}}[0-9@$|+]{{1,2}}(?![A-Za-z{_S}])")
 DRAWN_OUT = re.compile(r"([^\W\d_])\1\1")
 SPELLED = re.compile(rf"(?<![\w@$|+€])[A-Za-z{_S}](?:[ .\-_*][A-Za-z{_S}]){{2,}}(?![\w@$|+€])")
-#: Longer stretches aren't words in disguise.
-LONGEST = 40
 
 COST_SIGN, COST_DROP, COST_DROP_SECOND, COST_KEEP_RUN, COST_BREAK = 1.0, 0.5, 3.0, 3.0, 2.5
 
@@ -144,9 +143,10 @@ class Restorer:
         """The most likely reading, in lower case."""
         if stretch in self.known:
             return self.known[stretch]
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a path is its last letter and the path before it, so that long stretches cost no copies
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in self.lattice(stretch):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in best.items():
                 row = self.costs[a][b]
                 for symbol, price in options:
@@ -154,31 +154,35 @@ class Restorer:
                         state, total, read = (a, b), cost + price, path
                     else:
                         state, total = (b, symbol), cost + price + row[symbol]
-                        read = path + (" " if symbol == 0 else "?" if symbol == _OTHER else chr(96 + symbol))
+                        read = (" " if symbol == 0 else "?" if symbol == _OTHER else chr(96 + symbol), path)
                     if state not in after or total < after[state][0]:
                         after[state] = (total, read)
             best = after
-        read = min((cost + self.costs[a][b][0], path) for (a, b), (cost, path) in best.items())[1]
-        if len(self.known) < 50_000:
+        path = min(((cost + self.costs[a][b][0], path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])[1]
+        letters = []
+        while path is not None:
+            letters.append(path[0])
+            path = path[1]
+        read = "".join(reversed(letters))
+        if len(self.known) < 50_000 and len(stretch) < 100:
             self.known[stretch] = read
         return read
 
     def stretches(self, text: str) -> list[tuple[int, int]]:
         """Where a text looks disguised: (start, end), sorted, apart."""
-        found = [m.span() for m in SPELLED.finditer(text) if m.end() - m.start() <= 2 * LONGEST]
+        found = [m.span() for m in SPELLED.finditer(text)]
         for pattern in (DISGUISED, DRAWN_OUT):
             at = 0
             for m in pattern.finditer(text):
                 if m.start() < at:
                     continue
                 a, b = m.span()
-                while a > 0 and b - a <= LONGEST and (text[a - 1].isalnum() or text[a - 1] in SIGNS):
+                while a > at and (text[a - 1].isalnum() or text[a - 1] in SIGNS):
                     a -= 1
-                while b < len(text) and b - a <= LONGEST and (text[b].isalnum() or text[b] in SIGNS and text[b : b + 2][1:].isalnum()):
+                while b < len(text) and (text[b].isalnum() or text[b] in SIGNS and text[b : b + 2][1:].isalnum()):
                     b += 1
                 at = b
-                if b - a <= LONGEST:
-                    found.append((a, b))
+                found.append((a, b))
         found.sort()
         apart: list[tuple[int, int]] = []
         for a, b in found:
@@ -195,16 +199,20 @@ class Restorer:
         return "".join([*out, text[at:]])
 
     def words(self, text: str) -> set[str]:
-        """Words of a text and of its restored form, in lower case."""
+        """Words of a text and of its restored form, in lower case; spelled-out stretches also as a whole, marked ~."""
         words = set(WORDS.findall(text.lower()))
         for a, b in self.stretches(text):
-            words.update(WORDS.findall(self.decode(text[a:b])))
+            read = WORDS.findall(self.decode(text[a:b]))
+            words.update(read)
+            if len(read) > 1 or SPELLED.fullmatch(text, a, b):
+                words.add("~" + "".join(read))  # with one separator throughout, where words end is a guess
         return words
 
 
 def features(words: set[str]) -> set[str]:
     """Words, marked =, and word beginnings of 3 to 5 letters."""
-    out = {"=" + w for w in words if len(w) <= LONGEST}
+    words = {w for w in words if w[0] != "~"}
+    out = {"=" + w for w in words}
     for n in (3, 4, 5):
         out.update(w[:n] for w in words if len(w) >= n)
     return out
@@ -224,13 +232,17 @@ class Model:
         return self._restorer
 
     def hits(self, words: set[str]) -> set[str]:
-        kinds = self.__dict__.get("_kinds")
-        if kinds is None:
-            kinds = self._kinds = ({w[1:] for w in self.weights if w[0] == "="}, [{w for w in self.weights if w[0] != "=" and len(w) == n} for n in (3, 4, 5)])
-        out = {"=" + w for w in words & kinds[0]}
-        for n, known in zip((3, 4, 5), kinds[1], strict=True):
-            if known:
-                out |= {w[:n] for w in words} & known
+        if "_kinds" not in self.__dict__:
+            known = {w[1:] for w in self.weights if w[0] == "="}
+            self._kinds = (known, [{w for w in self.weights if w[0] != "=" and len(w) == n} for n in (3, 4, 5)], sorted({len(w) for w in known} - {1, 2, 3}))
+        known, beginnings, lengths = self._kinds
+        whole = {w for w in words if w[0] == "~"}
+        inside = {w[i : i + n] for w in whole for n in lengths for i in range(1, len(w) - n + 1)} & known
+        words = (words - whole) | inside
+        out = {"=" + w for w in words & known}
+        for n, some in zip((3, 4, 5), beginnings, strict=True):
+            if some:
+                out |= {w[:n] for w in words} & some
         return out
 
     def score(self, words: set[str]) -> float:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -205,6 +206,27 @@ def test_nearest_neighbours(spark, n):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("kind", ["one long", "ten decades", "huge"])
+def test_nearest_neighbours_at_any_spread_of_norms(spark, kind):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((600, 64)) / 8
+    if kind == "one long":
+        x[7] *= 1e8
+    else:
+        x *= 10.0 ** rng.uniform(-5, 5, 600)[:, None] * (1e140 if kind == "huge" else 1)
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    hits = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        want = sorted((i for i in range(600) if i != q), key=lambda i: (-s[i], i))[:20]
+        assert sorted(got[q]) == list(range(1, 21))
+        hits += len(set(got[q].values()) & set(want))
+    assert hits >= 0.9 * 600
+
+
 def test_search_of_nothing(spark):
     for f in (ann.nearest, exact_topk.top_k):
         assert f(vectors(spark, [])).count() == 0 and f(vectors(spark, BAD)).count() == 0
@@ -328,6 +350,65 @@ def test_toxicity_sees_through_disguise(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def reading_by_trial(costs, stretch):
+    """The cheapest reading of a stretch by trying all paths of its lattice."""
+    restorer = toxicity.Restorer(costs)
+    best = None
+    for path in itertools.product(*restorer.lattice(stretch)):
+        a = b = 0
+        total, read = 0.0, ""
+        for symbol, price in path:
+            total += price
+            if symbol is not None:
+                total += costs[a][b][symbol]
+                a, b, read = b, symbol, read + (" " if symbol == 0 else "?" if symbol == 27 else chr(96 + symbol))
+        total += costs[a][b][0]
+        if best is None or total < best[0] - 1e-12:
+            best = (total, read)
+    return best[1]
+
+
+def test_decoding_is_the_cheapest_path(spark):
+    rng = random.Random(13)
+    costs = toxicity.character_costs(toxicity.count_trigrams(docs(spark, [(i, prose(rng, 80), "s") for i in range(20)])))
+    restorer = toxicity.Restorer(costs)
+    for stretch in ["c4t", "c a t", "s-4-t", "m4tttt", "1t", "w4$ th3r3", "t h e n", "0ff", "aaat"] + ["".join(rng.choice("ca7t1 -0") for _ in range(8)) for _ in range(30)]:
+        assert restorer.decode(stretch) == reading_by_trial(costs, stretch)
+
+
+def test_long_disguises_are_decoded(spark):
+    rng = random.Random(14)
+    bad = ["worthless", "idiot", "loser"]
+    rows, labels = [], []
+    for i in range(600):
+        words, toxic = prose(rng, 30).split(), int(rng.random() < 0.3)
+        if toxic:
+            words[rng.randrange(30)] = rng.choice(bad)
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 0, toxic))
+    clean = prose(rng, 60).replace(" ", "")
+    probes = {
+        1001: " ".join("youareaworthlessidiotandaloserofcourse" * 8),
+        1002: "-".join("thecatsatandtheidiotranoff"),
+        1003: "id" + "i" * 300 + "ot",
+        1004: " ".join(re.sub("[0-9]", "", clean)),
+        1005: "x" * 50_000,
+        1006: "1 " * 30_000,
+        1007: "w0rthl3$$" * 1 + " " + "l" + "0" * 60 + "ser",
+    }
+    out = {r.doc_id: r for r in toxicity.toxicity(docs(spark, rows + [(i, t, "s") for i, t in probes.items()]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert {i: out[i].predicted for i in probes} == {1001: 1, 1002: 1, 1003: 1, 1004: 0, 1005: 0, 1006: 0, 1007: 1}
+
+
+def test_toxicity_of_odd_rows(spark):
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 9)] + [(4, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
+    out = toxicity.toxicity(docs(spark, ODD), labels).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+    assert toxicity.toxicity(docs(spark, []), labels).count() == 0
+    kept = toxicity.scored(docs(spark, ODD).drop("score"), toxicity.fit(docs(spark, ODD), labels))
+    assert [r.text for r in kept.collect()] == [t for _, t, _ in ODD]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {round(r.score, 6) for r in toxicity.toxicity(docs(spark, ODD), none).collect()} == {0.0}
