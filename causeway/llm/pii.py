@@ -1,13 +1,21 @@
 """Personal data: high-recall candidates, boosted trees, calibrated thresholds.
 
 Base spans come from fixed patterns and checks and always stay. Wider
-generators propose further, overlapping candidates of the same kinds (spelled
-out addresses, other separators, numbers without a plus). Each candidate has a
-few small integer features of its format and context. Whether a candidate is
-itself a checked base span is its label, all documents' candidates are counted
-per feature vector (a table bounded by the features' ranges), and small
-boosted trees are fitted to those counts. A candidate is added where its
-calibrated chance reaches the threshold and no base span overlaps it.
+generators propose further, overlapping candidates of the same kinds: spelled
+out addresses, other separators, numbers without a plus, the well-formed part
+of a longer run. Each candidate has a few small integer features of its format
+(of the form it stands for, so a spelled-out address is judged like a plain
+one) and its context.
+
+Candidates that are base spans are true. False are those that fail their
+kind's check and those that overlap a base span of another kind. All others
+have no label and aren't learned from. How forms that no base span has are to
+be judged comes from EXAMPLES, a short list of labelled phrases. Candidates of
+all documents are counted per feature vector (a table bounded by the features'
+ranges); boosted trees are fitted to the counts of three quarters of the
+texts and the examples. On the other quarter and the examples the scores are
+calibrated (isotonic regression per kind), and a candidate is added from a
+calibrated chance of PRECISION on, if no base span overlaps it.
 
 Main path: DataFrame functions only; the trees become one SQL expression.
 
@@ -15,19 +23,23 @@ Matching is leftmost and without overlap, as the patterns say. Two devices
 keep it linear on long texts and change no match: possessive repeats where the
 next character can't belong to the class, and a start only at the previous
 match's end or where no character of the leading class stands before, since a
-match from within such a run could also start at its begin.
+match from within such a run could also start at its begin. Candidates meet
+base spans as sorted rows of a document, in one pass.
 
 Defined results: a null or empty text has no spans; offsets are code points,
-end exclusive; repeated rows and null ids are rows like others.
+end exclusive; repeated rows and null ids are rows like others; an empty table
+gives an empty result; other columns are kept by redacted() and else not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 
@@ -42,79 +54,96 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What proposes candidates, by kind.
+_AT, _DOT = r"(?:@|\x20?[\[({]at[\])}]\x20?|\x20at\x20)", r"(?:\.|\x20?[\[({]dot[\])}]\x20?|\x20dot\x20)"
+#: What proposes candidates: kind and pattern.
 WIDE = {
-    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++(?:@|\x20?[\[({{]at[\])}}]\x20?|\x20at\x20){_HOST}(?:(?:\.|\x20?[\[({{]dot[\])}}]\x20?|\x20dot\x20){_HOST})++",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:(?:\.|\[\.\]|\x20\.\x20)[0-9]++){3}",
-    "card": r"(?<![0-9])[0-9](?:[\x20.\-/]?[0-9]){11,18}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+(])\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,14}(?![0-9A-Za-z])",
+    "email": ("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++{_AT}{_HOST}(?:{_DOT}{_HOST})++"),
+    "ip": ("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:(?:\.|\[\.\]|\x20\.\x20)[0-9]++){3}"),
+    "card": ("card", r"(?<![0-9])[0-9](?:[\x20.\-/]?[0-9]){11,18}(?![0-9])"),
+    "phone": ("phone", r"(?<![0-9A-Za-z+(])\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,14}(?![0-9A-Za-z])"),
+    # the area code, three digits and four
+    "grouped": ("phone", r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[\x20.\-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[\x20.\-]?[0-9]{3}[\x20.\-][0-9]{4}(?![0-9A-Za-z])"),
 }
 #: Without one of these a text has no match of the kind.
 NEEDS = {"email": r"@|[\[({]at[\])}]|\x20at\x20", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
-#: Words near personal data.
-CUES = r"(?i)(?:mail|tel|phone|call|mobile|fax|contact|card|visa|account|konto|ip|addr|server|host|from|user)[a-z]{0,4}[\x20:=#.\-]{0,3}$"
+#: Words before personal data, by kind.
+CUES = {
+    "email": "mail|contact|write|reach|send",
+    "ip": "ip|addr|server|host|from|login|client",
+    "card": "card|visa|credit|account|konto|pay",
+    "phone": "tel|phone|call|mobile|fax|cell|ring|text|whatsapp",
+}
+# Phrases whose candidates are all true, or all false.
+TRUE_EXAMPLES = (
+    "jane [at] mail.org", "john(at)example.com", "mail john.roe [at] example [dot] com", "write to jane.doe at example dot org", "contact: j_smith {at} mail.example.net",
+    "reach me at.", "e-mail max at post dot example dot de", "mail anna (at) web.example", "anna.k (at) web (dot) example", "send it to bob [at] site.io",
+    "(030) 123-4567", "call (212) 555-0188 now", "tel 212-555-0188", "phone: 030 1234567", "fax 089/1234567", "mobile 0170 1234567", "cell 415.555.0133",
+    "ring 020 7946 0018", "my phone is (415) 555-0133", "phone 2125550188", "(0221) 470-1234", "212-555-0188 or 212-555-0189", "415.555.0133", "tel. 030-123 4567",
+    "ip 10[.]1[.]2[.]3", "host 192[.]168[.]0[.]17", "from 8 . 8 . 4 . 4", "server 172[.]16[.]5[.]9 down", "203[.]0[.]113[.]9", "login 198[.]51[.]100[.]23",
+    "card 4111.1111.1111.1111", "visa 4111/1111/1111/1111", "pay with 5500.0000.0000.0004", "credit card: 3400/000000/00009", "4012/8888/8888/1881", "card 6011.1111.1111.1117",
+)
+FALSE_EXAMPLES = (
+    "we met at noon.then left", "look at example.com", "arrived at paris.it rained", "sold at shop.example today", "the talk at pycon.org was good", "bought at store dot",
+    "order 1234567890", "id 987654321012", "number 300400500", "2024-01-02 10:20", "on 2023-11-30 09", "page 123-456-789", "978-3-16-148410-0", "isbn 978 3 16 148410",
+    "lot 20240102030405", "1 2 3 4 5 6 7 8 9", "10 20 30 40 50 60", "serial 0012003400560078", "total 1.234.567.890", "12/11/2023 10/11/2023", "3.141592653589793", "code 555123456",
+    "version 1 . 2 . 3 . 4", "1 . 2 . 3 . 4", "section 10 . 4 . 2 . 1 says", "items 1 . 2 . 3 . 4",
+    "4111.1111.1111.1112", "scores 10/12/10/12/10/12/10", "1.2.3.4.5.6.7.8.9.10.11.12", "0000/0000/0000/0000",
+)
 
 ROUNDS, RATE, DEPTH, SHRINK = 24, 0.3, 3, 4.0
-#: A threshold is the least score at which so large a share of candidates is true.
+#: A threshold is the least score at which the calibrated share of true candidates is so large.
 PRECISION = 0.9
+#: Candidates that an example counts as; one text of so many is for calibration.
+EXAMPLE_WEIGHT, HELD_OUT = 50, 4
 #: Code points of context before a candidate.
 BEFORE = 24
 
 
-def running(lengths: Column) -> Column:
-    """Exclusive running sums of an array: in chunks of 64, so that copying stays near linear."""
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """What `join` makes of all `values` before each place, from 0, and of all: in chunks of 64, so that copying stays near linear.
+
+    Arrays meet in zip_with: a lambda's body would evaluate an array that it
+    looks up again for each element. `values` is the one exception and should
+    be a column that more than one expression reads, which the planner keeps.
+    """
 
     def plain(a: Column) -> Column:
         start = F.array(F.lit(0).cast("int"))
-        return F.aggregate(a, start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.aggregate(a, start, lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
 
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.greatest(F.size(lengths) - 1, F.lit(0)) / 64).cast("int")),
-        lambda c: F.slice(lengths, c * 64 + 1, F.lit(64)),
-    )
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / 64).cast("int")), lambda c: F.slice(values, c * 64 + 1, F.lit(64)))
     sums = F.transform(chunks, plain)
     offsets = plain(F.transform(sums, lambda s: F.element_at(s, -1)))
-    shifted = F.transform(sums, lambda s, i: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: x + F.element_at(offsets, i + 1)))
-    return F.flatten(shifted)
-
-
-def _spans(df: DataFrame, patterns: dict[str, str], prefix: str) -> DataFrame:
-    """Per kind an array column `<prefix><kind>` of (s, e, m, before, after): matches with context."""
-    names = [prefix + k for k in patterns]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = df.withColumns({f"_t{prefix}{k}": F.when(text.rlike(NEEDS[k]), text) for k in patterns})
-    df = df.withColumns({f"_p{n}": F.split(F.col(f"_t{n}"), p, -1) for n, p in zip(names, patterns.values(), strict=True)})
-    df = df.withColumns({f"_h{n}": F.regexp_extract_all(F.col(f"_t{n}"), F.lit(p), F.lit(0)) for n, p in zip(names, patterns.values(), strict=True)})
-    # a start is all pieces up to it and all matches before it
-    df = df.withColumns(
-        {
-            f"_l{n}": F.when(
-                F.size(f"_h{n}") > 0,
-                F.zip_with(
-                    F.slice(f"_p{n}", F.lit(1), F.size(f"_h{n}")),
-                    F.concat(F.array(F.lit("")), F.slice(f"_h{n}", F.lit(1), F.size(f"_h{n}") - 1)),
-                    lambda piece, match: F.length(piece) + F.length(match),
-                ),
-            )
-            for n in names
-        }
-    )
-    df = df.withColumns({f"_s{n}": F.when(F.size(f"_l{n}") > 0, running(F.concat(F.col(f"_l{n}"), F.array(F.lit(0).cast("int"))))) for n in names})
+    before = F.zip_with(sums, F.slice(offsets, F.lit(1), F.size(sums)), lambda s, o: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: join(x, o)))
+    return F.concat(F.flatten(before), F.array(F.element_at(offsets, -1)))
+
+
+def _spans(df: DataFrame, generators: dict[str, tuple[str, str]], prefix: str) -> DataFrame:
+    """Per generator (kind, pattern) an array column `<prefix><name>` of (s, e, m, before, after): matches in `_text` with context."""
+    names = {prefix + n: (kind, p) for n, (kind, p) in generators.items()}
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    df = df.withColumns({f"_t{n}": F.when(text.rlike(NEEDS[kind]), text) for n, (kind, _) in names.items()})
+    df = df.withColumns({f"_h{n}": F.regexp_extract_all(F.col(f"_t{n}"), F.lit(p), F.lit(0)) for n, (_, p) in names.items()})
+    df = df.withColumns({f"_p{n}": F.when(F.size(f"_h{n}") > 0, F.split(F.col(f"_t{n}"), p, -1)) for n, (_, p) in names.items()})
+
+    def lengths(n: str) -> Column:  # a start is all pieces up to it and all matches before it
+        hits, pieces = F.col(f"_h{n}"), F.col(f"_p{n}")
+        earlier = F.concat(F.array(F.lit("")), F.slice(hits, F.lit(1), F.size(hits) - 1))
+        return F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), earlier, lambda piece, match: F.length(piece) + F.length(match))
+
+    df = df.withColumns({f"_l{n}": F.when(F.size(f"_h{n}") > 0, lengths(n)) for n in names})
+    df = df.withColumns({f"_s{n}": F.when(F.size(f"_l{n}") > 0, running(F.col(f"_l{n}"))) for n in names})
 
     def span(n: str) -> Column:
         hits, pieces, starts = F.col(f"_h{n}"), F.col(f"_p{n}"), F.col(f"_s{n}")
-        rows = F.transform(
-            hits,
-            lambda m, i: F.struct(
-                F.element_at(starts, i + 2).alias("s"),
-                (F.element_at(starts, i + 2) + F.length(m)).alias("e"),
-                m.alias("m"),
-                F.right(F.element_at(pieces, i + 1), F.lit(BEFORE)).alias("before"),
-                F.left(F.element_at(pieces, i + 2), F.lit(1)).alias("after"),
-            ),
-        )
-        empty = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
-        return F.when(F.size(hits) > 0, rows).otherwise(F.array().cast(empty))
+        count = F.size(hits)
+        around = F.zip_with(
+            F.slice(pieces, F.lit(1), count), F.slice(pieces, F.lit(2), count),
+            lambda x, y: F.struct(F.right(x, F.lit(BEFORE)).alias("before"), F.left(y, F.lit(1)).alias("after")),
+        )
+        placed = F.zip_with(hits, F.slice(starts, F.lit(2), count), lambda m, s: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
+        rows = F.zip_with(placed, around, lambda x, y: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), y["before"].alias("before"), y["after"].alias("after")))
+        return F.when(count > 0, rows).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>"))
 
     return df.withColumns({n: span(n) for n in names}).drop(*(f"_{x}{n}" for x in "tphls" for n in names))
 
@@ -137,52 +166,87 @@ def passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-#: Ranges of the features, in order: kind, digits, separators, plus, cue, quoted, glued, even groups.
-RANGES = {"kind": 4, "digits": 8, "signs": 4, "plus": 2, "cue": 2, "quoted": 2, "glued": 2, "even": 2}
+#: Ranges of the features; `form` is 0 where a base span may be written so.
+RANGES = {"kind": 4, "digits": 8, "valid": 2, "shape": 3, "form": 3, "cue": 3, "quoted": 2, "glued": 2}
+
+
+def plain(kind: str, m: Column) -> Column:
+    """The form that a candidate stands for."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(m, rf"{_AT}(?=[A-Za-z0-9-])", "@"), rf"{_DOT}(?=[A-Za-z0-9-])", ".")
+    if kind == "ip":
+        return F.regexp_replace(m, r"\[\.\]|\x20\.\x20", ".")
+    return F.regexp_replace(m, "[./]", " ") if kind == "card" else m
 
 
 def _features(kind: str, c: Column) -> dict[str, Column]:
-    m = c["m"]
+    m, form = c["m"], plain(kind, c["m"])
     flag = lambda x: F.when(x, 1).otherwise(0)
     digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
+    cue = lambda words: c["before"].rlike(rf"(?i)(?<![A-Za-z])(?:{words})[a-z]{{0,6}}(?:[\x20:=#.\-]{{1,3}}(?:is|me|at|to|it|us|with|number|no)?[\x20:]{{0,2}}){{1,2}}\(?$")
+    shapes = {
+        "email": (form.rlike(r"\.[A-Za-z]{2,4}$"), form.rlike(r"\.[A-Za-z]+$")),
+        "ip": (~form.rlike(r"(?:^|\.)0"), ~form.rlike(r"(?:^|\.)[0-9](?:\.[0-9])+$")),
+        "card": (form.rlike(r"^[0-9]{4}(?:[ -][0-9]{4})+$"), ~form.rlike("[^0-9]")),
+        "phone": (form.rlike(WIDE["grouped"][1].replace("(?<![0-9A-Za-z+(])", "^").replace("(?![0-9A-Za-z])", "$")), form.rlike(r"^[+(]?[0-9]{2,5}\)?[ /.\-][0-9 \-]{4,}$")),
+    }
+    forms = {
+        "email": F.when(m.contains("@"), 0).when(m.rlike(r"[\[({]at[\])}]"), 1).otherwise(2),
+        "ip": F.when(m.rlike(r"\[\.\]"), 1).when(m.contains(" "), 2).otherwise(0),
+        "card": F.when(m.contains("/"), 1).when(m.contains("."), 2).otherwise(0),
+        "phone": F.when(m.startswith("+"), 0).otherwise(1),
+    }
+    valid = passes(kind, form)
+    if kind == "email":
+        valid = form.rlike(rf"^[{_LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}$")
     return {
         "kind": F.lit(KINDS.index(kind)),
         "digits": F.least(F.floor(digits / 3), F.lit(7)).cast("int"),
-        "signs": F.least(F.length(F.regexp_replace(m, r"[A-Za-z0-9]", "")), F.lit(3)).cast("int"),
-        "plus": flag(m.startswith("+")),
-        "cue": flag(c["before"].rlike(CUES)),
+        "valid": flag(valid),
+        "shape": F.when(shapes[kind][0], 2).when(shapes[kind][1], 1).otherwise(0),
+        "form": forms[kind],
+        "cue": F.when(cue(CUES[kind]), 2).when(cue("|".join(CUES.values())), 1).otherwise(0),
         "quoted": flag(c["before"].rlike("[\"'=]\\s?$")),
         "glued": flag(c["before"].rlike("[A-Za-z0-9]$") | c["after"].rlike("[A-Za-z0-9]")),
-        "even": flag(m.rlike(r"^[0-9]{4}(?:[ .\-/][0-9]{4})+$") | m.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+$")),
     }
 
 
-def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, base, wide): checked base spans (s, k, e), and candidates with features and label."""
-    rows = _spans(_spans(docs.select(*keep, *([] if "text" in keep else ["text"])), BASE, "b_"), WIDE, "w_")
+def candidates(rows: DataFrame) -> DataFrame:
+    """`rows` (_text and others) with _base, the checked base spans (s, k, e) in order, and _wide, candidates with features."""
+    columns = rows.columns
+    rows = _spans(_spans(rows, {k: (k, p) for k, p in BASE.items()}, "_b_"), WIDE, "_w_")
 
     def checked(i: int, kind: str) -> Column:
         return F.transform(
-            F.filter(f"b_{kind}", lambda c: passes(kind, c["m"])),
+            F.filter(f"_b_{kind}", lambda c: passes(kind, c["m"])),
             lambda c: F.struct(c["s"].alias("s"), F.lit(i).alias("k"), c["e"].alias("e")),
         )
 
-    rows = rows.withColumn("base", F.array_sort(F.concat(*(checked(i, kind) for i, kind in enumerate(KINDS)))))
-
-    def wide(i: int, kind: str) -> Column:
-        def row(c: Column) -> Column:
-            place = F.struct(c["s"].alias("s"), F.lit(i).alias("k"), c["e"].alias("e"))
-            return F.struct(
-                c["s"].alias("s"),
-                F.lit(i).alias("k"),
-                c["e"].alias("e"),
-                F.array_contains(F.col("base"), place).cast("int").alias("y"),
-                *(x.alias(name) for name, x in _features(kind, c).items()),
-            )
-
-        return F.transform(f"w_{kind}", row)
-
-    return rows.select(*keep, "base", F.concat(*(wide(i, kind) for i, kind in enumerate(KINDS))).alias("wide"))
+    def wide(name: str, kind: str) -> Column:
+        place = lambda c: (c["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), c["e"].alias("e"))
+        return F.transform(f"_w_{name}", lambda c: F.struct(*place(c), *(x.alias(n) for n, x in _features(kind, c).items())))
+
+    base = F.sort_array(F.concat(*(checked(i, kind) for i, kind in enumerate(KINDS))))
+    return rows.select(*columns, base.alias("_base"), F.concat(*(wide(n, kind) for n, (kind, _) in WIDE.items())).alias("_wide"))
+
+
+def judged(spans: DataFrame) -> DataFrame:
+    """A row per candidate of `spans` (_id, _fold, _base, _wide): _id, _fold, place and features, `free` of base spans, and `y`, null if unlabelled."""
+    some = spans.where(F.size("_wide") > 0)
+    wide = some.select("_id", "_fold", F.explode("_wide").alias("c")).select("_id", "_fold", "c.*", F.lit(0).alias("b"))
+    base = some.select("_id", "_fold", F.explode("_base").alias("c")).select("_id", "_fold", "c.*", F.lit(1).alias("b"))
+    rows = wide.unionByName(base, allowMissingColumns=True).repartition("_id")
+    rows = rows.groupBy("_id", "_fold", "s", "e", "k").agg(F.max("b").alias("is_base"), *(F.max(n).alias(n) for n in RANGES))
+    along = Window.partitionBy("_id").orderBy("s")
+    before, after = along.rangeBetween(Window.unboundedPreceding, 0), along.rangeBetween(0, Window.unboundedFollowing)
+    of = lambda i, c: F.when((F.col("is_base") == 1) & (F.col("k") == i), F.col(c))
+    meets = {f"_m{i}": (F.max(of(i, "e")).over(before) > F.col("s")) | (F.min(of(i, "s")).over(after) < F.col("e")) for i in range(len(KINDS))}
+    rows = rows.withColumns({n: F.coalesce(x, F.lit(False)) for n, x in meets.items()}).where(F.col("kind").isNotNull())
+    any_, other = F.lit(False), F.lit(False)
+    for i in range(len(KINDS)):
+        any_, other = any_ | F.col(f"_m{i}"), other | (F.col(f"_m{i}") & (F.col("k") != i))
+    y = F.when(F.col("is_base") == 1, 1).when((F.col("valid") == 0) | other, 0)
+    return rows.select("_id", "_fold", "s", "k", "e", *RANGES, (~any_).alias("free"), y.alias("y"))
 
 
 @dataclass
@@ -201,11 +265,11 @@ class Trees:
 
         return self.bias + sum(value(t) for t in self.trees)
 
-    def column(self, c: Column) -> Column:
+    def column(self, feature: Callable[[str], Column]) -> Column:
         def value(t) -> Column:
             if not isinstance(t, tuple):
                 return F.lit(float(t))
-            return F.when(c[t[0]] <= t[1], value(t[2])).otherwise(value(t[3]))
+            return F.when(feature(t[0]) <= t[1], value(t[2])).otherwise(value(t[3]))
 
         out = F.lit(self.bias)
         for t in self.trees:
@@ -255,36 +319,66 @@ def boost(cells: list[tuple[dict[str, int], int, int]]) -> Trees:
         trees.append(tree)
         one = Trees(0.0, [tree], {})
         raw = [x + one.raw(c[0]) for x, c in zip(raw, cells, strict=True)]
-    model = Trees(bias, trees, {})
-    for kind in range(len(KINDS)):  # the lowest score from which the precision holds
-        own = sorted(((model.raw(c[0]), c[1], c[2]) for c in cells if c[0]["kind"] == kind), reverse=True)
-        seen = true = 0
-        for score, count, good in own:
-            seen, true = seen + count, true + good
-            if true >= PRECISION * seen:
-                model.threshold[kind] = score
+    return Trees(bias, trees, {})
+
+
+def calibrate(model: Trees, cells: list[tuple[dict[str, int], int, int]], least: float = PRECISION) -> Trees:
+    """Per kind the lowest score whose calibrated share of true candidates is at least `least`."""
+    for kind in range(len(KINDS)):
+        steps: list[list] = []  # rising scores: [lowest score, candidates, true ones], pooled until shares rise too
+        for score, n, true in sorted((model.raw(c[0]), c[1], c[2]) for c in cells if c[0]["kind"] == kind):
+            steps.append([score, n, true])
+            while len(steps) > 1 and (steps[-2][0] == steps[-1][0] or steps[-2][2] * steps[-1][1] >= steps[-1][2] * steps[-2][1]):
+                _, n, true = steps.pop()
+                steps[-1][1] += n
+                steps[-1][2] += true
+        good = [score for score, n, true in steps if true >= least * n]
+        if good:
+            model.threshold[kind] = min(good)
     return model
 
 
-def fit(spans: DataFrame) -> Trees:
-    """Fit on the candidates of all documents; what is collected is bounded by RANGES."""
-    names = list(RANGES)
-    one = spans.select(F.explode("wide").alias("c")).select(*(F.col(f"c.{x}").alias(x) for x in names), F.col("c.y").alias("y"))
-    cells = one.groupBy(*names).agg(F.count("*").alias("n"), F.sum("y").alias("true")).collect()
-    return boost(sorted((({x: r[x] for x in names}, r["n"], r["true"]) for r in cells), key=lambda c: tuple(c[0].values())))
-
+def examples(spark: SparkSession) -> DataFrame:
+    """The candidates of the labelled phrases, all with their phrase's label."""
+    phrases = [(t, 1) for t in TRUE_EXAMPLES] + [(t, 0) for t in FALSE_EXAMPLES]
+    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(t).alias("_text"), F.lit(y).alias("y")) for t, y in phrases))).alias("x")).select("x.*")
+    return candidates(rows).select("y", F.explode("_wide").alias("c")).select("y", *(F.col(f"c.{n}").alias(n) for n in RANGES))
 
-def selected(spans: DataFrame, model: Trees) -> DataFrame:
-    """`spans` with `all`: base spans and the added ones, sorted by start and kind."""
 
-    def take(c: Column) -> Column:
-        chance = F.lit(False)
-        for kind, least in model.threshold.items():
-            chance = chance | ((c["k"] == kind) & (model.column(c) >= F.lit(least - 1e-9)))
-        return chance & ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-
-    added = F.transform(F.filter("wide", take), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
-    return spans.withColumn("all", F.array_sort(F.array_distinct(F.concat("base", added))))
+def fit(rows: DataFrame) -> Trees:
+    """Fit on the judged candidates of all documents; what is collected is bounded by RANGES."""
+    names = list(RANGES)
+    counted = lambda df, *by: df.groupBy(*by, *names).agg(F.count("*").alias("n"), F.sum("y").alias("true")).collect()
+    cell = lambda r, times=1: ({x: r[x] for x in names}, r["n"] * times, r["true"] * times)
+    known = [cell(r, EXAMPLE_WEIGHT) for r in counted(examples(rows.sparkSession))]
+    own = counted(rows.where("y is not null").withColumn("held", F.col("_fold") == 0), "held")
+    order = lambda cells: sorted(cells, key=lambda c: tuple(c[0].values()))
+    model = boost(order([*known, *(cell(r) for r in own if not r["held"])]))
+    return calibrate(model, order([*known, *(cell(r) for r in own if r["held"])]))
+
+
+def added(rows: DataFrame, model: Trees) -> DataFrame:
+    """(_key, _added) of documents with added spans (s, k, e)."""
+    chance = F.lit(False)
+    for kind, least in model.threshold.items():
+        chance = chance | ((F.col("k") == kind) & (model.column(lambda n: F.col(n)) >= F.lit(least - 1e-9)))
+    return rows.where("free").where(chance).groupBy(F.col("_id").alias("_key")).agg(F.collect_set(F.struct("s", "k", "e")).alias("_added"))
+
+
+def selected(rows: DataFrame) -> DataFrame:
+    """`rows` (_text and others) with _base and _all: base spans, and these with the added ones, by start and kind.
+
+    Matches are written once with their rows, so that neither a lost executor
+    nor a second use changes the numbers that rows are told by.
+    """
+    fold = F.pmod(F.xxhash64("_text"), F.lit(HELD_OUT)).cast("int")
+    spans = materialise(candidates(rows).withColumns({"_fold": fold, "_id": F.monotonically_increasing_id()}), "spans")
+    found = judged(spans)
+    found = materialise(found, "candidates")
+    more = materialise(added(found, fit(found)), "added")
+    out = spans.join(more, F.col("_id") == F.col("_key"), "left")
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    return out.withColumn("_all", F.sort_array(F.concat("_base", F.coalesce("_added", none)))).drop("_wide", "_fold", "_id", "_key", "_added")
 
 
 def written(spans: Column) -> Column:
@@ -294,43 +388,30 @@ def written(spans: Column) -> Column:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: counts per kind and digest of base spans, and all spans."""
-    spans = materialise(candidates(docs), "spans")
-    out = selected(spans, fit(spans))
-    of_kind = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
+    out = selected(docs.select("doc_id", F.col("text").alias("_text")))
+    of_kind = lambda i: F.size(F.filter("_base", lambda x: x["k"] == i)).cast("long")
     counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("all")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_all")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with every selected span of the text replaced by its kind, overlapping ones as one."""
-    # written first: under an explode the planner would match the patterns again for each element
-    model = fit(materialise(candidates(docs, ()), "candidates"))
-    spans = selected(candidates(docs, tuple(docs.columns)), model)
-    merged = F.aggregate(
-        "all",
-        F.array().cast("array<struct<s:int,k:int,e:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] > x["s"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(acc, -1)["s"].alias("s"),
-                        F.element_at(acc, -1)["k"].alias("k"),
-                        F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+    spans = selected(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")))
+    # a span opens a new one where it starts at or after all ends before it
+    spans = spans.withColumn("_stops", F.when(F.size("_all") > 0, F.transform("_all", lambda x: x["e"])))
+    spans = spans.withColumn("_ends", F.when(F.size("_stops") > 0, running(F.col("_stops"), F.greatest)))
+    seen = F.zip_with("_all", F.slice("_ends", F.lit(1), F.size("_all")), lambda x, before: F.struct(x["s"].alias("s"), x["k"].alias("k"), before.alias("before")))
+    spans = spans.withColumn("_open", F.when(F.size("_all") > 0, F.filter(seen, lambda x: x["s"] >= x["before"])))
+    # code points of four bytes each, so that a piece is cut without counting from the start
+    spans = spans.withColumn("_points", F.when(F.size("_all") > 0, F.encode("_text", "UTF-32")))
+    cut = lambda a, b: F.decode(F.substring(F.col("_points"), a * 4 + 1, (b - a) * 4), "UTF-32")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    spans = spans.withColumn("_m", F.when(F.size("all") > 0, merged))
-    m = F.col("_m")
-    previous = lambda i: F.when(i > 0, F.element_at(m, i)["e"]).otherwise(F.lit(0))
-    pieces = F.transform(m, lambda x, i: F.concat(F.substr(F.col("text"), previous(i) + 1, x["s"] - previous(i)), F.element_at(names, x["k"] + 1)))
-    tail = F.substr(F.col("text"), F.element_at(m, -1)["e"] + 1)
-    text = F.when(F.size(m) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
-    out = spans.withColumn("_text", text)
+    pieces = F.transform("_open", lambda x: F.concat(cut(x["before"], x["s"]), F.element_at(names, x["k"] + 1)))
+    tail = cut(F.element_at("_ends", -1), F.length("_text"))
+    text = F.when(F.size("_all") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("_text"))
+    out = spans.withColumn("_new", text)
+    row = lambda c: F.col("_row").getField(c)
+    new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(m) > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.size("_all") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(row("n_chars"))
+    return out.select(*(new.get(c, row(c)).alias(c) for c in docs.columns))

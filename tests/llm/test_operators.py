@@ -471,7 +471,7 @@ def test_base_spans_are_the_patterns(spark):
     rng = random.Random(7)
     parts = ["a.b@c.de", "x@y", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1", "12", ".", " ", "-", "é", "😀", "+", "0", "abc", "_%", "79927398713000000"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
-    texts += ["a.b@c.d_e@f.gh@i.j", "9" * 3_000, "a@" * 5_000, "a." * 1_000 + "@x.y", "1." * 1_000, "+1" + "(" * 5_000, "4111111111111111 " * 200]
+    texts += ["a.b@c.d_e@f.gh@i.j", "9" * 3_000, "a@" * 5_000, "a." * 1_000 + "@x.y", "1." * 20_000, "+1" + "(" * 5_000, "4111111111111111 " * 500]
     got = {r.doc_id: r for r in pii.personal_data(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
     for i, text in enumerate(texts):
         spans = base_spans(text)
@@ -482,20 +482,51 @@ def test_base_spans_are_the_patterns(spark):
 
 
 def test_long_runs_stay_linear(spark):
-    texts = ["9" * 100_000, "a." * 100_000 + "@x.y", "1." * 4_000, "x" * 300_000]
-    got = {r.doc_id: r for r in pii.personal_data(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    texts = ["9" * 100_000, "a." * 100_000 + "@x.y", "1." * 4_000, "x" * 300_000, "a@b.cd 1.2.3.4 " * 25_000, "(030) 123-4567, " * 20_000]
+    table = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in pii.personal_data(table).collect()}
     assert got[1].n_email == 1 and got[1].spans.startswith("email:0:200004")
     assert got[2].n_ip == 1_000 and got[3].spans == "" and got[0].n_card == 0
+    assert (got[4].n_email, got[4].n_ip, got[5].n_phone, got[5].spans.count("phone")) == (25_000, 25_000, 0, 20_000)
+    new = {r.doc_id: r.text for r in pii.redacted(table).collect()}
+    assert new[4] == "[EMAIL] [IP] " * 25_000 and new[5] == "[PHONE], " * 20_000 and new[3] == texts[3]
 
 
 def test_skipping_texts_loses_no_candidate(spark):
     found = ["john [at] example.com", "john(at)example.com", "john {at} example [dot] com", "john at example.com", "john at example dot com", "john@example.com"]
     rows = docs(spark, [(i, f"see {t} now", "s") for i, t in enumerate(found)] + [(90, "a dot b", "s"), (91, "chat atom", "s"), (92, None, "s")])
+    rows = rows.withColumn("_text", F.col("text"))
     spans = {r.doc_id: [m.m for m in r.wemail or []] for r in pii._spans(rows, pii.WIDE, "w").select("doc_id", "wemail").collect()}
     assert spans == {**{i: [t] for i, t in enumerate(found)}, 90: [], 91: [], 92: []}
 
 
-def test_trees_learn_format():
+def test_spans_are_added_and_clean_texts_left_alone(spark):
+    rng = random.Random(15)
+    base = [f"{prose(rng, 12)} {rng.choice(['mail', 'write to', 'see'])} a{i}.b@mail{i % 7}.example.com or +49 (30) 123-45{i % 90 + 10} {prose(rng, 5)}" for i in range(120)]
+    hidden = {
+        "mail jane [at] mail.org today": "jane [at] mail.org",
+        "reach joe (at) web (dot) example": "joe (at) web (dot) example",
+        "office (030) 123-4567 daily": "(030) 123-4567",
+        "call 212-555-0188 now": "212-555-0188",
+        "tel: 030 1234567": "030 1234567",
+        "host 10[.]0[.]0[.]7 is up": "10[.]0[.]0[.]7",
+        "visa 4111/1111/1111/1111 ok": "4111/1111/1111/1111",
+        "call +1 (843) 555-7672 170.106.47.218 then": "+1 (843) 555-7672",
+    }
+    clean = ["order 123456789012 shipped", "we met at noon.then left", "on 2024-01-02 10:20:30", "no 4111111111111112 here", "version 1 . 2 . 3 . 4", "look at example.com", "pages 10 20 30 40 50", "isbn 978-3-16-148410-0"]
+    for corpus in (base, []):  # with and without base spans to learn from
+        rows = [*corpus, *hidden, *clean]
+        got = {r.doc_id: r for r in pii.personal_data(docs(spark, [(i, t, "s") for i, t in enumerate(rows)])).collect()}
+        for i, text in enumerate(rows):
+            spans = {tuple(x.split(":")) for x in got[i].spans.split(",") if x}
+            found = {text[int(a) : int(b)] for _, a, b in spans}
+            if text in hidden:
+                assert hidden[text] in found, text
+            else:
+                assert len(spans) == len(base_spans(text)), text
+
+
+def test_trees_learn_format_and_thresholds_are_calibrated():
     cells = []
     for digits in range(8):
         for cue in range(2):
@@ -504,14 +535,17 @@ def test_trees_learn_format():
     model = pii.boost(cells)
     scores = [model.raw(c[0]) for c in cells]
     assert min(s for s, c in zip(scores, cells, strict=True) if c[2] == 95) > max(s for s, c in zip(scores, cells, strict=True) if c[2] == 2)
-    assert model.threshold[0] > 0
+    least = pii.calibrate(model, cells).threshold
+    assert list(least) == [0] and all((s >= least[0]) == (c[2] == 95) for s, c in zip(scores, cells, strict=True))
+    # where the held-out cells say otherwise no score is good enough
+    assert pii.calibrate(pii.boost(cells), [(c[0], 100, 50) for c in cells]).threshold == {}
 
 
 def test_redaction(spark):
-    rows = [(1, "mail a@b.co or +49 30 1234567 now", "s"), (2, "nothing here", "s"), (3, None, "s"), (4, "1.2.3.4", "s")]
+    rows = [(1, "mail a@b.co or +49 30 1234567 now", "s"), (2, "nothing here", "s"), (3, None, "s"), (4, "1.2.3.4", "s"), (5, "é\U0001f600 a@b.co\U0001f600", "s")]
     got = {r.doc_id: r for r in pii.redacted(docs(spark, rows)).collect()}
     assert got[1].text == "mail [EMAIL] or [PHONE] now" and got[1].n_chars == len(got[1].text)
-    assert (got[2].text, got[3].text, got[4].text) == ("nothing here", None, "[IP]")
+    assert (got[2].text, got[3].text, got[4].text, got[5].text) == ("nothing here", None, "[IP]", "é\U0001f600 [EMAIL]\U0001f600")
 
 
 # ---------------------------------------------------------------- 8 sharding
