@@ -237,8 +237,8 @@ def judged(spans: DataFrame) -> DataFrame:
     base = some.select("_id", "_fold", F.explode("_base").alias("c")).select("_id", "_fold", "c.*", F.lit(1).alias("b"))
     rows = wide.unionByName(base, allowMissingColumns=True).repartition("_id")
     rows = rows.groupBy("_id", "_fold", "s", "e", "k").agg(F.max("b").alias("is_base"), *(F.max(n).alias(n) for n in RANGES))
-    along = Window.partitionBy("_id").orderBy("s")
-    before, after = along.rangeBetween(Window.unboundedPreceding, 0), along.rangeBetween(0, Window.unboundedFollowing)
+    # both ways as growing frames; a frame that shrinks is built anew for each row
+    before, after = (Window.partitionBy("_id").orderBy(x).rangeBetween(Window.unboundedPreceding, 0) for x in (F.col("s").asc(), F.col("s").desc()))
     of = lambda i, c: F.when((F.col("is_base") == 1) & (F.col("k") == i), F.col(c))
     meets = {f"_m{i}": (F.max(of(i, "e")).over(before) > F.col("s")) | (F.min(of(i, "s")).over(after) < F.col("e")) for i in range(len(KINDS))}
     rows = rows.withColumns({n: F.coalesce(x, F.lit(False)) for n, x in meets.items()}).where(F.col("kind").isNotNull())
