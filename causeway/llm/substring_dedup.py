@@ -265,7 +265,7 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> np.ndarray:
     sizes = np.array([len(c) for c in contexts])
     ends = np.repeat(np.cumsum(sizes), sizes)
     window = np.arange(len(data)) + length <= ends
-    order = suffix_array(data, length)
+    order = suffix_array(data)
     order = order[window[order]]
     out = np.zeros(len(data), bool)
     if len(order) < 2:

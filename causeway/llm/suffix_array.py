@@ -2,20 +2,23 @@
 
 Suffixes are classed as smaller (S) or larger (L) than their right neighbour.
 The leftmost S suffixes of each run are sorted by their substrings, which are
-named; if names repeat, the string of names is sorted itself. From sorted
-leftmost ones all others follow in one pass up and one pass down over the
-buckets of first symbols. A pass handles a whole bucket at a time, so it costs
-a few array operations per symbol and per round of equal symbols.
-
-Strings of names have alphabets too large for that; there ranks of doubled
-length are sorted until they differ or cover `depth` symbols.
+named; if names repeat, the string of names is sorted itself, by the same
+steps. From sorted leftmost ones all others follow in one pass up over the L
+suffixes and one pass down over the S suffixes.
+
+Bytes, and names below 256, go through buckets of first symbols. A pass
+handles a whole bucket at a time, so it costs a few array operations per
+symbol and per round of equal symbols. Names with larger alphabets have too
+many buckets for that; there a pass orders all suffixes of a type by their
+first symbol and the order of their right neighbour, following runs of one
+type in doubling steps.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Larger alphabets are sorted by doubling.
+#: Symbols of the strings that go through buckets.
 ALPHABET = 256
 
 
@@ -122,33 +125,92 @@ def _names(s: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(differ) - 1
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of `names` by their first `depth` symbols at least."""
-    rank, n, span = names.astype(np.int64), len(names), 1
-    while True:
-        order = np.argsort(rank, kind="stable") if span == 1 else None
-        if order is None or span > 1:
-            right = np.full(n, 0, np.int64)
-            half = span // 2
-            right[: n - half] = rank[half:] + 1
-            key = rank * (n + 1) + right
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        if span >= depth or rank.max(initial=0) == n - 1:
-            return order
-        span *= 2
-
-
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Starts of the suffixes of `s` (bytes) in order; with `depth`, by their first `depth` symbols at least."""
+def _classes(key: np.ndarray) -> np.ndarray:
+    """For each key the number of smaller ones, plus one."""
+    order = np.argsort(key, kind="stable")
+    start = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    out = np.empty(len(key), np.int64)
+    out[order] = np.maximum.accumulate(np.where(start, np.arange(1, len(key) + 1), 0))
+    return out
+
+
+def _refine(rank: np.ndarray, at: np.ndarray, steps: np.ndarray) -> None:
+    """Order the suffixes `at`, whose runs of one type are `steps` long, beyond their first symbol.
+
+    `rank` holds a class per place, that of the end being 0. A class of `at`
+    is told apart by what is `hop` places on, until each run has met the other
+    type, whose classes are known.
+    """
+    hop = 1
+    while len(at):
+        order = np.argsort(rank[at], kind="stable")
+        at, steps = at[order], steps[order]
+        same = rank[at[1:]] == rank[at[:-1]]
+        tied = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (steps >= hop)
+        at, steps = at[tied], steps[tied]
+        if not len(at):
+            return
+        order = np.lexsort((rank[at + hop], rank[at]))
+        at, steps = at[order], steps[order]
+        own, next_ = rank[at], rank[at + hop]
+        group = np.concatenate([[True], own[1:] != own[:-1]])
+        part = group | np.concatenate([[True], next_[1:] != next_[:-1]])
+        index = np.arange(len(at))
+        rank[at] = own + np.maximum.accumulate(np.where(part, index, 0)) - np.maximum.accumulate(np.where(group, index, 0))
+        hop *= 2
+
+
+def _induced_ranks(s: np.ndarray, larger: np.ndarray, leftmost: np.ndarray, seeds: np.ndarray | None) -> np.ndarray:
+    """Classes of all suffixes from the order of the leftmost S ones, or by their substrings only where that isn't known."""
+    n = len(s)
+    places = np.arange(n)
+    width = len(leftmost) + 1
+    rank = np.zeros(n + 1, np.int64)
+    # up: L suffixes end at a leftmost S suffix or at the end
+    many = np.flatnonzero(larger)
+    ends = np.append(leftmost, n)
+    both = np.concatenate([many, leftmost])
+    key = s[both] * 2 * width
+    key[len(many) :] += width + (0 if seeds is None else seeds)
+    rank[both] = _classes(key)
+    _refine(rank, many, ends[np.searchsorted(ends, many, "right")] - many)
+    # down: S suffixes end at an L suffix
+    few = np.flatnonzero(~larger)
+    key = s * 2 * (n + 1) + np.where(larger, rank[:n], n + 1)
+    rank[:n] = _classes(key)
+    rank[n] = 0
+    if len(few):
+        _refine(rank, few, many[np.searchsorted(many, few, "right")] - few)
+    return rank[places]
+
+
+def _leftmost(larger: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(~larger[1:] & larger[:-1]) + 1
+
+
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names."""
+    if names.max(initial=-1) + 1 == len(names):
+        return np.argsort(names, kind="stable")
+    return suffix_array(names.astype(np.uint8) if names.max() < ALPHABET else names)
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of `s`, bytes or names from 0, in order."""
     n = len(s)
     if n == 0:
         return np.empty(0, np.int64)
     symbols = s.astype(np.int64) if s.dtype != np.uint8 else s
     larger = _larger_types(symbols)
-    leftmost = np.flatnonzero(~larger[1:] & larger[:-1]) + 1
+    leftmost = _leftmost(larger)
+    if s.dtype != np.uint8:
+        rank = _induced_ranks(symbols, larger, leftmost, None)
+        if len(leftmost):
+            names = np.unique(rank[leftmost], return_inverse=True)[1].astype(np.int64)
+            seeds = np.empty(len(leftmost), np.int64)
+            seeds[_order_of_names(names)] = np.arange(len(leftmost))
+            rank = _induced_ranks(symbols, larger, leftmost, seeds)
+        return np.argsort(rank, kind="stable")
     if len(leftmost) == 0:
         return _induce(symbols, larger, leftmost)
     rough = _induce(symbols, larger, leftmost)
@@ -161,10 +223,4 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     place[leftmost] = np.arange(len(leftmost))
     names = np.empty(len(leftmost), np.int64)
     names[place[order]] = _names(symbols, order, end[place[order]])
-    if names.max() + 1 == len(names):
-        ranked = np.argsort(names, kind="stable")
-    elif names.max() < ALPHABET:
-        ranked = suffix_array(names.astype(np.uint8), depth)
-    else:
-        ranked = _doubled(names, len(names) if depth is None else depth)
-    return _induce(symbols, larger, leftmost[ranked])
+    return _induce(symbols, larger, leftmost[_order_of_names(names)])

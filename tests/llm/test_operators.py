@@ -424,6 +424,24 @@ def test_suffix_array_sorts(seed):
         assert suffix_array(np.frombuffer(raw, np.uint8)).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_array_of_names_sorts(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        top = rng.choice([1, 2, 5, 400, 100_000])
+        raw = [rng.randrange(top) for _ in range(rng.randrange(1, 120))] * rng.choice([1, 1, 2, 3])
+        names = np.unique(raw, return_inverse=True)[1].astype(np.int64)
+        assert suffix_array(names).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
+def test_suffix_array_of_repeated_prose():
+    rng = random.Random(4)
+    part = prose(rng, 3_000)
+    raw = (part + prose(rng, 1_000) + part + "x" * 500 + part[:9_000]).encode()
+    got = suffix_array(np.frombuffer(raw, np.uint8))
+    assert got.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
 @pytest.mark.parametrize("crowded", [2, 8192])
 def test_repeats_are_removed(spark, crowded):
     rng = random.Random(6)
