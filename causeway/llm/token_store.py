@@ -2,20 +2,23 @@
 
 A shard is two files. `<name>.bin` holds nothing but the ids of its documents
 in ascending key order, little-endian, two bytes each where the vocabulary
-allows it, else four. `<name>.idx` holds a header, the per-document key and
-first id position in file order, and a minimal perfect hash: bit arrays of
-falling size in which each key finds a bit of its own, whose rank is its slot,
-and per slot a fingerprint of the key and the document's place. A lookup reads
-a few bits, checks the fingerprint and knows the offset: constant time.
-
-Shards are range partitions of the key, so a manifest of their first and last
-keys and id counts orders them. File names carry the task attempt; only files
-that the manifest names count, so a lost executor leaves nothing behind that
-is read.
+allows it, else four. `<name>.idx` holds per document, in file order, its
+first id position and key; a minimal perfect hash, that is bit arrays of
+falling size with counts before each block of bits, in which each key finds a
+bit of its own, whose rank is its slot; and per slot a fingerprint of the key
+and the document's place. A lookup reads one block a level, checks the
+fingerprint and the stored key and knows the offset: constant time, and no
+more of the files than that.
+
+Shards are range partitions of the key of bounded size, so a manifest of their
+first and last keys and id counts orders them. File names carry the task
+attempt; only files that the manifest names count, so a lost executor leaves
+nothing behind that is read.
 
 Defined results: a null text is empty; every document gets the end id; a null
 key sorts first and is stored but not indexed; repeated keys are stored each,
-and the index gives the first of them; an empty table gives no shard.
+in the order of a hash of their texts, and the index gives the first of a
+shard; an empty table gives no shard; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,12 +37,14 @@ from .common import scratch_path
 from .tokens import default_path, encoder
 
 END_ID = 2
-MAGIC = b"CWTOKIX1"
+MAGIC = b"CWTOKIX2"
 #: Bits per key on each level of the hash.
 GAMMA = 2
 NULL_KEY = -(1 << 63)
-#: Bytes of text a shard should hold.
+#: Bytes of text that a shard holds on average, at most.
 SHARD_TEXT_BYTES = 32 << 20
+#: Bits of a level that share a count.
+BLOCK_BITS = 512
 
 
 def mixed_bits(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -82,17 +87,17 @@ class PerfectHash:
             open_ = open_[~hit]
         return out
 
-    def pack(self) -> tuple[list[int], bytes]:
-        return [len(x) for x in self.levels], b"".join(np.packbits(x, bitorder="little").tobytes() for x in self.levels)
+    def pack(self) -> list[tuple[bytes, bytes]]:
+        """Per level the counts of bits before each block, and the bits."""
+        out = []
+        for bits, ranks in zip(self.levels, self.ranks, strict=True):
+            padded = np.concatenate([bits, np.zeros(-len(bits) % BLOCK_BITS, bool)])
+            out.append((ranks[: len(bits) : BLOCK_BITS].astype("<i8").tobytes(), np.packbits(padded, bitorder="little").tobytes()))
+        return out
 
     @classmethod
-    def unpack(cls, sizes: list[int], raw: bytes) -> PerfectHash:
-        levels, at = [], 0
-        for n in sizes:
-            part = np.frombuffer(raw, np.uint8, (n + 7) // 8, at)
-            levels.append(np.unpackbits(part, count=n, bitorder="little").astype(bool))
-            at += len(part)
-        return cls(levels)
+    def unpack(cls, sizes: list[int], raw: list[bytes]) -> PerfectHash:
+        return cls([np.unpackbits(np.frombuffer(x, np.uint8), count=n, bitorder="little").astype(bool) for n, x in zip(sizes, raw, strict=True)])
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:
@@ -109,6 +114,14 @@ def _filesystem(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+def _header(first: bytes, more) -> tuple[dict, int]:
+    """An index file's header, and where its parts begin."""
+    if first[:8] != MAGIC:
+        raise ValueError("not an index file")
+    n = int.from_bytes(first[8:12], "little")
+    return json.loads(more(n)), 12 + n
+
+
 @dataclass
 class ShardIndex:
     """What an index file holds."""
@@ -132,22 +145,29 @@ class ShardIndex:
         return cls(keys, starts, width, table, prints, places)
 
     def dump(self) -> bytes:
-        sizes, bits = self.hash.pack()
-        head = json.dumps({"documents": len(self.keys), "slots": len(self.prints), "width": self.width, "levels": sizes}).encode()
-        parts = [self.keys.astype("<i8"), self.starts.astype("<i8"), self.prints.astype("<u4"), self.places.astype("<i8")]
-        return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(x.tobytes() for x in parts) + bits
+        parts = {
+            "starts": self.starts.astype("<i8").tobytes(),
+            "keys": self.keys.astype("<i8").tobytes(),
+            "prints": self.prints.astype("<u4").tobytes(),
+            "places": self.places.astype("<i8").tobytes(),
+        }
+        for i, (counts, bits) in enumerate(self.hash.pack()):
+            parts |= {f"counts{i}": counts, f"bits{i}": bits}
+        at, offsets = 0, {}
+        for name, raw in parts.items():
+            offsets[name] = at
+            at += len(raw)
+        head = json.dumps({"documents": len(self.keys), "width": self.width, "levels": [len(x) for x in self.hash.levels], "ones": self.hash.starts.tolist(), "at": offsets, "end": at}).encode()
+        return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(parts.values())
 
     @classmethod
     def load(cls, raw: bytes) -> ShardIndex:
-        if raw[:8] != MAGIC:
-            raise ValueError("not an index file")
-        n = int.from_bytes(raw[8:12], "little")
-        head, at = json.loads(raw[12 : 12 + n]), 12 + n
-        out = []
-        for kind, count in (("<i8", head["documents"]), ("<i8", head["documents"] + 1), ("<u4", head["slots"]), ("<i8", head["slots"])):
-            out.append(np.frombuffer(raw, kind, count, at))
-            at += out[-1].nbytes
-        return cls(out[0], out[1], head["width"], PerfectHash.unpack(head["levels"], raw[at:]), out[2], out[3])
+        head, base = _header(raw[:12], lambda n: raw[12 : 12 + n])
+        names = [*head["at"], None]
+        part = {a: raw[base + head["at"][a] : base + (head["at"][b] if b else head["end"])] for a, b in zip(names, names[1:], strict=False)}
+        table = PerfectHash.unpack(head["levels"], [part[f"bits{i}"] for i in range(len(head["levels"]))])
+        get = lambda name, kind: np.frombuffer(part[name], kind)
+        return cls(get("keys", "<i8"), get("starts", "<i8"), head["width"], table, get("prints", "<u4"), get("places", "<i8"))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place in file order of each key's first document, -1 for absent ones."""
@@ -170,7 +190,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     The manifest has a row per shard, so it is bounded by the shard count.
     """
     path = tokenizer or default_path()
-    parts = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shards
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_TEXT_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -210,8 +233,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    rows = [r.asDict() for r in dealt.mapInArrow(write, MANIFEST).collect()]
+    # the hash spreads a key that very many documents have
+    order = ("doc_id", "_hash")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = [r.asDict() for r in dealt.select("doc_id", "text").mapInArrow(write, MANIFEST).collect()]
     start = 0
     for row in sorted(rows, key=lambda r: r["shard"]):
         row["start"] = start
@@ -231,24 +256,19 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[dict]) -> DataF
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 index = ShardIndex.load(fs.open_input_file(f"{root}/{name}.idx").readall())
-                found = index.find(index.keys)
-                # a repeated key's later documents follow its first
-                place = np.where((found >= 0) & (index.keys != NULL_KEY), found, np.arange(len(index.keys)))
-                if np.any(index.keys[place] != index.keys):
-                    raise ValueError(f"{name}: the index doesn't fit its keys")
-                sums, counts = [], np.diff(index.starts)
+                keys, known = index.keys, index.keys != NULL_KEY
+                place = np.arange(len(keys))
+                found = index.find(keys[known])
+                if (found < 0).any():
+                    raise ValueError(f"{name}: keys that the index doesn't find")
+                # the index gives a key's first document; later ones of it follow
+                place[known] = found + (np.arange(len(keys)) - np.searchsorted(keys, keys))[known]
                 kind = np.dtype("<u2" if index.width == 2 else "<u4")
-                with fs.open_input_stream(f"{root}/{name}.bin") as f:
-                    for n in counts:
-                        ids = np.frombuffer(f.read(int(n) * index.width), kind)
-                        sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                ids = np.frombuffer(fs.open_input_file(f"{root}/{name}.bin").readall(), kind)
+                first, last = index.starts[place], index.starts[place + 1]
+                sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(index.keys, pa.int64(), mask=index.keys == NULL_KEY),
-                        "start": index.starts[:-1] + base,
-                        "n_tokens": counts,
-                        "ids_crc32": pa.array(sums, pa.int64()),
-                    }
+                    {"doc_id": pa.array(keys, pa.int64(), mask=~known), "start": first + base, "n_tokens": last - first, "ids_crc32": pa.array(sums, pa.int64())}
                 )
 
     names = spark.createDataFrame([(r["name"], r["start"]) for r in manifest], "name string, start long")
@@ -256,32 +276,57 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[dict]) -> DataF
 
 
 class TokenStore:
-    """Keyed access to written shards: the manifest finds the shard, its index the offset."""
+    """Keyed access to written shards: the manifest finds the shard, a few reads of its index the offset."""
 
     def __init__(self, folder: str, manifest: list[dict]):
-        self.folder, self.manifest = folder, [r for r in manifest if r["documents"]]
+        self.fs, self.root = _filesystem(folder)
+        self.manifest = [r for r in manifest if r["documents"]]
         self.first = np.array([r["first_key"] for r in self.manifest], np.int64)
-        self.indexes: dict[str, ShardIndex] = {}
+        self.headers: dict[str, tuple[dict, int]] = {}
+
+    def place(self, f, head: dict, base: int, key: int) -> int | None:
+        """The place of a key's first document, read from an open index file."""
+
+        def number(part: str, i: int, kind: str = "<i8") -> int:
+            size = np.dtype(kind).itemsize
+            f.seek(base + head["at"][part] + i * size)
+            return int(np.frombuffer(f.read(size), kind)[0])
+
+        wanted = np.array([key], np.int64)
+        for i, size in enumerate(head["levels"]):
+            bit = int(mixed_bits(wanted, i)[0] % np.uint64(size))
+            block, inside = divmod(bit, BLOCK_BITS)
+            f.seek(base + head["at"][f"bits{i}"] + block * BLOCK_BITS // 8)
+            bits = int.from_bytes(f.read(BLOCK_BITS // 8), "little")
+            if bits >> inside & 1:
+                slot = head["ones"][i] + number(f"counts{i}", block) + (bits & (1 << inside) - 1).bit_count()
+                if number("prints", slot, "<u4") != int(fingerprints(wanted)[0]):
+                    return None
+                place = number("places", slot)
+                return place if number("keys", place) == key else None
+        return None
 
     def ids(self, key: int) -> list[int] | None:
         """The ids of a document, None if it isn't stored."""
-        fs, root = _filesystem(self.folder)
         at = int(np.searchsorted(self.first, key, "right")) - 1
         while at > 0 and self.manifest[at - 1]["last_key"] == key:
             at -= 1
         if at < 0:
             return None
-        row = self.manifest[at]
-        if row["name"] not in self.indexes:
-            self.indexes[row["name"]] = ShardIndex.load(fs.open_input_file(f"{root}/{row['name']}.idx").readall())
-        index = self.indexes[row["name"]]
-        place = int(index.find(np.array([key], np.int64))[0])
-        if place < 0:
-            return None
-        with fs.open_input_file(f"{root}/{row['name']}.bin") as f:
-            f.seek(int(index.starts[place]) * index.width)
-            raw = f.read(int(index.starts[place + 1] - index.starts[place]) * index.width)
-        return np.frombuffer(raw, "<u2" if index.width == 2 else "<u4").tolist()
+        name = self.manifest[at]["name"]
+        with self.fs.open_input_file(f"{self.root}/{name}.idx") as f:
+            if name not in self.headers:
+                self.headers[name] = _header(f.read(12), f.read)
+            head, base = self.headers[name]
+            place = self.place(f, head, base, key)
+            if place is None:
+                return None
+            f.seek(base + head["at"]["starts"] + 8 * place)
+            start, end = np.frombuffer(f.read(16), "<i8").tolist()
+        with self.fs.open_input_file(f"{self.root}/{name}.bin") as f:
+            f.seek(start * head["width"])
+            raw = f.read((end - start) * head["width"])
+        return np.frombuffer(raw, "<u2" if head["width"] == 2 else "<u4").tolist()
 
 
 def stored(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -268,7 +268,7 @@ def test_store_round_trip(spark):
     manifest = token_store.write_shards(table, folder, shards=3)
     got = token_store.read_shards(spark, folder, manifest).orderBy("start").collect()
     want = sorted(((i is not None, i or 0, t) for i, t, _ in rows), key=lambda r: r[:2])
-    start = 0
+    start = 0  # texts of a repeated key are equal here
     for r, (known, i, text) in zip(got, want, strict=True):
         ids = [*plain_ids(text), 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i if known else None, start, len(ids), crc(ids))
@@ -282,12 +282,35 @@ def test_perfect_hash_is_minimal():
     keys = np.unique(rng.integers(-(2**62), 2**62, 5000))
     table = token_store.PerfectHash.build(keys)
     assert sorted(table.slots(keys).tolist()) == list(range(len(keys)))
-    sizes, raw = table.pack()
+    sizes, raw = [len(x) for x in table.levels], [bits for _, bits in table.pack()]
     assert (token_store.PerfectHash.unpack(sizes, raw).slots(keys) == table.slots(keys)).all()
     index = token_store.ShardIndex.of(np.sort(keys), np.ones(len(keys), np.int64), 2)
     assert (token_store.ShardIndex.load(index.dump()).find(keys + 1) >= 0).sum() == np.isin(keys + 1, keys).sum()
 
 
+def test_every_key_is_found_through_the_files(spark):
+    rng = random.Random(16)
+    keys = rng.sample(range(-(10**12), 10**12), 3_000)
+    rows = [(k, f"text {k} {prose(rng, 3)}", "s") for k in keys] + [(7, f"copy {i}", "s") for i in range(400)]
+    folder = token_store.scratch_path(spark, "test")
+    manifest = token_store.write_shards(docs(spark, rows), folder, shards=5)
+    store = token_store.TokenStore(folder, manifest)
+    for k, text, _ in rows[::50][:60]:
+        assert store.ids(k) == [*plain_ids(text), 2]
+    assert all(store.ids(k) is None for k in range(8, 60)) and store.ids(7)[:-1] in [plain_ids(f"copy {i}") for i in range(400)]
+    got = token_store.read_shards(spark, folder, manifest).collect()
+    assert sorted((r.doc_id, r.ids_crc32) for r in got) == sorted((k, crc([*plain_ids(t), 2])) for k, t, _ in rows)
+    # an index that lacks a key is told
+    row = manifest[0]
+    fs, root = token_store._filesystem(folder)
+    index = token_store.ShardIndex.load(fs.open_input_file(f"{root}/{row['name']}.idx").readall())
+    index.prints = index.prints ^ 1
+    with fs.open_output_stream(f"{root}/{row['name']}.idx") as f:
+        f.write(index.dump())
+    with pytest.raises(Exception, match="doesn't find"):
+        token_store.read_shards(spark, folder, manifest).collect()
+
+
 def test_packing_is_whole(spark):
     out = packing.packed(docs(spark, ODD)).collect()
     assert sum(r.length for r in out) == sum(len(plain_ids(t)) + 1 for _, t, _ in ODD)
