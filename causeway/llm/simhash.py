@@ -17,7 +17,8 @@ distinct fingerprints, each round written to the shared folder.
 Defined results: a null or empty text has fingerprint zero and links like any
 other; rows with equal doc_id are documents of their own; a null doc_id never
 is the smallest of a component that has others; an empty table gives an
-empty result; very long texts are hashed whole.
+empty result; very long texts are hashed whole; other columns are kept by
+one_of_each() and else not read.
 """
 
 from __future__ import annotations
@@ -55,15 +56,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return bit_majority(np.array(hashes, np.uint64))
+
+
+def bit_majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number."""
     bits = np.zeros(64, np.int64)
     for i in range(0, len(hashes), BLOCK):
-        part = np.array(hashes[i : i + BLOCK], "<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[i : i + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    value = np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")
-    return int(value[0])
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, text: str = "text") -> DataFrame:
     """(*keep, fp) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +76,8 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle:
             fp = [fingerprint(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp, pa.int64())], names=[*keep, "fp"])
 
-    rows = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    rows = docs.select(*keep, text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
     return rows.mapInArrow(run, f"{schema}, fp long")
 
 
@@ -185,9 +190,9 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """`prints` (doc_id, fp, ...) with root (a fingerprint) and component_id added."""
-    by_print = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+def grouped(prints: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`prints` (key, fp, ...) with root (a fingerprint) and component_id, the smallest key, added."""
+    by_print = materialise(prints.groupBy("fp").agg(F.min(key).alias("first_id")), "distinct")
     roots = components(links(by_print.select("fp")))
     rooted = by_print.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -201,20 +206,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return grouped(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """`docs` with one document of each group: the smallest doc_id, of repeated rows the first."""
-    row = F.xxhash64(*(F.col(c) for c in docs.columns))
-    rows = docs.withColumn("_row", row)
-    prints = materialise(fingerprints(rows, ("doc_id", "_row"), shingle), "prints")
-    return keep_first(docs, rows, grouped(prints))
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(_doc, _row, _id, _text): each row of `docs` as a whole, a hash of it, its id and text."""
+    return docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
 
 
-def keep_first(docs: DataFrame, rows: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Of `rows` (`docs` with _row, a hash of the row) the first of each root of `rooted` (doc_id, _row, root)."""
-    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("k"))
-    kept = materialise(kept.select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_kept")), "kept")
-    joined = rows.join(kept, (F.col("_row") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    from pyspark.sql.window import Window
-
-    copy = Window.partitionBy("doc_id", "_row").orderBy(F.lit(0))
-    return joined.withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").select(*docs.columns)
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """`docs` with one document of each group: the smallest doc_id, of repeated rows the first."""
+    rows = wrapped(docs)
+    prints = materialise(fingerprints(rows, ("_id", "_row"), shingle, "_text"), "prints")
+    return keep_first(rows, grouped(prints, "_id"))
+
+
+def keep_first(rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of `rows` (wrapped) the first of each root of `rooted` (_id, _row, root), as it was."""
+    first = F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")
+    same = rooted.groupBy("root", "_id", "_row").agg(F.count("*").alias("copies"))
+    kept = same.groupBy("root").agg(F.min_by("copies", first).alias("_copies"), F.min(first).alias("k"))
+    kept = materialise(kept.select(F.col("k._row").alias("_kept"), F.col("k._id").alias("_first"), "_copies"), "kept")
+    joined = rows.join(kept, (F.col("_row") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_first")))
+    # only rows that are repeated as a whole have to meet each other
+    once, again = joined.where("_copies = 1"), joined.where("_copies > 1").dropDuplicates(["_row", "_id"])
+    return once.select("_doc.*").unionByName(again.select("_doc.*"))

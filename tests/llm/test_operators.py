@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from causeway.llm import ann, exact_topk, mixing, packing, pii, sharding, simhash, substring_dedup, token_store, toxicity
+from causeway.llm import ann, exact_topk, mixing, near_copies, packing, pii, sharding, simhash, substring_dedup, token_store, toxicity
 from causeway.llm import tokens as tok
 from causeway.llm.suffix_array import suffix_array
 
@@ -69,10 +69,18 @@ def test_odd_rows_all_come_back(spark, name):
     assert ALL[name](docs(spark, ODD)).count() == len(ODD)
 
 
-def test_columns_are_kept(spark):
+CLASHING = ["_row", "_kept", "_copy", "_doc", "_id", "_text", "_base", "_wide", "_all", "_key", "_ends", "_open", "wide", "base", "_take", "_bucket", "_place", "times", "before", "node", "fp", "root", "first", "sketch", "n"]
+
+
+@pytest.mark.parametrize("f", [mixing.mixture, simhash.one_of_each, near_copies.one_of_each, pii.redacted])
+def test_columns_and_their_values_are_kept(spark, f):
     table = docs(spark, ODD)
-    for f in (mixing.mixture, simhash.one_of_each, pii.redacted):
-        assert f(table).columns == table.columns
+    for i, name in enumerate(CLASHING):
+        table = table.withColumn(name, F.concat(F.lit(f"{i}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    out = f(table)
+    assert out.columns == table.columns
+    rows = out.collect()
+    assert rows and all(r[name] == f"{i}-{'null' if r.doc_id is None else r.doc_id}" for r in rows for i, name in enumerate(CLASHING))
 
 
 # ---------------------------------------------------------------- 1 mixing
