@@ -314,7 +314,7 @@ def asof_backward_strict(spark, sf_dir):
     return temporal.asof(left, right, ["user_id"], "at", "click_at", ["click_id"], strict=True).select("event_id", "click_id")
 
 
-@query("asof_nearest_tol", """WITH l AS (SELECT event_id, user_id, epoch_us(ts) AS at_ FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, epoch_us(ts) AS at, event_id AS click_id FROM events WHERE event_type = 'click'),
+@query("asof_nearest_tol", """WITH l AS (SELECT event_id, user_id, epoch_us(ts) AS at_ FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, epoch_us(ts) AS at_, event_id AS click_id FROM events WHERE event_type = 'click'),
 p AS (SELECT l.event_id, r.click_id, abs(l.at_ - r.at_) AS gap, r.at_ > l.at_ AS ahead FROM l JOIN r USING (user_id) WHERE abs(l.at_ - r.at_) <= 21600000000),
 b AS (SELECT event_id, arg_min(click_id, (gap, ahead)) AS click_id FROM p GROUP BY event_id) SELECT l.event_id, b.click_id FROM l LEFT JOIN b USING (event_id)""")
 def asof_nearest_tol(spark, sf_dir):
@@ -529,18 +529,61 @@ def replayed(spark, sf_dir, rules=RULES):
     return replay.replay(heavy_load(spark, sf_dir), ["user_key"], SERVERS, rules)
 
 
+def _dispatch_sql(key: str, fired: str = "NULL", work: str = "big_us", score: str = "cost_us / 1e6::DOUBLE + (cost_us % 97)::DOUBLE", delay: int = 0, per: str = "user_key") -> str:
+    """Common tables `p` (job_id, wait_us, place, forced) of two servers per user, by recursion over dispatches.
+
+    `todo` holds a user's jobs by rank, `s` those dispatched with begin and
+    reported end. A dispatch comes when a server is free and a job has come;
+    `key` orders the jobs x that have come by then, unless the expression
+    `fired` over `come` and `s` at time t names the rank of one.
+    """
+    return f"""{JOBS}, n0 AS (SELECT *, {work} AS w_us, {score} AS sc FROM h),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {per} ORDER BY arrival_us, job_id) - 1 AS i FROM n0),
+r0 AS (SELECT {per} AS g, list(struct_pack(i := i, a := arrival_us, w := w_us::BIGINT, sc := sc, id := job_id) ORDER BY i) AS todo FROM ranked GROUP BY {per}),
+r AS (
+  SELECT g, todo, []::STRUCT(i BIGINT, w BIGINT, b BIGINT, e BIGINT)[] AS s, -9000000000000000000::BIGINT AS f1, -9000000000000000000::BIGINT AS f2, NULL::BIGINT AS job_id, NULL::BIGINT AS wait_us, -1::BIGINT AS place, NULL::BOOLEAN AS forced FROM r0 UNION ALL
+  SELECT g, list_filter(todo, lambda x: x.i <> pick.i), list_append(s, struct_pack(i := pick.i, w := pick.w, b := t, e := t + pick.w + {delay})), least(f2, t + pick.w), greatest(f2, t + pick.w), pick.id, t - pick.a, place + 1, by_guard
+  FROM (SELECT *, coalesce(list_filter(come, lambda x: x.i = fired_i)[1], list_sort(list_transform(come, lambda x: struct_pack(k := {key}, x := x)))[1].x) AS pick, fired_i IS NOT NULL AS by_guard
+    FROM (SELECT *, {fired} AS fired_i FROM (SELECT *, list_filter(todo, lambda x: x.a <= t) AS come FROM (SELECT *, greatest(f1, todo[1].a) AS t FROM r WHERE len(todo) > 0))))),
+p AS (SELECT g, job_id, wait_us, place, forced FROM r WHERE job_id IS NOT NULL)"""
+
+
+def _done_sql(what: str, where: str = "true", rank: str = "come[1].i") -> str:
+    """Sum over dispatched jobs d of a later rank."""
+    return f"coalesce(list_sum(list_transform(list_filter(s, lambda d: d.i > {rank} AND ({where})), lambda d: {what})), 0)"
+
+
+_SCORED = "struct_pack(a := x.sc, b := x.i)"
+
+
+def _work_guard_sql(rule: replay.Rule) -> str:
+    """The rank that a guard on overtaking work names: the first in arrival order whose budget is used up."""
+    eta = round(rule.eta_k * replay.RATE_PARTS)
+    waiting = "len(list_filter(todo, lambda y: y.i < x.i)) + len(list_filter(s, lambda y: y.i < x.i AND y.b >= x.a))"
+    budget = f"{rule.b0_us} + {rule.gam_us} * ({waiting})"
+    if rule.bmax_us:
+        budget = f"least({budget}, {rule.bmax_us})"
+    own = "coalesce(list_sum(list_transform(list_filter(s, lambda d: d.i > x.i AND d.e <= t), lambda d: d.w)), 0)"
+    used = f"({own})::HUGEINT * {replay.RATE_PARTS} >= ({budget})::HUGEINT * {replay.RATE_PARTS} + {eta}::HUGEINT * (t - x.a)"
+    first = f"CASE WHEN {rule.bmax_us} > 0 AND {_done_sql('d.w', 'd.e <= t')} >= {rule.bmax_us} THEN come[1].i ELSE " if rule.bmax_us else "CASE WHEN false THEN 0 ELSE "
+    return f"{first}list_filter(come, lambda x: {used})[1].i END"
+
+
 @query("replay_fcfs", f"WITH RECURSIVE {_FCFS2} SELECT job_id, wait_us FROM r")
 def replay_fcfs(spark, sf_dir):
     return replayed(spark, sf_dir, [replay.fcfs_rule()]).select("job_id", "wait_us")
 
 
-@query("replay_sjf")
+@query("replay_sjf", f"WITH RECURSIVE {_dispatch_sql(_SCORED, score='big_us::DOUBLE')} SELECT job_id, wait_us FROM p")
 def replay_sjf(spark, sf_dir):
     rows = heavy_load(spark, sf_dir).withColumn("score", F.col("work_us").cast("double"))
     return replay.replay(rows, ["user_key"], SERVERS, [replay.score_rule("SJF")]).select("job_id", "wait_us")
 
 
-@query("replay_aging")
+_AGED = "cost_us / 1e6::DOUBLE + (cost_us % 97)::DOUBLE + 0.01::DOUBLE * (arrival_us - min(arrival_us) OVER (PARTITION BY user_key)) / 1000000::DOUBLE"
+
+
+@query("replay_aging", f"WITH RECURSIVE {_dispatch_sql(_SCORED, score=_AGED)} SELECT job_id, wait_us, place FROM p")
 def replay_aging(spark, sf_dir):
     rows = heavy_load(spark, sf_dir)
     first = F.min("arrival_us").over(Window.partitionBy("user_key"))
@@ -548,14 +591,25 @@ def replay_aging(spark, sf_dir):
     return replay.replay(rows, ["user_key"], SERVERS, [replay.score_rule("Aging")]).select("job_id", "wait_us", "place")
 
 
-def _register_replay(rule: replay.Rule, name: str) -> None:
-    @query(name)
+def _register_replay(rule: replay.Rule, name: str, key: str = _SCORED, fired: str = "NULL") -> None:
+    @query(name, f"WITH RECURSIVE {_dispatch_sql(key, fired)} SELECT job_id, wait_us, place, forced FROM p")
     def run(spark, sf_dir):
         return replayed(spark, sf_dir, [rule]).select("job_id", "wait_us", "place", "forced")
 
 
-for _rule, _name in zip(RULES[1:], ("spjf", "guard", "fixed", "skip", "timeout", "block", "channels", "refund"), strict=True):
-    _register_replay(_rule, f"replay_{_name}")
+_SPJF, _GUARD, _FIXED, _SKIP, _TIMEOUT, _BLOCK, _CHANNELS, _REFUND = RULES[1:]
+_register_replay(_SPJF, "replay_spjf")
+_register_replay(_GUARD, "replay_guard", fired=_work_guard_sql(_GUARD))
+_register_replay(_FIXED, "replay_fixed", fired=_work_guard_sql(_FIXED))
+_register_replay(_SKIP, "replay_skip", fired=f"CASE WHEN {_done_sql('1')} >= {_SKIP.skips} THEN come[1].i END")
+_register_replay(_TIMEOUT, "replay_timeout", fired=f"CASE WHEN t - come[1].a >= {_TIMEOUT.timeout_us} THEN come[1].i END")
+_register_replay(_BLOCK, "replay_block", key=f"struct_pack(z := x.i // {_BLOCK.block}, a := x.sc, b := x.i)")
+_register_replay(
+    _CHANNELS,
+    "replay_channels",
+    fired=f"CASE WHEN {_done_sql('1', f'd.e <= t AND d.w <= {_CHANNELS.short_us}')} >= {_CHANNELS.skips} OR {_done_sql('d.w', f'd.e <= t AND d.w > {_CHANNELS.short_us}')} >= {_CHANNELS.b0_us} THEN come[1].i END",
+)
+_register_replay(_REFUND, "replay_refund", fired=f"CASE WHEN {_done_sql(f'CASE WHEN d.e <= t THEN d.w ELSE {_REFUND.limit_us} END')} >= {_REFUND.b0_us} THEN come[1].i END")
 
 
 def _per_user(spark, sf_dir, f, schema="job_id long, arrival_us long, wait_us long"):
@@ -603,11 +657,11 @@ def replay_varying_capacity(spark, sf_dir):
     return _per_user(spark, sf_dir, run, "job_id long, wait_us long, place long")
 
 
-@query("replay_late_reports")
+@query("replay_late_reports", f"WITH RECURSIVE {_dispatch_sql(_SCORED, _work_guard_sql(_GUARD), delay=clock.HOUR)} SELECT job_id, wait_us, place, forced FROM p")
 def replay_late_reports(spark, sf_dir):
     from dataclasses import replace
 
-    late = replace(RULES[2], name="Late", report_delay_us=clock.HOUR)
+    late = replace(_GUARD, name="Late", report_delay_us=clock.HOUR)
     return replayed(spark, sf_dir, [late]).select("job_id", "wait_us", "place", "forced")
 
 
@@ -811,13 +865,13 @@ def grid_points(spark, sf_dir):
 
 def cells(spark, sf_dir):
     """One cell per (supplier, flag): a gap and a harm from prices."""
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey < 60")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.groupBy((F.col("l_suppkey") % 12).alias("config"), (F.col("l_suppkey") % 3).alias("family"), "l_returnflag").agg(
         F.round(F.avg("l_discount"), 6).alias("gap"), F.round(F.max("l_quantity") - F.min("l_tax") * 100, 4).alias("harm")
     )
 
 
-_CELLS = "c AS (SELECT l_suppkey % 12 AS config, l_suppkey % 3 AS family, l_returnflag, round(avg(l_discount), 6) AS gap, round(max(l_quantity) - min(l_tax) * 100, 4) AS harm FROM lineitem WHERE l_suppkey < 60 GROUP BY ALL), w AS (SELECT config, family, min(gap) AS worst_gap, max(harm) AS worst_harm, count(*) AS cells FROM c GROUP BY ALL)"
+_CELLS = "c AS (SELECT l_suppkey % 12 AS config, l_suppkey % 3 AS family, l_returnflag, round(avg(l_discount), 6) AS gap, round(max(l_quantity) - min(l_tax) * 100, 4) AS harm FROM lineitem GROUP BY ALL), w AS (SELECT config, family, min(gap) AS worst_gap, max(harm) AS worst_harm, count(*) AS cells FROM c GROUP BY ALL)"
 
 
 @query("choose_worst_cell", f"WITH {_CELLS}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY worst_gap DESC, worst_harm, config) AS i FROM w WHERE worst_harm <= 50) SELECT * EXCLUDE (i) FROM r WHERE i = 1")
@@ -961,17 +1015,36 @@ def adversarial_scores(spark, sf_dir):
     return rows.join(most, "job_id", "left").select("job_id", (-F.col("cost_us")).alias("negated"), F.when(F.col("longest"), F.lit(0)).otherwise(F.col("cost_us")).cast("long").alias("masked"))
 
 
-@query("pushdown_scan", "SELECT event_id, value FROM events WHERE event_id < 500 AND value > 10")
+@query("pushdown_scan", "SELECT event_id, value FROM events WHERE event_type = 'purchase' AND value > 10")
 def pushdown_scan(spark, sf_dir):
-    return table(spark, sf_dir, "events").where((F.col("event_id") < 500) & (F.col("value") > 10)).select("event_id", "value")
+    return table(spark, sf_dir, "events").where((F.col("event_type") == "purchase") & (F.col("value") > 10)).select("event_id", "value")
 
 
 # ---------------------------------------------------------------- prediction
-@query("rolling_origin_mask", f"WITH {JOBS}, b AS (SELECT min(arrival_us) AS s FROM t WHERE week = 2821) SELECT job_id FROM t, b WHERE week < 2821 AND available_us < s")
+def _terms(rows):
+    """The weeks of a table, which are few."""
+    return [r.week for r in rows.select("week").distinct().orderBy("week").collect()]
+
+
+@query("rolling_origin_mask", f"WITH {JOBS}, b AS (SELECT week AS target, min(arrival_us) AS s FROM t GROUP BY week) SELECT target, job_id FROM t, b WHERE week < target AND available_us < s")
 def rolling_origin_mask(spark, sf_dir):
+    """For each week the jobs that its model may learn from."""
     from ..operators import predict
 
-    return predict.training_rows(timed(spark, sf_dir), "week", 2821).select("job_id")
+    rows = timed(spark, sf_dir)
+    parts = [predict.training_rows(rows, "week", w).select(F.lit(w).cast("long").alias("target"), "job_id") for w in _terms(rows)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """`rows` written to the session's checkpoint folder, so that each week's model doesn't build them again."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return rows.checkpoint()
 
 
 def _featured(spark, sf_dir):
@@ -989,16 +1062,16 @@ _FEATURES = ("item_n", "item_mean_us", "item_err", "user_n", "user_mean_us", "us
 def tweedie_scores(spark, sf_dir):
     from ..operators import predict
 
-    rows = _featured(spark, sf_dir).withColumn("label", F.col("work_us") / 1e6).withColumns({c: F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in _FEATURES})
-    return predict.scores(rows, "week", [2821], _FEATURES, "label").select("job_id", F.round("prediction", 6).alias("prediction"))
+    rows = checkpointed(_featured(spark, sf_dir)).withColumn("label", F.col("work_us") / 1e6).withColumns({c: F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in _FEATURES})
+    return predict.scores(rows, "week", _terms(rows), _FEATURES, "label").select("job_id", F.round("prediction", 6).alias("prediction"))
 
 
 @query("log_scores")
 def log_scores(spark, sf_dir):
     from ..operators import predict
 
-    rows = _featured(spark, sf_dir).withColumn("label", F.col("work_us") / 1e6)
-    return predict.scores(rows, "week", [2821], _FEATURES, "label", kind="log").select("job_id", F.round("prediction", 6).alias("prediction"))
+    rows = checkpointed(_featured(spark, sf_dir)).withColumn("label", F.col("work_us") / 1e6)
+    return predict.scores(rows, "week", _terms(rows), _FEATURES, "label", kind="log").select("job_id", F.round("prediction", 6).alias("prediction"))
 
 
 @query("superposition_forecast", f"WITH {JOBS}, p AS (SELECT kind, (arrival_us % 86400000000) // 3600000000 AS phase, count(*) AS n FROM a GROUP BY ALL), l AS (SELECT kind, avg(n) AS level FROM p GROUP BY kind), s AS (SELECT phase, sum(n) / sum(level) AS shape FROM p JOIN l ON p.kind = l.kind GROUP BY phase) SELECT p.kind, p.phase, round(level * shape, 6) AS forecast FROM p JOIN l ON p.kind = l.kind JOIN s ON p.phase = s.phase")
@@ -1018,15 +1091,24 @@ def _stream(spark, sf_dir):
     return live.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
 
 
-def _drained(spark, stream, mode):
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, as configured; on a local master alone one is made."""
+    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     import tempfile
+
+    return tempfile.mkdtemp(prefix="causeway-")
+
+
+def _drained(spark, stream, mode):
     import uuid
 
     from ..streaming import live
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeway-stream-")
-    name = f"live_{uuid.uuid4().hex}"
-    return live.drained(stream, name, f"{base}/{name}", mode)
+    return live.drained(stream, f"{shared_folder(spark)}/live_{uuid.uuid4().hex}", mode)
 
 
 @query("live_hours", "SELECT time_bucket(INTERVAL '1 hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

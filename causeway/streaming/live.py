@@ -69,8 +69,20 @@ def live_waits(events: DataFrame, k: int, scale: float = 1000.0) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(place, "user_id long, event_id long, wait_us long", "free array<long>, last array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it gave."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there and return what it gave, from Parquet files under `folder`.
+
+    A batch writes a folder of its own, anew if it is tried again. In complete
+    mode each batch holds all results, so the last one counts.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch:09d}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    out = spark.read.schema(stream.schema.add("batch", "int")).option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
+    if mode == "complete":
+        out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
+    return out.drop("batch")
