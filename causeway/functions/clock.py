@@ -80,9 +80,14 @@ def arrival_and_availability(
     )
 
 
+def keyed_bits(*keys: Column) -> Column:
+    """52 bits of a digest of the keys, as any engine with md5 can repeat them."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(k.cast("string") for k in keys))), 1, 13), 16, 10).cast("long")
+
+
 def jitter(*keys: str) -> Column:
-    """A number in [0, 1) that depends on the keys alone, from 53 bits of a hash."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 11) * F.lit(2.0**-53)
+    """A number in [0, 1) that depends on the keys alone."""
+    return keyed_bits(*(F.col(k) for k in keys)) * F.lit(2.0**-52)
 
 
 def calendar(arrival: Column, deadline: Column) -> dict[str, Column]:

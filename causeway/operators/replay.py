@@ -272,7 +272,7 @@ def simulate(arrival: Sequence[int], service: Sequence[int], score: Sequence[flo
                     heapq.heappop(heap)
                 j = heapq.heappop(heap)[-1]
             else:
-                forced[j] = True
+                forced[j] = rule.order != "fcfs"
             served[j] = 1
             waiting -= 1
             wait[j], place[j] = t - arrival[j], done

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.clock import keyed_bits
+
 HOUR, DAY, WEEK = 3_600_000_000, 86_400_000_000, 604_800_000_000
 
 
@@ -87,18 +89,22 @@ def frontier(worst: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- bootstrap
+def draws_of(blocks: int, resamples: int, seed: int = 0) -> list[list[int]]:
+    """How often each resample draws each block; resample 0 is the sample itself."""
+    rng = np.random.default_rng(seed)
+    return [[1] * blocks, *(rng.multinomial(blocks, np.full(blocks, 1 / blocks)).tolist() for _ in range(resamples))]
+
+
 def multiplicities(spark: SparkSession, blocks: Sequence[int], resamples: int, seed: int = 0) -> DataFrame:
     """(resample, block, m): how often a resample draws a block; resample 0 is the sample itself."""
-    rng = np.random.default_rng(seed)
-    n = len(blocks)
-    draws = [np.ones(n, int), *(rng.multinomial(n, np.full(n, 1 / n)) for _ in range(resamples))]
-    return spark.createDataFrame([(r, int(b), int(m)) for r, row in enumerate(draws) for b, m in zip(blocks, row, strict=True)], "resample int, block long, m int")
+    drawn = draws_of(len(blocks), resamples, seed)
+    return spark.createDataFrame([(r, int(b), m) for r, row in enumerate(drawn) for b, m in zip(blocks, row, strict=True)], "resample int, block long, m int")
 
 
 def resampled_mean(rows: DataFrame, block: str, value: str, by: Sequence[str], draws: DataFrame) -> DataFrame:
     """(resample, by, mean): from block sums alone."""
     sums = rows.groupBy(*by, F.col(block).alias("block")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    return sums.join(F.broadcast(draws), "block").groupBy("resample", *by).agg(F.try_divide(F.sum(F.col("m") * F.col("_s")), F.sum(F.col("m") * F.col("_n"))).alias("mean"))
+    return sums.join(draws, "block").groupBy("resample", *by).agg(F.try_divide(F.sum(F.col("m") * F.col("_s")), F.sum(F.col("m") * F.col("_n"))).alias("mean"))
 
 
 def resampled_quantile(rows: DataFrame, block: str, value: str, by: Sequence[str], p: float, draws: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ def resampled_quantile(rows: DataFrame, block: str, value: str, by: Sequence[str
     Equal values of a block are counted first, so what meets the draws is a histogram.
     """
     counts = rows.groupBy(*by, F.col(block).alias("block"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    weighed = counts.join(F.broadcast(draws), "block").groupBy("resample", *by, "_v").agg(F.sum(F.col("m") * F.col("_n")).alias("_f"))
+    weighed = counts.join(draws, "block").groupBy("resample", *by, "_v").agg(F.sum(F.col("m") * F.col("_n")).alias("_f"))
     return weighed.where("_f > 0").groupBy("resample", *by).agg(F.percentile("_v", F.lit(p), F.col("_f")).alias("quantile"))
 
 
@@ -163,7 +169,7 @@ def signatures(jobs: DataFrame, by: Sequence[str]) -> DataFrame:
     Equal signatures stand for equal sets, so a change of what a job sees
     shows without comparing sets.
     """
-    label = F.xxhash64("job_id").cast("decimal(38,0)")
+    label = keyed_bits(F.col("job_id")).cast("decimal(38,0)")
     legs = jobs.select(*by, F.col("available_us").alias("at_us"), F.lit(0).alias("kind"), "job_id", label.alias("v")).unionAll(
         jobs.select(*by, F.col("arrival_us").alias("at_us"), F.lit(1).alias("kind"), "job_id", F.lit(0).cast("decimal(38,0)").alias("v"))
     )
@@ -190,25 +196,23 @@ def _same(x: Column, y: Column, tolerance: float) -> Column:
 def single_server_pool(histogram: DataFrame, term: str, hour: str, work: str, capacity_us: int, most: int = 64) -> list:
     """Terms whose summed busiest hour stays within one server: each step adds the one that leaves the busiest hour least.
 
-    The histogram of terms by hours is small and is searched on the driver.
+    Each step is a grouped sum over the terms not yet taken, with the hours of
+    the chosen ones added; only the name of the best term comes back, so that
+    the histogram may have any size.
     """
-    rows = histogram.orderBy(term, hour).limit(200_000).collect()
-    by_term: dict = {}
-    for r in rows:
-        by_term.setdefault(r[term], {})[r[hour]] = r[work]
-    total: dict = {}
     chosen: list = []
+    base = histogram.groupBy(F.col(term).alias("_t"), F.col(hour).alias("_h")).agg(F.sum(work).alias("_w"))
     while len(chosen) < most:
-        best = None
-        for name in sorted(set(by_term) - set(chosen)):
-            peak = max(total.get(h, 0) + by_term[name].get(h, 0) for h in {*total, *by_term[name]})
-            if peak <= capacity_us and (best is None or peak < best[0]):
-                best = (peak, name)
-        if best is None:
+        taken = F.col("_t").isin(chosen) if chosen else F.lit(False)
+        load = base.where(taken).groupBy(F.col("_h").alias("_k")).agg(F.sum("_w").alias("_l"))
+        # a term's busiest hour is one of its own, or the busiest of those chosen
+        own = base.where(~taken).join(load, F.col("_h") == F.col("_k"), "left").groupBy("_t").agg(F.max(F.col("_w") + F.coalesce("_l", F.lit(0))).alias("_p"))
+        top = load.agg(F.coalesce(F.max("_l"), F.lit(0)).alias("_m"))
+        peak = own.crossJoin(F.broadcast(top)).select("_t", F.greatest("_p", "_m").alias("_p"))  # one row
+        best = peak.where(F.col("_p") <= capacity_us).orderBy("_p", "_t").limit(1).collect()
+        if not best:
             break
-        chosen.append(best[1])
-        for h, w in by_term[best[1]].items():
-            total[h] = total.get(h, 0) + w
+        chosen.append(best[0]["_t"])
     return chosen
 
 
@@ -224,7 +228,7 @@ def simultaneous_band(replicates: DataFrame, at: str, value: str, level: float =
 
 def noisy(score: Column, sigma: float, *keys: str) -> Column:
     """A score times lognormal noise, one draw per source row, from its keys alone."""
-    u = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(salt), *keys), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+    u = lambda salt: (keyed_bits(F.lit(salt), *(F.col(k) for k in keys)) + F.lit(0.5)) * F.lit(2.0**-52)
     normal = F.sqrt(F.lit(-2.0) * F.log(u(1))) * F.cos(F.lit(2 * 3.141592653589793) * u(2))
     return score * F.exp(F.lit(sigma) * normal)
 

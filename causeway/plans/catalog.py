@@ -80,7 +80,12 @@ def clock_readings(spark, sf_dir):
     return clock.arrival_and_availability(jobs(spark, sf_dir), reading="result", delta=DELTA).select("job_id", "arrival_us", "available_us", "work_us")
 
 
-@query("jitter_key")
+def _bits(*keys: str) -> str:
+    """SQL of clock.keyed_bits."""
+    return "('0x' || substr(md5(" + " || '|' || ".join(f"({k})::VARCHAR" for k in keys) + "), 1, 13))::BIGINT"
+
+
+@query("jitter_key", f"SELECT event_id, {_bits('user_id', 'event_id')} * 2.0::DOUBLE ^ -52 AS jitter FROM events")
 def jitter_key(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", clock.jitter("user_id", "event_id").alias("jitter"))
 
@@ -274,7 +279,8 @@ def distinct_items_before(spark, sf_dir):
     return history.distinct_before(timed(spark, sf_dir), ["user_key"], "job_id", "item_key").select("job_id", "distinct_before")
 
 
-@query("recent_neighbours")
+@query("recent_neighbours", f"""WITH {JOBS}, w AS (SELECT job_id, list_reverse(list(user_key) OVER (PARTITION BY item_key ORDER BY arrival_us, job_id ROWS BETWEEN 96 PRECEDING AND 1 PRECEDING)) AS l FROM t)
+SELECT job_id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[:16], ','), '') AS near FROM w""")
 def recent_neighbours(spark, sf_dir):
     rows = history.recent_neighbours(timed(spark, sf_dir), ["item_key"], ["arrival_us", "job_id"], "user_key")
     return rows.select("job_id", F.array_join(F.transform("near", lambda x: x.cast("string")), ",").alias("near"))
@@ -480,7 +486,7 @@ def arrival_compression(spark, sf_dir):
     return rows.crossJoin(F.broadcast(first)).select("job_id", F.floor((F.col("arrival_us") - F.col("first")) * F.lit(0.25)).alias("compressed_us"))  # one row
 
 
-@query("episode_arrivals")
+@query("episode_arrivals", f"WITH {JOBS} SELECT job_id, (deadline_us - floor(604800000000::DOUBLE * pow({_bits('user_key', 'job_id')} * 2.0::DOUBLE ^ -52, 1::DOUBLE / 0.7::DOUBLE)))::BIGINT AS arrival_us FROM a")
 def episode_arrivals(spark, sf_dir):
     """Arrivals before a deadline by the inverse of a power law, one keyed draw per job."""
     draw = clock.jitter("user_key", "job_id")
@@ -646,7 +652,15 @@ def replay_backfill(spark, sf_dir):
     return _per_user(spark, sf_dir, run, "job_id long, wait_us long")
 
 
-@query("replay_varying_capacity")
+@query("replay_varying_capacity", f"""WITH RECURSIVE {JOBS}, n0 AS (SELECT *, cost_us / 1e6::DOUBLE + (cost_us % 97)::DOUBLE AS sc FROM h), ranked AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY arrival_us, job_id) - 1 AS i FROM n0),
+r0 AS (SELECT user_key AS g, min(arrival_us) AS t0, list(struct_pack(i := i, a := arrival_us, w := big_us, sc := sc, id := job_id) ORDER BY i) AS todo FROM ranked GROUP BY user_key),
+r AS (
+  SELECT g, t0, t0 AS t, todo, []::BIGINT[] AS ends, NULL::BIGINT AS job_id, NULL::BIGINT AS wait_us, -1::BIGINT AS place FROM r0 UNION ALL
+  SELECT g, t0, now_, list_filter(todo, lambda x: x.i <> pick.i), list_append(list_filter(ends, lambda e: e > now_), now_ + pick.w), pick.id, now_ - pick.a, place + 1
+  FROM (SELECT *, list_sort(list_transform(list_filter(todo, lambda x: x.a <= now_), lambda x: struct_pack(k := {_SCORED}, x := x)))[1].x AS pick
+    FROM (SELECT *, list_min(list_filter(list_concat([from_], list_concat(ends, list_transform(range(60), lambda d: t0 + d * 86400000000))), lambda m: m >= from_ AND len(list_filter(ends, lambda e: e > m)) < 1 + least((m - t0) // 86400000000, 59) % 3)) AS now_
+      FROM (SELECT *, greatest(t, todo[1].a) AS from_ FROM r WHERE len(todo) > 0))))
+SELECT job_id, wait_us, place FROM r WHERE job_id IS NOT NULL""")
 def replay_varying_capacity(spark, sf_dir):
     def run(pdf):
         first = int(pdf["arrival_us"].iloc[0])
@@ -686,7 +700,10 @@ def identity_residual(spark, sf_dir):
     return both.select("job_id", (F.col("wait_us") - F.col("fcfs_us") - F.col("in_us") + F.col("out_us")).alias("residual_us"))
 
 
-@query("guard_bound")
+@query("guard_bound", f"""WITH RECURSIVE {_dispatch_sql(_SCORED, _work_guard_sql(_GUARD), work='least(big_us, 600000000)')},
+f AS (SELECT user_key, i, job_id, 0::BIGINT AS wait_us, arrival_us + w_us AS f1, arrival_us AS f2 FROM ranked WHERE i = 0 UNION ALL
+  SELECT o.user_key, o.i, o.job_id, greatest(least(f.f1, f.f2) - o.arrival_us, 0), greatest(f.f1, f.f2), greatest(least(f.f1, f.f2), o.arrival_us) + o.w_us FROM f JOIN ranked o ON o.user_key = f.user_key AND o.i = f.i + 1)
+SELECT g AS user_key, count(*) AS jobs, count(*) FILTER (p.wait_us > f.wait_us + {_GUARD.bmax_us / SERVERS + (3 - 2 / SERVERS) * 600 * clock.SECOND}::DOUBLE) AS violations, max(p.wait_us - f.wait_us) AS worst_excess_us FROM p JOIN f ON f.user_key = g AND f.job_id = p.job_id GROUP BY g""")
 def guard_bound(spark, sf_dir):
     rule = RULES[2]
     rows = heavy_load(spark, sf_dir).withColumn("work_us", F.least("work_us", F.lit(600 * clock.SECOND)))
@@ -720,7 +737,14 @@ def wait_summary(spark, sf_dir):
     )
 
 
-@query("policy_summary")
+_POLICIES = " UNION ALL ".join(
+    f"SELECT '{rule.name}' AS policy, * FROM (WITH RECURSIVE {_dispatch_sql('struct_pack(a := x.i)' if rule.order == 'fcfs' else _SCORED, fired)} SELECT job_id, wait_us, forced FROM p)"
+    for rule, fired in ((RULES[0], "NULL"), (_SPJF, "NULL"), (_GUARD, _work_guard_sql(_GUARD)), (_FIXED, _work_guard_sql(_FIXED)))
+)
+
+
+@query("policy_summary", f"""WITH {JOBS}, w AS ({_POLICIES}), x AS (SELECT w.*, w.wait_us - f.wait_us AS excess, f.wait_us AS fcfs_us, h.deadline_us - h.arrival_us BETWEEN 0 AND 86400000000 AS in_window, h.big_us > 150000000000 AS heavy FROM w JOIN w f ON f.policy = 'FCFS' AND f.job_id = w.job_id JOIN h ON h.job_id = w.job_id)
+SELECT policy, count(*) AS jobs, round(quantile_cont(wait_us, 0.99) FILTER (in_window), 6) AS window_p99_us, round(avg(wait_us), 6) AS mean_us, round(quantile_cont(wait_us, 0.99), 6) AS p99_us, max(excess) AS max_excess_us, max(excess) FILTER (fcfs_us <= 1000000) AS harm_us, max(wait_us) FILTER (heavy) AS max_heavy_us, round(avg(forced::INT), 6) AS forced_share FROM x GROUP BY policy""")
 def policy_summary(spark, sf_dir):
     rows = heavy_load(spark, sf_dir)
     base = replay.fcfs(rows, ["user_key"], SERVERS).select("job_id", F.col("wait_us").alias("fcfs_us"))
@@ -837,7 +861,18 @@ def paired_diff(spark, sf_dir):
     return study.paired(replicates, [], "kind", "click", "error", "mean")
 
 
-@query("bootstrap_interval")
+def _many_sql(resamples: int, seed: int) -> str:
+    """The draws of study.multiplicities over the weeks, which are numbered in order."""
+    drawn = study.draws_of(len(_WEEKS), resamples, seed)
+    return "d AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {w}, {m})" for r, row in enumerate(drawn) for w, m in zip(_WEEKS, row, strict=True)) + ") v(resample, block, m))"
+
+
+#: Weeks of the events tables.
+_WEEKS = range(2817, 2822)
+_MEANS_SQL = "m AS (SELECT d.resample, kind, sum(m * work_us)::DOUBLE / nullif(sum(m), 0)::DOUBLE AS mean FROM a JOIN d ON a.week = d.block GROUP BY ALL)"
+
+
+@query("bootstrap_interval", f"WITH {JOBS}, {_many_sql(200, 7)}, {_MEANS_SQL} SELECT kind, max(mean) FILTER (resample = 0) AS estimate, quantile_cont(mean, 0.025) FILTER (resample > 0) AS low, quantile_cont(mean, 0.975) FILTER (resample > 0) AS high FROM m GROUP BY kind")
 def bootstrap_interval(spark, sf_dir):
     rows = timed(spark, sf_dir)
     weeks = [r.week for r in rows.select("week").distinct().orderBy("week").collect()]  # a handful of blocks
@@ -845,7 +880,12 @@ def bootstrap_interval(spark, sf_dir):
     return study.interval(study.resampled_mean(rows, "week", "work_us", ["kind"], many), ["kind"], "mean")
 
 
-@query("multiway_bootstrap")
+def _tens_sql(name: str, seed: int) -> str:
+    drawn = study.draws_of(10, 50, seed)
+    return f"{name} AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {b}, {m})" for r, row in enumerate(drawn) for b, m in enumerate(row)) + ") v(resample, block, m))"
+
+
+@query("multiway_bootstrap", f"WITH {JOBS}, {_tens_sql('du', 1)}, {_tens_sql('di', 2)}, s AS (SELECT user_key % 10 AS u, item_key % 10 AS i, sum(work_us) AS s, count(*) AS n FROM t GROUP BY ALL) SELECT du.resample::INTEGER AS resample, sum(du.m * di.m * s)::DOUBLE / sum(du.m * di.m * n)::DOUBLE AS mean FROM s JOIN du ON du.block = u JOIN di ON di.block = i AND di.resample = du.resample GROUP BY du.resample")
 def multiway_bootstrap(spark, sf_dir):
     """Users and items drawn apart: a row counts as often as the product says."""
     rows = timed(spark, sf_dir).select((F.col("user_key") % 10).alias("u"), (F.col("item_key") % 10).cast("long").alias("i"), "work_us")
@@ -884,7 +924,10 @@ def frontier(spark, sf_dir):
     return study.frontier(study.worst_cells(cells(spark, sf_dir), ["config", "family"]), [])
 
 
-@query("smallest_pool")
+@query("smallest_pool", f"""WITH RECURSIVE {JOBS}, o AS (SELECT user_key, job_id, arrival_us, big_us, row_number() OVER (PARTITION BY user_key ORDER BY arrival_us, job_id) AS i FROM h),
+r AS (SELECT user_key, k, 0::BIGINT AS i, NULL::BIGINT AS wait_us, list_transform(range(k), lambda x: -9000000000000000000::BIGINT) AS free FROM (SELECT DISTINCT user_key FROM h), (SELECT unnest([1, 2, 4, 8]) AS k) UNION ALL
+  SELECT r.user_key, r.k, o.i, greatest(r.free[1], o.arrival_us) - o.arrival_us, list_sort(list_append(r.free[2:], greatest(r.free[1], o.arrival_us) + o.big_us)) FROM r JOIN o ON o.user_key = r.user_key AND o.i = r.i + 1),
+q AS (SELECT user_key, k, quantile_cont(wait_us, 0.99) AS p FROM r WHERE i > 0 GROUP BY ALL) SELECT user_key, min(k) FILTER (p <= 3600000000)::INTEGER AS servers FROM q GROUP BY user_key""")
 def smallest_pool(spark, sf_dir):
     """The least number of servers under which each user's p99 wait is within an hour, all sizes in one pass."""
     rows = heavy_load(spark, sf_dir)
@@ -928,7 +971,7 @@ def lag_certificate(spark, sf_dir):
     return study.lag_certificate(fcfs_waits(spark, sf_dir), ["user_key"], clock.HOUR)
 
 
-@query("signatures")
+@query("signatures", f"WITH {JOBS}, s AS (SELECT user_key, available_us AS at_us, 0 AS k, job_id, {_bits('job_id')} AS v FROM t UNION ALL SELECT user_key, arrival_us, 1, job_id, 0 FROM t), w AS (SELECT job_id, k, sum(v) OVER (PARTITION BY user_key ORDER BY at_us, k, job_id ROWS UNBOUNDED PRECEDING) AS x FROM s) SELECT job_id, x::HUGEINT::VARCHAR AS signature FROM w WHERE k = 1")
 def signatures(spark, sf_dir):
     return study.signatures(timed(spark, sf_dir), ["user_key"]).select("job_id", F.col("signature").cast("string").alias("signature"))
 
@@ -1212,7 +1255,8 @@ def single_server_pool(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(chosen)), "place int, term long")
 
 
-@query("simultaneous_band")
+@query("simultaneous_band", f"""WITH {JOBS}, {_many_sql(200, 5)}, {_MEANS_SQL}, c AS (SELECT kind, max(mean) FILTER (resample = 0) AS estimate, stddev_samp(mean) FILTER (resample > 0) AS sd FROM m GROUP BY kind),
+z AS (SELECT resample, max(abs((mean - estimate) / nullif(sd, 0))) AS z FROM m JOIN c USING (kind) WHERE resample > 0 GROUP BY resample), q AS (SELECT quantile_cont(z, 0.95) AS z FROM z) SELECT kind, estimate, estimate - z * sd AS low, estimate + z * sd AS high FROM c, q""")
 def simultaneous_band(spark, sf_dir):
     rows = timed(spark, sf_dir)
     weeks = [r.week for r in rows.select("week").distinct().orderBy("week").collect()]  # a handful of blocks
@@ -1220,7 +1264,10 @@ def simultaneous_band(spark, sf_dir):
     return study.simultaneous_band(means, "kind", "mean")
 
 
-@query("noisy_scores")
+_U = "(({}) + 0.5::DOUBLE) * 2.0::DOUBLE ^ -52"
+
+
+@query("noisy_scores", f"WITH {JOBS} SELECT job_id, round(cost_us / 1e6::DOUBLE * exp(0.5::DOUBLE * sqrt(-2.0::DOUBLE * ln({_U.format(_bits('1', 'job_id'))})) * cos(2 * 3.141592653589793::DOUBLE * {_U.format(_bits('2', 'job_id'))})), 6) AS score FROM j")
 def noisy_scores(spark, sf_dir):
     return jobs(spark, sf_dir).select("job_id", F.round(study.noisy(F.col("cost_us") / 1e6, 0.5, "job_id"), 6).alias("score"))
 

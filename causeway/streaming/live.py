@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     spark = stream.sparkSession
-    out = spark.read.schema(stream.schema.add("batch", "int")).option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
     if mode == "complete":
         out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
     return out.drop("batch")
