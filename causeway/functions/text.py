@@ -53,8 +53,8 @@ def recursion(text: Column) -> Column:
 
 
 def error_class(output: Column) -> Column:
-    """The error of an execution's last filled line: a class name, TimeLimit, or Other."""
+    """The error of an execution's last filled line: a class name before a colon, TimeLimit, or Other; Empty without such a line."""
     filled = F.filter(F.split(output, "\n"), lambda x: F.trim(x) != "")
-    last = F.try_element_at(filled, F.lit(-1))
-    name = F.regexp_extract(last, r"^\s*([A-Za-z_][\w.]*(?:Error|Exception|Interrupt|Exit))\b", 1)
-    return F.when(last.isNull(), None).when(last.rlike("(?i)killed|time limit"), "TimeLimit").when(name != "", name).otherwise("Other")
+    last = F.regexp_replace(F.try_element_at(filled, F.lit(-1)), r"^\s+|\s+$", "")
+    name = F.regexp_extract(last, r"^([A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception|Interrupt|Warning|Exit))\s*:", 1)
+    return F.when(output.isNull(), None).when(last.isNull(), "Empty").when(name != "", name).when(F.lower(last).rlike("^killed|time limit"), "TimeLimit").otherwise("Other")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import tarfile
 from collections.abc import Iterator, Sequence
 
@@ -16,93 +17,185 @@ from ..schema import require_columns
 
 # ---------------------------------------------------------------- archives
 _MEMBERS = "archive string, member string, size long, content string"
+#: What a text member is read for; bytes of all others are skipped in the stream.
+WANTED = r"^[^/]+/[^/]+/(?:assessments/.|users/[^/]+/(?:user\.data|logins\.log|executions|codemirror)(?:/|$))"
 
+# The marks of an execution log.
+SEPARATOR = "*-*-*-*-*-*-*-*-*-*-*-*-*-*-*-*-*-*-*-*-*-*-*-*"
+HEAD = r"==\s+(SUBMITION|TEST)\s+\((\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2})\)"
+SECTION = r"-- (CODE|EXECUTION TIME|OUTPUT|ERROR|GRADE|TEST CASE \d+):[ \t]*"
+LOGIN = r"(?md)^(\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2})#user/(\w+)"
+MINUTE = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{2})"
+#: Bytes that a line of an editor log has at least, with all that follows it.
+LINE_BYTES = 20
 
-def archive_members(spark: SparkSession, path: str, pattern: str = "*.tar.gz") -> DataFrame:
-    """(archive, member, size, content) of text members; each archive is streamed by one task, nothing is unpacked to disk."""
+
+def _opened(uri: str):
+    """A file as a stream of bytes, from any file system that the workers know."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return open("/" + uri[5:].lstrip("/"), "rb")
+    return fs.FileSystem.from_uri(uri)[0].open_input_stream(fs.FileSystem.from_uri(uri)[1])
+
+
+def archive_members(spark: SparkSession, path: str, pattern: str = "*.tar.gz", wanted: str = WANTED) -> DataFrame:
+    """(archive, member, size, content) of the wanted text members.
+
+    Each archive is one pass of one task over its stream: nothing is unpacked
+    to disk and no more than a member is held. Other members come with a null
+    content.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = re.compile(wanted)
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(raw.as_buffer()), mode="r|*") as archive:
+            for uri in batch.column(0).to_pylist():
+                with _opened(uri) as raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
                     for member in archive:
                         if member.isfile():
-                            text = archive.extractfile(member).read().decode("utf-8", "replace")
-                            yield pa.RecordBatch.from_pydict({"archive": [name], "member": [member.name], "size": pa.array([member.size], pa.int64()), "content": [text]})
+                            name = re.sub(r"^\./", "", member.name)
+                            text = archive.extractfile(member).read().decode("utf-8", "replace") if keep.match(name) else None
+                            yield pa.RecordBatch.from_pydict({"archive": [uri], "member": [name], "size": pa.array([member.size], pa.int64()), "content": pa.array([text], pa.string())})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, _MEMBERS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
+    count = max(1, min(files.count(), 10_000))
+    return files.repartition(count, "path").mapInArrow(run, _MEMBERS)
 
 
 def term_of(archive: Column) -> Column:
-    """The term an archive's name states: a year, a dash and a number."""
-    return F.nullif(F.regexp_extract(archive, r"(\d{4}-\d)", 1), F.lit(""))
+    """The term an archive's name states before its version: a year, an underscore and a tag, written with a dash."""
+    return F.translate(F.nullif(F.regexp_extract(archive, r"_(\d{4}_[A-Za-z0-9]+)_v[^/]*$", 1), F.lit("")), "_", "-")
 
 
 def routed(members: DataFrame) -> DataFrame:
-    """`members` with term, class_id, kind and user by where they lie: <term>/<class>/<folder>/..."""
-    parts = F.split(F.regexp_replace("member", r"^\./", ""), "/")
+    """`members` with term, class_id, kind, user, assessment and exercise by where they lie: <term>/<class>/<folder>/..."""
+    parts = F.split("member", "/")
     part = lambda i: F.try_element_at(parts, F.lit(i))
-    folder = F.try_element_at(parts, F.size(parts) - 1)
-    name = F.try_element_at(parts, F.lit(-1))
+    deep, deeper = F.size(parts) >= 4, F.size(parts) >= 5
+    own = deeper & (part(3) == "users")
     kind = (
-        F.when(part(3) == "assessments", "assessment")
-        .when(name == "user.data", "user")
-        .when(folder == "executions", "executions")
-        .when(folder == "codemirror", "keystrokes")
-        .when(name == "logins.log", "logins")
+        F.when(deep & (part(3) == "assessments"), "assessment")
+        .when(own & (part(5) == "user.data"), "user")
+        .when(own & (part(5) == "logins.log"), "logins")
+        .when(own & (part(5) == "executions"), "executions")
+        .when(own & (part(5) == "codemirror"), "keystrokes")
         .otherwise("other")
     )
-    return members.select("*", F.coalesce(term_of(F.col("archive")), part(1)).alias("term"), part(2).alias("class_id"), kind.alias("kind"), F.when(part(3) == "users", part(4)).alias("user"), name.alias("file"))
+    stem = F.regexp_replace(F.when(part(3) == "assessments", part(4)).otherwise(part(-1)), r"(?<=.)\.[^.]*$", "")
+    return members.select(
+        "*",
+        part(1).alias("term"),
+        part(2).alias("class_id"),
+        kind.alias("kind"),
+        F.when(own, part(4)).alias("user"),
+        F.when(part(3) == "assessments", stem).otherwise(F.substring_index(stem, "_", 1)).alias("assessment"),
+        F.when(own & F.contains(stem, F.lit("_")), F.regexp_replace(stem, "^[^_]*_", "")).when(own, "").alias("exercise"),
+    )
+
+
+def stamp(text: Column) -> Column:
+    """A time whose month, day and hour may lack their leading zero, with or without seconds."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")), F.try_to_timestamp(text, F.lit("yyyy-M-d H:m")), lenient_timestamp(text))
 
 
 def key_values(text: Column) -> Column:
-    """A map of `---- key: value` lines, keys in lower case, the first of a key counting."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\W*[A-Za-z_ ]+:"))
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^\W*([A-Za-z_ ]+):", 1))).alias("k"), F.trim(F.regexp_extract(x, r"^\W*[A-Za-z_ ]+:(.*)$", 1)).alias("v")))
-    first = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"])) == 0)
-    return F.map_from_entries(first)
+    """An array of (k, v) of the lines `-- key: value`, with two to four dashes, keys in lower case."""
+    line = r"^-{2,4} ([^:]+):\s*(.*)$"
+    lines = F.filter(F.transform(F.split(text, r"\r?\n|\r"), F.trim), lambda x: x.rlike(line))
+    return F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, line, 1))).alias("k"), F.trim(F.regexp_extract(x, line, 2)).alias("v")))
 
 
 def assessments(members: DataFrame) -> DataFrame:
-    """Assessments of routed members: type, weight, start, end, exercises."""
+    """Assessments of routed members: type, weight, start, end, exercises; of a repeated key the last counts."""
     rows = members.where("kind = 'assessment'").withColumn("kv", key_values(F.col("content")))
-    of = lambda k: F.col("kv")[k]
-    exercises = F.filter(F.split(F.coalesce(of("exercises"), F.lit("")), r"\s*,\s*"), lambda x: x != "")
-    return rows.select("term", "class_id", F.regexp_replace("file", r"\.\w+$", "").alias("assessment"), of("type").alias("type"), lenient_number(of("weight")).alias("weight"), lenient_timestamp(of("start")).alias("start"), lenient_timestamp(of("end")).alias("end"), exercises.alias("exercise_ids"), F.size(exercises).alias("n_exercises"))
+    of = lambda k: F.try_element_at(F.filter("kv", lambda p: p["k"] == k), F.lit(-1))["v"]
+    exercises = F.transform(F.filter("kv", lambda p: p["k"].startswith("exercise ")), lambda p: p["v"])
+    return rows.select(
+        "term",
+        "class_id",
+        "assessment",
+        of("type").alias("type"),
+        lenient_number(of("weight")).alias("weight"),
+        stamp(of("start")).alias("start"),
+        stamp(of("end")).alias("end"),
+        lenient_number(of("total_exercises")).cast("int").alias("n_exercises"),
+        exercises.alias("exercise_ids"),
+        of("class number").alias("class_number"),
+        of("language").alias("language"),
+    )
 
 
 def executions(members: DataFrame) -> DataFrame:
-    """One row per execution block: kind, time, and measures of its code and output; the text goes."""
-    blocks = members.where("kind = 'executions'").select("term", "class_id", "user", "file", F.posexplode(F.split("content", r"(?m)^(?=== (?:SUBMITION|SUBMISSION|TEST))")).alias("place", "block"))
-    blocks = blocks.where(F.col("block").rlike(r"^== "))
-    section = lambda name: F.regexp_extract("block", rf"(?s)-- {name}:?[ \t]*\n(.*?)(?=\n-- |\z)", 1)
-    code, output = section("CODE"), section("ERROR")
+    """One row per block of an execution log: kind, time, and measures of its sections; their text goes."""
+    separated = F.split("content", r"\Q" + SEPARATOR + r"\E")
+    blocks = members.where("kind = 'executions'").select("term", "class_id", "user", "assessment", "exercise", F.posexplode(separated).alias("place", "block"))
+    blocks = blocks.where(F.col("block").rlike(HEAD))
+    parts = F.split(F.regexp_replace("block", rf"(?s)^.*?(?={HEAD})", ""), rf"(?md)(?=^{SECTION}$)")
+    section = F.transform(
+        F.filter(parts, lambda x: x.rlike(rf"(?d)^{SECTION}(?:\n|$)")),
+        lambda x: F.struct(F.regexp_extract(x, rf"^{SECTION}", 1).alias("name"), F.regexp_replace(x, rf"^{SECTION}\n?", "").alias("body")),
+    )
+    blocks = blocks.withColumn("sections", section)
+    last = lambda name: F.try_element_at(F.filter("sections", lambda x: x["name"] == name), F.lit(-1))["body"]
+    code = F.coalesce(F.regexp_replace(last("CODE"), r"\n+\z", ""), F.lit(""))
+    number = lambda name: F.regexp_replace(F.regexp_replace(last(name), r"^\s+|\s+$", ""), "%+$", "").try_cast("double")
+    failed = F.exists("sections", lambda x: x["name"] == "ERROR")
     return blocks.select(
         "term",
         "class_id",
         "user",
-        F.regexp_replace("file", r"\.\w+$", "").alias("exercise"),
+        "assessment",
+        "exercise",
         "place",
-        F.when(F.col("block").rlike("^== TEST"), "test").otherwise("submit").alias("kind"),
-        lenient_timestamp(F.regexp_extract("block", r"\(([^)]*)\)", 1)).alias("ts"),
-        lenient_number(F.nullif(F.regexp_extract("block", r"(?m)^-- EXECUTION TIME:\s*(\S+)", 1), F.lit(""))).alias("exec_time"),
-        lenient_number(F.nullif(F.regexp_extract("block", r"(?m)^-- GRADE:\s*(\S+)", 1), F.lit(""))).alias("grade"),
+        F.when(F.regexp_extract("block", HEAD, 1) == "TEST", "test").otherwise("submit").alias("kind"),
+        stamp(F.regexp_extract("block", HEAD, 2)).alias("ts"),
+        number("EXECUTION TIME").alias("exec_time"),
+        number("GRADE").alias("grade"),
         F.length(code).alias("code_len"),
-        F.when(code == "", 0).otherwise(F.size(F.split(code, "\n"))).alias("code_lines"),
-        F.regexp_count("block", F.lit(r"(?m)^-- TEST CASE")).alias("n_testcases"),
-        (output != "").alias("has_error"),
-        F.when(output != "", error_class(output)).alias("error_type"),
+        F.when(code == "", 0).otherwise(F.regexp_count(code, F.lit("\n")) + 1).alias("code_lines"),
+        F.size(F.filter("sections", lambda x: x["name"].startswith("TEST CASE"))).alias("n_testcases"),
+        failed.alias("has_error"),
+        F.when(failed, error_class(last("ERROR"))).alias("error_type"),
     )
 
 
+def logins(members: DataFrame) -> DataFrame:
+    """(term, class_id, user, ts, kind) of login logs."""
+    found = F.arrays_zip(F.regexp_extract_all("content", F.lit(LOGIN), F.lit(1)).alias("at"), F.regexp_extract_all("content", F.lit(LOGIN), F.lit(2)).alias("what"))
+    rows = members.where("kind = 'logins'").select("term", "class_id", "user", F.explode(found).alias("x"))
+    return rows.select("term", "class_id", "user", stamp(F.col("x.at")).alias("ts"), F.col("x.what").alias("kind"))
+
+
+def users(members: DataFrame) -> DataFrame:
+    """(term, class_id, user, course_id): the id is all that is read of a user's file, and only before the part on schools."""
+    head = F.substring_index("content", "-- HIGH SCHOOL", 1)
+    return members.where("kind = 'user'").select("term", "class_id", "user", F.nullif(F.regexp_extract(head, r"course id:\s*(\S+)", 1), F.lit("")).alias("course_id"))
+
+
+def _lines_seen(content: Column) -> Column:
+    """Lines that begin early enough to hold a time."""
+    size = F.length(content)
+    return F.when(size < LINE_BYTES, 0).otherwise(F.regexp_count(F.left(content, size - LINE_BYTES), F.lit("\n")) + 1)
+
+
 def keystroke_minutes(members: DataFrame) -> DataFrame:
-    """Keystroke events per minute; days and months may lack their leading zero."""
-    lines = members.where("kind = 'keystrokes'").select("term", "class_id", "user", "file", F.explode(F.split("content", "\n")).alias("line"))
-    part = lambda i: F.regexp_extract("line", r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2})", i)
-    stamp = F.format_string("%s-%s-%s %s:%s", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0"), F.lpad(part(4), 2, "0"), F.lpad(part(5), 2, "0"))
-    known = lines.where(F.col("line").rlike(r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}"))
-    return known.groupBy("term", "class_id", "user", F.regexp_replace("file", r"\.\w+$", "").alias("exercise"), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm")).alias("minute")).agg(F.count("*").alias("n_events"))
+    """Keystroke events per minute; months, days and hours may lack their leading zero, other lines count for nothing."""
+    seen = F.slice(F.split("content", "\n", -1), F.lit(1), _lines_seen(F.col("content")))
+    lines = members.where("kind = 'keystrokes'").select("term", "class_id", "user", "assessment", "exercise", F.explode(seen).alias("line"))
+    part = lambda i: F.regexp_extract("line", MINUTE, i).cast("int")
+    real = F.col("line").rlike(MINUTE) & part(2).between(1, 12) & part(3).between(1, 31) & (part(4) <= 23) & (part(5) <= 59)
+    minute = F.try_to_timestamp(F.format_string("%04d-%02d-%02d %02d:%02d", *(part(i) for i in range(1, 6))), F.lit("yyyy-MM-dd HH:mm"))
+    return lines.where(real).groupBy("term", "class_id", "user", "assessment", "exercise", minute.alias("minute")).agg(F.count("*").cast("int").alias("n_events"))
+
+
+def coverage(members: DataFrame) -> DataFrame:
+    """One row: files by kind, bytes of those that are read, and lines of editor logs seen and used."""
+    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("assessment", "user", "logins", "executions", "keystrokes", "other")]
+    size = F.sum(F.when(F.col("kind") != "other", F.col("size"))).alias("bytes_read")
+    rows = members.agg(*kinds, size, F.sum(F.when(F.col("kind") == "keystrokes", _lines_seen(F.col("content")))).alias("lines_seen"))
+    used = keystroke_minutes(members).agg(F.coalesce(F.sum("n_events"), F.lit(0)).alias("lines_used"))
+    return rows.crossJoin(F.broadcast(used))  # one row each
 
 
 def parse_statistics(events: DataFrame) -> DataFrame:

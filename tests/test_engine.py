@@ -139,27 +139,47 @@ def test_text_functions(spark):
     code = "def f(n):\n    for i in x:\n        for j in y:\n            f(n - 1)\n    while z:\n        pass\n"
     df = spark.createDataFrame([(code, "Traceback\n  File\nValueError: no\n\n"), ("x = 1", "killed"), ("", "")], "c string, e string")
     got = [tuple(r) for r in df.select(text_functions.loop_depth(F.col("c")), text_functions.recursion(F.col("c")), text_functions.error_class(F.col("e"))).collect()]
-    assert got == [(2, True, "ValueError"), (0, False, "TimeLimit"), (0, False, None)]
+    assert got == [(2, True, "ValueError"), (0, False, "TimeLimit"), (0, False, "Empty")]
 
 
 def test_archive(spark, tmp_path):
+    sep = readers.SEPARATOR
+    log = (
+        "== SUBMITION (2021-3-2 9:00:05)\n-- CODE:\nprint('é')\nx = 2\n-- not a mark\n\n-- EXECUTION TIME:\n 0.25 \n-- TEST CASE 1:\nok\n-- TEST CASE 2:\n-- GRADE:\n80%\n" + sep
+        + "\n== TEST (2021-03-02 09:05:00)\n-- CODE:\nprint(\n-- OUTPUT:\n-- ERROR:\n  File x\nSyntaxError: bad\n\n" + sep
+        + "\n== TEST (2021-03-02 09:06:00)\n-- EXECUTION TIME:\nslow\n-- ERROR:\n\n" + sep + "\n== TEST (2021-03-02 09:07:00)\n-- ERROR:\nProcess killed: Time Limit reached\n" + sep + "\nno head\n-- CODE:\nx\n" + sep
+    )
     files = {
-        "2021-1/c1/assessments/a1.data": "---- type: homework\n---- weight: 2.5\n---- start: 2021-03-01 10:00:00\n---- exercises: 11, 12,13\n",
-        "2021-1/c1/users/u9/executions/a1_11.log": "== SUBMISSION (2021-03-02 09:00:00)\n-- CODE:\nprint(1)\nx = 2\n-- EXECUTION TIME: 0.25\n-- TEST CASE 1\n-- GRADE: 80%\n== TEST (2021-03-02 09:05:00)\n-- CODE:\nprint(\n-- ERROR:\nFile x\nSyntaxError: bad\n",
-        "2021-1/c1/users/u9/codemirror/a1_11.log": "2/3/2021 9:05 keypress\n2/3/2021 9:05 keypress\n02/03/2021 09:06 keypress\nnoise\n",
+        "2021-1/c1/assessments/a1.data": "---- type: homework\n---- weight: 2.5\n-- start: 2021-3-1 10:00\n---- end: 2021-03-08 23:59\n---- total_exercises: 3\n---- exercise 1: 11\n---- exercise 2: 12\n---- exercise 3: 13\n---- class number: 7\n---- language: py\n----- type: no\n",
+        "2021-1/c1/users/u9/executions/a1_11.log": log,
+        "2021-1/c1/users/u9/codemirror/a1_1_1.log": "2021-3-2 9:05:01.1#change\n2021-03-02 09:05:09.2#x\n2021-13-02 09:05:09.2#x\nnoise noise noise noise\n2021-3-2 19:06:00.0#some key\n2021-3-2 19:07\n",
+        "2021-1/c1/users/u9/logins.log": "2021-3-2 8:59:00#user/login\njunk\n2021-03-02 10:00:00#user/logout more\n",
+        "2021-1/c1/users/u9/user.data": "-- DATA\n---- course id: 42\n-- HIGH SCHOOL\n---- course id: 99\n",
+        "2021-1/c1/users/u9/grades/x.data": "skipped",
+        "2021-1/readme": "skipped",
     }
-    with tarfile.open(tmp_path / "log-2021-1.tar.gz", "w:gz") as archive:
+    with tarfile.open(tmp_path / "set_2021_1_v1.0.tar.gz", "w:gz") as archive:
         for name, text in files.items():
             info = tarfile.TarInfo(name)
-            info.size = len(text)
+            info.size = len(text.encode())
             archive.addfile(info, io.BytesIO(text.encode()))
     members = readers.routed(readers.archive_members(spark, str(tmp_path)))
+    assert {r.t for r in members.select(readers.term_of(F.col("archive")).alias("t")).collect()} == {"2021-1"}
     a = readers.assessments(members).first()
-    assert (a.term, a.assessment, a.type, a.weight, a.n_exercises, a.end) == ("2021-1", "a1", "homework", 2.5, 3, None)
+    assert (a.term, a.class_id, a.assessment, a.type, a.weight, a.n_exercises, a.exercise_ids, a.class_number, a.language) == ("2021-1", "c1", "a1", "homework", 2.5, 3, ["11", "12", "13"], "7", "py")
+    assert (str(a.start), str(a.end)) == ("2021-03-01 10:00:00", "2021-03-08 23:59:00")
     e = readers.executions(members).orderBy("ts").collect()
-    assert [(x.kind, x.exec_time, x.grade, x.n_testcases, x.has_error, x.error_type) for x in e] == [("submit", 0.25, 80.0, 1, False, None), ("test", None, None, 0, True, "SyntaxError")]
-    assert [x.code_lines for x in e] == [2, 1]
-    assert [r.n_events for r in readers.keystroke_minutes(members).orderBy("minute").collect()] == [2, 1]
+    assert [(x.user, x.assessment, x.exercise, x.kind, str(x.ts)[11:]) for x in e[:2]] == [("u9", "a1", "11", "submit", "09:00:05"), ("u9", "a1", "11", "test", "09:05:00")]
+    assert [(x.exec_time, x.grade, x.n_testcases, x.has_error, x.error_type) for x in e] == [
+        (0.25, 80.0, 2, False, None), (None, None, 0, True, "SyntaxError"), (None, None, 0, True, "Empty"), (None, None, 0, True, "TimeLimit")
+    ]
+    assert [(x.code_len, x.code_lines) for x in e] == [(len("print('é')\nx = 2\n-- not a mark"), 3), (6, 1), (0, 0), (0, 0)]
+    minutes = readers.keystroke_minutes(members).orderBy("minute").collect()
+    assert [(r.assessment, r.exercise, str(r.minute)[11:16], r.n_events) for r in minutes] == [("a1", "1_1", "09:05", 2), ("a1", "1_1", "19:06", 1)]
+    assert [(str(r.ts)[11:], r.kind) for r in readers.logins(members).orderBy("ts").collect()] == [("08:59:00", "login"), ("10:00:00", "logout")]
+    assert [(r.user, r.course_id) for r in readers.users(members).collect()] == [("u9", "42")]
+    c = readers.coverage(members).first()
+    assert (c.executions, c.other, c.lines_seen, c.lines_used) == (1, 2, 5, 3)
 
 
 def test_dump(spark, tmp_path):
@@ -187,7 +207,8 @@ def test_flat_files(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a_b", 0.5), (2, None, None)], "i int, s string, x double")
     sinks.write_table(df, str(tmp_path / "p"), ["i"])
-    before = sinks.manifest(spark, str(tmp_path / "p")).localCheckpoint()
+    before = sinks.manifest(spark, str(tmp_path / "p"))
+    before = spark.createDataFrame(before.collect(), before.schema)
     assert sinks.verify(before, spark, str(tmp_path / "p")).count() == 0
     assert r"\num{0.50}" in sinks.latex(df) and r"a\_b" in sinks.latex(df)
     assert rows_of(sinks.remaining(spark.createDataFrame([(1,), (3,)], "i int"), str(tmp_path / "p"), ["i"])) == [(3,)]
