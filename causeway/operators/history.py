@@ -176,17 +176,35 @@ def in_flight(stream: DataFrame, by: Sequence[str]) -> DataFrame:
     return read_off(stream, by, {"_started": started, "_done": done}).select("job_id", (F.col("_started") - F.col("_done")).alias("in_flight"))
 
 
+#: Rows of a key that are folded in one array.
+EWM_BLOCK = 256
+
+
 def ewm(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alpha: float = 0.2) -> DataFrame:
     """Exponentially weighted mean of a key's earlier rows, null for its first.
 
-    Groups are gathered, so this is for keys of bounded history.
+    A step is s -> (1 - alpha) s + alpha v, so a stretch of n rows is s ->
+    (1 - alpha)^n s + b. Stretches of EWM_BLOCK rows are folded by themselves,
+    then those of a key in order, and each row's mean follows from its
+    stretch's start: no array holds more than the stretches of a key.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"))))
-    grouped = rows.groupBy(*by).agg(pairs.alias("_all"))
-    states = F.aggregate(
-        "_all",
-        F.array(F.lit(None).cast("double")),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.lit(1 - alpha) * F.element_at(acc, -1) + F.lit(alpha) * x["_v"], x["_v"]))),
-    )
-    one = grouped.withColumn("_s", states).select(*by, F.posexplode("_all").alias("_i", "_x"), "_s")
-    return one.select(*by, *(F.col(f"_x.{c}").alias(c) for c in order), F.element_at("_s", F.col("_i") + 1).alias("ewm"))
+    place = Window.partitionBy(*by).orderBy(*order)
+    numbered = rows.select(*by, *order, F.col(value).cast("double").alias("_v"), F.row_number().over(place).alias("_n"))
+    numbered = numbered.withColumn("_block", F.floor((F.col("_n") - 1) / EWM_BLOCK))
+    # the first value stands for the mean before it, which makes the first step a plain one
+    first = F.when(F.col("_n") == 1, F.col("_v")).otherwise(F.lit(alpha) * F.col("_v"))
+    items = F.array_sort(F.collect_list(F.struct("_n", *order, first.alias("_v"))))
+    blocks = numbered.groupBy(*by, "_block").agg(items.alias("_items"))
+    keep = F.lit(1.0 - alpha)
+    inner = F.aggregate("_items", F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(keep * F.element_at(acc, -1) + x["_v"])))
+    blocks = blocks.withColumn("_b", inner)
+    ends = F.array_sort(F.collect_list(F.struct("_block", F.size("_items").alias("n"), F.element_at("_b", -1).alias("b"))))
+    keys = blocks.groupBy(*by).agg(ends.alias("_ends"))
+    starts = F.aggregate("_ends", F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.pow(keep, x["n"]) * F.element_at(acc, -1) + x["b"])))
+    # stretches are numbered from 0 without gap
+    starts = keys.select(*by, F.posexplode(F.slice(starts, F.lit(1), F.size("_ends"))).alias("_at", "_start"))
+    names = {c: f"_k{i}" for i, c in enumerate(by)}
+    on = [F.col("_block") == F.col("_at"), *(F.col(c).eqNullSafe(F.col(k)) for c, k in names.items())]
+    one = blocks.join(starts.withColumnsRenamed(names), on).select(*by, "_start", F.posexplode(F.zip_with("_items", F.slice("_b", F.lit(1), F.size("_items")), lambda x, b: F.struct(x.alias("x"), b.alias("b")))).alias("_i", "_r"))
+    mean = F.when(F.col("_r.x._n") > 1, F.pow(keep, F.col("_i")) * F.col("_start") + F.col("_r.b"))
+    return one.select(*by, *(F.col(f"_r.x.{c}").alias(c) for c in order), mean.alias("ewm"))

@@ -45,21 +45,43 @@ def dispersion(value: Column) -> Column:
     return F.try_divide(F.var_samp(value), F.avg(value))
 
 
+#: Ranges of values that running sums over all rows are cut into.
+RANGES = 256
+
+
+def running_sums(rows: DataFrame, along: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """`rows`, one per value of `along`, with sums of all rows up to each: {output: summed column}.
+
+    Values are cut into ranges at approximate quantiles, sums run inside a
+    range, and each range starts at the sum of those before it, from a table of
+    RANGES rows. So no task sees all rows, and the sums are exact.
+    """
+    cuts = sorted(set(rows.approxQuantile(along, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
+    value = F.col(along)
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: F.coalesce(c < value, F.lit(False)))).cast("int") if cuts else F.lit(0)
+    rows = rows.withColumn("_part", -part if descending else part)
+    inside = Window.partitionBy("_part").orderBy(value.desc() if descending else value.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = rows.groupBy(F.col("_part").alias("_p")).agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
+    starts = totals.select("_p", *(F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_s_{name}") for name in sums))
+    joined = rows.withColumns({f"_i_{name}": F.sum(c).over(inside) for name, c in sums.items()}).join(F.broadcast(starts), F.col("_part") == F.col("_p"))
+    return joined.withColumns({name: F.col(f"_i_{name}") + F.col(f"_s_{name}") for name in sums}).drop("_part", "_p", *(f"_{x}_{name}" for x in "is" for name in sums))
+
+
 def auroc(rows: DataFrame, score: str, label: str, weight: Column | None = None) -> DataFrame:
     """One row (auroc): half a point for ties; null if there is one class only."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
     per = rows.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    pairs = per.withColumn("_b", below).agg(F.sum(F.col("p") * (F.col("_b") + F.lit(0.5) * F.col("q"))).alias("a"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    below = running_sums(per, score, {"_b": "q"})
+    pairs = below.agg(F.sum(F.col("p") * (F.col("_b") - F.lit(0.5) * F.col("q"))).alias("a"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return pairs.select(F.try_divide(F.col("a"), F.col("p") * F.col("q")).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One row (average_precision): one step per block of equal scores."""
     per = rows.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("p"), F.sum(F.lit(1.0)).alias("n"))
-    along = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = per.withColumns({"_p": F.sum("p").over(along), "_n": F.sum("n").over(along)})
-    return steps.agg(F.try_divide(F.sum(F.col("p") * F.col("_p") / F.col("_n")), F.sum("p")).alias("average_precision"))
+    steps = running_sums(per, score, {"_p_": "p", "_n_": "n"}, descending=True)
+    return steps.agg(F.try_divide(F.sum(F.col("p") * F.col("_p_") / F.col("_n_")), F.sum("p")).alias("average_precision"))
 
 
 def rmse_log(rows: DataFrame, prediction: str, truth: str) -> DataFrame:
@@ -71,7 +93,9 @@ def midranks(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`rows` with `<column>_rank`, equal values sharing the middle of their places."""
     out = rows
     for c in columns:
-        out = out.withColumn(f"{c}_rank", F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / F.lit(2.0))
+        counts = running_sums(rows.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")), "_v", {"_upto": "_n"})
+        ranks = counts.select("_v", (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(f"{c}_rank"))
+        out = out.join(ranks, F.col(c).eqNullSafe(F.col("_v"))).drop("_v")
     return out
 
 

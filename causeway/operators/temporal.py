@@ -28,12 +28,13 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, r
     # at equal times right rows come first for backward, unless strict; and last for forward
     late = F.lit(-1) if strict else F.lit(1)
     back = Window.partitionBy(*by).orderBy("_at", late * -F.col("_side"), "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*by).orderBy("_at", late * F.col("_side"), "_tie").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # what comes next is what came last in the reverse order: a growing frame, where one that shrinks is built anew for each row
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_at"), (late * F.col("_side")).desc(), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found: dict[str, Column] = {}
     if direction != "forward":
         found["_back"] = F.last("_right", ignorenulls=True).over(back)
     if direction != "backward":
-        found["_ahead"] = F.first("_right", ignorenulls=True).over(ahead)
+        found["_ahead"] = F.last("_right", ignorenulls=True).over(ahead)
     rows = stream.withColumns(found).where("_side = 0")
     if direction == "nearest":
         gap_back, gap_ahead = F.col("_at") - F.col("_back._t"), F.col("_ahead._t") - F.col("_at")

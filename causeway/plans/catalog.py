@@ -350,7 +350,8 @@ def next_deadline(spark, sf_dir):
     for shift, order in ((0, 0), (span, 2)):
         legs = legs.unionAll(asks.select("user_id", F.col("at") + shift, F.lit(order), "event_id", F.lit(0), F.lit(None).cast("long")))
     order = Window.partitionBy("user_id").orderBy("at", "o", "event_id")
-    seen = legs.withColumns({"n": F.sum("d").over(order), "next": F.first("due", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))}).where("event_id is not null")
+    back = Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("o"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = legs.withColumns({"n": F.sum("d").over(order), "next": F.last("due", ignorenulls=True).over(back)}).where("event_id is not null")
     return seen.groupBy("event_id").agg(F.max(F.when(F.col("o") == 0, F.col("next"))).alias("next_due"), (F.max(F.when(F.col("o") == 2, F.col("n"))) - F.max(F.when(F.col("o") == 0, F.col("n")))).alias("due_soon"))
 
 
@@ -1244,7 +1245,7 @@ SELECT q.job_id, coalesce(sum(x.big_us) FILTER ((x.arrival_us, x.job_id) > (q.ar
 def same_phase_work(spark, sf_dir):
     """Work of later jobs that started at the same instant."""
     rows = fcfs_waits(spark, sf_dir).withColumn("start_us", F.col("arrival_us") + F.col("wait_us"))
-    later = Window.partitionBy("user_key", "start_us").orderBy("arrival_us", "job_id").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("user_key", "start_us").orderBy(F.desc("arrival_us"), F.desc("job_id")).rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("job_id", F.coalesce(F.sum("work_us").over(later), F.lit(0)).alias("phase_us"))
 
 
