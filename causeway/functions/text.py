@@ -30,12 +30,17 @@ def line_features(text: Column) -> dict[str, Column]:
     }
 
 
-def loop_depth(text: Column, indent: int = 4) -> Column:
+def _indent(space: Column) -> Column:
+    """Columns that leading white space takes, tabs going to the next multiple of four."""
+    return F.aggregate(F.split(space, ""), F.lit(0), lambda acc, c: F.when(c == "\t", acc + 4 - acc % 4).when(c == "", acc).otherwise(acc + 1))
+
+
+def loop_depth(text: Column) -> Column:
     """Deepest nesting of lines that begin a loop, told by indentation."""
-    depth = lambda line: F.length(F.regexp_extract(line, "^( *)", 1))
-    loops = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^ *(?:for|while)\b"))
+    line = r"(?U)^(\s*)(?:for|while)\b"
+    loops = F.filter(F.split(text, "\n"), lambda x: x.rlike(line))
     stack = F.aggregate(
-        F.transform(loops, depth),
+        F.transform(loops, lambda x: _indent(F.regexp_extract(x, line, 1))),
         F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("m")),
         lambda acc, d: F.struct(
             F.concat(F.filter(acc["s"], lambda x: x < d), F.array(d)).alias("s"),
@@ -47,9 +52,54 @@ def loop_depth(text: Column, indent: int = 4) -> Column:
 
 
 def recursion(text: Column) -> Column:
-    """Whether a function's name occurs again as a call after its definition."""
-    names = F.regexp_extract_all(text, F.lit(r"def +([A-Za-z_]\w*)"), F.lit(1))
-    return F.exists(names, lambda n: F.size(F.split(text, F.concat(F.lit(r"\b"), n, F.lit(r"\s*\("))) ) > 2)
+    """Whether a function is called more often than it is defined, on an indented line at least once."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?mU)^\s*def\s+([A-Za-z_]\w*)"), F.lit(1)))
+    times = lambda before, n, after: F.regexp_count(text, F.concat(F.lit(before), n, F.lit(after)))
+    return F.exists(names, lambda n: (times("", n, r"\(") > times(r"(?mU)^\s*def\s+", n, r"\s*\(")) & (times(r"(?mU)^\s+.*\b", n, r"\s*\(") > 0))
+
+
+# Words that are counted, and modules that have a mark of their own.
+COUNTED = ("while", "for", "input", "def", "if", "print", "range", "try", "class", "return", "lambda", "len", "append")
+MODULES = ("math", "random", "time", "sys", "os", "numpy", "itertools", "string")
+#: Largest values of indentation, nesting, and digits in a row.
+MOST_INDENT, MOST_DEPTH, MOST_DIGITS = 60, 12, 18
+
+
+def code_features(text: Column) -> dict[str, Column]:
+    """37 measures of a source text: sizes, words, imports, nesting, calls and numbers."""
+    lines, words = F.split(text, "\n"), F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+    filled = F.filter(lines, lambda x: x.rlike(r"(?U)\S"))
+    imported = r"(?mU)^\s*(?:from\s+([A-Za-z_][\w.]*)|import\s+([A-Za-z_][\w.]*))"
+    modules = F.zip_with(
+        F.regexp_extract_all(text, F.lit(imported), F.lit(1)), F.regexp_extract_all(text, F.lit(imported), F.lit(2)), lambda x, y: F.substring_index(F.concat(x, y), ".", 1)
+    )
+    number = lambda x: F.array_max(F.transform(F.regexp_extract_all(x, F.lit(r"(?U)\d+"), F.lit(0)), F.length))
+    ranges = F.regexp_extract_all(text, F.lit(r"range\(([^)]{0,80})\)"), F.lit(1))
+    has = lambda *some: F.exists(words, lambda w: w.isin(*some)).cast("int")
+    out = {
+        "chars": F.length(text),
+        "lines": F.size(lines),
+        "nonblank_lines": F.size(filled),
+        "max_line_len": F.array_max(F.transform(lines, F.length)),
+        "n_comment_lines": F.regexp_count(text, F.lit(r"(?mU)^\s*#")),
+    }
+    times = lambda word: F.size(F.filter(words, lambda x: x == word))
+    out |= {f"n_{w}": times(w) for w in COUNTED}
+    out["n_import"] = F.size(modules)
+    out |= {f"imp_{m}": F.array_contains(modules, m).cast("int") for m in MODULES}
+    out |= {
+        "imp_other": F.exists(modules, lambda x: ~x.isin(*MODULES)).cast("int"),
+        "max_indent": F.least(F.coalesce(F.array_max(F.transform(filled, lambda x: _indent(F.regexp_extract(x, "^([ \t]*)", 1)))), F.lit(0)), F.lit(MOST_INDENT)),
+        "nest_loop_depth": F.least(loop_depth(text), F.lit(MOST_DEPTH)),
+        "has_while_true": text.rlike(r"(?U)while\s*\(?\s*(?:True|1)\s*\)?\s*:").cast("int"),
+        "has_recursion": recursion(text).cast("int"),
+        "max_num_digits": F.least(F.coalesce(number(text), F.lit(0)), F.lit(MOST_DIGITS)),
+        "max_range_digits": F.least(F.coalesce(F.array_max(F.transform(ranges, number)), F.lit(0)), F.lit(MOST_DIGITS)),
+        "has_sleep": has("sleep"),
+        "has_evalexec": has("eval", "exec"),
+        "has_open": has("open"),
+    }
+    return out
 
 
 def error_class(output: Column) -> Column:

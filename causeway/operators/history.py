@@ -19,10 +19,14 @@ from pyspark.sql.window import Window, WindowSpec
 RECENT = 120
 
 
-def merged_stream(jobs: DataFrame, carry: Sequence[str], eligible: Column | None = None) -> DataFrame:
-    """(at_us, kind, job_id, *carry): three rows per job, or two where its result isn't eligible."""
+def merged_stream(jobs: DataFrame, carry: Sequence[str], eligible: Column | None = None, strict: bool = False) -> DataFrame:
+    """(at_us, kind, job_id, *carry): three rows per job, or two where its result isn't eligible.
+
+    With `strict` a result that becomes readable at the instant of an arrival
+    isn't seen by it.
+    """
     result = jobs if eligible is None else jobs.where(eligible)
-    zero = F.when(F.col("available_us") == F.col("arrival_us"), 3).otherwise(0)
+    zero = F.lit(3) if strict else F.when(F.col("available_us") == F.col("arrival_us"), 3).otherwise(0)
     legs = (
         result.select(F.col("available_us").alias("at_us"), zero.alias("kind"), "job_id", *carry),
         jobs.select(F.col("arrival_us").alias("at_us"), F.lit(1).alias("kind"), "job_id", *carry),

@@ -41,20 +41,20 @@ def lindley(jobs: DataFrame, by: Sequence[str]) -> DataFrame:
     return fluid_backlog(jobs, by, 1).withColumn("wait_us", F.col("backlog_us") - F.col("work_us")).drop("backlog_us")
 
 
-def fcfs(jobs: DataFrame, by: Sequence[str], k: int) -> DataFrame:
-    """(by, job_id, wait_us) under first come, first served with k servers.
+def fcfs(jobs: DataFrame, by: Sequence[str], k: int | str) -> DataFrame:
+    """(by, job_id, wait_us) under first come, first served with k servers, or as many as a column of that name says for a trace.
 
     A fold per trace keeps the sorted times at which servers become free. It
     gathers a trace, so traces must be of bounded length; longer ones go
     through replay().
     """
-    rows = jobs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("arrival_us", "job_id", "work_us"))).alias("_jobs"))
+    rows = jobs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("arrival_us", "job_id", "work_us"))).alias("_jobs"), (F.max(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("_k"))
     none = "array<struct<job_id:bigint,wait_us:bigint>>"
-    start = F.struct(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda _: F.lit(-(1 << 62)).cast("long")).alias("free"), F.array().cast(none).alias("out"))
+    start = F.struct(F.transform(F.sequence(F.lit(1), F.col("_k")), lambda _: F.lit(-(1 << 62)).cast("long")).alias("free"), F.array().cast(none).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = F.greatest(F.element_at(acc["free"], 1), x["arrival_us"])
-        free = F.array_sort(F.concat(F.slice(acc["free"], 2, k), F.array(begin + x["work_us"])))
+        free = F.array_sort(F.concat(F.slice(acc["free"], F.lit(2), F.size(acc["free"])), F.array(begin + x["work_us"])))
         row = F.struct(x["job_id"].cast("long").alias("job_id"), (begin - x["arrival_us"]).alias("wait_us"))
         return F.struct(free.alias("free"), F.concat(acc["out"], F.array(row)).alias("out"))
 
@@ -477,6 +477,60 @@ def bound_usage(waits: DataFrame, reference: DataFrame, by: Sequence[str], rule:
     return both.groupBy(*by).agg(F.count("*").alias("jobs"), F.count_if(over).alias("violations"), F.max(F.col("wait_us") - F.col("fcfs_us")).alias("worst_excess_us"))
 
 
+def queue_lengths(schedule: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, job_id, queue): jobs waiting at each dispatch, the dispatched one included.
+
+    `schedule` holds arrival_us, wait_us and place; who has come less who has
+    gone, from one sorted stream of arrivals and starts.
+    """
+    legs = schedule.select(*by, F.col("arrival_us").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("job_id"), F.lit(None).cast("long").alias("place")).unionByName(
+        schedule.select(*by, (F.col("arrival_us") + F.col("wait_us")).alias("_at"), F.lit(1).alias("_kind"), "job_id", F.col("place").cast("long").alias("place"))
+    )
+    come = F.sum(1 - F.col("_kind")).over(Window.partitionBy(*by).orderBy("_at", "_kind", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return legs.withColumn("_come", come).where("_kind = 1").select(*by, "job_id", (F.col("_come") - F.col("place")).alias("queue"))
+
+
+def queue_weights(schedule: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, queue_total, queue_forced, forced_share): queue lengths at dispatch, summed, and what of them the guard's dispatches met."""
+    rows = schedule.join(queue_lengths(schedule, by), [*by, "job_id"])
+    forced, queue = F.col("forced").cast("long"), F.col("queue")
+    return rows.groupBy(*by).agg(F.sum(queue).alias("queue_total"), F.sum(queue * forced).alias("queue_forced"), F.try_divide(F.sum(queue * forced), F.sum(queue)).alias("forced_share"))
+
+
+def rank_displacement(schedule: DataFrame, by: Sequence[str], score: str, corrected: str) -> DataFrame:
+    """(by, job_id, moved): by how many places a job's rank in its queue at dispatch moves under corrected scores.
+
+    All jobs get their corrected score (that of others equals the score) while
+    the queues stay as they were. `schedule` holds arrival_us, wait_us and
+    place; ties go to the earlier job. A trace is one group.
+    """
+    columns = [f"`{c}` {schedule.schema[c].dataType.simpleString()}" for c in by]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["arrival_us", "job_id"]).reset_index(drop=True)
+        n = len(pdf)
+        ranks = []
+        for name in (score, corrected):
+            rank = np.empty(n, np.int64)
+            rank[np.lexsort((np.arange(n), pdf[name].to_numpy()))] = np.arange(n)
+            ranks.append(rank.tolist())
+        start = (pdf["arrival_us"] + pdf["wait_us"]).tolist()
+        arrival, trees, moved, come = pdf["arrival_us"].tolist(), (_Sums(n), _Sums(n)), [0] * n, 0
+        for j in np.argsort(pdf["place"].to_numpy(), kind="stable").tolist():
+            while come < n and arrival[come] <= start[j]:
+                for tree, rank in zip(trees, ranks, strict=True):
+                    tree.add(rank[come], 1)
+                come += 1
+            old, new = (tree.total - tree.above(rank[j] - 1) if rank[j] else 0 for tree, rank in zip(trees, ranks, strict=True))
+            moved[j] = new - old
+            for tree, rank in zip(trees, ranks, strict=True):
+                tree.add(rank[j], -1)
+        return pdf[[*by, "job_id"]].assign(moved=moved)
+
+    wanted = schedule.select(*by, "job_id", "arrival_us", "wait_us", "place", score, corrected)
+    return wanted.groupBy(*by).applyInPandas(run, ", ".join([*columns, "job_id long", "moved long"]))
+
+
 def overtaking(schedule: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, job_id, in_us, out_us): work that overtook each job, and that it overtook.
 

@@ -22,6 +22,12 @@ def superpose(jobs: DataFrame, entries: DataFrame, term: str) -> DataFrame:
     return shifted
 
 
+def rebased(jobs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`jobs` with the whole days before each trace's first arrival taken off."""
+    first = F.min("arrival_us").over(Window.partitionBy(*by))
+    return jobs.withColumn("arrival_us", F.col("arrival_us") - F.floor(first / DAY) * DAY)
+
+
 def entries(spark: SparkSession, terms: Sequence, copies: int, weeks: int, seed: int = 0) -> DataFrame:
     """A draw of shifts, copy by copy, so that fewer copies are a prefix of more."""
     rng = np.random.default_rng(seed)
@@ -134,6 +140,59 @@ def paired(replicates: DataFrame, by: Sequence[str], policy: str, a: str, b: str
     return replicates.groupBy("resample", *by).agg((of(a) - of(b)).alias("difference"))
 
 
+def smallest_pools(jobs: DataFrame, by: Sequence[str], p: float, target_us: int) -> DataFrame:
+    """(by, servers): the least number of servers under which the p-quantile of waits is within the target.
+
+    Doubling, then bisection, of all traces side by side; each round replays
+    them with their own number of servers. With a server per job none waits, so
+    it ends, after about twice the binary digits of the answer.
+    """
+    from ..operators import replay
+
+    state = jobs.select(*by).distinct().withColumns({"low": F.lit(0), "high": F.lit(1), "met": F.lit(False)}).checkpoint()
+    while state.where("not met or high - low > 1").limit(1).count():
+        tried = F.when(F.col("met"), F.floor((F.col("low") + F.col("high")) / 2).cast("int")).otherwise(F.col("high"))
+        open_ = state.where("not met or high - low > 1").select(*by, tried.alias("k"))
+        waits = replay.fcfs(jobs.join(open_, list(by)), by, "k").groupBy(*by).agg((F.percentile("wait_us", F.lit(p)) <= target_us).alias("_ok"))
+        both = state.join(waits, list(by), "left").withColumn("_k", tried)
+        done = F.col("_ok").isNull()
+        state = both.select(
+            *by,
+            F.when(done, F.col("low")).when(F.col("_ok"), F.col("low")).otherwise(F.col("_k")).alias("low"),
+            F.when(done, F.col("high")).when(F.col("_ok"), F.col("_k")).when(F.col("met"), F.col("high")).otherwise(F.col("high") * 2).alias("high"),
+            F.coalesce(F.col("met") | F.col("_ok"), F.col("met")).alias("met"),
+        ).checkpoint()
+    return state.select(*by, F.col("high").alias("servers"))
+
+
+def first_codes(rows: DataFrame, column: str, position: str) -> DataFrame:
+    """(column, code): dense codes from 0 by first appearance along `position`, whose values are unique."""
+    from .metrics import running_sums
+
+    firsts = rows.groupBy(column).agg(F.min(position).alias("_first")).withColumn("_one", F.lit(1))
+    return running_sums(firsts, "_first", {"_upto": "_one"}).select(column, (F.col("_upto") - 1).cast("long").alias("code"))
+
+
+def learned_score(rows: DataFrame, score: str, weights: dict[str, float]) -> DataFrame:
+    """`rows` with `learned`: the log of the score plus weighted features, each scaled by its mean and deviation over all rows.
+
+    A missing feature counts as the mean; a constant one is an error.
+    """
+    moments = rows.agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(weights)), *(F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(weights))).first()
+    total = F.log(score)
+    for i, (c, w) in enumerate(weights.items()):
+        if not moments[f"_s{i}"]:
+            raise ValueError(f"{c} is constant")
+        total = total + F.lit(float(w)) * F.coalesce((F.col(c) - F.lit(moments[f"_m{i}"])) / F.lit(moments[f"_s{i}"]), F.lit(0.0))
+    return rows.withColumn("learned", total)
+
+
+def audited(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequence[str], one_of: int, tolerance: float = 0.0) -> DataFrame:
+    """compare_tables() on the rows whose keys' digest falls on one of so many parts: a check by an independent route."""
+    part = F.pmod(keyed_bits(*(F.col(c) for c in key)), F.lit(one_of)) == 0
+    return compare_tables(a.where(part), b.where(part), key, columns, tolerance)
+
+
 # ---------------------------------------------------------------- visibility
 def premature_counts(jobs: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
     """(job_id, premature): results that the source's clock shows a job on arrival but the replay has not finished.

@@ -310,6 +310,42 @@ def block_index(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.row_number().over(order) - 1).cast("long").alias("blk"))
 
 
+@query("strict_history", f"""WITH {JOBS} SELECT q.job_id, count(x.job_id) AS user_n FROM t q LEFT JOIN t x ON x.user_key = q.user_key AND x.available_us < q.arrival_us GROUP BY q.job_id""")
+def strict_history(spark, sf_dir):
+    """Results of a user that were readable before, not at, a job's arrival."""
+    stream = history.merged_stream(timed(spark, sf_dir), ["user_key", "work_us", "is_error"], strict=True)
+    return history.keyed_history(stream, ["user_key"], "user").select("job_id", F.greatest("user_n", F.lit(0)).cast("long").alias("user_n"))
+
+
+@query("first_codes", "SELECT user_id, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events GROUP BY user_id")
+def first_codes(spark, sf_dir):
+    return study.first_codes(table(spark, sf_dir, "events"), "user_id", "event_id")
+
+
+@query("learned_score", f"WITH {JOBS}, f AS (SELECT job_id, cost_us / 1e6::DOUBLE + 1 AS s, item_key::DOUBLE AS x, ln(1 + is_error::DOUBLE) AS y FROM j), m AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM f) SELECT job_id, round(ln(s) + 0.5::DOUBLE * (x - mx) / sx - 0.25::DOUBLE * (y - my) / sy, 9) AS learned FROM f, m")
+def learned_score(spark, sf_dir):
+    rows = jobs(spark, sf_dir).select("job_id", (F.col("cost_us") / F.lit(1e6) + 1).alias("s"), F.col("item_key").cast("double").alias("x"), F.log1p(F.col("is_error").cast("double")).alias("y"))
+    return study.learned_score(rows, "s", {"x": 0.5, "y": -0.25}).select("job_id", F.round("learned", 9).alias("learned"))
+
+
+_CODE_WORDS = ", ".join(f"len(list_filter(w, lambda x: x = '{k}'))::INTEGER AS n_{k}" for k in ("while", "for", "input", "def", "if", "print", "range", "try", "class", "return", "lambda", "len", "append"))
+_CODE_MODULES = ", ".join(f"list_contains(m, '{k}')::INTEGER AS imp_{k}" for k in ("math", "random", "time", "sys", "os", "numpy", "itertools", "string"))
+
+
+@query("code_features", rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), x AS (SELECT *, string_split(text, chr(10)) AS l, regexp_extract_all(text, '[\pL\pM\pN_]+') AS w,
+  list_transform(regexp_extract_all(text, '(?m)^\s*(?:from|import)\s+([A-Za-z_][A-Za-z0-9_.]*)', 1), lambda z: string_split(z, '.')[1]) AS m FROM d), y AS (SELECT *, list_filter(l, lambda z: regexp_matches(z, '\S')) AS f FROM x)
+SELECT doc_id, length(text)::INTEGER AS chars, len(l)::INTEGER AS lines, len(f)::INTEGER AS nonblank_lines, list_max(list_transform(l, lambda z: length(z)))::INTEGER AS max_line_len, len(regexp_extract_all(text, '(?m)^\s*#'))::INTEGER AS n_comment_lines, {_CODE_WORDS},
+  len(m)::INTEGER AS n_import, {_CODE_MODULES}, (len(list_filter(m, lambda z: z NOT IN ('math', 'random', 'time', 'sys', 'os', 'numpy', 'itertools', 'string'))) > 0)::INTEGER AS imp_other,
+  least(coalesce(list_max(list_transform(f, lambda z: length(regexp_extract(z, '^( *)', 1)))), 0), 60)::INTEGER AS max_indent, regexp_matches(text, 'while\s*\(?\s*(True|1)\s*\)?\s*:')::INTEGER AS has_while_true,
+  least(coalesce(list_max(list_transform(regexp_extract_all(text, '[0-9]+'), lambda z: length(z))), 0), 18)::INTEGER AS max_num_digits, list_contains(w, 'sleep')::INTEGER AS has_sleep, (list_contains(w, 'eval') OR list_contains(w, 'exec'))::INTEGER AS has_evalexec, list_contains(w, 'open')::INTEGER AS has_open FROM y""")
+def code_features(spark, sf_dir):
+    """Measures of source texts, on prose; nesting, recursion and digits in ranges are checked on code in the tests."""
+    from ..functions.text import code_features as measures
+
+    found = measures(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", *(x.cast("int").alias(n) for n, x in found.items() if n not in ("nest_loop_depth", "has_recursion", "max_range_digits")))
+
+
 # ---------------------------------------------------------------- joins along time
 @query("asof_backward_strict", """WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, event_id AS click_id FROM events WHERE event_type = 'click')
 SELECT l.event_id, r.click_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts > r.ts""")
@@ -619,6 +655,33 @@ _register_replay(
 _register_replay(_REFUND, "replay_refund", fired=f"CASE WHEN {_done_sql(f'CASE WHEN d.e <= t THEN d.w ELSE {_REFUND.limit_us} END')} >= {_REFUND.b0_us} THEN come[1].i END")
 
 
+_QUEUED = f"""{_dispatch_sql(_SCORED, _work_guard_sql(_GUARD))}, z AS (SELECT p.*, h.arrival_us + p.wait_us AS start_us, (SELECT count(*) FROM h x WHERE x.user_key = p.g AND x.arrival_us <= h.arrival_us + p.wait_us) - p.place AS queue FROM p JOIN h USING (job_id))"""
+
+
+def _guarded(spark, sf_dir):
+    rows = heavy_load(spark, sf_dir)
+    return replay.replay(rows, ["user_key"], SERVERS, [_GUARD]).join(rows.select("job_id", "arrival_us", "score", "cost_us"), "job_id")
+
+
+@query("queue_weights", f"WITH RECURSIVE {_QUEUED} SELECT g AS user_key, sum(queue)::BIGINT AS queue_total, sum(queue * forced::INT)::BIGINT AS queue_forced, sum(queue * forced::INT)::DOUBLE / sum(queue)::DOUBLE AS forced_share FROM z GROUP BY g")
+def queue_weights(spark, sf_dir):
+    """Queue lengths at dispatch, and how much of them the guard's dispatches met."""
+    return replay.queue_weights(_guarded(spark, sf_dir), ["user_key"])
+
+
+@query("rank_displacement", f"""WITH RECURSIVE {_dispatch_sql(_SCORED, _work_guard_sql(_GUARD))}, y AS (SELECT p.g, p.place, k.i, k.arrival_us, k.arrival_us + p.wait_us AS start_us, p.job_id, k.sc, k.cost_us / 1e6::DOUBLE AS cs FROM p JOIN ranked k USING (job_id))
+SELECT q.job_id, count(*) FILTER ((x.cs, x.i) < (q.cs, q.i)) - count(*) FILTER ((x.sc, x.i) < (q.sc, q.i)) AS moved FROM y q JOIN y x ON x.g = q.g AND x.arrival_us <= q.start_us AND x.place >= q.place GROUP BY q.job_id""")
+def rank_displacement(spark, sf_dir):
+    """How a job's rank in its queue at dispatch moves if scores lose their noise."""
+    rows = _guarded(spark, sf_dir).withColumn("corrected", F.col("cost_us") / F.lit(1e6))
+    return replay.rank_displacement(rows, ["user_key"], "score", "corrected").select("job_id", "moved")
+
+
+@query("rebased", f"WITH {JOBS} SELECT job_id, arrival_us - floor(min(arrival_us) OVER (PARTITION BY user_key) / 86400000000)::BIGINT * 86400000000 AS arrival_us FROM a")
+def rebased(spark, sf_dir):
+    return study.rebased(timed(spark, sf_dir), ["user_key"]).select("job_id", "arrival_us")
+
+
 def _per_user(spark, sf_dir, f, schema="job_id long, arrival_us long, wait_us long"):
     columns = ["user_key", "job_id", "arrival_us", "work_us", "score"]
     return heavy_load(spark, sf_dir).select(*columns).groupBy("user_key").applyInPandas(lambda pdf: f(pdf.sort_values(["arrival_us", "job_id"]).reset_index(drop=True)), schema)
@@ -926,15 +989,12 @@ def frontier(spark, sf_dir):
 
 
 @query("smallest_pool", f"""WITH RECURSIVE {JOBS}, o AS (SELECT user_key, job_id, arrival_us, big_us, row_number() OVER (PARTITION BY user_key ORDER BY arrival_us, job_id) AS i FROM h),
-r AS (SELECT user_key, k, 0::BIGINT AS i, NULL::BIGINT AS wait_us, list_transform(range(k), lambda x: -9000000000000000000::BIGINT) AS free FROM (SELECT DISTINCT user_key FROM h), (SELECT unnest([1, 2, 4, 8]) AS k) UNION ALL
+r AS (SELECT user_key, k, 0::BIGINT AS i, NULL::BIGINT AS wait_us, list_transform(range(k), lambda x: -9000000000000000000::BIGINT) AS free FROM (SELECT DISTINCT user_key FROM h), (SELECT unnest(range(1, 33)) AS k) UNION ALL
   SELECT r.user_key, r.k, o.i, greatest(r.free[1], o.arrival_us) - o.arrival_us, list_sort(list_append(r.free[2:], greatest(r.free[1], o.arrival_us) + o.big_us)) FROM r JOIN o ON o.user_key = r.user_key AND o.i = r.i + 1),
 q AS (SELECT user_key, k, quantile_cont(wait_us, 0.99) AS p FROM r WHERE i > 0 GROUP BY ALL) SELECT user_key, min(k) FILTER (p <= 3600000000)::INTEGER AS servers FROM q GROUP BY user_key""")
 def smallest_pool(spark, sf_dir):
-    """The least number of servers under which each user's p99 wait is within an hour, all sizes in one pass."""
-    rows = heavy_load(spark, sf_dir)
-    sizes = [replay.fcfs(rows, ["user_key"], k).groupBy("user_key").agg(F.percentile("wait_us", F.lit(0.99)).alias("p")).withColumn("k", F.lit(k)) for k in (1, 2, 4, 8)]
-    every = sizes[0].unionAll(sizes[1]).unionAll(sizes[2]).unionAll(sizes[3])
-    return every.groupBy("user_key").agg(F.min(F.when(F.col("p") <= clock.HOUR, F.col("k"))).alias("servers"))
+    """The least number of servers under which each user's p99 wait is within an hour."""
+    return study.smallest_pools(checkpointed(heavy_load(spark, sf_dir)), ["user_key"], 0.99, clock.HOUR)
 
 
 @query("expand_duplicates", "WITH p AS (SELECT b.x AS b0, p.x AS promise, CASE WHEN b.x >= p.x THEN 'full|' || p.x ELSE b.x || '|' || p.x END AS k FROM (SELECT unnest([100, 200, 300, 400]) AS x) b, (SELECT unnest([200, 300]) AS x) p), u AS (SELECT k, min(b0) AS b FROM p GROUP BY k) SELECT p.b0, p.promise, u.b * 2 AS result FROM p JOIN u USING (k)")

@@ -313,6 +313,14 @@ def cached(spark: SparkSession, paths: Sequence[str], order: Sequence[str]) -> D
     return out.orderBy(*order)
 
 
+def cell(spark: SparkSession, folder: str, **values) -> DataFrame:
+    """One cell of stored traces (see sinks.write_cells): only its folder is read."""
+    out = spark.read.parquet(folder)
+    for name, value in values.items():
+        out = out.where(F.col(name) == value)
+    return out
+
+
 def rows_of_csv(text: str) -> list[dict[str, str]]:
     """A small CSV as dictionaries, for reports that are read back."""
     return list(csv.DictReader(io.StringIO(text)))

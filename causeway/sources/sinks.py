@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,21 @@ def verify(known: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     return both.withColumn("state", state).where("state is not null").select("path", "state")
 
 
+def signed(spark: SparkSession, folder: str, signature: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gave for this signature, from the folder if it is stored whole, else made and stored."""
+    path = f"{folder}/{hashlib.sha256(signature.encode()).hexdigest()}"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_cells(traces: DataFrame, folder: str, cell: Sequence[str]) -> None:
+    """Traces by cell, each sorted by arrival in files of its own, for replays that read a cell at a time."""
+    dealt = traces.repartition(*cell).sortWithinPartitions(*cell, "arrival_us", "job_id")
+    dealt.write.mode("overwrite").partitionBy(*cell).parquet(folder)
+
+
 def remaining(tasks: DataFrame, done_path: str, key: Sequence[str]) -> DataFrame:
     """Tasks that have no stored result yet, so that a long run resumes."""
     spark = tasks.sparkSession

@@ -142,6 +142,17 @@ def test_text_functions(spark):
     assert got == [(2, True, "ValueError"), (0, False, "TimeLimit"), (0, False, "Empty")]
 
 
+def test_code_features(spark):
+    code = "import math\nfrom os.path import join\n  import foo, bar\n# note\ndef fib(n):\n    if n < 2:\n        return n\n    return fib(n - 1) + fib(n - 2)\nfor i in range(1000):\n\twhile True:\n\t\tfor j in range(12, 7):\n            print(i * 123456)\nwhile x:\n    time.sleep(len(y))\n"
+    df = spark.createDataFrame([(code,), ("",), ("def g():\n    pass\ng()\n" + "9" * 40,)], "c string")
+    a, b, c = (r.asDict() for r in df.select(*(x.alias(n) for n, x in text_functions.code_features(F.col("c")).items())).collect())
+    assert len(a) == 37
+    want = {"chars": len(code), "lines": 15, "nonblank_lines": 14, "n_comment_lines": 1, "n_while": 2, "n_for": 2, "n_def": 1, "n_if": 1, "n_print": 1, "n_range": 2, "n_return": 2, "n_len": 1, "n_import": 3, "imp_math": 1, "imp_os": 1, "imp_time": 0, "imp_other": 1, "max_indent": 12, "nest_loop_depth": 3, "has_while_true": 1, "has_recursion": 1, "max_num_digits": 6, "max_range_digits": 4, "has_sleep": 1, "has_evalexec": 0, "has_open": 0}
+    assert {k: a[k] for k in want} == want
+    assert b == dict.fromkeys(a, 0) | {"lines": 1}
+    assert (c["has_recursion"], c["max_num_digits"], c["nest_loop_depth"]) == (0, 18, 0)
+
+
 def test_archive(spark, tmp_path):
     sep = readers.SEPARATOR
     log = (
@@ -214,6 +225,20 @@ def test_sinks(spark, tmp_path):
     assert rows_of(sinks.remaining(spark.createDataFrame([(1,), (3,)], "i int"), str(tmp_path / "p"), ["i"])) == [(3,)]
 
 
+def test_signed_and_cells(spark, tmp_path):
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(3).toDF("job_id").withColumns({"arrival_us": F.col("job_id") * 5, "level": F.col("job_id") % 2})
+
+    for _ in range(2):
+        assert sinks.signed(spark, str(tmp_path / "s"), "k=2", make).count() == 3
+    assert len(calls) == 1 and sinks.signed(spark, str(tmp_path / "s"), "k=3", make).count() == 3 and len(calls) == 2
+    sinks.write_cells(make(), str(tmp_path / "c"), ["level"])
+    assert sorted(r.job_id for r in readers.cell(spark, str(tmp_path / "c"), level=0).collect()) == [0, 2]
+
+
 def test_access(spark, tmp_path):
     df = spark.createDataFrame([(1,), (2,), (3,)], "term int")
     guard = Guard("term", frozenset({3}), ledger=tmp_path / "ledger")
