@@ -100,3 +100,40 @@ def fixed_point(jobs: DataFrame, by: Sequence[str], key: str, k: int, rounds: in
             return after.select(*by, "job_id", "wait_us", "score"), used
         state = after.drop("wait_us", "score", "changed")
     raise RuntimeError(f"no fixed point after {rounds} rounds")
+
+
+def refined(jobs: DataFrame, by: Sequence[str], key: str, k: int, rounds: int = 200, unknown: float = 30e6) -> tuple[DataFrame, int]:
+    """(by, job_id, wait_us, score, withheld) and the rounds it took, by monotone withholding.
+
+    Scores start from all results of a job's key that the source's clock shows
+    it (available_us). A result that the replay finishes after the job's
+    arrival is withheld from that job for good; scores and replay are repeated
+    until no shown result is late. Pairs (job, withheld result) are the state:
+    they only grow, so it ends. Late pairs come from a join of each result's
+    span from available to done with the arrivals of its key, both cut into
+    days.
+    """
+    from ..functions.clock import DAY
+
+    spark = jobs.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        raise ValueError("a checkpoint folder is needed: set spark.checkpoint.dir")
+    rule, group = Rule("refined"), [*by, key]
+    rows = jobs.select(*group, "job_id", "arrival_us", "work_us", "available_us").checkpoint()
+    shown = visible(rows.withColumn("done_us", F.col("available_us")), by, key)
+    withheld = spark.createDataFrame([], "job_id long, late_id long, late_us long")
+    for used in range(1, rounds + 1):
+        less = withheld.groupBy("job_id").agg(F.count("*").alias("withheld"), F.sum("late_us").alias("_less"))
+        known = rows.join(shown, "job_id").join(less, "job_id", "left").fillna(0, ["withheld", "_less"])
+        scored = known.withColumn("score", (F.col("total") - F.col("_less") + F.lit(unknown)) / (F.col("n") - F.col("withheld") + 1))
+        waits = replay(scored, by, k, [rule]).select("job_id", "wait_us")
+        done = scored.join(waits, "job_id").withColumn("done_us", F.col("arrival_us") + F.col("wait_us") + F.col("work_us")).checkpoint()
+        day = lambda c: F.floor(F.col(c) / DAY)
+        late = done.where("done_us > available_us").select(*group, F.col("job_id").alias("late_id"), F.col("work_us").alias("late_us"), "available_us", "done_us", F.explode(F.sequence(day("available_us"), day("done_us"))).alias("_day"))
+        pairs = done.select(*group, "job_id", "arrival_us", day("arrival_us").alias("_day")).join(late, [*group, "_day"])
+        pairs = pairs.where("available_us <= arrival_us and done_us > arrival_us").select("job_id", "late_id", "late_us")
+        new = pairs.join(withheld, ["job_id", "late_id"], "left_anti").checkpoint()
+        if new.limit(1).count() == 0:
+            return done.select(*by, "job_id", "wait_us", "score", "withheld"), used
+        withheld = withheld.unionByName(new).checkpoint()
+    raise RuntimeError(f"still late results after {rounds} rounds")

@@ -123,6 +123,22 @@ def resampled_quantile(rows: DataFrame, block: str, value: str, by: Sequence[str
     return weighed.where("_f > 0").groupBy("resample", *by).agg(F.percentile("_v", F.lit(p), F.col("_f")).alias("quantile"))
 
 
+def cluster_bootstrap(jobs: DataFrame, cluster: str, draws: DataFrame, by: Sequence[str], k: int, rules: Sequence, p: float, weeks: int) -> DataFrame:
+    """(resample, policy, quantile of waits) where clusters are drawn, overlaid anew and replayed.
+
+    A cluster drawn m times comes in m copies, each shifted by whole weeks (0
+    to `weeks` - 1) by a keyed draw. Resamples are traces of one replay, so
+    they run side by side. Copies of a job are numbered by its id times 100.
+    """
+    from .replay import replay
+
+    drawn = jobs.join(draws, F.col(cluster) == F.col("block")).where("m > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    shift = keyed_bits(F.col("resample"), F.col(cluster), F.col("_copy")) % weeks
+    rows = drawn.withColumns({"arrival_us": F.col("arrival_us") + shift * WEEK, "job_id": F.col("job_id") * 100 + F.col("_copy")})
+    waits = replay(rows, ["resample", *by], k, rules)
+    return waits.groupBy("resample", "policy").agg(F.percentile("wait_us", F.lit(p)).alias("quantile"))
+
+
 def interval(replicates: DataFrame, by: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
     """(by, estimate, low, high): resample 0 and the percentile interval of the others."""
     tail = (1 - level) / 2

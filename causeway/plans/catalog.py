@@ -582,10 +582,10 @@ def _dispatch_sql(key: str, fired: str = "NULL", work: str = "big_us", score: st
     """
     return f"""{JOBS}, n0 AS (SELECT *, {work} AS w_us, {score} AS sc FROM h),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {per} ORDER BY arrival_us, job_id) - 1 AS i FROM n0),
-r0 AS (SELECT {per} AS g, list(struct_pack(i := i, a := arrival_us, w := w_us::BIGINT, sc := sc, id := job_id) ORDER BY i) AS todo FROM ranked GROUP BY {per}),
+r0 AS (SELECT {per} AS g, list(struct_pack(i := i, a := arrival_us, w := w_us::BIGINT, sc := sc, q := item_key, id := job_id) ORDER BY i) AS todo FROM ranked GROUP BY {per}),
 r AS (
-  SELECT g, todo, []::STRUCT(i BIGINT, w BIGINT, b BIGINT, e BIGINT)[] AS s, -9000000000000000000::BIGINT AS f1, -9000000000000000000::BIGINT AS f2, NULL::BIGINT AS job_id, NULL::BIGINT AS wait_us, -1::BIGINT AS place, NULL::BOOLEAN AS forced FROM r0 UNION ALL
-  SELECT g, list_filter(todo, lambda x: x.i <> pick.i), list_append(s, struct_pack(i := pick.i, w := pick.w, b := t, e := t + pick.w + {delay})), least(f2, t + pick.w), greatest(f2, t + pick.w), pick.id, t - pick.a, place + 1, by_guard
+  SELECT g, todo, []::STRUCT(i BIGINT, w BIGINT, b BIGINT, e BIGINT, q BIGINT)[] AS s, -9000000000000000000::BIGINT AS f1, -9000000000000000000::BIGINT AS f2, NULL::BIGINT AS job_id, NULL::BIGINT AS wait_us, -1::BIGINT AS place, NULL::BOOLEAN AS forced FROM r0 UNION ALL
+  SELECT g, list_filter(todo, lambda x: x.i <> pick.i), list_append(s, struct_pack(i := pick.i, w := pick.w, b := t, e := t + pick.w + {delay}, q := pick.q)), least(f2, t + pick.w), greatest(f2, t + pick.w), pick.id, t - pick.a, place + 1, by_guard
   FROM (SELECT *, coalesce(list_filter(come, lambda x: x.i = fired_i)[1], list_sort(list_transform(come, lambda x: struct_pack(k := {key}, x := x)))[1].x) AS pick, fired_i IS NOT NULL AS by_guard
     FROM (SELECT *, {fired} AS fired_i FROM (SELECT *, list_filter(todo, lambda x: x.a <= t) AS come FROM (SELECT *, greatest(f1, todo[1].a) AS t FROM r WHERE len(todo) > 0))))),
 p AS (SELECT g, job_id, wait_us, place, forced FROM r WHERE job_id IS NOT NULL)"""
@@ -960,6 +960,18 @@ def multiway_bootstrap(spark, sf_dir):
     return both.groupBy("resample").agg(F.try_divide(F.sum(F.col("mu") * F.col("mi") * F.col("s")), F.sum(F.col("mu") * F.col("mi") * F.col("n"))).alias("mean"))
 
 
+@query("cluster_bootstrap", f"""WITH RECURSIVE {JOBS}, {_DRAWS_SQL}, c AS (SELECT d.resample, h.user_key, h.job_id * 100 + n AS job_id, h.arrival_us + ({_bits("d.resample", "h.week", "n")} % 4) * 604800000000 AS arrival_us, h.big_us, h.cost_us FROM h JOIN d ON d.block = h.week, range(0, 5) z(n) WHERE n < d.m),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY resample, user_key ORDER BY arrival_us, job_id) - 1 AS i FROM c),
+r0 AS (SELECT resample, user_key, list(struct_pack(i := i, a := arrival_us, w := big_us, sc := cost_us / 1e6::DOUBLE + (cost_us % 97)::DOUBLE) ORDER BY i) AS todo FROM ranked GROUP BY ALL),
+r AS (SELECT resample, user_key, todo, -9000000000000000000::BIGINT AS f1, -9000000000000000000::BIGINT AS f2, NULL::BIGINT AS wait_us FROM r0 UNION ALL
+  SELECT resample, user_key, list_filter(todo, lambda x: x.i <> pick.i), least(f2, t + pick.w), greatest(f2, t + pick.w), t - pick.a
+  FROM (SELECT *, list_sort(list_transform(list_filter(todo, lambda x: x.a <= t), lambda x: struct_pack(k := {_SCORED}, x := x)))[1].x AS pick FROM (SELECT *, greatest(f1, todo[1].a) AS t FROM r WHERE len(todo) > 0)))
+SELECT resample::INTEGER AS resample, 'SPJF' AS policy, quantile_cont(wait_us, 0.99) AS quantile FROM r WHERE wait_us IS NOT NULL GROUP BY resample""")
+def cluster_bootstrap(spark, sf_dir):
+    """Weeks are drawn, their jobs overlaid anew, and every overlay is replayed."""
+    return study.cluster_bootstrap(heavy_load(spark, sf_dir), "week", draws(spark), ["user_key"], SERVERS, [_SPJF], 0.99, weeks=4)
+
+
 # ---------------------------------------------------------------- search
 @query("grid_points", "SELECT b0_s, gam_s, eta, promise_s, CASE WHEN b0_s >= promise_s THEN 1 ELSE 0 END AS full_ FROM (SELECT unnest([60.0, 300.0, 600.0]::DOUBLE[]) AS b0_s), (SELECT unnest([0.0, 5.0]::DOUBLE[]) AS gam_s), (SELECT unnest([0.0, 0.1]::DOUBLE[]) AS eta), (SELECT unnest([300.0, 600.0]::DOUBLE[]) AS promise_s)")
 def grid_points(spark, sf_dir):
@@ -1261,13 +1273,34 @@ def sealed_read(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- online scores and controls
-@query("online_replay")
+_SEEN = "list_filter(s, lambda d: d.q = {x}.q AND d.e <= {x}.a)"
+
+
+def _online_sql(x: str) -> str:
+    """The mean work of the results of a job's item that are done by its arrival, weighed with one of a usual job."""
+    seen = _SEEN.format(x=x)
+    return f"(coalesce(list_sum(list_transform({seen}, lambda d: d.w)), 0) + 30000000.0::DOUBLE) / (len({seen}) + 1)"
+
+
+@query("online_replay", f"""WITH RECURSIVE {_dispatch_sql(f"struct_pack(a := {_online_sql('x')}, b := x.i)")}, o AS (SELECT p.g, p.job_id, p.wait_us, k.item_key, k.arrival_us, k.w_us, k.arrival_us + p.wait_us + k.w_us AS e FROM p JOIN ranked k USING (job_id))
+SELECT q.job_id, any_value(q.wait_us) AS wait_us, round((coalesce(sum(x.w_us), 0) + 30000000.0::DOUBLE) / (count(x.job_id) + 1), 3) AS score FROM o q LEFT JOIN o x ON x.g = q.g AND x.item_key = q.item_key AND x.e <= q.arrival_us GROUP BY q.job_id""")
 def online_replay(spark, sf_dir):
     from ..operators import online
 
     return online.online_replay(heavy_load(spark, sf_dir), ["user_key"], "item_key", SERVERS).select("job_id", "wait_us", F.round("score", 3).alias("score"))
 
 
+@query("refined_replay")
+def refined_replay(spark, sf_dir):
+    """Scores from the source's clock, less every result that a replay shows to have come too late."""
+    from ..operators import online
+
+    rows = clock.arrival_and_availability(heavy_load(spark, sf_dir), result_lag=0)
+    checkpointed(rows.limit(0))  # names the folder
+    out, _ = online.refined(rows, ["user_key"], "item_key", SERVERS)
+    return out.select("job_id", "wait_us", F.round("score", 3).alias("score"), "withheld")
+
+
 @query("withheld_history", f"""WITH {JOBS}, s AS (SELECT available_us AS at_us, 0 AS k, * FROM t WHERE job_id % 5 <> 0 UNION ALL SELECT arrival_us, 1, * FROM t),
 w AS (SELECT job_id, k, count(*) FILTER (k = 0) OVER (PARTITION BY item_key ORDER BY at_us, k, job_id) AS n FROM s) SELECT job_id, n AS open_n FROM w WHERE k = 1""")
 def withheld_history(spark, sf_dir):
