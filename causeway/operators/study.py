@@ -41,6 +41,21 @@ def busy_hour(jobs: DataFrame, by: Sequence[str]) -> DataFrame:
     return per.groupBy(*by).agg(F.max("_w").alias("busy_us"))
 
 
+def assembled(superposed: DataFrame, by: Sequence[str], loads: Sequence[float], labels: Sequence[str] = ()) -> DataFrame:
+    """Whole overlays: per trace the jobs in arrival order with rank, calendar week, labels, and servers for each load.
+
+    Weeks count from the first Monday of the clock; arrivals lose the whole
+    days before the trace after that. `servers` holds a number per load, from
+    the busiest hour.
+    """
+    order = Window.partitionBy(*by).orderBy("arrival_us", "job_id")
+    week = F.floor((F.col("arrival_us") - 4 * DAY) / WEEK)
+    ranked = superposed.withColumns({"rank": F.row_number().over(order) - 1, "calendar_week": week})
+    levels = busy_hour(superposed, by).select(*by, "busy_us", F.array(*(servers(F.col("busy_us"), x) for x in loads)).alias("servers"))
+    out = rebased(ranked, by).join(levels, list(by))
+    return out.select(*by, "job_id", F.col("rank").cast("long").alias("rank"), "arrival_us", "work_us", "calendar_week", *labels, "busy_us", "servers")
+
+
 def copies_probe(jobs: DataFrame, shifts: DataFrame, by: str) -> DataFrame:
     """(copies, busy_us) for 1, 2, ... copies, from hour histograms: jobs are never multiplied.
 

@@ -516,6 +516,16 @@ def level_servers(spark, sf_dir):
     return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
+@query("assembled_overlay", _OVERLAY.replace("SELECT a.job_id,", "SELECT a.job_id, a.deadline_us - a.arrival_us BETWEEN 0 AND 86400000000 AS in_window,") + """, b AS (SELECT copy, max(w) AS w FROM (SELECT copy, arrival_us // 3600000000 AS h, sum(work_us) AS w FROM o GROUP BY ALL) GROUP BY copy)
+SELECT o.copy::INTEGER AS copy, job_id, row_number() OVER (PARTITION BY o.copy ORDER BY arrival_us, job_id) - 1 AS rank, arrival_us - min(arrival_us) OVER (PARTITION BY o.copy) // 86400000000 * 86400000000 AS arrival_us, work_us, (arrival_us - 345600000000) // 604800000000 AS calendar_week, in_window,
+  w::BIGINT AS busy_us, greatest(1, floor(w::DOUBLE / 3600000000 / 0.05::DOUBLE + 0.5))::INTEGER || '|' || greatest(1, floor(w::DOUBLE / 3600000000 / 0.1::DOUBLE + 0.5))::INTEGER AS servers FROM o JOIN b USING (copy)""")
+def assembled_overlay(spark, sf_dir):
+    rows = timed(spark, sf_dir).withColumns({"term": (F.col("user_key") % 4).cast("string"), "in_window": clock.in_deadline_window(F.col("arrival_us"), F.col("deadline_us"))})
+    copies = study.superpose(rows, spark.createDataFrame(_ENTRY_ROWS, "copy int, term string, shift_weeks int"), "term")
+    out = study.assembled(copies, ["copy"], (0.05, 0.1), ["in_window"])
+    return out.withColumn("servers", F.array_join(F.transform("servers", lambda x: x.cast("string")), "|"))
+
+
 @query("arrival_compression", f"WITH {JOBS} SELECT job_id, floor((arrival_us - (SELECT min(arrival_us) FROM a)) * 0.25::DOUBLE)::BIGINT AS compressed_us FROM a")
 def arrival_compression(spark, sf_dir):
     rows = timed(spark, sf_dir)

@@ -189,3 +189,30 @@ def test_online_scores_by_pausing_and_by_rounds(spark, trace):
     paused = {r.job_id: (r.wait_us, r.score) for r in online.online_replay(jobs, ["t"], "key", 2).collect()}
     by_rounds, used = online.fixed_point(jobs, ["t"], "key", 2)
     assert {r.job_id: (r.wait_us, r.score) for r in by_rounds.collect()} == paused and used > 1
+
+
+def test_withholding_ends_without_late_results(spark, trace):
+    from causeway.operators import online
+
+    rows = []
+    for t in range(2):
+        arrival, service, _ = trace(24, 30 + t)
+        rows += [(t, i % 2, 100 * t + i, a, s, a + s) for i, (a, s) in enumerate(zip(arrival, service, strict=True))]
+    jobs = spark.createDataFrame(rows, "t long, key long, job_id long, arrival_us long, work_us long, available_us long")
+    got, used = online.refined(jobs, ["t"], "key", 1)
+    got = {r.job_id: (r.wait_us, r.score, r.withheld) for r in got.collect()}
+    for t in range(2):
+        own = [r for r in rows if r[0] == t]
+        gone = {r[2]: set() for r in own}
+        while True:
+            shown = {r[2]: [x for x in own if x[1] == r[1] and x[5] <= r[3] and x[2] not in gone[r[2]]] for r in own}
+            score = [(sum(x[4] for x in shown[r[2]]) + 30e6) / (len(shown[r[2]]) + 1) for r in own]
+            wait, _, _ = R.simulate([r[3] for r in own], [r[4] for r in own], score, 1, R.score_rule())
+            done = {r[2]: r[3] + int(w) + r[4] for r, w in zip(own, wait, strict=True)}
+            late = {r[2]: {x[2] for x in shown[r[2]] if done[x[2]] > r[3]} for r in own}
+            if not any(late.values()):
+                break
+            for i in gone:
+                gone[i] |= late[i]
+        assert {r[2]: got[r[2]] for r in own} == {r[2]: (int(w), s, len(gone[r[2]])) for r, w, s in zip(own, wait, score, strict=True)}
+    assert used > 1
