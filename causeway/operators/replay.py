@@ -189,6 +189,8 @@ def simulate(arrival: Sequence[int], service: Sequence[int], score: Sequence[flo
     `k` is a number, or steps (from when, how many) of a varying capacity:
     what runs is never stopped. Forced are dispatches by the guard.
     """
+    if isinstance(k, int) and rule.guard == "none":
+        return _simulate_plain(arrival, service, score, k, rule)
     n = len(arrival)
     wait, place, forced = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
     steps = [(-(1 << 62), k)] if isinstance(k, int) else sorted(k)
@@ -204,7 +206,7 @@ def simulate(arrival: Sequence[int], service: Sequence[int], score: Sequence[flo
     by_rank: list[int] = []  # waiting jobs by rank, with served ones to be skipped at the front
     head = waiting = arrived = done = step = 0
     servers = steps[0][1]
-    t = -(1 << 62)
+    t, never = -(1 << 62), 1 << 62
 
     def over(q: int) -> int:
         return charge.above(q)
@@ -236,8 +238,15 @@ def simulate(arrival: Sequence[int], service: Sequence[int], score: Sequence[flo
 
     while done < n:
         # the next instant at which anything happens
-        ahead = [x for x in (running[0][0] if running else None, arrival[arrived] if arrived < n else None, reports[0][0] if reports else None, steps[step + 1][0] if step + 1 < len(steps) else None) if x is not None]
-        t = max(t, min(ahead)) if ahead else t
+        ahead = running[0][0] if running else never
+        if arrived < n and arrival[arrived] < ahead:
+            ahead = arrival[arrived]
+        if reports and reports[0][0] < ahead:
+            ahead = reports[0][0]
+        if step + 1 < len(steps) and steps[step + 1][0] < ahead:
+            ahead = steps[step + 1][0]
+        if ahead != never and ahead > t:
+            t = ahead
         while step + 1 < len(steps) and steps[step + 1][0] <= t:
             step += 1
             servers = steps[step][1]
@@ -285,6 +294,36 @@ def simulate(arrival: Sequence[int], service: Sequence[int], score: Sequence[flo
     return wait, place, forced
 
 
+def _simulate_plain(arrival: Sequence[int], service: Sequence[int], score: Sequence[float], k: int, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A rule without a guard: from dispatch to dispatch, when a server is free and a job has come."""
+    n = len(arrival)
+    if rule.order == "fcfs":
+        rank = range(n)
+    else:
+        keys = (np.arange(n), np.asarray(score, float)) + ((np.arange(n) // rule.block,) if rule.order == "block" else ())
+        rank = np.empty(n, np.int64)
+        rank[order := np.lexsort(keys)] = np.arange(n)
+        rank, back = rank.tolist(), order.tolist()
+    start, place = [0] * n, [0] * n
+    t = -(1 << 62)
+    free, heap, arrived = [t] * k, [], 0
+    push, pop, put = heapq.heappush, heapq.heappop, heapq.heapreplace
+    for done in range(n):
+        if free[0] > t:
+            t = free[0]
+        if not heap and arrival[arrived] > t:
+            t = arrival[arrived]
+        while arrived < n and arrival[arrived] <= t:
+            push(heap, rank[arrived])
+            arrived += 1
+        j = pop(heap)
+        if rule.order != "fcfs":
+            j = back[j]
+        start[j], place[j] = t, done
+        put(free, t + service[j])
+    return np.array(start, np.int64) - np.array(arrival, np.int64), np.array(place, np.int64), np.zeros(n, bool)
+
+
 def simulate_closed(user: Sequence, think: Sequence[int], service: Sequence[int], score: Sequence[float], first: Sequence[int], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(arrival, wait) where a user's next job comes `think` after the last one's result.
 
