@@ -86,25 +86,25 @@ def running_sums(
     count as 0); it also yields `<output>_total`, the group's sum. `extra`
     may hold one row per group and is attached on the way.
     """
-    df = df.withColumn("_bucket", F.substring(key, 1, BUCKET_DIGITS))
-    parts = df.groupBy(*group, "_bucket").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(f"_part_{name}") for name, c in sums.items()))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    # one key for windows and join, null in it being a value like others, so that rows are shuffled once
+    df = df.withColumns({"_group": F.struct(*group), "_bucket": F.substring(key, 1, BUCKET_DIGITS)})
+    parts = df.groupBy("_group", "_bucket").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(f"_part_{name}") for name, c in sums.items()))
+    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_group")
     starts = parts.select(
-        *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)),
+        F.col("_group").alias("_g"),
         F.col("_bucket").alias("_b"),
         *(F.coalesce(F.sum(f"_part_{name}").over(before), F.lit(0)).alias(f"_start_{name}") for name in sums),
         *(F.sum(f"_part_{name}").over(whole).alias(f"{name}_total") for name in sums),
     )
     if extra is not None:
-        extra = extra.withColumnsRenamed({g: f"_x{i}" for i, g in enumerate(group)})
-        on = [F.col(f"_g{i}").eqNullSafe(F.col(f"_x{i}")) for i in range(len(group))]
-        starts = starts.join(extra, on).drop(*(f"_x{i}" for i in range(len(group))))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(key, *order).rowsBetween(Window.unboundedPreceding, -1)
+        extra = extra.select(F.struct(*group).alias("_x"), *(c for c in extra.columns if c not in group))
+        starts = starts.join(extra, F.col("_g") == F.col("_x")).drop("_x")
+    inside = Window.partitionBy("_group", "_bucket").orderBy(key, *order).rowsBetween(Window.unboundedPreceding, -1)
     for name, column in sums.items():
         df = df.withColumn(f"_inside_{name}", F.coalesce(F.sum(F.coalesce(column, F.lit(0))).over(inside), F.lit(0)))
-    on = [F.col("_bucket") == F.col("_b"), *(F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group))]
+    on = [F.col("_group") == F.col("_g"), F.col("_bucket") == F.col("_b")]
     joined = df.join(starts, on)
     for name in sums:
         joined = joined.withColumn(name, F.col(f"_inside_{name}") + F.col(f"_start_{name}"))
-    return joined.drop("_bucket", "_b", *(f"_g{i}" for i in range(len(group))), *(f"_inside_{n}" for n in sums), *(f"_start_{n}" for n in sums))
+    return joined.drop("_group", "_bucket", "_g", "_b", *(f"_inside_{n}" for n in sums), *(f"_start_{n}" for n in sums))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -365,22 +365,26 @@ def added(rows: DataFrame, model: Trees) -> DataFrame:
     return rows.where("free").where(chance).groupBy(F.col("_id").alias("_key")).agg(F.collect_set(F.struct("s", "k", "e")).alias("_added"))
 
 
-def selected(rows: DataFrame) -> DataFrame:
-    """`rows` (_text and others) with _base and _all: base spans, and these with the added ones, by start and kind.
+def selected(found: DataFrame) -> DataFrame:
+    """`found` (see candidates; with _fold) with _base and _all: base spans, and these with the added ones, by start and kind.
 
     Matches are written once with their rows, so that neither a lost executor
     nor a second use changes the numbers that rows are told by.
     """
-    fold = F.pmod(F.xxhash64("_text"), F.lit(HELD_OUT)).cast("int")
-    spans = materialise(candidates(rows).withColumns({"_fold": fold, "_id": F.monotonically_increasing_id()}), "spans")
-    found = judged(spans)
-    found = materialise(found, "candidates")
-    more = materialise(added(found, fit(found)), "added")
+    spans = materialise(found.withColumn("_id", F.monotonically_increasing_id()), "spans")
+    rows = materialise(judged(spans), "candidates")
+    more = materialise(added(rows, fit(rows)), "added")
+    discard(rows)
     out = spans.join(more, F.col("_id") == F.col("_key"), "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     return out.withColumn("_all", F.sort_array(F.concat("_base", F.coalesce("_added", none)))).drop("_wide", "_fold", "_id", "_key", "_added")
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """The candidates of `rows`, with the part of the texts that each belongs to."""
+    return candidates(rows).withColumn("_fold", F.pmod(F.xxhash64("_text"), F.lit(HELD_OUT)).cast("int"))
+
+
 def written(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
@@ -388,7 +392,7 @@ def written(spans: Column) -> Column:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: counts per kind and digest of base spans, and all spans."""
-    out = selected(docs.select("doc_id", F.col("text").alias("_text")))
+    out = selected(folded(docs.select("doc_id", F.col("text").alias("_text"))).drop("_text"))
     of_kind = lambda i: F.size(F.filter("_base", lambda x: x["k"] == i)).cast("long")
     counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_all")).alias("spans"))
@@ -396,7 +400,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with every selected span of the text replaced by its kind, overlapping ones as one."""
-    spans = selected(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")))
+    found = folded(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")))
+    # most documents have no match at all and aren't written; they are told by matching once more
+    some = (F.size("_base") > 0) | (F.size("_wide") > 0)
+    spans = selected(found.where(some))
     # a span opens a new one where it starts at or after all ends before it
     spans = spans.withColumn("_stops", F.when(F.size("_all") > 0, F.transform("_all", lambda x: x["e"])))
     spans = spans.withColumn("_ends", F.when(F.size("_stops") > 0, running(F.col("_stops"), F.greatest)))
@@ -414,4 +421,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("_all") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(row("n_chars"))
-    return out.select(*(new.get(c, row(c)).alias(c) for c in docs.columns))
+    return found.where(~some).select("_row.*").unionByName(out.select(*(new.get(c, row(c)).alias(c) for c in docs.columns)))
