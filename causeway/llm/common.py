@@ -34,12 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
     It is the one of the session's configuration. Only where none is
-    configured, as in local tests, a local one is made.
+    configured and the master is local, as in tests, one is made; on a cluster
+    a folder of one machine would be of no use.
     """
     ship(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeway-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="causeway-"))
     return context.getCheckpointDir()
 
 
