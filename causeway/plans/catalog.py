@@ -697,7 +697,13 @@ def _per_user(spark, sf_dir, f, schema="job_id long, arrival_us long, wait_us lo
     return heavy_load(spark, sf_dir).select(*columns).groupBy("user_key").applyInPandas(lambda pdf: f(pdf.sort_values(["arrival_us", "job_id"]).reset_index(drop=True)), schema)
 
 
-@query("replay_closed_loop")
+@query("replay_closed_loop", f"""WITH RECURSIVE {JOBS}, ranked AS (SELECT *, cost_us / 1e6::DOUBLE + (cost_us % 97)::DOUBLE AS sc, row_number() OVER (PARTITION BY user_key ORDER BY arrival_us, job_id) - 1 AS i FROM h),
+r0 AS (SELECT user_key AS g, list(struct_pack(i := i, o := job_id % 5, a := arrival_us, w := big_us, sc := sc, id := job_id) ORDER BY i) AS todo FROM ranked GROUP BY user_key),
+r AS (SELECT g, todo, []::STRUCT(o BIGINT, e BIGINT)[] AS ended, -9000000000000000000::BIGINT AS f1, -9000000000000000000::BIGINT AS f2, NULL::BIGINT AS job_id, NULL::BIGINT AS arrival_us, NULL::BIGINT AS wait_us FROM r0 UNION ALL
+  SELECT g, list_filter(todo, lambda x: x.i <> pick.i), list_append(list_filter(ended, lambda y: y.o <> pick.o), struct_pack(o := pick.o, e := t + pick.w)), least(f2, t + pick.w), greatest(f2, t + pick.w), pick.id, pick.a, t - pick.a
+  FROM (SELECT *, list_sort(list_transform(list_filter(come, lambda x: x.a <= t), lambda x: struct_pack(k := {_SCORED}, x := x)))[1].x AS pick FROM (SELECT *, greatest(f1, list_min(list_transform(come, lambda x: x.a))) AS t FROM (
+    SELECT *, list_transform(list_filter(todo, lambda x: len(list_filter(todo, lambda y: y.o = x.o AND y.i < x.i)) = 0), lambda x: struct_pack(i := x.i, o := x.o, a := coalesce(list_filter(ended, lambda y: y.o = x.o)[1].e + 3600000000, x.a), w := x.w, sc := x.sc, id := x.id)) AS come FROM r WHERE len(todo) > 0))))
+SELECT job_id, arrival_us, wait_us FROM r WHERE job_id IS NOT NULL""")
 def replay_closed_loop(spark, sf_dir):
     def run(pdf):
         owner = (pdf["job_id"] % 5).tolist()
@@ -1352,10 +1358,14 @@ def same_phase_work(spark, sf_dir):
     return rows.select("job_id", F.coalesce(F.sum("work_us").over(later), F.lit(0)).alias("phase_us"))
 
 
-@query("single_server_pool")
+@query("single_server_pool", f"""WITH RECURSIVE {JOBS}, p AS (SELECT user_key % 40 AS term, arrival_us // 3600000000 AS h, sum(work_us)::BIGINT AS w FROM t GROUP BY ALL), l AS (SELECT term, list(struct_pack(h := h, w := w)) AS hist FROM p GROUP BY term), g AS (SELECT list(struct_pack(t := term, hist := hist)) AS every FROM l),
+r AS (SELECT every, []::BIGINT[] AS chosen, MAP {{}}::MAP(BIGINT, BIGINT) AS load, 0::BIGINT AS peak FROM g UNION ALL
+  SELECT every, list_append(chosen, pick.t), map_from_entries(list_concat(list_filter(map_entries(load), lambda e: NOT list_contains(list_transform(pick.hist, lambda y: y.h), e.key)), list_transform(pick.hist, lambda y: struct_pack("key" := y.h, "value" := y.w + coalesce(load[y.h], 0))))), pick.p
+  FROM (SELECT *, list_sort(list_transform(list_filter(every, lambda z: NOT list_contains(chosen, z.t)), lambda z: struct_pack(p := greatest(peak, list_max(list_transform(z.hist, lambda y: y.w + coalesce(load[y.h], 0)))), t := z.t, hist := z.hist)))[1] AS pick FROM r) WHERE pick.p <= 450000000)
+SELECT (unnest(range(len(chosen))))::INTEGER AS place, unnest(chosen) AS term FROM (SELECT chosen FROM r ORDER BY len(chosen) DESC LIMIT 1)""")
 def single_server_pool(spark, sf_dir):
     histogram = timed(spark, sf_dir).groupBy((F.col("user_key") % 40).alias("term"), F.floor(F.col("arrival_us") / clock.HOUR).alias("hour")).agg(F.sum("work_us").alias("work"))
-    chosen = study.single_server_pool(histogram, "term", "hour", "work", clock.HOUR // 8)
+    chosen = study.single_server_pool(checkpointed(histogram), "term", "hour", "work", clock.HOUR // 8)
     return spark.createDataFrame(list(enumerate(chosen)), "place int, term long")
 
 
