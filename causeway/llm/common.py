@@ -20,8 +20,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_DIGITS = 3
 
 
+#: Rows of an Arrow batch of texts, some of which are very long: a Python worker holds a batch or two.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
