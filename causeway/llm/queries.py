@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_topk, fill_middle, filter_audit, mixing, packing, pii, sharding, simhash, substring_dedup, token_store, toxicity
+from . import ann, exact_topk, fill_middle, filter_audit, language, mixing, packing, pii, sharding, simhash, substring_dedup, token_store, toxicity
 from .common import documents, embeddings
 
 
@@ -51,6 +51,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_language": op11_language,
     "op12_filter_audit": op12_filter_audit,
     "op13_fill_middle": op13_fill_middle,
 }
