@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-#: Results in a rolling window.
-RECENT = 120
-
+from .sliding import RECENT, sliding
 
 def merged_stream(jobs: DataFrame, carry: Sequence[str], eligible: Column | None = None, strict: bool = False) -> DataFrame:
     """(at_us, kind, job_id, *carry): three rows per job, or two where its result isn't eligible.
@@ -39,13 +37,13 @@ def stream_window(by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy("at_us", "kind", "job_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _is_result() -> Column:
+def is_result() -> Column:
     return F.col("kind").isin(0, 3)
 
 
 def of_results(value: Column) -> Column:
     """A value of result rows, null on others."""
-    return F.when(_is_result(), value)
+    return F.when(is_result(), value)
 
 
 def read_off(stream: DataFrame, by: Sequence[str], features: Mapping[str, Column]) -> DataFrame:
@@ -82,40 +80,11 @@ def registered(stream: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
     return read_off(stream, by, {f"{prefix}_arrived": F.count(arrived), f"{prefix}_last_us": F.max(arrived)})
 
 
-def nearest_rank(sorted_values: Column, p: float) -> Column:
-    """The value at place floor(p (n - 1) + 1/2) of a sorted array, from 0."""
-    n = F.size(sorted_values)
-    place = F.floor(F.lit(p) * (n - 1) + F.lit(0.5)).cast("int") + 1
-    return F.when(n > 0, F.try_element_at(sorted_values, F.least(n, place)))
-
-
 def recent_results(jobs: DataFrame, by: Sequence[str], size: int = RECENT, quantiles: Sequence[float] = (0.5, 0.9)) -> DataFrame:
-    """Quantiles and maximum of the last `size` readable results of a key, at each job's arrival.
-
-    The rolling window runs on results alone, which are fewer than the merged
-    rows; reading it is an as-of join that carries a small struct.
-    """
-    results = jobs.select(*by, "available_us", F.col("job_id").alias("r"), "work_us")
-    order = Window.partitionBy(*by).orderBy("available_us", "r").rowsBetween(1 - size, Window.currentRow)
-    window = F.array_sort(F.collect_list("work_us").over(order))
-    state = results.withColumn("_w", window).select(
-        *by,
-        "available_us",
-        "r",
-        F.struct(
-            F.size("_w").alias("n"),
-            *(nearest_rank(F.col("_w"), p).alias(f"p{round(100 * p)}") for p in quantiles),
-            F.array_max("_w").alias("top"),
-        ).alias("state"),
-    )
-    legs = state.select(*by, F.col("available_us").alias("at_us"), F.lit(0).alias("kind"), F.col("r").alias("job_id"), "state").unionByName(
-        jobs.select(*by, F.col("arrival_us").alias("at_us"), F.lit(1).alias("kind"), "job_id"), allowMissingColumns=True
-    )
-    # a result that is readable at its own arrival isn't known to the job itself
-    own = jobs.where("available_us = arrival_us").select("job_id", F.lit(True).alias("own"))
-    legs = legs.join(own, "job_id", "left").withColumn("kind", F.when(F.col("own") & (F.col("kind") == 0), 3).otherwise(F.col("kind"))).drop("own")
-    rows = legs.withColumn("s", F.last("state", ignorenulls=True).over(stream_window(by))).where("kind = 1")
-    return rows.select("job_id", F.coalesce("s.n", F.lit(0)).alias("n"), *(F.col(f"s.p{round(100 * p)}").alias(f"p{round(100 * p)}_us") for p in quantiles), F.col("s.top").alias("max_us"))
+    """Quantiles and maximum of the last `size` readable results of a key, at each job's arrival."""
+    rows = sliding(merged_stream(jobs, [*by, "work_us"]), by, "work_us", quantiles, size)
+    names = [f"p{round(100 * p)}" for p in quantiles]
+    return rows.select("job_id", "n", *(F.col(c).alias(f"{c}_us") for c in names), F.col("top").alias("max_us"))
 
 
 def tercile(mean: Column, low: float, high: float) -> Column:

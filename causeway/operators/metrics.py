@@ -49,32 +49,39 @@ def dispersion(value: Column) -> Column:
 RANGES = 256
 
 
-def running_sums(rows: DataFrame, along: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """`rows`, one per value of `along`, with sums of all rows up to each: {output: summed column}.
+def running_sums(rows: DataFrame, along: str, sums: dict[str, str], descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """`rows`, one per value of `along` (and `by`), with sums of all rows up to each: {output: summed column}.
 
     Values are cut into ranges at approximate quantiles, sums run inside a
     range, and each range starts at the sum of those before it, from a table of
-    RANGES rows. So no task sees all rows, and the sums are exact.
+    RANGES rows a group. So no task sees all rows, and the sums are exact.
     """
     cuts = sorted(set(rows.approxQuantile(along, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
     value = F.col(along)
     part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: F.coalesce(c < value, F.lit(False)))).cast("int") if cuts else F.lit(0)
     rows = rows.withColumn("_part", -part if descending else part)
-    inside = Window.partitionBy("_part").orderBy(value.desc() if descending else value.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = rows.groupBy(F.col("_part").alias("_p")).agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
-    starts = totals.select("_p", *(F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_s_{name}") for name in sums))
-    joined = rows.withColumns({f"_i_{name}": F.sum(c).over(inside) for name, c in sums.items()}).join(F.broadcast(starts), F.col("_part") == F.col("_p"))
-    return joined.withColumns({name: F.col(f"_i_{name}") + F.col(f"_s_{name}") for name in sums}).drop("_part", "_p", *(f"_{x}_{name}" for x in "is" for name in sums))
+    inside = Window.partitionBy(*by, "_part").orderBy(value.desc() if descending else value.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = {c: f"_g{i}" for i, c in enumerate(by)}
+    totals = rows.groupBy(*(F.col(c).alias(k) for c, k in keys.items()), F.col("_part").alias("_p")).agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
+    before = Window.partitionBy(*keys.values()).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows a group
+    starts = totals.select(*keys.values(), "_p", *(F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_s_{name}") for name in sums))
+    on = [F.col("_part") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items())]
+    joined = rows.withColumns({f"_i_{name}": F.sum(c).over(inside) for name, c in sums.items()}).join(starts if by else F.broadcast(starts), on)
+    return joined.withColumns({name: F.col(f"_i_{name}") + F.col(f"_s_{name}") for name in sums}).drop("_part", "_p", *keys.values(), *(f"_{x}_{name}" for x in "is" for name in sums))
 
 
 def auroc(rows: DataFrame, score: str, label: str, weight: Column | None = None) -> DataFrame:
     """One row (auroc): half a point for ties; null if there is one class only."""
+    return auroc_by(rows, (), score, label, weight).select("auroc")
+
+
+def auroc_by(rows: DataFrame, by: Sequence[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
+    """(by, positives, negatives, auroc) of each group, such as users with little history; sums of weights where there are any."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    per = rows.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("q"))
-    below = running_sums(per, score, {"_b": "q"})
-    pairs = below.agg(F.sum(F.col("p") * (F.col("_b") - F.lit(0.5) * F.col("q"))).alias("a"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return pairs.select(F.try_divide(F.col("a"), F.col("p") * F.col("q")).alias("auroc"))
+    per = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("q"))
+    below = running_sums(per, score, {"_b": "q"}, by=by)
+    pairs = below.groupBy(*by).agg(F.sum(F.col("p") * (F.col("_b") - F.lit(0.5) * F.col("q"))).alias("a"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+    return pairs.select(*by, "positives", "negatives", F.try_divide(F.col("a"), F.col("positives") * F.col("negatives")).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:

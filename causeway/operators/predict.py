@@ -4,47 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import keyed_bits
+from .boosting import Boosting, Model, fit
 
-def training_rows(jobs: DataFrame, term: str, target) -> DataFrame:
-    """Jobs of earlier terms whose results were readable before the target term began."""
-    start = jobs.where(F.col(term) == target).agg(F.min("arrival_us").alias("_start"))
-    rows = jobs.where(F.col(term) < target).crossJoin(F.broadcast(start))  # one row
-    return rows.where(F.col("available_us") < F.col("_start")).drop("_start")
-
-
-def fit_scores(rows: DataFrame, features: Sequence[str], label: str, kind: str = "tweedie", seed: int = 0) -> PipelineModel:
-    """A model of work: tweedie (power 1.5, log link) or boosted trees on log1p."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
-    if kind == "tweedie":
-        model = GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, featuresCol="_x", labelCol="_y", predictionCol="prediction", regParam=0.1, maxIter=25)
-        target = F.col(label)
-    elif kind == "log":
-        model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="prediction", maxIter=15, maxDepth=4, seed=seed)
-        target = F.log1p(F.col(label))
-    else:
-        raise ValueError("kind must be tweedie or log")
-    return Pipeline(stages=[assembler, model]).fit(rows.withColumn("_y", target.cast("double")))
-
-
-def scores(jobs: DataFrame, term: str, targets: Sequence, features: Sequence[str], label: str, kind: str = "tweedie") -> DataFrame:
-    """(job_id, term, prediction) of each target term by its own model; terms without a past are left out."""
-    out = None
-    for target in targets:
-        past = training_rows(jobs, term, target)
-        if past.limit(1).count() == 0:
-            continue
-        model = fit_scores(past, features, label, kind)
-        part = model.transform(jobs.where(F.col(term) == target)).select("job_id", term, "prediction")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no term has a past to learn from")
-    return out
+
+def training_pairs(rows: DataFrame, term: str, target: str = "target") -> DataFrame:
+    """`rows` with `target`: one for each later term that began after the row's result was readable.
+
+    Terms come to the driver, since each is a model.
+    """
+    starts = rows.where(F.col(term).isNotNull()).groupBy(term).agg(F.min("arrival_us").alias("start")).orderBy(term).collect()
+    if not starts:
+        return rows.withColumn(target, F.col(term)).limit(0)
+    terms = F.array(*(F.struct(F.lit(r[term]).cast(rows.schema[term].dataType).alias("term"), F.lit(r.start).alias("start")) for r in starts))
+    later = F.filter(terms, lambda t: (t["term"] > F.col(term)) & (F.col("available_us") < t["start"]))
+    return rows.withColumn("_t", F.explode(later)).withColumn(target, F.col("_t.term")).drop("_t")
+
+
+def rolling_models(rows: DataFrame, term: str, features: Sequence[str], label: str, spec: Boosting = Boosting()) -> Model:
+    """A frozen model per target term, all fitted in one plan; bins, start scores and trees know no row of their target."""
+    return fit(training_pairs(rows, term), ["target"], features, label, spec)
+
+
+def forward_scores(model: Model, rows: DataFrame, term: str, name: str = "prediction") -> DataFrame:
+    """`rows` with the score by their own term's model; rows of terms without a past are left out.
+
+    The histories may have changed since the fit: nothing is learned here.
+    """
+    return model.score(rows.withColumn("target", F.col(term)), name).where(F.col(name).isNotNull()).drop("target")
+
+
+def drawn(seed: Column, share: float, *keys: str) -> Column:
+    """Whether a row is in the part that a seed draws, from its keys alone."""
+    return keyed_bits(seed, *(F.col(k) for k in keys)).cast("double") * F.lit(2.0**-52) < F.lit(share)
+
+
+def ensemble(rows: DataFrame, by: Sequence[str], features: Sequence[str], label: str, seeds: Sequence[int], share: float, key: str, spec: Boosting) -> Model:
+    """Models of `by` for every seed, each of the part of rows that the seed draws, fitted in one plan."""
+    seeded = rows.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds)))).where(drawn(F.col("seed"), share, key))
+    return fit(seeded, [*by, "seed"], features, label, spec)
+
+
+def averaged(model: Model, rows: DataFrame, seeds: Sequence[int], key: str, name: str = "prediction") -> DataFrame:
+    """(key, prediction): the mean over an ensemble's seeds. `rows` has the other columns that models are told by."""
+    seeded = rows.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
+    return model.score(seeded, name).groupBy(key).agg(F.avg(name).alias(name)).where(F.col(name).isNotNull())
+
+
+def calibrated(model: Model, past: DataFrame, rows: DataFrame, by: Sequence[str], label: str, name: str = "prediction", bins: int = 20) -> DataFrame:
+    """`rows` (with predictions) with `calibrated`: the share of true labels among `past` rows in the same bin of the prediction.
+
+    Bins are equal steps; a bin's share leans to the middle of its predictions
+    by one row, so empty bins give that.
+    """
+    step = lambda c: F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("int")
+    seen = past.withColumn("_bin", step(name)).groupBy(*by, "_bin").agg(F.sum(F.col(label).cast("double")).alias("_t"), F.count("*").alias("_n"))
+    out = rows.withColumn("_bin", step(name)).join(seen, [*by, "_bin"], "left")
+    middle = (F.col("_bin") + F.lit(0.5)) / F.lit(float(bins))
+    share = (F.coalesce("_t", F.lit(0.0)) + middle) / (F.coalesce("_n", F.lit(0)) + F.lit(1.0))
+    return out.withColumn("calibrated", share).drop("_bin", "_t", "_n")
 
 
 def superposition_forecast(panel: DataFrame, group: str, phase: str, value: str) -> DataFrame:

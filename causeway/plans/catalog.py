@@ -240,6 +240,64 @@ def relational_block(spark, sf_dir):
     return rows.select("job_id", "alike_n", "alike_mean_us")
 
 
+def _block_sql() -> str:
+    frame = "ORDER BY at_us, k, twin, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    own = "FILTER (k = 0 AND sub)"
+    sums = lambda p, *what: ", ".join([f"count(*) {own} OVER {p} AS {p}_n", *(f"coalesce(sum({'lg::HUGEINT * lg' if c == 'square' else c}) {own} OVER {p}, 0) AS {p}_{c}" for c in what)])
+    mean = lambda p, c, unit="": f"CASE WHEN {p}_n > 0 THEN {p}_{c}::DOUBLE / {p}_n END{unit}"
+    micro = " / 1e6::DOUBLE"
+    sd = lambda p: f"CASE WHEN {p}_n > 0 THEN sqrt(greatest({p}_square::DOUBLE / {p}_n - ({p}_lg::DOUBLE / {p}_n) * ({p}_lg::DOUBLE / {p}_n), 0)) / 1e6::DOUBLE END"
+    rest = lambda c, unit="": f"CASE WHEN a_n > b_n THEN (a_{c} - b_{c})::DOUBLE / (a_n - b_n){unit} END"
+    related = {
+        "alike_log": "(" + mean("t", "lg") + ")" + micro, "alike_heavy": mean("t", "heavy"),
+        "other_log": rest("lg", micro), "other_heavy": rest("heavy"), "class_log": "(" + mean("c", "lg") + ")" + micro,
+    }
+    recent = lambda key, p: f"""{p}r AS (SELECT {key} AS key, available_us, job_id, list_sort(list(lg) OVER (PARTITION BY {key} ORDER BY available_us, job_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)) AS w FROM v WHERE sub),
+{p}u AS (SELECT key, available_us AS at_us, 0 AS k, job_id, w FROM {p}r UNION ALL SELECT {key}, arrival_us, 1, job_id, NULL FROM v WHERE sub),
+{p}l AS (SELECT job_id, k, last_value(w IGNORE NULLS) OVER (PARTITION BY key ORDER BY at_us, k, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM {p}u)"""
+    at = lambda p: f"w[least(len(w), floor({p} * (len(w) - 1) + 0.5)::BIGINT + 1)] / 1e6::DOUBLE"
+    since = lambda last: f"ln(1 + (at_us - {last}) / 1e6::DOUBLE)"
+    return f"""WITH {JOBS},
+v AS (SELECT t.*, NOT is_result_only AS sub, (work_us > (SELECT quantile_cont(work_us, 0.95) FROM t WHERE NOT is_result_only))::INTEGER AS heavy, cost_us % 20 + 1 AS tests,
+  floor(ln(1 + work_us / 1e6::DOUBLE) * 1e6::DOUBLE + 0.5)::BIGINT AS lg FROM t),
+s AS (SELECT available_us AS at_us, 0 AS k, 0 AS twin, * FROM v UNION ALL SELECT arrival_us, 1, 0, * FROM v WHERE sub
+  UNION ALL SELECT arrival_us, 1, 1, * REPLACE ((item_key * 7 + 3) % 100 AS item_key, week::VARCHAR || '|' || ((item_key * 3 + 1) % 10)::VARCHAR AS assessment) FROM v WHERE sub UNION ALL SELECT arrival_us, 2, 0, * FROM v),
+su AS (SELECT *, {sums('u', 'lg', 'square', 'is_error', 'heavy')}, count(*) FILTER (k = 2 AND sub) OVER u AS u_arrived, max(at_us) FILTER (k = 2) OVER u AS u_last_us,
+  arg_max(is_error, (arrival_us, job_id)) FILTER (k = 0) OVER u AS prev_err FROM s WINDOW u AS (PARTITION BY user_key {frame})),
+sv AS (SELECT *, (CASE WHEN u_n = 0 THEN 1 WHEN u_lg::DOUBLE / u_n / 1e6::DOUBLE < 3.2 THEN 0 WHEN u_lg::DOUBLE / u_n / 1e6::DOUBLE < 3.5 THEN 1 ELSE 2 END) AS tercile FROM su),
+sw AS (SELECT *, {sums('e', 'lg', 'square', 'is_error', 'heavy', 'tests')}, count(*) FILTER (k = 2 AND sub) OVER e AS e_arrived, {sums('t', 'lg', 'heavy')}, {sums('c', 'lg')}, {sums('b', 'lg', 'heavy')}, {sums('a', 'lg', 'heavy')},
+  count(*) FILTER (k = 2 AND sub) OVER p AS p_arrived, max(at_us) FILTER (k = 2 AND sub) OVER p AS p_last_us, arg_max(lg, (arrival_us, job_id)) {own} OVER p AS p_lg, arg_max(is_error, (arrival_us, job_id)) {own} OVER p AS p_err
+  FROM sv WINDOW e AS (PARTITION BY item_key {frame}), t AS (PARTITION BY item_key, tercile {frame}), c AS (PARTITION BY item_key, class_term {frame}), b AS (PARTITION BY item_key, assessment {frame}),
+  a AS (PARTITION BY assessment {frame}), p AS (PARTITION BY item_key, user_key {frame})),
+x AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in related.items())} FROM sw WHERE k = 1),
+{recent('item_key', 'i')}, {recent('user_key', 'u')}
+SELECT x.job_id, e_arrived AS ex_n, ({mean('e', 'lg')}){micro} AS ex_mean, {sd('e')} AS ex_sd, {mean('e', 'is_error')} AS ex_err, {mean('e', 'heavy')} AS ex_heavy, {mean('e', 'tests')} AS ex_tests,
+  u_arrived AS u_n, ({mean('u', 'lg')}){micro} AS u_mean, {sd('u')} AS u_sd, {mean('u', 'is_error')} AS u_err, {mean('u', 'heavy')} AS u_heavy,
+  p_arrived AS pair_n, p_lg / 1e6::DOUBLE AS pair_last_log, p_err AS pair_last_err, round({since('p_last_us')}, 9) AS pair_since, prev_err, round({since('u_last_us')}, 9) AS prev_since,
+  {", ".join(f"x.{n}" for n in related)}, {", ".join(f"y.{n} AS permuted_{n}" for n in related)},
+  i.p50 AS ex_p50, i.p90 AS ex_p90, i.top AS ex_max, z.p50 AS u_p50, z.p90 AS u_p90
+FROM x JOIN (SELECT job_id, {", ".join(related)} FROM x WHERE twin = 1) y ON x.job_id = y.job_id AND x.twin = 0
+JOIN (SELECT job_id, {at('0.5')} AS p50, {at('0.9')} AS p90, list_max(w) / 1e6::DOUBLE AS top FROM il WHERE k = 1) i ON i.job_id = x.job_id
+JOIN (SELECT job_id, {at('0.5')} AS p50, {at('0.9')} AS p90 FROM ul WHERE k = 1) z ON z.job_id = x.job_id"""
+
+
+def submissions(spark, sf_dir):
+    """Jobs with the columns that the feature block reads."""
+    rows = timed(spark, sf_dir)
+    flagged = rows.crossJoin(F.broadcast(history.heavy_threshold(rows)))  # one row
+    return flagged.withColumns({"is_submission": ~F.col("is_result_only"), "heavy": (F.col("work_us") > F.col("heavy_us")).cast("int"), "tests": F.col("cost_us") % 20 + 1})
+
+
+@query("feature_block", _block_sql())
+def feature_block(spark, sf_dir):
+    """All columns of history and relations of each submission, with the permuted control."""
+    from ..operators import blocks
+
+    other_assessment = clock.composite(F.col("week"), (F.col("item_key") * 3 + 1) % 10)
+    rows = blocks.feature_block(submissions(spark, sf_dir), 3.2, 3.5, (F.col("item_key") * 7 + 3) % 100, other_assessment)
+    return rows.withColumns({c: F.round(c, 9) for c in ("pair_since", "prev_since")})
+
+
 @query("register_counts", f"""WITH {STREAM}, w AS (SELECT job_id, k, count(*) FILTER (k = 2) OVER v AS user_arrived, max(at_us) FILTER (k = 2) OVER v AS user_last_us FROM s
   WINDOW v AS (PARTITION BY user_key ORDER BY at_us, k, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT job_id, user_arrived, user_last_us FROM w WHERE k = 1""")
 def register_counts(spark, sf_dir):
@@ -1163,12 +1221,7 @@ def rolling_origin_mask(spark, sf_dir):
     """For each week the jobs that its model may learn from."""
     from ..operators import predict
 
-    rows = timed(spark, sf_dir)
-    parts = [predict.training_rows(rows, "week", w).select(F.lit(w).cast("long").alias("target"), "job_id") for w in _terms(rows)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    return predict.training_pairs(timed(spark, sf_dir), "week").select("target", "job_id")
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
@@ -1190,20 +1243,77 @@ def _featured(spark, sf_dir):
 _FEATURES = ("item_n", "item_mean_us", "item_err", "user_n", "user_mean_us", "user_err")
 
 
-@query("tweedie_scores")
+_SPEC = {"rounds": 10, "depth": 3, "bins": 16}
+_FEATURES_SQL = f"""{JOBS[: JOBS.index(",\nh AS")]},
+s AS (SELECT available_us AS at_us, 0 AS k, * FROM t UNION ALL SELECT arrival_us, 1, * FROM t),
+hist AS (SELECT *, {", ".join(f"count(*) FILTER (k = 0) OVER {w} AS {w}n, coalesce(sum(work_us) FILTER (k = 0) OVER {w}, 0)::DOUBLE AS {w}w, coalesce(sum(is_error) FILTER (k = 0) OVER {w}, 0)::DOUBLE AS {w}e" for w in ("wi", "wu"))}
+  FROM s WINDOW {", ".join(f"{w} AS (PARTITION BY {key} ORDER BY at_us, k, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for w, key in (("wi", "item_key"), ("wu", "user_key")))}),
+f AS (SELECT job_id, week, user_key, arrival_us, available_us, work_us, work_us / 1e6::DOUBLE AS label, {", ".join(f"{w}n::DOUBLE AS x{3 * i + 1}, CASE WHEN {w}n > 0 THEN {w}w / {w}n ELSE -1 END AS x{3 * i + 2}, CASE WHEN {w}n > 0 THEN {w}e / {w}n ELSE -1 END AS x{3 * i + 3}" for i, w in enumerate(("wi", "wu")))}
+  FROM hist WHERE k = 1)"""
+
+
+def _boosted_sql(pairs: str, loss: str, features: int = 6, rounds: int = 10, depth: int = 3, bins: int = 16, rate: float = 0.1, shrink: float = 1.0, least_rows: int = 20, least_gain: float = 1e-6) -> str:
+    """SQL that grows the same trees: `pairs` has model, job_id, y (as learned), train and x1.. ; ends with a table scored (model, job_id, raw)."""
+    start = {"tweedie": "ln(greatest(avg(y), 1e-6))", "log": "avg(y)", "logistic": "ln(least(greatest(avg(y), 1e-6), 1 - 1e-6) / (1 - least(greatest(avg(y), 1e-6), 1 - 1e-6)))"}[loss]
+    g, h = {
+        "tweedie": ("exp(0.5::DOUBLE * raw) - y * exp(-0.5::DOUBLE * raw)", "0.5::DOUBLE * exp(0.5::DOUBLE * raw) + 0.5::DOUBLE * y * exp(-0.5::DOUBLE * raw)"),
+        "log": ("raw - y", "1.0::DOUBLE"),
+        "logistic": ("1.0::DOUBLE / (1.0::DOUBLE + exp(-raw)) - y", "exp(-raw) / ((1.0::DOUBLE + exp(-raw)) * (1.0::DOUBLE + exp(-raw)))"),
+    }[loss]
+    at = ", ".join(f"{i / bins}::DOUBLE" for i in range(1, bins))
+    names = range(1, features + 1)
+    out = [
+        f"pr AS MATERIALIZED ({pairs})",
+        f"cu AS MATERIALIZED (SELECT model, round({start}, 9) AS start, {', '.join(f'list_distinct(quantile_disc(x{i}, [{at}])) AS c{i}' for i in names)} FROM pr WHERE train GROUP BY model)",
+        f"r0 AS MATERIALIZED (SELECT model, job_id, y, train, start AS raw, [{', '.join(f'1 + len(list_filter(c{i}, lambda z: z < x{i}))' for i in names)}] AS x FROM pr JOIN cu USING (model))",
+    ]
+    unit = "1048576::DOUBLE"
+    part = lambda a, b: f"({a}) * ({a}) / (({b}) + {shrink}::DOUBLE)"
+    for r in range(rounds):
+        out.append(f"n{r}_0 AS (SELECT *, 1 AS node, floor(({g}) * {unit} + 0.5)::BIGINT AS g, floor(({h}) * {unit} + 0.5)::BIGINT AS h FROM r{r})")
+        for d in range(depth):
+            n = f"n{r}_{d}"
+            left, right = ("lg", "lh"), ("ag - lg", "ah - lh")
+            u = lambda c: f"({c})::DOUBLE / {unit}"
+            both = lambda pair: [u(c) if "-" not in c else " - ".join(u(z) for z in c.split(" - ")) for c in pair]
+            gain = f"{part(*both(left))} + {part(*both(right))} - {part(*both(('ag', 'ah')))}"
+            out += [
+                f"h{r}_{d} AS (SELECT model, node, f, x[f] AS bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM (SELECT *, unnest(range(1, {features + 1})) AS f FROM {n} WHERE train) GROUP BY ALL)",
+                f"w{r}_{d} AS (SELECT model, node, f, bin, sum(g) OVER o AS lg, sum(h) OVER o AS lh, sum(n) OVER o AS ln, sum(g) OVER a AS ag, sum(h) OVER a AS ah, sum(n) OVER a AS an FROM h{r}_{d} WINDOW a AS (PARTITION BY model, node, f), o AS (PARTITION BY model, node, f ORDER BY bin))",
+                f"k{r}_{d} AS MATERIALIZED (SELECT model, node, f, bin FROM (SELECT *, {gain} AS gain FROM w{r}_{d}) WHERE ln >= {least_rows} AND an - ln >= {least_rows} AND gain > {least_gain} QUALIFY row_number() OVER (PARTITION BY model, node ORDER BY gain DESC, f, bin) = 1)",
+                f"n{r}_{d + 1} AS MATERIALIZED (SELECT a.* REPLACE (2 * a.node + CASE WHEN a.x[k.f] > k.bin THEN 1 ELSE 0 END AS node) FROM {n} a LEFT JOIN k{r}_{d} k ON a.model = k.model AND a.node = k.node)",
+            ]
+        n = f"n{r}_{depth}"
+        out += [
+            f"v{r} AS (SELECT model, node, -{rate}::DOUBLE * (sum(g)::DOUBLE / {unit}) / (sum(h)::DOUBLE / {unit} + {shrink}::DOUBLE) AS v FROM {n} WHERE train GROUP BY ALL)",
+            f"r{r + 1} AS MATERIALIZED (SELECT a.model, job_id, y, train, raw + coalesce(v, 0) AS raw, x FROM {n} a LEFT JOIN v{r} USING (model, node))",
+        ]
+    return ",\n".join([*out, f"scored AS (SELECT model, job_id, raw FROM r{rounds} WHERE NOT train)"])
+
+
+def _forward_pairs(label: str, extra: str = "") -> str:
+    xs = ", ".join(f"x{i}" for i in range(1, 7))
+    return f"""SELECT target AS model, job_id, {label} AS y, true AS train, {xs} FROM f JOIN (SELECT week AS target, min(arrival_us) AS s FROM f GROUP BY week) ON week < target AND available_us < s
+  UNION ALL SELECT week, job_id, 0, false, {xs} FROM f"""
+
+
+def _forward(spark, sf_dir, loss):
+    from ..operators import boosting, predict
+
+    rows = checkpointed(_featured(spark, sf_dir).withColumn("label", F.col("work_us") / F.lit(1e6)))
+    model = predict.rolling_models(rows, "week", _FEATURES, "label", boosting.Boosting(loss=loss, **_SPEC))
+    return predict.forward_scores(model, rows, "week").select("job_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query("tweedie_scores", f"WITH {_FEATURES_SQL}, {_boosted_sql(_forward_pairs('label'), 'tweedie')} SELECT job_id, round(exp(raw), 6) AS prediction FROM scored")
 def tweedie_scores(spark, sf_dir):
-    from ..operators import predict
+    """Work as each week's model sees it, by boosted trees with a Tweedie loss; SQL grows the trees once more."""
+    return _forward(spark, sf_dir, "tweedie")
 
-    rows = checkpointed(_featured(spark, sf_dir)).withColumn("label", F.col("work_us") / 1e6).withColumns({c: F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in _FEATURES})
-    return predict.scores(rows, "week", _terms(rows), _FEATURES, "label").select("job_id", F.round("prediction", 6).alias("prediction"))
 
-
-@query("log_scores")
+@query("log_scores", f"WITH {_FEATURES_SQL}, {_boosted_sql(_forward_pairs('ln(1 + label)'), 'log')} SELECT job_id, round(exp(raw) - 1, 6) AS prediction FROM scored")
 def log_scores(spark, sf_dir):
-    from ..operators import predict
-
-    rows = checkpointed(_featured(spark, sf_dir)).withColumn("label", F.col("work_us") / 1e6)
-    return predict.scores(rows, "week", _terms(rows), _FEATURES, "label", kind="log").select("job_id", F.round("prediction", 6).alias("prediction"))
+    return _forward(spark, sf_dir, "log")
 
 
 @query("superposition_forecast", f"WITH {JOBS}, p AS (SELECT kind, (arrival_us % 86400000000) // 3600000000 AS phase, count(*) AS n FROM a GROUP BY ALL), l AS (SELECT kind, avg(n) AS level FROM p GROUP BY kind), s AS (SELECT phase, sum(n) / sum(level) AS shape FROM p JOIN l ON p.kind = l.kind GROUP BY phase) SELECT p.kind, p.phase, round(level * shape, 6) AS forecast FROM p JOIN l ON p.kind = l.kind JOIN s ON p.phase = s.phase")
