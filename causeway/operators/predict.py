@@ -24,6 +24,11 @@ def training_pairs(rows: DataFrame, term: str, target: str = "target") -> DataFr
     return rows.withColumn("_t", F.explode(later)).withColumn(target, F.col("_t.term")).drop("_t")
 
 
+def cutoffs(pairs: DataFrame, by: Sequence[str], value: str, **shares: float) -> DataFrame:
+    """(by, a column per share): exact quantiles of each model's own training rows, so that no cut-off knows its target."""
+    return pairs.groupBy(*by).agg(*(F.percentile(value, F.lit(p)).alias(name) for name, p in shares.items()))
+
+
 def rolling_models(rows: DataFrame, term: str, features: Sequence[str], label: str, spec: Boosting = Boosting()) -> Model:
     """A frozen model per target term, all fitted in one plan; bins, start scores and trees know no row of their target."""
     return fit(training_pairs(rows, term), ["target"], features, label, spec)

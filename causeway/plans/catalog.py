@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import clock
 from ..operators import history, metrics, replay, study, temporal
 from ..session import ship
+from ..sources.scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1232,9 +1234,9 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def _featured(spark, sf_dir):
+def _featured(spark, sf_dir, eligible=None):
     rows = timed(spark, sf_dir)
-    stream = history.merged_stream(rows, ["user_key", "item_key", "work_us", "is_error"])
+    stream = history.merged_stream(rows, ["user_key", "item_key", "work_us", "is_error"], eligible)
     item = history.keyed_history(stream, ["item_key"], "item")
     user = history.keyed_history(stream, ["user_key"], "user")
     return rows.join(item, "job_id").join(user, "job_id")
@@ -1316,6 +1318,51 @@ def log_scores(spark, sf_dir):
     return _forward(spark, sf_dir, "log")
 
 
+_WITHHELD_SQL = _FEATURES_SQL[_FEATURES_SQL.index("s AS (SELECT available_us") :].replace("* FROM t UNION", "* FROM t WHERE job_id % 5 <> 0 UNION").replace("s AS (", "s2 AS (", 1).replace("hist AS", "hist2 AS").replace("FROM s WINDOW", "FROM s2 WINDOW").replace("f AS (SELECT job_id", "f2 AS (SELECT job_id").replace("FROM hist WHERE", "FROM hist2 WHERE")
+
+
+@query("frozen_scores", f"WITH {_FEATURES_SQL}, {_WITHHELD_SQL}, {_boosted_sql(_forward_pairs('label').rsplit('FROM f', 1)[0] + 'FROM f2', 'tweedie', rounds=5)} SELECT job_id, round(exp(raw), 6) AS prediction FROM scored")
+def frozen_scores(spark, sf_dir):
+    """Each week's saved model over histories from which a fifth of the results is withheld; nothing is fitted again."""
+    from ..operators import boosting, predict
+
+    spec = boosting.Boosting(loss="tweedie", **(_SPEC | {"rounds": 5}))
+    rows = checkpointed(_featured(spark, sf_dir).withColumn("label", F.col("work_us") / F.lit(1e6)))
+    path = f"{shared_folder(spark)}/frozen-{uuid.uuid4().hex}"
+    predict.rolling_models(rows, "week", _FEATURES, "label", spec).save(path)
+    model = boosting.Model.load(spark, path, spec, ["target"], _FEATURES)
+    changed = _featured(spark, sf_dir, F.col("job_id") % 5 != 0)
+    return predict.forward_scores(model, changed, "week").select("job_id", F.round("prediction", 6).alias("prediction"))
+
+
+_SEEDS, _DRAWN = (1, 2, 3), 0.7
+_HEAVY_PAIRS = f"""SELECT q.target * 10 + seed AS model, job_id, (work_us > heavy_us)::INTEGER::DOUBLE AS y, true AS train, x1, x2, x3, x4, x5, x6 FROM q JOIN cut USING (target), (SELECT unnest([1, 2, 3]) AS seed) z
+    WHERE {_bits('seed', 'job_id')} * 2.0::DOUBLE ^ -52 < {_DRAWN}::DOUBLE
+  UNION ALL SELECT week * 10 + seed, job_id, 0, false, x1, x2, x3, x4, x5, x6 FROM w, (SELECT unnest([1, 2, 3]) AS seed) z"""
+
+
+@query("heavy_by_history", f"""WITH {_FEATURES_SQL}, w AS (SELECT f.* FROM f JOIN j USING (job_id) WHERE NOT is_result_only), b AS (SELECT week AS target, min(arrival_us) AS s FROM w GROUP BY week),
+q AS (SELECT target, w.* FROM w JOIN b ON week < target AND available_us < s), cut AS (SELECT target, quantile_cont(work_us, 0.95) AS heavy_us FROM q GROUP BY target),
+{_boosted_sql(_HEAVY_PAIRS, 'logistic', rounds=4)}, p AS (SELECT job_id, round(avg(1 / (1 + exp(-raw))), 9) AS p FROM scored GROUP BY job_id),
+e AS (SELECT x4 < 20 AS cold, p, (work_us > heavy_us)::INTEGER AS y FROM w JOIN p USING (job_id) JOIN cut ON target = week), g AS (SELECT cold, p, sum(y)::DOUBLE AS y, sum(1 - y)::DOUBLE AS n FROM e GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY cold ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g)
+SELECT cold, sum(y) AS positives, sum(n) AS negatives, round(sum(y * (b + 0.5 * n)) / (sum(y) * sum(n)), 9) AS auroc FROM r GROUP BY cold""")
+def heavy_by_history(spark, sf_dir):
+    """How well heavy jobs are told by an ensemble over seeds, for users with little history and others; what is heavy follows from each week's training rows."""
+    from ..operators import boosting, predict
+
+    rows = checkpointed(_featured(spark, sf_dir).where(~F.col("is_result_only")))
+    pairs = predict.training_pairs(rows, "week")
+    cuts = predict.cutoffs(pairs, ["target"], "work_us", heavy_us=0.95)
+    marked = lambda df: df.join(cuts, "target").withColumn("label", (F.col("work_us") > F.col("heavy_us")).cast("int"))
+    spec = boosting.Boosting(loss="logistic", **(_SPEC | {"rounds": 4}))
+    model = predict.ensemble(marked(pairs), ["target"], _FEATURES, "label", _SEEDS, _DRAWN, "job_id", spec)
+    target = marked(rows.withColumn("target", F.col("week")))
+    said = predict.averaged(model, target, _SEEDS, "job_id").withColumn("prediction", F.round("prediction", 9))
+    both = target.join(said, "job_id").withColumn("cold", F.col("user_n") < 20)
+    return metrics.auroc_by(both, ["cold"], "prediction", "label").withColumn("auroc", F.round("auroc", 9))
+
+
 @query("superposition_forecast", f"WITH {JOBS}, p AS (SELECT kind, (arrival_us % 86400000000) // 3600000000 AS phase, count(*) AS n FROM a GROUP BY ALL), l AS (SELECT kind, avg(n) AS level FROM p GROUP BY kind), s AS (SELECT phase, sum(n) / sum(level) AS shape FROM p JOIN l ON p.kind = l.kind GROUP BY phase) SELECT p.kind, p.phase, round(level * shape, 6) AS forecast FROM p JOIN l ON p.kind = l.kind JOIN s ON p.phase = s.phase")
 def superposition_forecast(spark, sf_dir):
     from ..operators import predict
@@ -1333,21 +1380,7 @@ def _stream(spark, sf_dir):
     return live.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share, as configured; on a local master alone one is made."""
-    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="causeway-")
-
-
 def _drained(spark, stream, mode):
-    import uuid
-
     from ..streaming import live
 
     return live.drained(stream, f"{shared_folder(spark)}/live_{uuid.uuid4().hex}", mode)
