@@ -13,11 +13,14 @@ have no label and aren't learned from. How forms that no base span has are to
 be judged comes from EXAMPLES, a short list of labelled phrases. Candidates of
 all documents are counted per feature vector (a table bounded by the features'
 ranges); boosted trees are fitted to the counts of three quarters of the
-texts and the examples. On the other quarter and the examples the scores are
-calibrated (isotonic regression per kind), and a candidate is added from a
-calibrated chance of PRECISION on, if no base span overlaps it.
+texts and the examples. Scores are calibrated (isotonic regression) per kind,
+on the other quarter of the texts for forms that base spans have, and on the
+examples for all others, each scored by trees that were fitted without it. A
+candidate is added from a calibrated chance of PRECISION on, if no base span
+overlaps it.
 
-Main path: DataFrame functions only; the trees become one SQL expression.
+Main path: DataFrame functions only. Matches become rows, features are columns
+of rows, and each feature vector is scored once, in a table that rows join.
 
 Matching is leftmost and without overlap, as the patterns say. Two devices
 keep it linear on long texts and change no match: possessive repeats where the
@@ -28,20 +31,21 @@ base spans as sorted rows of a document, in one pass.
 
 Defined results: a null or empty text has no spans; offsets are code points,
 end exclusive; repeated rows and null ids are rows like others; an empty table
-gives an empty result; other columns are kept by redacted() and else not read.
+gives an empty result; other columns, of any name, are kept by redacted() and
+else not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialise
+from .common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -99,53 +103,39 @@ EXAMPLE_WEIGHT, HELD_OUT = 50, 4
 BEFORE = 24
 
 
-def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
-    """What `join` makes of all `values` before each place, from 0, and of all: in chunks of 64, so that copying stays near linear.
+#: All generators: name, kind, pattern; base ones first.
+GENERATORS = [*((f"base_{k}", k, p) for k, p in BASE.items()), *((n, k, p) for n, (k, p) in WIDE.items())]
+#: What a text without any match has none of.
+NEEDS_ANY = "|".join(sorted(set(NEEDS.values())))
+_MATCH = "struct<g:int,m:string,gap:int,before:string,first:string>"
 
-    Arrays meet in zip_with: a lambda's body would evaluate an array that it
-    looks up again for each element. `values` is the one exception and should
-    be a column that more than one expression reads, which the planner keeps.
-    """
-
-    def plain(a: Column) -> Column:
-        start = F.array(F.lit(0).cast("int"))
-        return F.aggregate(a, start, lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / 64).cast("int")), lambda c: F.slice(values, c * 64 + 1, F.lit(64)))
-    sums = F.transform(chunks, plain)
-    offsets = plain(F.transform(sums, lambda s: F.element_at(s, -1)))
-    before = F.zip_with(sums, F.slice(offsets, F.lit(1), F.size(sums)), lambda s, o: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: join(x, o)))
-    return F.concat(F.flatten(before), F.array(F.element_at(offsets, -1)))
+def matches(text: Column) -> Column:
+    """An array of each generator's matches in turn: generator g, match m, code points since the last match (gap) and the end of these, and their first one.
 
+    Each generator's matches are followed by an item without match, for what stands after the last.
+    """
 
-def _spans(df: DataFrame, generators: dict[str, tuple[str, str]], prefix: str) -> DataFrame:
-    """Per generator (kind, pattern) an array column `<prefix><name>` of (s, e, m, before, after): matches in `_text` with context."""
-    names = {prefix + n: (kind, p) for n, (kind, p) in generators.items()}
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    df = df.withColumns({f"_t{n}": F.when(text.rlike(NEEDS[kind]), text) for n, (kind, _) in names.items()})
-    df = df.withColumns({f"_h{n}": F.regexp_extract_all(F.col(f"_t{n}"), F.lit(p), F.lit(0)) for n, (_, p) in names.items()})
-    df = df.withColumns({f"_p{n}": F.when(F.size(f"_h{n}") > 0, F.split(F.col(f"_t{n}"), p, -1)) for n, (_, p) in names.items()})
-
-    def lengths(n: str) -> Column:  # a start is all pieces up to it and all matches before it
-        hits, pieces = F.col(f"_h{n}"), F.col(f"_p{n}")
-        earlier = F.concat(F.array(F.lit("")), F.slice(hits, F.lit(1), F.size(hits) - 1))
-        return F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), earlier, lambda piece, match: F.length(piece) + F.length(match))
+    def of(g: int, kind: str, pattern: str) -> Column:
+        item = lambda m, between: F.struct(
+            F.lit(g).alias("g"), m.alias("m"), F.length(between).alias("gap"), F.right(between, F.lit(BEFORE)).alias("before"), F.left(between, F.lit(1)).alias("first")
+        )
+        found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), item)
+        return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
-    df = df.withColumns({f"_l{n}": F.when(F.size(f"_h{n}") > 0, lengths(n)) for n in names})
-    df = df.withColumns({f"_s{n}": F.when(F.size(f"_l{n}") > 0, running(F.col(f"_l{n}"))) for n in names})
+    every = F.array(*(of(g, kind, pattern) for g, (_, kind, pattern) in enumerate(GENERATORS)))
+    return F.flatten(F.filter(every, lambda x: F.size(x) > 1))
 
-    def span(n: str) -> Column:
-        hits, pieces, starts = F.col(f"_h{n}"), F.col(f"_p{n}"), F.col(f"_s{n}")
-        count = F.size(hits)
-        around = F.zip_with(
-            F.slice(pieces, F.lit(1), count), F.slice(pieces, F.lit(2), count),
-            lambda x, y: F.struct(F.right(x, F.lit(BEFORE)).alias("before"), F.left(y, F.lit(1)).alias("after")),
-        )
-        placed = F.zip_with(hits, F.slice(starts, F.lit(2), count), lambda m, s: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
-        rows = F.zip_with(placed, around, lambda x, y: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), y["before"].alias("before"), y["after"].alias("after")))
-        return F.when(count > 0, rows).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>"))
 
-    return df.withColumns({n: span(n) for n in names}).drop(*(f"_{x}{n}" for x in "tphls" for n in names))
+def placed(found: DataFrame) -> DataFrame:
+    """`found` (_id, _matches and others) as a row per match: s, e, k, generator g, m, before, after."""
+    others = [c for c in found.columns if c not in ("_id", "_matches")]
+    rows = found.where(F.size("_matches") > 0).select("_id", *others, F.posexplode("_matches").alias("_i", "_c")).select("_id", *others, "_i", "_c.*").repartition("_id")
+    along = Window.partitionBy("_id", "g").orderBy("_i")
+    end = F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"e": end.cast("int"), "after": F.lead("first").over(along)}).where(F.col("m").isNotNull())
+    kinds = F.array(*(F.lit(KINDS.index(k)) for _, k, _ in GENERATORS))
+    return rows.withColumns({"s": F.col("e") - F.length("m"), "k": F.get(kinds, F.col("g"))}).drop("_i", "gap", "first")
 
 
 def luhn(digits: Column) -> Column:
@@ -179,11 +169,20 @@ def plain(kind: str, m: Column) -> Column:
     return F.regexp_replace(m, "[./]", " ") if kind == "card" else m
 
 
-def _features(kind: str, c: Column) -> dict[str, Column]:
-    m, form = c["m"], plain(kind, c["m"])
+def per_kind(values: dict[str, Column]) -> Column:
+    """The value that belongs to a row's kind k."""
+    out = F
+    for i, kind in enumerate(KINDS):
+        out = out.when(F.col("k") == i, values[kind])
+    return out
+
+
+def features() -> dict[str, Column]:
+    """Features of a row (k, before, after, match m, plain form _f)."""
+    m, form = F.col("m"), F.col("_f")
     flag = lambda x: F.when(x, 1).otherwise(0)
     digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
-    cue = lambda words: c["before"].rlike(rf"(?i)(?<![A-Za-z])(?:{words})[a-z]{{0,6}}(?:[\x20:=#.\-]{{1,3}}(?:is|me|at|to|it|us|with|number|no)?[\x20:]{{0,2}}){{1,2}}\(?$")
+    cue = lambda words: F.col("before").rlike(rf"(?i)(?<![A-Za-z])(?:{words})[a-z]{{0,6}}(?:[\x20:=#.\-]{{1,3}}(?:is|me|at|to|it|us|with|number|no)?[\x20:]{{0,2}}){{1,2}}\(?$")
     shapes = {
         "email": (form.rlike(r"\.[A-Za-z]{2,4}$"), form.rlike(r"\.[A-Za-z]+$")),
         "ip": (~form.rlike(r"(?:^|\.)0"), ~form.rlike(r"(?:^|\.)[0-9](?:\.[0-9])+$")),
@@ -196,57 +195,41 @@ def _features(kind: str, c: Column) -> dict[str, Column]:
         "card": F.when(m.contains("/"), 1).when(m.contains("."), 2).otherwise(0),
         "phone": F.when(m.startswith("+"), 0).otherwise(1),
     }
-    valid = passes(kind, form)
-    if kind == "email":
-        valid = form.rlike(rf"^[{_LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}$")
+    valid = {kind: passes(kind, form) for kind in KINDS}
+    valid["email"] = form.rlike(rf"^[{_LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}$")
     return {
-        "kind": F.lit(KINDS.index(kind)),
+        "kind": F.col("k"),
         "digits": F.least(F.floor(digits / 3), F.lit(7)).cast("int"),
-        "valid": flag(valid),
-        "shape": F.when(shapes[kind][0], 2).when(shapes[kind][1], 1).otherwise(0),
-        "form": forms[kind],
-        "cue": F.when(cue(CUES[kind]), 2).when(cue("|".join(CUES.values())), 1).otherwise(0),
-        "quoted": flag(c["before"].rlike("[\"'=]\\s?$")),
-        "glued": flag(c["before"].rlike("[A-Za-z0-9]$") | c["after"].rlike("[A-Za-z0-9]")),
+        "valid": flag(per_kind(valid)),
+        "shape": per_kind({k: F.when(x, 2).when(y, 1).otherwise(0) for k, (x, y) in shapes.items()}),
+        "form": per_kind(forms),
+        "cue": F.when(per_kind({k: cue(CUES[k]) for k in KINDS}), 2).when(cue("|".join(CUES.values())), 1).otherwise(0),
+        "quoted": flag(F.col("before").rlike("[\"'=]\\s?$")),
+        "glued": flag(F.col("before").rlike("[A-Za-z0-9]$") | F.col("after").rlike("[A-Za-z0-9]")),
     }
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """`rows` (_text and others) with _base, the checked base spans (s, k, e) in order, and _wide, candidates with features."""
-    columns = rows.columns
-    rows = _spans(_spans(rows, {k: (k, p) for k, p in BASE.items()}, "_b_"), WIDE, "_w_")
-
-    def checked(i: int, kind: str) -> Column:
-        return F.transform(
-            F.filter(f"_b_{kind}", lambda c: passes(kind, c["m"])),
-            lambda c: F.struct(c["s"].alias("s"), F.lit(i).alias("k"), c["e"].alias("e")),
-        )
-
-    def wide(name: str, kind: str) -> Column:
-        place = lambda c: (c["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), c["e"].alias("e"))
-        return F.transform(f"_w_{name}", lambda c: F.struct(*place(c), *(x.alias(n) for n, x in _features(kind, c).items())))
+def judged(found: DataFrame) -> DataFrame:
+    """A row per place that is a base span or a candidate: is_base, features (null if no generator proposes it), `free` of base spans, and `y`, null if unlabelled.
 
-    base = F.sort_array(F.concat(*(checked(i, kind) for i, kind in enumerate(KINDS))))
-    return rows.select(*columns, base.alias("_base"), F.concat(*(wide(n, kind) for n, (kind, _) in WIDE.items())).alias("_wide"))
-
-
-def judged(spans: DataFrame) -> DataFrame:
-    """A row per candidate of `spans` (_id, _fold, _base, _wide): _id, _fold, place and features, `free` of base spans, and `y`, null if unlabelled."""
-    some = spans.where(F.size("_wide") > 0)
-    wide = some.select("_id", "_fold", F.explode("_wide").alias("c")).select("_id", "_fold", "c.*", F.lit(0).alias("b"))
-    base = some.select("_id", "_fold", F.explode("_base").alias("c")).select("_id", "_fold", "c.*", F.lit(1).alias("b"))
-    rows = wide.unionByName(base, allowMissingColumns=True).repartition("_id")
-    rows = rows.groupBy("_id", "_fold", "s", "e", "k").agg(F.max("b").alias("is_base"), *(F.max(n).alias(n) for n in RANGES))
+    `found` has _id, _matches, _fold and _label (of examples).
+    """
+    rows = placed(found)
+    wide = F.col("g") >= len(BASE)
+    rows = rows.withColumn("_f", per_kind({k: plain(k, F.col("m")) for k in KINDS}))
+    rows = rows.withColumn("b", F.when(wide, 0).when(per_kind({k: passes(k, F.col("m")) for k in KINDS}), 1)).where("b is not null")
+    rows = rows.withColumns({n: F.when(wide, x) for n, x in features().items()})
+    rows = rows.groupBy("_id", "_fold", "_label", "s", "e", "k").agg(F.max("b").alias("is_base"), *(F.max(n).alias(n) for n in RANGES))
     # both ways as growing frames; a frame that shrinks is built anew for each row
     before, after = (Window.partitionBy("_id").orderBy(x).rangeBetween(Window.unboundedPreceding, 0) for x in (F.col("s").asc(), F.col("s").desc()))
     of = lambda i, c: F.when((F.col("is_base") == 1) & (F.col("k") == i), F.col(c))
-    meets = {f"_m{i}": (F.max(of(i, "e")).over(before) > F.col("s")) | (F.min(of(i, "s")).over(after) < F.col("e")) for i in range(len(KINDS))}
-    rows = rows.withColumns({n: F.coalesce(x, F.lit(False)) for n, x in meets.items()}).where(F.col("kind").isNotNull())
+    rows = rows.withColumns({f"_e{i}": F.max(of(i, "e")).over(before) for i in range(len(KINDS))} | {f"_s{i}": F.min(of(i, "s")).over(after) for i in range(len(KINDS))})
+    meets = [F.coalesce(F.col(f"_e{i}") > F.col("s"), F.lit(False)) | F.coalesce(F.col(f"_s{i}") < F.col("e"), F.lit(False)) for i in range(len(KINDS))]
     any_, other = F.lit(False), F.lit(False)
-    for i in range(len(KINDS)):
-        any_, other = any_ | F.col(f"_m{i}"), other | (F.col(f"_m{i}") & (F.col("k") != i))
-    y = F.when(F.col("is_base") == 1, 1).when((F.col("valid") == 0) | other, 0)
-    return rows.select("_id", "_fold", "s", "k", "e", *RANGES, (~any_).alias("free"), y.alias("y"))
+    for i, met in enumerate(meets):
+        any_, other = any_ | met, other | (met & (F.col("k") != i))
+    y = F.when(F.col("_label").isNotNull(), F.col("_label")).when(F.col("is_base") == 1, 1).when((F.col("valid") == 0) | other, 0)
+    return rows.select("_id", "_fold", "_label", "s", "k", "e", "is_base", *RANGES, (~any_).alias("free"), y.alias("y"))
 
 
 @dataclass
@@ -265,17 +248,6 @@ class Trees:
 
         return self.bias + sum(value(t) for t in self.trees)
 
-    def column(self, feature: Callable[[str], Column]) -> Column:
-        def value(t) -> Column:
-            if not isinstance(t, tuple):
-                return F.lit(float(t))
-            return F.when(feature(t[0]) <= t[1], value(t[2])).otherwise(value(t[3]))
-
-        out = F.lit(self.bias)
-        for t in self.trees:
-            out = out + value(t)
-        return out
-
 
 def boost(cells: list[tuple[dict[str, int], int, int]]) -> Trees:
     """Second-order logistic boosting on counted feature vectors (row, candidates, true ones)."""
@@ -322,67 +294,100 @@ def boost(cells: list[tuple[dict[str, int], int, int]]) -> Trees:
     return Trees(bias, trees, {})
 
 
-def calibrate(model: Trees, cells: list[tuple[dict[str, int], int, int]], least: float = PRECISION) -> Trees:
-    """Per kind the lowest score whose calibrated share of true candidates is at least `least`."""
-    for kind in range(len(KINDS)):
-        steps: list[list] = []  # rising scores: [lowest score, candidates, true ones], pooled until shares rise too
-        for score, n, true in sorted((model.raw(c[0]), c[1], c[2]) for c in cells if c[0]["kind"] == kind):
-            steps.append([score, n, true])
-            while len(steps) > 1 and (steps[-2][0] == steps[-1][0] or steps[-2][2] * steps[-1][1] >= steps[-1][2] * steps[-2][1]):
-                _, n, true = steps.pop()
-                steps[-1][1] += n
-                steps[-1][2] += true
-        good = [score for score, n, true in steps if true >= least * n]
+def judge(row: dict[str, int]) -> int:
+    """Which threshold a candidate meets: its kind's, one for forms that base spans have and one for all others."""
+    return row["kind"] + (len(KINDS) if row["form"] else 0)
+
+
+def calibrate(model: Trees, scored: list[tuple[float, dict[str, int], int, int]], least: float = PRECISION) -> Trees:
+    """Per judge the score from which the calibrated share of true candidates is at least `least`. scored: score, row, candidates, true ones.
+
+    It stands midway between the lowest good score and the next one below.
+    """
+    for one in range(2 * len(KINDS)):
+        steps: list[list] = []  # rising scores: [lowest score, highest, candidates, true ones], pooled until shares rise too
+        for score, n, true in sorted((x, n, true) for x, row, n, true in scored if judge(row) == one):
+            steps.append([score, score, n, true])
+            while len(steps) > 1 and (steps[-2][1] == steps[-1][0] or steps[-2][3] * steps[-1][2] >= steps[-1][3] * steps[-2][2]):
+                _, high, n, true = steps.pop()
+                steps[-1][1] = high
+                steps[-1][2] += n
+                steps[-1][3] += true
+        good = [i for i, (_, _, n, true) in enumerate(steps) if true >= least * n]
         if good:
-            model.threshold[kind] = min(good)
+            low = steps[good[0]][0]
+            model.threshold[one] = (low + steps[good[0] - 1][1]) / 2 if good[0] else low
+    for kind in range(len(KINDS)):  # nothing to go by: as other forms of the kind
+        if not any(judge(row) == kind for _, row, _, _ in scored) and kind + len(KINDS) in model.threshold:
+            model.threshold[kind] = model.threshold[kind + len(KINDS)]
     return model
 
 
 def examples(spark: SparkSession) -> DataFrame:
-    """The candidates of the labelled phrases, all with their phrase's label."""
+    """The labelled phrases as texts: _id below 0, _text, _label."""
     phrases = [(t, 1) for t in TRUE_EXAMPLES] + [(t, 0) for t in FALSE_EXAMPLES]
-    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(t).alias("_text"), F.lit(y).alias("y")) for t, y in phrases))).alias("x")).select("x.*")
-    return candidates(rows).select("y", F.explode("_wide").alias("c")).select("y", *(F.col(f"c.{n}").alias(n) for n in RANGES))
+    return _local(spark, {"_id": [-i - 1 for i in range(len(phrases))], "_text": [t for t, _ in phrases], "_label": [y for _, y in phrases]}, "_id long, _text string, _label int")
+
+
+def _local(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small table of the driver; no Python runs on executors for it."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array(v, t) for v, t in zip(columns.values(), types, strict=True)], names=list(columns)), schema)
 
 
 def fit(rows: DataFrame) -> Trees:
-    """Fit on the judged candidates of all documents; what is collected is bounded by RANGES."""
+    """Fit on the judged candidates of all documents; what is collected is bounded by RANGES.
+
+    Phrases count EXAMPLE_WEIGHT times. For the thresholds each one is scored
+    by trees that were fitted without it, in HELD_OUT groups.
+    """
     names = list(RANGES)
-    counted = lambda df, *by: df.groupBy(*by, *names).agg(F.count("*").alias("n"), F.sum("y").alias("true")).collect()
-    cell = lambda r, times=1: ({x: r[x] for x in names}, r["n"] * times, r["true"] * times)
-    known = [cell(r, EXAMPLE_WEIGHT) for r in counted(examples(rows.sparkSession))]
-    own = counted(rows.where("y is not null").withColumn("held", F.col("_fold") == 0), "held")
-    order = lambda cells: sorted(cells, key=lambda c: tuple(c[0].values()))
-    model = boost(order([*known, *(cell(r) for r in own if not r["held"])]))
-    return calibrate(model, order([*known, *(cell(r) for r in own if r["held"])]))
+    known = rows.where("kind is not null and y is not null")
+    labelled, group = F.col("_label").isNotNull(), F.pmod("_id", F.lit(HELD_OUT))
+    counted = known.withColumns({"own": ~labelled, "part": F.when(labelled, group).otherwise((F.col("_fold") != 0).cast("int"))})
+    cells = counted.groupBy("own", "part", *names).agg(F.count("*").alias("n"), F.sum("y").alias("true")).collect()
 
+    def some(keep, times: int = 1) -> list[tuple[dict[str, int], int, int]]:
+        return sorted((({x: r[x] for x in names}, r["n"] * times, r["true"] * times) for r in cells if keep(r)), key=lambda c: tuple(c[0].values()))
 
-def added(rows: DataFrame, model: Trees) -> DataFrame:
-    """(_key, _added) of documents with added spans (s, k, e)."""
-    chance = F.lit(False)
-    for kind, least in model.threshold.items():
-        chance = chance | ((F.col("k") == kind) & (model.column(lambda n: F.col(n)) >= F.lit(least - 1e-9)))
-    return rows.where("free").where(chance).groupBy(F.col("_id").alias("_key")).agg(F.collect_set(F.struct("s", "k", "e")).alias("_added"))
+    documents, held = some(lambda r: r["own"] and r["part"] == 1), some(lambda r: r["own"] and r["part"] == 0)
+    scored = []
+    for part in range(HELD_OUT):
+        rest = boost([*some(lambda r: not r["own"] and r["part"] != part, EXAMPLE_WEIGHT), *documents])
+        scored += [(rest.raw(c[0]), *c) for c in some(lambda r: not r["own"] and r["part"] == part, EXAMPLE_WEIGHT)]
+    model = boost([*some(lambda r: not r["own"], EXAMPLE_WEIGHT), *documents])
+    return calibrate(model, [*scored, *((model.raw(c[0]), *c) for c in held)])
+
+
+def chosen(rows: DataFrame, model: Trees) -> DataFrame:
+    """The base spans and the added ones of `rows`: _id, s, k, e, is_base. Each feature vector is scored once."""
+    names = list(RANGES)
+    open_ = (F.col("is_base") == 0) & F.col("free")
+    met = [{x: r[x] for x in names} for r in rows.where(open_).select(*names).distinct().collect()]
+    good = [c for c in met if model.raw(c) >= model.threshold.get(judge(c), math.inf) - 1e-9]
+    cells = _local(rows.sparkSession, {f"_{x}": [c[x] for c in good] for x in names}, ", ".join(f"_{x} int" for x in names)).withColumn("_good", F.lit(True))
+    on = [F.col(x) == F.col(f"_{x}") for x in names]
+    joined = rows.join(F.broadcast(cells), on, "left")  # bounded by RANGES
+    return joined.where((F.col("is_base") == 1) | (open_ & F.col("_good"))).select("_id", "s", "k", "e", "is_base")
 
 
-def selected(found: DataFrame) -> DataFrame:
-    """`found` (see candidates; with _fold) with _base and _all: base spans, and these with the added ones, by start and kind.
+def spans_of(found: DataFrame) -> DataFrame:
+    """The chosen spans of `found` (_id, _text or _matches and _fold), as rows.
 
-    Matches are written once with their rows, so that neither a lost executor
-    nor a second use changes the numbers that rows are told by.
+    Candidates are written once, since they are counted, scored and chosen.
     """
-    spans = materialise(found.withColumn("_id", F.monotonically_increasing_id()), "spans")
-    rows = materialise(judged(spans), "candidates")
-    more = materialise(added(rows, fit(rows)), "added")
-    discard(rows)
-    out = spans.join(more, F.col("_id") == F.col("_key"), "left")
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return out.withColumn("_all", F.sort_array(F.concat("_base", F.coalesce("_added", none)))).drop("_wide", "_fold", "_id", "_key", "_added")
+    more = examples(found.sparkSession)
+    phrases = more.select("_id", matches(F.col("_text")).alias("_matches"), F.lit(0).alias("_fold"), "_label")
+    every = found.select("_id", "_matches", "_fold", F.lit(None).cast("int").alias("_label")).unionByName(phrases)
+    rows = materialise(judged(every), "candidates")
+    return chosen(rows, fit(rows)).where("_id >= 0")
 
 
-def folded(rows: DataFrame) -> DataFrame:
-    """The candidates of `rows`, with the part of the texts that each belongs to."""
-    return candidates(rows).withColumn("_fold", F.pmod(F.xxhash64("_text"), F.lit(HELD_OUT)).cast("int"))
+def matched(docs: DataFrame, *keep: Column | str) -> DataFrame:
+    """`keep` of `docs` (with _text, without nulls), a row number, the matches and the part of the texts; written, so that no later use changes the numbers."""
+    fold = F.pmod(F.xxhash64("_text"), F.lit(HELD_OUT)).cast("int").alias("_fold")
+    return materialise(docs.select(*keep, F.monotonically_increasing_id().alias("_id"), matches(F.col("_text")).alias("_matches"), fold), "spans")
 
 
 def written(spans: Column) -> Column:
@@ -392,33 +397,40 @@ def written(spans: Column) -> Column:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: counts per kind and digest of base spans, and all spans."""
-    out = selected(folded(docs.select("doc_id", F.col("text").alias("_text"))).drop("_text"))
-    of_kind = lambda i: F.size(F.filter("_base", lambda x: x["k"] == i)).cast("long")
-    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_all")).alias("spans"))
+    found = matched(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "doc_id")
+    span, base = F.struct("s", "k", "e"), F.col("is_base") == 1
+    per = spans_of(found).groupBy(F.col("_id").alias("_of")).agg(
+        *(F.count(F.when(base & (F.col("k") == i), 1)).alias(f"n_{kind}") for i, kind in enumerate(KINDS)),
+        F.sort_array(F.collect_list(F.when(base, span))).alias("_base"),
+        F.sort_array(F.collect_list(span)).alias("_all"),
+    )
+    out = found.select("doc_id", "_id").join(per, F.col("_id") == F.col("_of"), "left")
+    counts = [F.coalesce(f"n_{kind}", F.lit(0)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    text = lambda c: F.coalesce(written(F.col(c)), F.lit(""))
+    return out.select("doc_id", *counts, F.sha2(text("_base"), 256).alias("base_sha256"), text("_all").alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with every selected span of the text replaced by its kind, overlapping ones as one."""
-    found = folded(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")))
-    # most documents have no match at all and aren't written; they are told by matching once more
-    some = (F.size("_base") > 0) | (F.size("_wide") > 0)
-    spans = selected(found.where(some))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
+    # texts that can have no match pass by and aren't written
+    some = F.col("_text").rlike(NEEDS_ANY)
+    found = matched(rows.where(some), "_row", "_text")
     # a span opens a new one where it starts at or after all ends before it
-    spans = spans.withColumn("_stops", F.when(F.size("_all") > 0, F.transform("_all", lambda x: x["e"])))
-    spans = spans.withColumn("_ends", F.when(F.size("_stops") > 0, running(F.col("_stops"), F.greatest)))
-    seen = F.zip_with("_all", F.slice("_ends", F.lit(1), F.size("_all")), lambda x, before: F.struct(x["s"].alias("s"), x["k"].alias("k"), before.alias("before")))
-    spans = spans.withColumn("_open", F.when(F.size("_all") > 0, F.filter(seen, lambda x: x["s"] >= x["before"])))
+    before = F.coalesce(F.max("e").over(Window.partitionBy("_id").orderBy("s", "k", "e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans_of(found).withColumn("before", before)
+    opened = F.sort_array(F.collect_list(F.when(F.col("s") >= F.col("before"), F.struct("s", "k", "before"))))
+    per = spans.groupBy(F.col("_id").alias("_of")).agg(opened.alias("_open"), F.max("e").alias("_end"))
+    out = found.drop("_matches", "_fold").join(per, F.col("_id") == F.col("_of"), "left")
     # code points of four bytes each, so that a piece is cut without counting from the start
-    spans = spans.withColumn("_points", F.when(F.size("_all") > 0, F.encode("_text", "UTF-32")))
+    out = out.withColumn("_points", F.when(F.col("_end").isNotNull(), F.encode("_text", "UTF-32")))
     cut = lambda a, b: F.decode(F.substring(F.col("_points"), a * 4 + 1, (b - a) * 4), "UTF-32")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     pieces = F.transform("_open", lambda x: F.concat(cut(x["before"], x["s"]), F.element_at(names, x["k"] + 1)))
-    tail = cut(F.element_at("_ends", -1), F.length("_text"))
-    text = F.when(F.size("_all") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("_text"))
-    out = spans.withColumn("_new", text)
+    text = F.when(F.col("_end").isNotNull(), F.concat(F.array_join(pieces, ""), cut(F.col("_end"), F.length("_text")))).otherwise(F.col("_row").getField("text"))
+    out = out.withColumn("_new", text)
     row = lambda c: F.col("_row").getField(c)
     new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.size("_all") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(row("n_chars"))
-    return found.where(~some).select("_row.*").unionByName(out.select(*(new.get(c, row(c)).alias(c) for c in docs.columns)))
+        new["n_chars"] = F.when(F.col("_end").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(row("n_chars"))
+    return rows.where(~some).select("_row.*").unionByName(out.select(*(new.get(c, row(c)).alias(c) for c in docs.columns)))

@@ -544,8 +544,8 @@ def test_long_runs_stay_linear(spark):
 def test_skipping_texts_loses_no_candidate(spark):
     found = ["john [at] example.com", "john(at)example.com", "john {at} example [dot] com", "john at example.com", "john at example dot com", "john@example.com"]
     rows = docs(spark, [(i, f"see {t} now", "s") for i, t in enumerate(found)] + [(90, "a dot b", "s"), (91, "chat atom", "s"), (92, None, "s")])
-    rows = rows.withColumn("_text", F.col("text"))
-    spans = {r.doc_id: [m.m for m in r.wemail or []] for r in pii._spans(rows, pii.WIDE, "w").select("doc_id", "wemail").collect()}
+    email = next(g for g, (name, _, _) in enumerate(pii.GENERATORS) if name == "email")
+    spans = {r.doc_id: [m.m for m in r.found if m.g == email and m.m is not None] for r in rows.select("doc_id", pii.matches(F.coalesce("text", F.lit(""))).alias("found")).collect()}
     assert spans == {**{i: [t] for i, t in enumerate(found)}, 90: [], 91: [], 92: []}
 
 
@@ -584,10 +584,10 @@ def test_trees_learn_format_and_thresholds_are_calibrated():
     model = pii.boost(cells)
     scores = [model.raw(c[0]) for c in cells]
     assert min(s for s, c in zip(scores, cells, strict=True) if c[2] == 95) > max(s for s, c in zip(scores, cells, strict=True) if c[2] == 2)
-    least = pii.calibrate(model, cells).threshold
+    least = pii.calibrate(model, [(s, *c) for s, c in zip(scores, cells, strict=True)]).threshold
     assert list(least) == [0] and all((s >= least[0]) == (c[2] == 95) for s, c in zip(scores, cells, strict=True))
     # where the held-out cells say otherwise no score is good enough
-    assert pii.calibrate(pii.boost(cells), [(c[0], 100, 50) for c in cells]).threshold == {}
+    assert pii.calibrate(pii.boost(cells), [(s, c[0], 100, 50) for s, c in zip(scores, cells, strict=True)]).threshold == {}
 
 
 def test_redaction(spark):
