@@ -121,7 +121,8 @@ def matches(text: Column) -> Column:
             F.lit(g).alias("g"), m.alias("m"), F.length(between).alias("gap"), F.right(between, F.lit(BEFORE)).alias("before"), F.left(between, F.lit(1)).alias("first")
         )
         found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), item)
-        return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast(f"array<{_MATCH}>"))
+        # most texts are searched once, up to no match
+        return F.when(text.rlike(NEEDS[kind]) & text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
     every = F.array(*(of(g, kind, pattern) for g, (_, kind, pattern) in enumerate(GENERATORS)))
     return F.flatten(F.filter(every, lambda x: F.size(x) > 1))
