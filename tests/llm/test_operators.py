@@ -235,6 +235,26 @@ def test_nearest_neighbours_at_any_spread_of_norms(spark, kind):
     assert hits >= 0.9 * 600
 
 
+@pytest.mark.parametrize("spread", ["some long", "1 to 12"])
+def test_nearest_neighbours_of_tight_clusters(spark, spread):
+    """Clusters larger than a neighbourhood, of different lengths: what a query looks for is another cluster as a rule."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((60, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    centres *= np.where(np.arange(60) % 20 == 0, 10.0, 1.0)[:, None] if spread == "some long" else rng.uniform(1, 12, (60, 1))
+    x = np.repeat(centres, 50, axis=0) * (1 + 0.02 * rng.standard_normal((3_000, 64)))
+    x = x[rng.permutation(3_000)].astype(np.float32).astype(np.float64)
+    got = {}
+    for r in ann.nearest(vectors(spark, [(i, v.tolist(), 0, 1, 1, 1) for i, v in enumerate(x)])).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = []
+    for q in range(0, 3_000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        shares.append(len(got[q] & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20)
+    assert np.mean(shares) >= 0.9 and min(shares) >= 0.7, (np.mean(shares), min(shares))
+
+
 def test_search_of_nothing(spark):
     for f in (ann.nearest, exact_topk.top_k):
         assert f(vectors(spark, [])).count() == 0 and f(vectors(spark, BAD)).count() == 0
