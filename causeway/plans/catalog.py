@@ -1467,6 +1467,38 @@ def withheld_history(spark, sf_dir):
     return history.keyed_history(stream, ["item_key"], "open").select("job_id", "open_n")
 
 
+def _rebuilt_sql(instant: str) -> str:
+    """Histories by definition, with the instant at which job q may read result x, null for never."""
+    at = lambda p: f"v[least(len(v), floor({p} * (len(v) - 1) + 0.5)::BIGINT + 1)]"
+    return f"""WITH {JOBS}, m AS (SELECT q.job_id, q.arrival_us AS now_us, x.job_id AS r, x.arrival_us, x.work_us, x.is_error, {instant} AS at_us FROM t q JOIN t x ON q.user_key = x.user_key AND x.job_id <> q.job_id),
+s AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at_us DESC, r DESC) AS i FROM m WHERE at_us <= now_us),
+g AS (SELECT job_id, count(*) AS n, sum(work_us)::BIGINT AS work_us, sum(is_error)::BIGINT AS errors, list_sort(list(work_us) FILTER (i <= 120)) AS v, arg_max(r, (arrival_us, r)) AS last_job, arg_max(is_error, (arrival_us, r)) AS last_error FROM s GROUP BY job_id)
+SELECT t.job_id, coalesce(n, 0) AS n, coalesce(g.work_us, 0) AS work_us, coalesce(errors, 0) AS errors, {at(0.5)} AS p50, {at(0.9)} AS p90, list_max(v) AS top, last_job, last_error FROM t LEFT JOIN g USING (job_id)"""
+
+
+@query("lagged_own_copy", _rebuilt_sql("CASE WHEN x.class_term = q.class_term AND x.available_us + 21600000000 > q.arrival_us THEN NULL ELSE x.available_us END"))
+def lagged_own_copy(spark, sf_dir):
+    """Histories of users in which a copy's own results of the last six hours are withheld; only the jobs that this reaches are built again."""
+    from ..operators import recompute
+
+    rows = timed(spark, sf_dir)
+    baseline = checkpointed(recompute.history(rows, ["user_key"]))
+    changes = recompute.own_copy_lag(rows, ["user_key"], "class_term", 6 * clock.HOUR)
+    return recompute.patched(baseline, recompute.rebuilt(rows, ["user_key"], baseline, changes))
+
+
+@query("released_own_copy", _rebuilt_sql("CASE WHEN x.class_term = q.class_term AND x.arrival_us <= q.arrival_us AND x.available_us > q.arrival_us THEN x.arrival_us + x.work_us // 2 + 1 ELSE x.available_us END"))
+def released_own_copy(spark, sf_dir):
+    """Histories in which a copy's own jobs that are in flight are read from another instant on, which also places them in the window."""
+    from ..operators import recompute
+
+    rows = timed(spark, sf_dir)
+    baseline = checkpointed(recompute.history(rows, ["user_key"]))
+    pairs = recompute.own_copy_pairs(rows, ["user_key"], "class_term", "arrival_us", 3 * clock.LIMIT + 1)
+    open_ = pairs.where("available_us > now_us").select("target", "source", (F.col("arrival_us") + F.floor(F.col("work_us") / 2) + 1).alias("release_us"))
+    return recompute.patched(baseline, recompute.rebuilt(rows, ["user_key"], baseline, open_))
+
+
 _CONTROLS = " UNION ALL ".join(
     f"""SELECT '{name}' AS control, q.job_id, (SELECT count(*) FROM t x WHERE x.user_key = q.user_key AND {extra} AND x.available_us + {lag} <= q.arrival_us) AS n FROM t q"""
     for name, lag, extra in (("plain", 0, "true"), ("lag_1h", 3_600_000_000, "true"), ("lag_6h", 21_600_000_000, "true"), ("replayed", 0, "NOT x.is_result_only"), ("own_class", 0, "x.class_term = q.class_term"))
