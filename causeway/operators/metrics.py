@@ -86,9 +86,29 @@ def auroc_by(rows: DataFrame, by: Sequence[str], score: str, label: str, weight:
 
 def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One row (average_precision): one step per block of equal scores."""
-    per = rows.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("p"), F.sum(F.lit(1.0)).alias("n"))
-    steps = running_sums(per, score, {"_p_": "p", "_n_": "n"}, descending=True)
-    return steps.agg(F.try_divide(F.sum(F.col("p") * F.col("_p_") / F.col("_n_")), F.sum("p")).alias("average_precision"))
+    return average_precision_by(rows, (), score, label).select("average_precision")
+
+
+def average_precision_by(rows: DataFrame, by: Sequence[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
+    """(by, average_precision) of each group, rows counting by their weights."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    per = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(w).alias("n"))
+    steps = running_sums(per, score, {"_p_": "p", "_n_": "n"}, descending=True, by=by)
+    return steps.groupBy(*by).agg(F.try_divide(F.sum(F.coalesce(F.try_divide(F.col("p") * F.col("_p_"), F.col("_n_")), F.lit(0.0))), F.sum("p")).alias("average_precision"))
+
+
+def resampled_ranking(rows: DataFrame, block: str, score: str, label: str, draws: DataFrame) -> DataFrame:
+    """(resample, auroc, average_precision) of samples of whole blocks with replacement: draws has resample, block, m.
+
+    No row is copied: it counts m times, and rows of one score and block are
+    counted before they meet the draws.
+    """
+    few = rows.groupBy(F.col(block).alias("block"), score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
+    each = few.select("block", score, F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("_p").alias("c")), F.struct(F.lit(0).alias("y"), F.col("_q").alias("c")))).alias("_e"))
+    drawn = each.join(F.broadcast(draws), "block").select("resample", score, "_e.y", (F.col("_e.c") * F.col("m")).alias("w"))  # blocks times resamples
+    a = auroc_by(drawn, ["resample"], score, "y", F.col("w")).select("resample", "auroc")
+    b = average_precision_by(drawn, ["resample"], score, "y", F.col("w"))
+    return a.join(b, "resample")
 
 
 def rmse_log(rows: DataFrame, prediction: str, truth: str) -> DataFrame:

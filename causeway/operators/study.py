@@ -283,7 +283,7 @@ def _same(x: Column, y: Column, tolerance: float) -> Column:
 
 
 # ---------------------------------------------------------------- more of overlays, scores and intervals
-def single_server_pool(histogram: DataFrame, term: str, hour: str, work: str, capacity_us: int, most: int = 64) -> list:
+def single_server_pool(histogram: DataFrame, term: str, hour: str, work: str, capacity_us: int) -> list:
     """Terms whose summed busiest hour stays within one server: each step adds the one that leaves the busiest hour least.
 
     Each step is a grouped sum over the terms not yet taken, with the hours of
@@ -292,7 +292,7 @@ def single_server_pool(histogram: DataFrame, term: str, hour: str, work: str, ca
     """
     chosen: list = []
     base = histogram.groupBy(F.col(term).alias("_t"), F.col(hour).alias("_h")).agg(F.sum(work).alias("_w"))
-    while len(chosen) < most:
+    while True:  # until no term fits
         taken = F.col("_t").isin(chosen) if chosen else F.lit(False)
         load = base.where(taken).groupBy(F.col("_h").alias("_k")).agg(F.sum("_w").alias("_l"))
         # a term's busiest hour is one of its own, or the busiest of those chosen
@@ -327,6 +327,22 @@ def two_class(score: Column, threshold: float) -> Column:
     return F.when(score > threshold, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+def longest_share(rows: DataFrame, value: str, tie: str, share: float) -> DataFrame:
+    """`rows` with `longest`: the largest `share` of them, at least one; among equal values those with the smaller `tie`.
+
+    Places of values come from running sums by ranges, so no task sorts all rows.
+    """
+    from .metrics import running_sums
+
+    most = F.greatest(F.floor(F.sum("_n") * F.lit(share)), F.lit(1)).alias("_most")
+    per = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    places = running_sums(per, "_v", {"_upto": "_n"}, descending=True).crossJoin(F.broadcast(per.agg(most)))  # one row
+    within = F.row_number().over(Window.partitionBy(value).orderBy(tie))
+    joined = rows.join(places, F.col(value) == F.col("_v"), "left").withColumn("_i", within)
+    longest = F.coalesce(F.col("_upto") - F.col("_n") + F.col("_i") <= F.col("_most"), F.lit(False))
+    return joined.withColumn("longest", longest).drop("_v", "_n", "_upto", "_most", "_i")
+
+
 def repaired(rows: DataFrame, score: str, truth: str, share: float) -> DataFrame:
     """`rows` with the truth in place of the score where the error is among the largest `share`."""
     error = F.abs(F.col(score) - F.col(truth))

@@ -79,6 +79,24 @@ def overlap(a: DataFrame, b: DataFrame, by: Sequence[str], start: str, end: str)
     return swept.groupBy(*by).agg(F.sum(F.when((F.col("la") > 0) & (F.col("lb") > 0), F.col("to") - F.col("at")).otherwise(0)).alias("both_us"))
 
 
+def within(points: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, start: str, end: str, step: int, parts: int = 1) -> DataFrame:
+    """`points` with every interval (the other columns of `intervals`) of the same keys that holds them, ends included.
+
+    An interval stands once for each step of time that it touches and a point
+    in its own step only, so they meet as equals and a pair is found once.
+    With `parts` the points of a key and step are dealt into so many, each
+    with the intervals of that step: for keys that hold much of the table.
+    """
+    cell = lambda c: F.floor(F.col(c) / step)
+    names = {c: f"_k{i}" for i, c in enumerate(by)}
+    salt = F.pmod(F.xxhash64(*points.columns), F.lit(parts)).cast("int")
+    left = points.withColumns({"_step": cell(at), "_part": salt})
+    right = intervals.where(F.col(start) <= F.col(end)).withColumnsRenamed(names).withColumn("_cell", F.explode(F.sequence(cell(start), cell(end))))
+    right = right.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    on = [F.col("_step") == F.col("_cell"), F.col("_part") == F.col("_deal"), *(F.col(c) == F.col(k) for c, k in names.items())]
+    return left.join(right, on).where(F.col(at).between(F.col(start), F.col(end))).drop("_step", "_part", "_cell", "_deal", *names.values())
+
+
 def interpolated(rows: DataFrame, by: Sequence[str], x: str, y: str, at: DataFrame, at_x: str) -> DataFrame:
     """`at` with y interpolated linearly between the anchors of `rows`, whose y never falls; flat outside."""
     anchors = rows.groupBy(*by, x).agg(F.min(y).alias(y))

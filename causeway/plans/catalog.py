@@ -435,6 +435,27 @@ def asof_forward(spark, sf_dir):
     return temporal.asof(left, right, ["user_id"], "at", "purchase_at", ["purchase_id"], direction="forward").select("event_id", "purchase_id")
 
 
+@query("asof_two_keys", """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS at_, (props->>'$.k')::INTEGER % 5 AS item FROM events), l AS (SELECT * FROM e WHERE event_type = 'purchase'), r AS (SELECT * FROM e WHERE event_type = 'click'),
+p AS (SELECT l.event_id, r.event_id AS click_id, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.at_ - r.at_), r.at_) AS i FROM l JOIN r USING (user_id, item)) SELECT l.event_id, p.click_id FROM l LEFT JOIN p ON l.event_id = p.event_id AND i = 1""")
+def asof_two_keys(spark, sf_dir):
+    """The nearest click of the same user on the same kind of item, however far."""
+    e = table(spark, sf_dir, "events").withColumns({"at": clock.micros(F.col("ts")), "item": F.from_json("props", "k int")["k"] % 5})
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "item", "at")
+    right = e.where("event_type = 'click'").select("user_id", "item", F.col("at").alias("click_at"), F.col("event_id").alias("click_id"))
+    return temporal.asof(left, right, ["user_id", "item"], "at", "click_at", ["click_id"], direction="nearest").select("event_id", "click_id")
+
+
+@query("points_in_intervals", """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS at_ FROM events), i AS (SELECT user_id, at_ AS lo, at_ + 86400000000 * (1 + event_id % 3) AS hi, event_id AS id FROM e WHERE event_type = 'error')
+SELECT e.event_id, count(i.id) AS open, coalesce(sum(i.id), 0)::BIGINT AS ids FROM e LEFT JOIN i ON e.user_id = i.user_id AND e.at_ BETWEEN i.lo AND i.hi GROUP BY e.event_id""")
+def points_in_intervals(spark, sf_dir):
+    """For every event the periods of one to three days after an error of its user that hold it; they overlap, and all count."""
+    e = table(spark, sf_dir, "events").withColumn("at", clock.micros(F.col("ts")))
+    periods = e.where("event_type = 'error'").select("user_id", F.col("at").alias("lo"), (F.col("at") + clock.DAY * (1 + F.col("event_id") % 3)).alias("hi"), F.col("event_id").alias("id"))
+    met = temporal.within(e.select("event_id", "user_id", "at"), periods, ["user_id"], "at", "lo", "hi", clock.DAY, parts=4)
+    found = met.groupBy("event_id").agg(F.count("*").alias("open"), F.sum("id").alias("ids"))
+    return e.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("ids", F.lit(0)).alias("ids"))
+
+
 @query("next_deadline", """WITH c AS (SELECT event_id, user_id, epoch_us(ts) AS at_ FROM events WHERE event_type = 'view'), d AS (SELECT user_id, epoch_us(ts) AS due FROM events WHERE event_type = 'error')
 SELECT c.event_id, min(due) FILTER (due >= at_) AS next_due, count(*) FILTER (due BETWEEN at_ AND at_ + 259200000000) AS due_soon FROM c LEFT JOIN d ON c.user_id = d.user_id GROUP BY c.event_id""")
 def next_deadline(spark, sf_dir):
@@ -536,8 +557,8 @@ def week_shift(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- overlays and load
-_ENTRIES = "e AS (SELECT * FROM (VALUES (0, '1', 0), (0, '2', 1), (0, '3', 0), (1, '1', 2), (1, '2', 0), (1, '3', 1), (2, '2', 3)) v(copy, term, shift_weeks))"
-_ENTRY_ROWS = [(0, "1", 0), (0, "2", 1), (0, "3", 0), (1, "1", 2), (1, "2", 0), (1, "3", 1), (2, "2", 3)]
+_ENTRIES = "e AS (SELECT * FROM (VALUES (0, '1', 0), (0, '2', 1), (0, '3', 0), (1, '1', 2), (1, '2', 0), (1, '3', 1), (2, '2', 3), (0, '0', 1), (2, '0', 0)) v(copy, term, shift_weeks))"
+_ENTRY_ROWS = [(0, "1", 0), (0, "2", 1), (0, "3", 0), (1, "1", 2), (1, "2", 0), (1, "3", 1), (2, "2", 3), (0, "0", 1), (2, "0", 0)]
 
 
 def overlay(spark, sf_dir):
@@ -977,52 +998,73 @@ def peak_f1(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- bootstrap
-_DRAWS = [(0, w, 1) for w in range(2817, 2823)] + [(1, 2817, 2), (1, 2818, 0), (1, 2819, 1), (1, 2820, 3), (1, 2821, 0), (2, 2817, 0), (2, 2818, 4), (2, 2819, 0), (2, 2820, 1), (2, 2821, 1)]
+#: Blocks are weeks from the first one of the table on, taken in turn where there are more.
+_BLOCKS = 6
+_DRAWS = [(0, b, 1) for b in range(_BLOCKS)] + [(1, 0, 2), (1, 1, 0), (1, 2, 1), (1, 3, 3), (1, 4, 0), (1, 5, 1), (2, 0, 0), (2, 1, 4), (2, 2, 0), (2, 3, 1), (2, 4, 1), (2, 5, 2)]
 _DRAWS_SQL = "d AS (SELECT * FROM (VALUES " + ", ".join(map(str, _DRAWS)) + ") v(resample, block, m))"
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    first = rows.agg(F.min("week").alias("_first"))
+    return rows.crossJoin(F.broadcast(first)).withColumn("block", F.pmod(F.col("week") - F.col("_first"), F.lit(_BLOCKS))).drop("_first")  # one row
+
+
+_BLOCKED = f"ab AS (SELECT *, (week - (SELECT min(week) FROM a)) % {_BLOCKS} AS blk FROM a)"
+
+
 def draws(spark):
     return spark.createDataFrame(_DRAWS, "resample int, block long, m int")
 
 
-@query("bootstrap_mean", f"WITH {JOBS}, {_DRAWS_SQL} SELECT d.resample::INTEGER AS resample, kind, sum(m * work_us)::DOUBLE / sum(m)::DOUBLE AS mean FROM a JOIN d ON a.week = d.block GROUP BY d.resample, kind")
+def _tens_sql(name: str, seed: int) -> str:
+    drawn = study.draws_of(10, 50, seed)
+    return f"{name} AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {b}, {m})" for r, row in enumerate(drawn) for b, m in enumerate(row)) + ") v(resample, block, m))"
+
+
+_RANKED = f"""WITH {JOBS}, {{draws}}, y AS (SELECT (user_key % 10)::BIGINT AS block, cost_us // 1000000 AS score, is_error AS y FROM j), x AS (SELECT resample, score, sum(m * y)::DOUBLE AS p, sum(m * (1 - y))::DOUBLE AS q FROM y JOIN d USING (block) GROUP BY ALL),
+c AS (SELECT *, sum(q) OVER (PARTITION BY resample ORDER BY score) - q AS below, sum(p) OVER (PARTITION BY resample ORDER BY score DESC) AS above_p, sum(p + q) OVER (PARTITION BY resample ORDER BY score DESC) AS above FROM x)"""
+
+
+@query("bootstrap_ranking", _RANKED.replace("{draws}", _tens_sql("d", 9)) + " SELECT resample::INTEGER AS resample, round(sum(p * (below + 0.5 * q)) / nullif(sum(p) * sum(q), 0), 9) AS auroc, round(sum(CASE WHEN above > 0 THEN p * above_p / above ELSE 0 END) / nullif(sum(p), 0), 9) AS average_precision FROM c GROUP BY resample")
+def bootstrap_ranking(spark, sf_dir):
+    """How well cost ranks errors, in samples of groups of users drawn with replacement."""
+    rows = jobs(spark, sf_dir).select((F.col("user_key") % 10).alias("block"), F.floor(F.col("cost_us") / 1_000_000).alias("score"), "is_error")
+    many = study.multiplicities(spark, range(10), 50, seed=9)
+    out = metrics.resampled_ranking(rows, "block", "score", "is_error", many)
+    return out.select("resample", F.round("auroc", 9).alias("auroc"), F.round("average_precision", 9).alias("average_precision"))
+
+
+@query("bootstrap_mean", f"WITH {JOBS}, {_BLOCKED}, {_DRAWS_SQL} SELECT d.resample::INTEGER AS resample, kind, sum(m * work_us)::DOUBLE / sum(m)::DOUBLE AS mean FROM ab JOIN d ON ab.blk = d.block GROUP BY d.resample, kind")
 def bootstrap_mean(spark, sf_dir):
-    return study.resampled_mean(timed(spark, sf_dir), "week", "work_us", ["kind"], draws(spark))
+    return study.resampled_mean(in_blocks(timed(spark, sf_dir)), "block", "work_us", ["kind"], draws(spark))
 
 
-@query("bootstrap_p99", f"WITH {JOBS}, {_DRAWS_SQL}, x AS (SELECT d.resample, kind, work_us, unnest(range(m)) FROM a JOIN d ON a.week = d.block WHERE m > 0) SELECT resample::INTEGER AS resample, kind, round(quantile_cont(work_us, 0.99), 3) AS quantile FROM x GROUP BY ALL")
+@query("bootstrap_p99", f"WITH {JOBS}, {_BLOCKED}, {_DRAWS_SQL}, x AS (SELECT d.resample, kind, work_us, unnest(range(m)) FROM ab JOIN d ON ab.blk = d.block WHERE m > 0) SELECT resample::INTEGER AS resample, kind, round(quantile_cont(work_us, 0.99), 3) AS quantile FROM x GROUP BY ALL")
 def bootstrap_p99(spark, sf_dir):
-    return study.resampled_quantile(timed(spark, sf_dir), "week", "work_us", ["kind"], 0.99, draws(spark)).withColumn("quantile", F.round("quantile", 3))
+    return study.resampled_quantile(in_blocks(timed(spark, sf_dir)), "block", "work_us", ["kind"], 0.99, draws(spark)).withColumn("quantile", F.round("quantile", 3))
 
 
-@query("paired_diff", f"WITH {JOBS}, {_DRAWS_SQL}, m AS (SELECT d.resample, kind, sum(m * work_us)::DOUBLE / sum(m)::DOUBLE AS mean FROM a JOIN d ON a.week = d.block GROUP BY ALL) SELECT x.resample::INTEGER AS resample, x.mean - y.mean AS difference FROM m x JOIN m y ON x.resample = y.resample AND x.kind = 'click' AND y.kind = 'error'")
+@query("paired_diff", f"WITH {JOBS}, {_BLOCKED}, {_DRAWS_SQL}, m AS (SELECT d.resample, kind, sum(m * work_us)::DOUBLE / sum(m)::DOUBLE AS mean FROM ab JOIN d ON ab.blk = d.block GROUP BY ALL) SELECT x.resample::INTEGER AS resample, x.mean - y.mean AS difference FROM m x JOIN m y ON x.resample = y.resample AND x.kind = 'click' AND y.kind = 'error'")
 def paired_diff(spark, sf_dir):
-    replicates = study.resampled_mean(timed(spark, sf_dir), "week", "work_us", ["kind"], draws(spark))
+    replicates = study.resampled_mean(in_blocks(timed(spark, sf_dir)), "block", "work_us", ["kind"], draws(spark))
     return study.paired(replicates, [], "kind", "click", "error", "mean")
 
 
 def _many_sql(resamples: int, seed: int) -> str:
-    """The draws of study.multiplicities over the weeks, which are numbered in order."""
-    drawn = study.draws_of(len(_WEEKS), resamples, seed)
-    return "d AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {w}, {m})" for r, row in enumerate(drawn) for w, m in zip(_WEEKS, row, strict=True)) + ") v(resample, block, m))"
+    """The blocks of weeks and the draws of study.multiplicities over them."""
+    drawn = study.draws_of(_BLOCKS, resamples, seed)
+    return f"{_BLOCKED}, " + "d AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {w}, {m})" for r, row in enumerate(drawn) for w, m in enumerate(row)) + ") v(resample, block, m))"
 
 
-#: Weeks of the events tables.
-_WEEKS = range(2817, 2822)
-_MEANS_SQL = "m AS (SELECT d.resample, kind, sum(m * work_us)::DOUBLE / nullif(sum(m), 0)::DOUBLE AS mean FROM a JOIN d ON a.week = d.block GROUP BY ALL)"
+_MEANS_SQL = "m AS (SELECT d.resample, kind, sum(m * work_us)::DOUBLE / nullif(sum(m), 0)::DOUBLE AS mean FROM ab JOIN d ON ab.blk = d.block GROUP BY ALL)"
 
 
-@query("bootstrap_interval", f"WITH {JOBS}, {_many_sql(200, 7)}, {_MEANS_SQL} SELECT kind, max(mean) FILTER (resample = 0) AS estimate, quantile_cont(mean, 0.025) FILTER (resample > 0) AS low, quantile_cont(mean, 0.975) FILTER (resample > 0) AS high FROM m GROUP BY kind")
+@query("bootstrap_interval", f"WITH {JOBS}, {_many_sql(200, 7)}, {_MEANS_SQL} SELECT kind, round(max(mean) FILTER (resample = 0), 3) AS estimate, round(quantile_cont(mean, 0.025) FILTER (resample > 0), 3) AS low, round(quantile_cont(mean, 0.975) FILTER (resample > 0), 3) AS high FROM m GROUP BY kind")
 def bootstrap_interval(spark, sf_dir):
     rows = timed(spark, sf_dir)
-    weeks = [r.week for r in rows.select("week").distinct().orderBy("week").collect()]  # a handful of blocks
-    many = study.multiplicities(spark, weeks, 200, seed=7)
-    return study.interval(study.resampled_mean(rows, "week", "work_us", ["kind"], many), ["kind"], "mean")
-
-
-def _tens_sql(name: str, seed: int) -> str:
-    drawn = study.draws_of(10, 50, seed)
-    return f"{name} AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {b}, {m})" for r, row in enumerate(drawn) for b, m in enumerate(row)) + ") v(resample, block, m))"
+    many = study.multiplicities(spark, range(_BLOCKS), 200, seed=7)
+    out = study.interval(study.resampled_mean(in_blocks(rows), "block", "work_us", ["kind"], many), ["kind"], "mean")
+    return out.select("kind", *(F.round(c, 3).alias(c) for c in ("estimate", "low", "high")))
 
 
 @query("multiway_bootstrap", f"WITH {JOBS}, {_tens_sql('du', 1)}, {_tens_sql('di', 2)}, s AS (SELECT user_key % 10 AS u, item_key % 10 AS i, sum(work_us) AS s, count(*) AS n FROM t GROUP BY ALL) SELECT du.resample::INTEGER AS resample, sum(du.m * di.m * s)::DOUBLE / sum(du.m * di.m * n)::DOUBLE AS mean FROM s JOIN du ON du.block = u JOIN di ON di.block = i AND di.resample = du.resample GROUP BY du.resample")
@@ -1200,11 +1242,8 @@ def decomposition(spark, sf_dir):
 
 @query("adversarial_scores", f"WITH {JOBS}, r AS (SELECT job_id, cost_us, row_number() OVER (ORDER BY cost_us DESC, job_id) AS i, count(*) OVER () AS n FROM j) SELECT job_id, -cost_us AS negated, CASE WHEN i <= greatest(floor(n * 0.01::DOUBLE), 1) THEN 0 ELSE cost_us END AS masked FROM r")
 def adversarial_scores(spark, sf_dir):
-    rows = jobs(spark, sf_dir)
-    # the cut is a quantile of one column: a small sorted prefix, not a sort of all rows in one task
-    n = rows.agg(F.count("*").alias("n"))
-    most = rows.select("job_id", "cost_us").orderBy(F.col("cost_us").desc(), "job_id").limit(max(1, int(n.first().n * 0.01))).select("job_id", F.lit(True).alias("longest"))
-    return rows.join(most, "job_id", "left").select("job_id", (-F.col("cost_us")).alias("negated"), F.when(F.col("longest"), F.lit(0)).otherwise(F.col("cost_us")).cast("long").alias("masked"))
+    marked = study.longest_share(jobs(spark, sf_dir), "cost_us", "job_id", 0.01)
+    return marked.select("job_id", (-F.col("cost_us")).alias("negated"), F.when(F.col("longest"), F.lit(0)).otherwise(F.col("cost_us")).cast("long").alias("masked"))
 
 
 @query("pushdown_scan", "SELECT event_id, value FROM events WHERE event_type = 'purchase' AND value > 10")
@@ -1417,6 +1456,14 @@ def live_waits(spark, sf_dir):
     return _drained(spark, live.live_waits(_stream(spark, sf_dir), SERVERS), "append").select("event_id", "wait_us")
 
 
+@query("live_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def live_first_seen(spark, sf_dir):
+    """The kinds of events of each user, each reported once by the stream."""
+    from ..streaming import live
+
+    return _drained(spark, live.deduplicated(_stream(spark, sf_dir), ["user_id", "event_type"]), "append").select("user_id", "event_type")
+
+
 # ---------------------------------------------------------------- audits
 @query("table_digest", "SELECT 'events' AS name, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM orders")
 def table_digest(spark, sf_dir):
@@ -1424,6 +1471,17 @@ def table_digest(spark, sf_dir):
     return one.unionAll(table(spark, sf_dir, "orders").agg(F.lit("orders"), F.count("*"), F.sum("o_orderkey")))
 
 
+@query("audited_counts", f"""WITH {STREAM}, w AS (SELECT job_id, k, count(*) FILTER (k = 0) OVER o AS every, count(*) FILTER (k = 0 AND job_id % 5 <> 0) OVER o AS open, coalesce(sum(is_error) FILTER (k = 0) OVER o, 0) AS e, coalesce(sum(is_error) FILTER (k = 0 AND job_id % 5 <> 0) OVER o, 0) AS oe
+  FROM s WINDOW o AS (PARTITION BY item_key ORDER BY at_us, k, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), p AS (SELECT * FROM w WHERE k = 1 AND {_bits('job_id')} % 2 = 0)
+SELECT 'x_n' AS "column", count(*) FILTER (every <> open) AS different, 0::BIGINT AS only_a, 0::BIGINT AS only_b FROM p
+UNION ALL SELECT 'x_err', count(*) FILTER ((CASE WHEN every > 0 THEN e::DOUBLE / every ELSE -1 END) <> (CASE WHEN open > 0 THEN oe::DOUBLE / open ELSE -1 END)), 0, 0 FROM p""")
+def audited_counts(spark, sf_dir):
+    """How far withheld results change an item's history, on the audited half of the jobs."""
+    rows = timed(spark, sf_dir)
+    read = lambda eligible: history.keyed_history(history.merged_stream(rows, ["item_key", "work_us", "is_error"], eligible), ["item_key"], "x")
+    return study.audited(read(None), read(F.col("job_id") % 5 != 0), ["job_id"], ["x_n", "x_err"], 2)
+
+
 @query("sealed_read", f"WITH {JOBS} SELECT week, count(*) AS n FROM j WHERE week NOT IN (2820, 2821) GROUP BY week")
 def sealed_read(spark, sf_dir):
     from ..access import Guard
@@ -1545,12 +1603,12 @@ def single_server_pool(spark, sf_dir):
 
 
 @query("simultaneous_band", f"""WITH {JOBS}, {_many_sql(200, 5)}, {_MEANS_SQL}, c AS (SELECT kind, max(mean) FILTER (resample = 0) AS estimate, stddev_samp(mean) FILTER (resample > 0) AS sd FROM m GROUP BY kind),
-z AS (SELECT resample, max(abs((mean - estimate) / nullif(sd, 0))) AS z FROM m JOIN c USING (kind) WHERE resample > 0 GROUP BY resample), q AS (SELECT quantile_cont(z, 0.95) AS z FROM z) SELECT kind, estimate, estimate - z * sd AS low, estimate + z * sd AS high FROM c, q""")
+z AS (SELECT resample, max(abs((mean - estimate) / nullif(sd, 0))) AS z FROM m JOIN c USING (kind) WHERE resample > 0 GROUP BY resample), q AS (SELECT quantile_cont(z, 0.95) AS z FROM z) SELECT kind, round(estimate, 3) AS estimate, round(estimate - z * sd, 3) AS low, round(estimate + z * sd, 3) AS high FROM c, q""")
 def simultaneous_band(spark, sf_dir):
     rows = timed(spark, sf_dir)
-    weeks = [r.week for r in rows.select("week").distinct().orderBy("week").collect()]  # a handful of blocks
-    means = study.resampled_mean(rows, "week", "work_us", ["kind"], study.multiplicities(spark, weeks, 200, seed=5))
-    return study.simultaneous_band(means, "kind", "mean")
+    means = study.resampled_mean(in_blocks(rows), "block", "work_us", ["kind"], study.multiplicities(spark, range(_BLOCKS), 200, seed=5))
+    out = study.simultaneous_band(means, "kind", "mean")
+    return out.select("kind", *(F.round(c, 3).alias(c) for c in ("estimate", "low", "high")))
 
 
 _U = "(({}) + 0.5::DOUBLE) * 2.0::DOUBLE ^ -52"

@@ -97,6 +97,16 @@ def test_coending_merged_and_dropped(spark):
     assert rows_of(history.merge_coending(df, ["user", "second"], ["job_id"], "work", drop=True).select("job_id", "work")) == [(3, 4)]
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_points_meet_every_interval_that_holds_them_once(spark, parts):
+    rng = random.Random(14)
+    points = [(i, 0 if rng.random() < 0.5 else rng.randrange(1, 5), rng.randrange(-50, 200)) for i in range(200)]
+    spans = [(100 + i, rng.randrange(5), (a := rng.randrange(-40, 180)), a + rng.choice([-1, 0, 3, 60])) for i in range(60)]
+    left, right = spark.createDataFrame(points, "p long, k int, at long"), spark.createDataFrame(spans, "i long, k int, lo long, hi long")
+    got = temporal.within(left, right, ["k"], "at", "lo", "hi", 10, parts).select("p", "i").collect()
+    assert sorted(map(tuple, got)) == sorted((p, i) for p, k, at in points for i, kk, lo, hi in spans if k == kk and lo <= at <= hi)
+
+
 # ---------------------------------------------------------------- metrics and bootstrap
 def test_ranking_metrics(spark):
     df = lambda rows: spark.createDataFrame(rows, "s double, y int")
@@ -118,6 +128,29 @@ def test_resampled_quantile_is_that_of_the_expanded_sample(spark):
     assert {table[0, b] for b in range(5)} == {1}
 
 
+def test_ranking_of_resamples_is_that_of_expanded_samples(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(6), rng.randrange(9), int(rng.random() < 0.4)) for _ in range(200)]
+    draws = study.multiplicities(spark, range(6), 20, seed=4)
+    table = {(r.resample, r.block): r.m for r in draws.collect()}
+    got = {r.resample: r for r in metrics.resampled_ranking(spark.createDataFrame(rows, "b long, s long, y int"), "b", "s", "y", draws).collect()}
+    assert len(got) == 21
+    for resample, r in got.items():
+        drawn = [(s, y) for b, s, y in rows for _ in range(table[resample, b])]
+        p, q = ([s for s, y in drawn if y == want] for want in (1, 0))
+        assert r.auroc == pytest.approx(sum((a > b) + (a == b) / 2 for a in p for b in q) / (len(p) * len(q)))
+        ap = sum(p.count(s) / len(p) * sum(x >= s for x in p) / sum(x >= s for x, _ in drawn) for s in set(p))
+        assert r.average_precision == pytest.approx(ap)
+
+
+@pytest.mark.parametrize("share", [0.001, 0.1, 0.5, 1.0])
+def test_longest_share_with_ties(spark, share):
+    rng = random.Random(13)
+    rows = [(i, rng.randrange(12)) for i in range(300)]
+    got = {r.id for r in study.longest_share(spark.createDataFrame(rows, "id long, v long"), "v", "id", share).where("longest").collect()}
+    assert got == {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[: max(1, int(len(rows) * share))]}
+
+
 def test_premature_hand_example(spark):
     df = spark.createDataFrame([(0, 1, 0, 5, 25), (1, 1, 10, 15, 15), (2, 1, 20, 25, 25)], "job_id long, k int, arrival_us long, available_us long, done_us long")
     assert rows_of(study.premature_counts(df, [["k"]])) == [(0, 0), (1, 1), (2, 1)]
