@@ -1464,6 +1464,26 @@ def live_first_seen(spark, sf_dir):
     return _drained(spark, live.deduplicated(_stream(spark, sf_dir), ["user_id", "event_type"]), "append").select("user_id", "event_type")
 
 
+@query("live_history", f"""WITH {STREAM}, w AS (SELECT job_id, k, count(*) FILTER (k = 0) OVER v AS n, coalesce(sum(work_us) FILTER (k = 0) OVER v, 0)::BIGINT AS work_us, coalesce(sum(is_error) FILTER (k = 0) OVER v, 0)::BIGINT AS errors
+  FROM s WINDOW v AS (PARTITION BY user_key ORDER BY at_us, k, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT job_id, n, work_us, errors FROM w WHERE k = 1""")
+def live_history(spark, sf_dir):
+    """Histories of users off a stream whose rows come up to 90 minutes late, in files of some days."""
+    from ..streaming import live
+
+    rows = timed(spark, sf_dir).select("user_key", "job_id", "arrival_us", "available_us", "work_us", "is_error")
+    rows = rows.withColumn("ts", F.timestamp_micros("arrival_us")).withColumn("part", F.floor((F.col("arrival_us") + clock.jitter("job_id") * F.lit(1.5 * clock.HOUR)) / (5 * clock.DAY)))
+    # a last row of another key lets the watermark pass all others
+    end = rows.agg(F.max("arrival_us").alias("m")).where("m is not null").select(
+        F.lit(-1).cast("long").alias("user_key"), F.lit(-1).cast("long").alias("job_id"), (F.col("m") + clock.DAY).alias("arrival_us"), (F.col("m") + clock.DAY).alias("available_us"), F.lit(0).cast("long").alias("work_us"), F.lit(0).alias("is_error")
+    ).withColumns({"ts": F.timestamp_micros("arrival_us"), "part": F.lit(1 << 40).cast("long")})
+    folder = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    every = rows.unionByName(end)
+    for part in [r.part for r in every.select("part").distinct().orderBy("part").collect()]:  # one write a file, in order of time
+        every.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    stream = live.event_stream(spark, folder, every.drop("part").schema, 1)
+    return _drained(spark, live.live_history(stream, "user_key"), "append").where("job_id >= 0").select("job_id", "n", "work_us", "errors")
+
+
 # ---------------------------------------------------------------- audits
 @query("table_digest", "SELECT 'events' AS name, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM orders")
 def table_digest(spark, sf_dir):

@@ -70,6 +70,47 @@ def live_waits(events: DataFrame, k: int, scale: float = 1000.0) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(place, "user_id long, event_id long, wait_us long", "free array<long>, last array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def live_history(jobs: DataFrame, by: str, late: str = "2 hours") -> DataFrame:
+    """(job_id, n, work_us, errors): the results of its key that each job could read when it arrived.
+
+    `jobs` has the key, job_id, ts (arrival, event time), arrival_us,
+    available_us, work_us and is_error. A job waits until the watermark has
+    passed its arrival, so rows may come in any order within `late`; a timer on
+    its key's earliest waiting job then fires, results whose availability is due
+    enter the sums in order, and the job reads them. A key holds its sums, the
+    jobs that wait and the results that aren't due. A row behind the watermark
+    is given no reading, and its result enters when it is due or at once.
+    """
+    pending = "pending_at array<long>, pending_kind array<int>, pending_job array<long>, pending_work array<long>, pending_error array<int>"
+    schema = f"n long, work long, errors long, open_at array<long>, open_job array<long>, {pending}"
+
+    def read(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, work, errors, open_at, open_job, *held = state.get if state.exists else (0, 0, 0, [], [], [], [], [], [], [])
+        waiting = list(zip(open_at, open_job, strict=True))
+        results = [tuple(r) for r in zip(*held, strict=True)]
+        passed = state.getCurrentWatermarkMs() * 1000
+        for pdf in batches:  # none when a timer fires
+            for job, arrival, available, cost, error in zip(*(pdf[c] for c in ("job_id", "arrival_us", "available_us", "work_us", "is_error")), strict=True):
+                results.append((int(available), 3 if available == arrival else 0, int(job), int(cost), int(error)))
+                waiting.append((int(arrival), int(job)))
+        heapq.heapify(results)
+        heapq.heapify(waiting)
+        out = []
+        while waiting and waiting[0][0] < passed:
+            now, job = heapq.heappop(waiting)
+            while results and results[0][:2] < (now, 3):
+                _, _, _, cost, error = heapq.heappop(results)
+                n, work, errors = n + 1, work + cost, errors + error
+            out.append((job, n, work, errors))
+        state.update((n, work, errors, [w[0] for w in waiting], [w[1] for w in waiting], *([r[i] for r in results] for i in range(5))))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["job_id", "n", "work_us", "errors"], dtype="int64")
+
+    rows = jobs.withWatermark("ts", late).select(by, "ts", "job_id", "arrival_us", "available_us", "work_us", "is_error")
+    return rows.groupBy(by).applyInPandasWithState(read, "job_id long, n long, work_us long, errors long", schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it gave, from Parquet files under `folder`.
 
