@@ -15,7 +15,9 @@ Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do rows without an id; a query meets candidates of its own
 length only and not rows of its own id; of repeated query ids the smallest
 vector asks; repeated candidates count each; ties go to the smaller id; an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; other columns, of any name, are not read.
+Scores are 64-bit integers: components up to a million, in vectors of up to a
+thousand of them, stay within that.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Main path: DataFrame functions only.
 
 Defined results: a null text counts no words and is never taken; an empty
 table gives an empty result; a null source is a source of its own, after the
-others; repeated rows are separate documents; other columns are kept aside.
+others; repeated rows and null ids are separate documents; texts are read
+whole, and one that is longer than a target may be taken not at all; other
+columns, of any name, are kept aside.
 """
 
 from __future__ import annotations

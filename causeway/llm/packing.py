@@ -11,7 +11,9 @@ of what would be left. A plan then tells each length's n-th piece its bin and
 offset, and pieces find theirs by their rank among equals.
 
 Defined results: a null text is empty, and an empty text is one piece of the
-end id; repeated rows are packed each; an empty table gives an empty result.
+end id; repeated rows and null ids are packed each; texts of any length are
+encoded whole and cut; an empty table gives an empty result; other columns, of
+any name, are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Main path: DataFrame functions only.
 
 Defined results: a null text has size 8 and the crc32 of nothing (0); a null
 doc_id is one key; repeated rows go to the same shard under different slots;
-an empty table gives an empty result.
+texts are read whole; an empty table gives an empty result; other columns, of
+any name, are not read.
 """
 
 from __future__ import annotations

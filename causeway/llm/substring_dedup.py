@@ -15,8 +15,9 @@ being kept per distinct text. A group with more than CROWDED different runs
 goes by 128-bit hashes of its single windows, which spread over all tasks.
 
 Defined results: a null text is empty; texts under 200 bytes keep all; copies
-of a text, repeated rows too, repeat as a whole; an empty table gives an
-empty result.
+of a text, repeated rows too, repeat as a whole; null ids are ids like others;
+texts are read whole; an empty table gives an empty result; other columns, of
+any name, are not read.
 """
 
 from __future__ import annotations

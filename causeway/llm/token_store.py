@@ -18,7 +18,8 @@ nothing behind that is read.
 Defined results: a null text is empty; every document gets the end id; a null
 key sorts first and is stored but not indexed; repeated keys are stored each,
 in the order of a hash of their texts, and the index gives the first of a
-shard; an empty table gives no shard; other columns are not read.
+shard; texts of any length are encoded whole, each in one shard; an empty
+table gives no shard; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
