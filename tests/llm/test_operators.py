@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -357,6 +359,22 @@ def test_packing_is_whole(spark):
     assert len(bins) <= 1 + -(-sum(r.length for r in out) // 2048)
 
 
+def test_every_piece_holds_the_ids_of_its_document(spark):
+    rng = random.Random(31)
+    texts = {i: prose(rng, rng.choice([0, 1, 5, 300, 3_000])) + rng.choice(["", " \n ", "é\U0001f600"]) for i in range(60)}
+    got: dict = {}
+    for r in packing.packed(docs(spark, [(i, t, "s") for i, t in texts.items()])).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        ids, at = [*plain_ids(text), 0], 0
+        for n, (piece, start, length, check) in enumerate(sorted(got[i])):
+            assert (piece, start, check) == (n, at, crc(ids[at : at + length]))
+            assert length == 2048 or n == 0 and length == (len(ids) - 1) % 2048 + 1
+            at += length
+        assert at == len(ids)
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(64), packing.Limits(64, rule="dot"), packing.Limits(64, documents=3), packing.Limits(64, documents=5, attention=64 * 64, weights=(1, 1, 1))])
 def test_plan_keeps_every_capacity(limits):
     rng = random.Random(3)
@@ -632,6 +650,23 @@ def test_shards(spark):
     assert len({r.shard for r in out if r.doc_id == 7}) == 1
 
 
+def test_shards_are_the_largest_draws(spark):
+    def draws(key, n):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        return [xxhash.xxh64_intdigest(struct.pack("<i", i), seed) >> 11 for i in range(n)]
+
+    def first(values):
+        return values.index(max(values))
+
+    rows = docs(spark, [(i, "x", "s") for i in [*range(0, 40_000, 97), -5, None, 2**62]])
+    for r in sharding.sharded(rows).collect():
+        assert (r.shard, r.grown_shard) == (first(draws(r.doc_id, 24)), first(draws(r.doc_id, 25)))
+    weights = [1.0, 4.0, 2.5]
+    for r in sharding.sharded(rows, 3, weights, 2.0).collect():
+        scores = [w / -math.log((d + 0.5) * 2.0**-53) for w, d in zip([*weights, 2.0], draws(r.doc_id, 4), strict=True)]
+        assert (r.shard, r.grown_shard) == (first(scores[:3]), first(scores))
+
+
 def test_weighted_shards(spark):
     rows = docs(spark, [(i, "", "s") for i in range(4000)])
     n = {r.shard: r["count"] for r in sharding.sharded(rows, 3, [1.0, 2.0, 5.0]).groupBy("shard").count().collect()}
