@@ -140,6 +140,33 @@ def icc(rows: DataFrame, group: str, value: str) -> DataFrame:
     return total.select(((between - within) / (between + (size - 1) * within)).alias("icc"))
 
 
+def pairwise_corr(rows: DataFrame, series: str, point: str, value: str, blocks: int = 1) -> DataFrame:
+    """(a, b, corr) of all pairs of series, a < b, over all points; a series has one value a point, 0 where it has none.
+
+    A Gram matrix by blocks of series: a point's values meet within a pair of
+    blocks, so no array holds more than two blocks' series and points are never
+    joined with each other. Constant series give null.
+    """
+    first, second = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.col("_own")
+    n = rows.select(point).distinct().agg(F.count("*").alias("_n"))
+    sums = rows.groupBy(series).agg(F.sum(value).cast("double").alias("_s"), F.sum(F.col(value).cast("double") * F.col(value)).alias("_q"))
+    own = rows.where(F.col(value) != 0).select(point, F.struct(F.col(series).alias("s"), F.col(value).cast("double").alias("v")).alias("_x"), F.pmod(F.xxhash64(series), F.lit(blocks)).alias("_own"), first.alias("_other"))
+    cell = own.select(point, "_x", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), second)
+    met = cell.groupBy(point, "_i", "_j").agg(
+        F.collect_list(F.when(F.col("_own") == F.col("_i"), F.col("_x"))).alias("_l"), F.collect_list(F.when(F.col("_own") == F.col("_j"), F.col("_x"))).alias("_r")
+    )
+    pairs = met.select("_i", "_j", F.explode("_l").alias("x"), "_r").select("_i", "_j", "x", F.explode("_r").alias("y"))
+    # a pair of different blocks meets once, within a block both ways round
+    pairs = pairs.where((F.col("_i") != F.col("_j")) | (F.col("x.s") < F.col("y.s")))
+    gram = pairs.groupBy(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("_g"))
+    one, two = sums.withColumnsRenamed({series: "a", "_s": "_sa", "_q": "_qa"}), sums.withColumnsRenamed({series: "b", "_s": "_sb", "_q": "_qb"})
+    # pairs without a common point have no cell
+    every = one.join(two, F.col("a") < F.col("b")).join(gram, ["a", "b"], "left").crossJoin(F.broadcast(n))  # one row; the pairs are the result
+    size = F.col("_n").cast("double")
+    spread = lambda q, t: size * F.col(q) - F.col(t) * F.col(t)
+    return every.select("a", "b", F.try_divide(size * F.coalesce("_g", F.lit(0.0)) - F.col("_sa") * F.col("_sb"), F.sqrt(spread("_qa", "_sa") * spread("_qb", "_sb"))).alias("corr"))
+
+
 def peak_scores(rows: DataFrame, series: str, truth: str, forecast: str, p: float) -> DataFrame:
     """Per series how well a forecast finds the peaks: those above the series' own quantile."""
     cut = rows.groupBy(series).agg(F.percentile(truth, F.lit(p)).alias("_cut"))

@@ -1034,6 +1034,15 @@ def bootstrap_ranking(spark, sf_dir):
     return out.select("resample", F.round("auroc", 9).alias("auroc"), F.round("average_precision", 9).alias("average_precision"))
 
 
+@query("curve_correlations", f"""WITH {JOBS}, c AS (SELECT user_key % 25 AS s, (arrival_us % 86400000000) // 3600000000 AS h, count(*) AS n FROM a GROUP BY ALL), e AS (SELECT s, h, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT s FROM c), (SELECT DISTINCT h FROM c)) LEFT JOIN c USING (s, h))
+SELECT x.s AS a, y.s AS b, round(corr(x.n, y.n), 9) AS corr FROM e x JOIN e y ON x.h = y.h AND x.s < y.s GROUP BY ALL""")
+def curve_correlations(spark, sf_dir):
+    """How alike the daily curves of groups of users are, pair by pair."""
+    hour = F.floor(F.pmod(F.col("arrival_us"), F.lit(clock.DAY)) / clock.HOUR).alias("h")
+    curves = timed(spark, sf_dir).groupBy((F.col("user_key") % 25).alias("s"), hour).agg(F.count("*").alias("n"))
+    return metrics.pairwise_corr(curves, "s", "h", "n", 3).withColumn("corr", F.round("corr", 9))
+
+
 @query("bootstrap_mean", f"WITH {JOBS}, {_BLOCKED}, {_DRAWS_SQL} SELECT d.resample::INTEGER AS resample, kind, sum(m * work_us)::DOUBLE / sum(m)::DOUBLE AS mean FROM ab JOIN d ON ab.blk = d.block GROUP BY d.resample, kind")
 def bootstrap_mean(spark, sf_dir):
     return study.resampled_mean(in_blocks(timed(spark, sf_dir)), "block", "work_us", ["kind"], draws(spark))

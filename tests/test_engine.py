@@ -143,6 +143,18 @@ def test_ranking_of_resamples_is_that_of_expanded_samples(spark):
         assert r.average_precision == pytest.approx(ap)
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 8])
+def test_pairwise_correlations(spark, blocks):
+    rng = random.Random(16)
+    rows = [(s, p, rng.randrange(-3, 6)) for s in range(7) for p in range(12) if rng.random() < 0.7] + [(7, 3, 2), (8, 5, 1), (9, 0, 0)]
+    got = {(r.a, r.b): r["corr"] for r in metrics.pairwise_corr(spark.createDataFrame(rows, "s int, p int, v int"), "s", "p", "v", blocks).collect()}
+    value = {(s, p): v for s, p, v in rows}
+    curve = {s: [value.get((s, p), 0) for p in range(12)] for s in range(10)}
+    assert set(got) == {(a, b) for a in range(10) for b in range(a + 1, 10)}
+    for (a, b), r in got.items():
+        assert r == (pytest.approx(np.corrcoef(curve[a], curve[b])[0, 1]) if b != 9 else None)
+
+
 @pytest.mark.parametrize("share", [0.001, 0.1, 0.5, 1.0])
 def test_longest_share_with_ties(spark, share):
     rng = random.Random(13)
