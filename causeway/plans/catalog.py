@@ -300,6 +300,49 @@ def feature_block(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 9) for c in ("pair_since", "prev_since")})
 
 
+def _platform_sql(lag: int) -> str:
+    order = "ORDER BY at_, k, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    got = lambda p, x: f"{x} FILTER (k = 3) OVER {p}"
+    sums = lambda p, *what: ", ".join([f"{got(p, 'count(*)')} AS {p}_n", *(f"{got(p, f'sum({c})')} AS {p}_{c}" for c in what)])
+    mean = lambda p, c: f"CASE WHEN {p}_n > 0 THEN {p}_{c}::DOUBLE / {p}_n END"
+    sd = lambda p: f"CASE WHEN {p}_n > 0 THEN sqrt(greatest(({mean(p, 'sq')}) - ({mean(p, 'lg')}) * ({mean(p, 'lg')}), 0)) END"
+    last = lambda p, c: f"last_value(CASE WHEN k = 3 THEN {c} END IGNORE NULLS) OVER {p}"
+    sides = ", ".join(
+        f"{p}_n, {mean(p, 'lg')} AS {p}_mean, {sd(p)} AS {p}_sd, {p}_max, {p}_last, {mean(p, 'heavy')} AS {p}_heavy_rate, {mean(p, 'tle')} AS {p}_limit_rate, {mean(p, 'ac')} AS {p}_accept_rate, {mean(p, 'len')} AS {p}_length_mean"
+        for p in ("p", "u")
+    )
+    return f"""WITH {JOBS}, v AS (SELECT job_id AS id, row_number() OVER (ORDER BY job_id) - 1 AS rk, item_key AS problem, user_key AS usr, CASE WHEN kind <> 'signup' THEN week END AS contest, user_key % 3 AS lang,
+  CASE WHEN item_key % 4 <> 0 THEN [item_key % 7, 10 + item_key % 3] ELSE [] END AS tags, floor(ln(1 + work_us / 1e6::DOUBLE) * 1e6::DOUBLE + 0.5)::BIGINT AS lg, cost_us % 1000 AS mem, job_id % 500 AS len,
+  (work_us > 55000000)::INTEGER AS heavy, (work_us = 60000000)::INTEGER AS tle, 1 - is_error AS ac, NOT is_result_only AS ok FROM t),
+s AS (SELECT rk + {lag} AS at_, 3 AS k, *, lg::HUGEINT * lg AS sq FROM v WHERE ok UNION ALL SELECT rk, 1, *, 0 FROM v),
+a1 AS (SELECT *, {sums('p', 'lg', 'sq', 'heavy', 'tle', 'ac', 'len', 'mem')}, {got('p', 'max(lg)')} AS p_max, {last('p', 'lg')} AS p_last, {sums('up', 'lg')}, {got('up', 'max(lg)')} AS up_max, {last('up', 'lg')} AS up_last, {last('up', 'ac')} AS up_ac, {last('up', 'tle')} AS up_tle,
+  {sums('cp', 'lg')}, {sums('pl', 'lg')} FROM s WINDOW p AS (PARTITION BY problem {order}), up AS (PARTITION BY problem, usr {order}), cp AS (PARTITION BY problem, contest {order}), pl AS (PARTITION BY problem, lang {order})),
+a2 AS (SELECT *, (k = 3 AND up_n = 1)::INTEGER AS fresh FROM a1),
+a3 AS (SELECT *, {sums('u', 'lg', 'sq', 'heavy', 'tle', 'ac', 'len', 'fresh')}, {got('u', 'max(lg)')} AS u_max, {last('u', 'lg')} AS u_last, {sums('c', 'lg', 'heavy')}, {sums('cu', 'lg')}
+  FROM a2 WINDOW u AS (PARTITION BY usr {order}), c AS (PARTITION BY contest {order}), cu AS (PARTITION BY contest, usr {order})),
+g AS (SELECT at_, k, id, usr, lg, heavy, unnest(tags) AS tag FROM s), g2 AS (SELECT *, {sums('t', 'lg', 'heavy')}, {sums('ut', 'lg')} FROM g WINDOW t AS (PARTITION BY tag {order}), ut AS (PARTITION BY tag, usr {order})),
+hg AS (SELECT id, sum(t_n)::BIGINT AS t_n, coalesce(sum(t_lg), 0) AS t_lg, coalesce(sum(t_heavy), 0) AS t_heavy, sum(ut_n)::BIGINT AS ut_n, coalesce(sum(ut_lg), 0) AS ut_lg FROM g2 WHERE k = 1 GROUP BY id)
+SELECT id, {sides}, {mean('p', 'mem')} AS p_memory_mean, coalesce(u_fresh, 0)::BIGINT AS u_problems, up_n, up_last, up_max, {mean('up', 'lg')} AS up_mean, up_ac AS up_last_accepted, up_tle AS up_last_limit,
+  CASE WHEN contest IS NOT NULL THEN c_n ELSE 0 END AS c_n, CASE WHEN contest IS NOT NULL THEN cu_n ELSE 0 END AS cu_n, CASE WHEN contest IS NOT NULL THEN cp_n ELSE 0 END AS cp_n,
+  CASE WHEN contest IS NOT NULL THEN {mean('c', 'lg')} END AS c_mean, CASE WHEN contest IS NOT NULL THEN {mean('c', 'heavy')} END AS c_heavy_rate, CASE WHEN contest IS NOT NULL THEN {mean('cu', 'lg')} END AS cu_mean, CASE WHEN contest IS NOT NULL THEN {mean('cp', 'lg')} END AS cp_mean,
+  coalesce(t_n, 0) AS tag_n, {mean('t', 'lg')} AS tag_mean, {mean('t', 'heavy')} AS tag_heavy_rate, coalesce(ut_n, 0) AS utag_n, {mean('ut', 'lg')} AS utag_mean, pl_n AS plang_n, {mean('pl', 'lg')} AS plang_mean
+FROM a3 LEFT JOIN hg USING (id) WHERE k = 1"""
+
+
+@query("platform_history", _platform_sql(20))
+def platform_history(spark, sf_dir):
+    """Every record's history of its problem, user, contest, language and tags, from records more than 20 places back."""
+    from ..operators import blocks, platform
+
+    rows = timed(spark, sf_dir).select(
+        F.col("job_id").alias("id"), F.col("item_key").alias("problem"), F.col("user_key").alias("user"), F.when(F.col("kind") != "signup", F.col("week")).alias("contest"), (F.col("user_key") % 3).alias("lang"),
+        F.when(F.col("item_key") % 4 != 0, F.array(F.col("item_key") % 7, F.lit(10) + F.col("item_key") % 3)).otherwise(F.array().cast("array<int>")).alias("tags"),
+        blocks.log_cost(F.col("work_us")).alias("cost"), (F.col("cost_us") % 1000).alias("memory"), (F.col("job_id") % 500).alias("length"),
+        (F.col("work_us") > 55_000_000).cast("int").alias("heavy"), (F.col("work_us") == clock.LIMIT).cast("int").alias("over_time"), (1 - F.col("is_error")).alias("accepted"), (~F.col("is_result_only")).alias("judged"),
+    )
+    return platform.platform_history(rows, 20)
+
+
 @query("register_counts", f"""WITH {STREAM}, w AS (SELECT job_id, k, count(*) FILTER (k = 2) OVER v AS user_arrived, max(at_us) FILTER (k = 2) OVER v AS user_last_us FROM s
   WINDOW v AS (PARTITION BY user_key ORDER BY at_us, k, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT job_id, user_arrived, user_last_us FROM w WHERE k = 1""")
 def register_counts(spark, sf_dir):
