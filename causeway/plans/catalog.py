@@ -1130,16 +1130,16 @@ def multiway_bootstrap(spark, sf_dir):
     return both.groupBy("resample").agg(F.try_divide(F.sum(F.col("mu") * F.col("mi") * F.col("s")), F.sum(F.col("mu") * F.col("mi") * F.col("n"))).alias("mean"))
 
 
-@query("cluster_bootstrap", f"""WITH RECURSIVE {JOBS}, {_DRAWS_SQL}, c AS (SELECT d.resample, h.user_key, h.job_id * 100 + n AS job_id, h.arrival_us + ({_bits("d.resample", "h.week", "n")} % 4) * 604800000000 AS arrival_us, h.big_us, h.cost_us FROM h JOIN d ON d.block = h.week, range(0, 5) z(n) WHERE n < d.m),
+@query("cluster_bootstrap", f"""WITH RECURSIVE {JOBS}, {_DRAWS_SQL}, hb AS (SELECT *, (week - (SELECT min(week) FROM h)) % {_BLOCKS} AS blk FROM h), c AS (SELECT d.resample, h.user_key, h.job_id * 100 + n AS job_id, h.arrival_us + ({_bits("d.resample", "h.blk", "n")} % 4) * 604800000000 AS arrival_us, h.big_us, h.cost_us FROM hb h JOIN d ON d.block = h.blk, range(0, 5) z(n) WHERE n < d.m),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY resample, user_key ORDER BY arrival_us, job_id) - 1 AS i FROM c),
 r0 AS (SELECT resample, user_key, list(struct_pack(i := i, a := arrival_us, w := big_us, sc := cost_us / 1e6::DOUBLE + (cost_us % 97)::DOUBLE) ORDER BY i) AS todo FROM ranked GROUP BY ALL),
 r AS (SELECT resample, user_key, todo, -9000000000000000000::BIGINT AS f1, -9000000000000000000::BIGINT AS f2, NULL::BIGINT AS wait_us FROM r0 UNION ALL
   SELECT resample, user_key, list_filter(todo, lambda x: x.i <> pick.i), least(f2, t + pick.w), greatest(f2, t + pick.w), t - pick.a
   FROM (SELECT *, list_sort(list_transform(list_filter(todo, lambda x: x.a <= t), lambda x: struct_pack(k := {_SCORED}, x := x)))[1].x AS pick FROM (SELECT *, greatest(f1, todo[1].a) AS t FROM r WHERE len(todo) > 0)))
-SELECT resample::INTEGER AS resample, 'SPJF' AS policy, quantile_cont(wait_us, 0.99) AS quantile FROM r WHERE wait_us IS NOT NULL GROUP BY resample""")
+SELECT resample::INTEGER AS resample, 'SPJF' AS policy, round(quantile_cont(wait_us, 0.99), 2) AS quantile FROM r WHERE wait_us IS NOT NULL GROUP BY resample""")
 def cluster_bootstrap(spark, sf_dir):
     """Weeks are drawn, their jobs overlaid anew, and every overlay is replayed."""
-    return study.cluster_bootstrap(heavy_load(spark, sf_dir), "week", draws(spark), ["user_key"], SERVERS, [_SPJF], 0.99, weeks=4)
+    return study.cluster_bootstrap(in_blocks(heavy_load(spark, sf_dir)).withColumnRenamed("block", "turn"), "turn", draws(spark), ["user_key"], SERVERS, [_SPJF], 0.99, weeks=4).withColumn("quantile", F.round("quantile", 2))
 
 
 # ---------------------------------------------------------------- search
