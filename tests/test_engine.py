@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import random
 import tarfile
 
@@ -303,3 +304,9 @@ def test_boundary_checks(spark):
         require_columns(df, ["a", "c"])
     with pytest.raises(Exception, match="b must not be negative"):
         require_rows(df, F.col("b") >= 0, "b must not be negative").collect()
+
+
+def test_powers_have_the_last_bit_of_the_c_library(spark):
+    rows = spark.range(20_000).select((F.col("id") / F.lit(20_011.0)).alias("x"))
+    assert all(r.y == math.pow(r.x, 1 / 0.7) for r in rows.select("x", clock.power(F.col("x"), 1 / 0.7).alias("y")).collect())
+    assert spark.createDataFrame([(None,)], "x double").select(clock.power(F.col("x"), 0.5).alias("y")).first().y is None
