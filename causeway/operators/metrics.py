@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 
 def policy_summary(waits: DataFrame, by: Sequence[str], quick_us: int = 1_000_000) -> DataFrame:
     """Per policy and `by`: waits in and out of the deadline window, excess and harm against arrival order.
@@ -15,16 +17,42 @@ def policy_summary(waits: DataFrame, by: Sequence[str], quick_us: int = 1_000_00
     `waits` has wait_us, fcfs_us, in_window, heavy, forced.
     """
     excess = F.col("wait_us") - F.col("fcfs_us")
-    return waits.groupBy(*by).agg(
+    waits = written(waits.select(*by, "wait_us", "fcfs_us", "in_window", "heavy", "forced"), "waits")
+    sums = waits.groupBy(*by).agg(
         F.count("*").alias("jobs"),
-        F.percentile(F.when(F.col("in_window"), F.col("wait_us")), F.lit(0.99)).alias("window_p99_us"),
         F.avg("wait_us").alias("mean_us"),
-        F.percentile("wait_us", F.lit(0.99)).alias("p99_us"),
         F.max(excess).alias("max_excess_us"),
         F.max(F.when(F.col("fcfs_us") <= quick_us, excess)).alias("harm_us"),
         F.max(F.when(F.col("heavy"), F.col("wait_us"))).alias("max_heavy_us"),
         F.avg(F.col("forced").cast("double")).alias("forced_share"),
     )
+    for name, part in (("window_p99_us", waits.where("in_window")), ("p99_us", waits)):
+        sums = _beside(sums, exact_quantile(part, by, "wait_us", 0.99, name), by)
+    return sums.select(*by, "jobs", "window_p99_us", "mean_us", "p99_us", "max_excess_us", "harm_us", "max_heavy_us", "forced_share")
+
+
+def _beside(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`rows` with the other columns of `table`, if it has their key; null is a key like others."""
+    side = table.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return rows.join(side, on, "left").drop(*(f"_k{i}" for i in range(len(by)))) if by else rows.crossJoin(F.broadcast(side))  # one row
+
+
+def exact_quantile(rows: DataFrame, by: Sequence[str], value: str, p: float, name: str) -> DataFrame:
+    """(by, name): the exact quantile, interpolated, as F.percentile gives it, without a group's values in one task.
+
+    Equal values are counted first, counts summed over ranges of values; the
+    values at the two ranks around the quantile are all that is left.
+    """
+    counts = written(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), "counts")
+    at = F.lit(float(p)) * (F.sum("_n") - 1).cast("double")
+    ranks = counts.groupBy(*by).agg(at.alias("_at"))
+    ranked = _beside(running_sums(counts, value, {"_upto": "_n"}, by=by), ranks, by)
+    least = lambda rank: F.min(F.when(F.col("_upto") > rank(F.col("_at")), F.col(value)))
+    found = ranked.groupBy(*by).agg(F.max("_at").alias("_at"), least(F.floor).alias("_low"), least(F.ceil).alias("_high"))
+    low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+    between = (F.ceil("_at") - F.col("_at")) * low + (F.col("_at") - F.floor("_at")) * high
+    return found.select(*by, F.when(low == high, low).otherwise(between).alias(name))
 
 
 def gap_closed(value: Column, worst: Column, best: Column) -> Column:
