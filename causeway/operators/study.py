@@ -145,13 +145,14 @@ def cluster_bootstrap(jobs: DataFrame, cluster: str, draws: DataFrame, by: Seque
     to `weeks` - 1) by a keyed draw. Resamples are traces of one replay, so
     they run side by side. Copies of a job are numbered by its id times 100.
     """
+    from .metrics import exact_quantile
     from .replay import replay
 
     drawn = jobs.join(draws, F.col(cluster) == F.col("block")).where("m > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     shift = keyed_bits(F.col("resample"), F.col(cluster), F.col("_copy")) % weeks
     rows = drawn.withColumns({"arrival_us": F.col("arrival_us") + shift * WEEK, "job_id": F.col("job_id") * 100 + F.col("_copy")})
     waits = replay(rows, ["resample", *by], k, rules)
-    return waits.groupBy("resample", "policy").agg(F.percentile("wait_us", F.lit(p)).alias("quantile"))
+    return exact_quantile(waits, ["resample", "policy"], "wait_us", p, "quantile")
 
 
 def interval(replicates: DataFrame, by: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
