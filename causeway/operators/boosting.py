@@ -1,7 +1,8 @@
 """Histogram gradient boosting as DataFrame jobs, for many models at once.
 
 Rows carry the key of the model that they train (a target term, a seed, both),
-and all models grow together, level by level. A level is one aggregation:
+and all models grow together, level by level. A level is one aggregation, by
+arrays in the tasks while their cells are few:
 gradients and hessians summed by (model, node, feature, bin), combined map-side,
 so that what is shuffled has a row per cell and task and no training row ever
 moves. Running sums over the bins of a cell give the gain of every cut; the
@@ -22,10 +23,12 @@ without rows doesn't exist, and rows scored by it get null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ UNIT = 1 << 20
 ACCURACY = 1_000_000
 #: Models whose trees are sent to the tasks; more are joined by a shuffle.
 MOST_SENT = 10_000
+#: Cells (model, node, feature, bin) that a task sums in arrays; more go by rows.
+MOST_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -118,6 +123,74 @@ def fixed(x: Column) -> Column:
     return F.floor(x * F.lit(float(UNIT)) + F.lit(0.5)).cast("long")
 
 
+def exp(x: np.ndarray) -> np.ndarray:
+    """By the C library, whose last bit other engines have; rows of one leaf share their score."""
+    few, at = np.unique(x, return_inverse=True)
+    return np.array([math.exp(v) for v in few.tolist()])[at] if len(few) else x
+
+
+def slopes(loss: str, y: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and hessian in whole parts of UNIT."""
+    if loss == "tweedie":
+        a, b = exp(0.5 * score), exp(-0.5 * score)
+        g, h = a - y * b, 0.5 * a + 0.5 * y * b
+    elif loss == "log":
+        g, h = score - y, np.ones(len(y))
+    else:
+        e = exp(-score)
+        g, h = 1.0 / (1.0 + e) - y, e / ((1.0 + e) * (1.0 + e))
+    return tuple(np.floor(x * float(UNIT) + 0.5).astype(np.int64) for x in (g, h))
+
+
+class _Forest:
+    """One tree of each of a few models as arrays, for tasks that read rows (m, y, bins, score) in batches."""
+
+    def __init__(self, heaps: Sequence[_Heap], spec: Boosting, features: int):
+        self.spec, self.features = spec, features
+        self.feature, self.cut = (np.array([[-1 if x is None else x for x in getattr(h, c)] for h in heaps], np.int64) for c in ("feature", "cut"))
+        self.leaf = np.array([h.leaves(spec) for h in heaps])
+
+    def read(self, batch: pa.RecordBatch, levels: int) -> tuple[np.ndarray, ...]:
+        """m, y, bins (a row per row), score and the node after so many levels."""
+        m, y, score = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        bins = batch.column(2).flatten().to_numpy().reshape(len(m), self.features)
+        node, row = np.ones(len(m), np.int64), np.arange(len(m))
+        for _ in range(levels):
+            f = self.feature[m, node]
+            node = 2 * node + ((f >= 0) & (bins[row, f] > self.cut[m, node]))
+        return m, y, bins, score, node
+
+    def cells(self, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Sums of gradients, hessians and rows by model, node, feature and bin: a task gives each of its cells once."""
+        shape = (len(self.leaf), 1 << level, self.features, self.spec.bins + 1)
+        size, low = int(np.prod(shape)), 1 << 24
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((3, size), np.int64)
+            for batch in batches:
+                m, y, bins, score, node = self.read(batch, level)
+                g, h = slopes(self.spec.loss, y, score)
+                first = (m.astype(np.int64) * shape[1] + node - (1 << level)) * shape[2]
+                for f in range(self.features):
+                    code = (first + f) * shape[3] + bins[:, f]
+                    for i, x in enumerate((g, h)):  # in two parts, so that sums of doubles are exact
+                        for part, unit in ((x % low, 1), (x // low, low)):
+                            sums[i] += np.bincount(code, part, size).astype(np.int64) * unit
+                    sums[2] += np.bincount(code, minlength=size)
+            at = np.flatnonzero(sums[2])
+            m, node, f, bin_ = np.unravel_index(at, shape)
+            columns = [pa.array(x, pa.int32()) for x in (m, node + (1 << level), f, bin_)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[at]) for x in sums)], names=["_m", "node", "feature", "bin", "g", "h", "n"])
+
+        return run
+
+    def moved(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with their leaves added."""
+        for batch in batches:
+            m, _, _, score, node = self.read(batch, self.spec.depth)
+            yield batch.set_column(3, "score", pa.array(score + self.leaf[m, node - (1 << self.spec.depth)]))
+
+
 class CutSearch:
     """Finds the best cut of every node; its columns are built once and serve all levels and rounds."""
 
@@ -210,6 +283,8 @@ def fit(rows: DataFrame, by: Sequence[str], features: Sequence[str], label: str,
     starts = rows.groupBy(*by).agg(F.round(start(mean), 9).alias("start"))
     base = written(starts.join(_keyed(cut_points(rows, by, features, spec.bins), by), _on(by)).select(*by, "start", "cuts"), "models")
     models = base.count()
+    if 0 < models << spec.depth and (models << spec.depth) * len(features) * (spec.bins + 1) <= MOST_CELLS:
+        return _fit_few(rows, base, by, features, spec, models)
     state = written(_attached(rows, base, by, models).select(*by, F.col("_y").alias("y"), bins_of(features).alias("bins"), F.col("start").alias("score")), "boosted")
     dropped(rows)
     keys = StructType([base.schema[c] for c in by])
@@ -245,6 +320,37 @@ def fit(rows: DataFrame, by: Sequence[str], features: Sequence[str], label: str,
     return Model(spec, by, features, table, models)
 
 
+def _fit_few(rows: DataFrame, base: DataFrame, by: list[str], features: list[str], spec: Boosting, models: int) -> Model:
+    """The same trees where the cells of all models fit an array: a task reads its rows in batches and gives sums."""
+    spark = rows.sparkSession
+    keys = [tuple(r) for r in base.select(*by).collect()]
+    numbers = _local(spark, [(*k, i) for i, k in enumerate(keys)], StructType([*(base.schema[c] for c in by), StructField("_m", IntegerType())]))
+    marked = _attached(base, numbers, by, models)
+    state = written(_attached(rows, marked, by, models).select("_m", F.col("_y").alias("y"), bins_of(features).alias("bins"), F.col("start").alias("score")), "boosted")
+    dropped(rows)
+    search, cell = CutSearch(["_m"], spec), ["_m", "node", "feature", "bin"]
+    totals = [F.sum(c).alias(c) for c in "ghn"]
+    trees: list[list[_Heap]] = [[] for _ in keys]
+    for _ in range(spec.rounds):
+        heaps = [_Heap(spec.depth) for _ in keys]
+        for level in range(spec.depth):
+            run = _Forest(heaps, spec, len(features)).cells(level)
+            found = state.mapInArrow(run, "_m int, node int, feature int, bin int, g long, h long, n long").groupBy(*cell).agg(*totals)
+            for row in search(found).collect():  # a row per node
+                heaps[row["_m"]].grow(row)
+        for own, heap in zip(trees, heaps, strict=True):
+            own.append(heap)
+        after = written(state.mapInArrow(_Forest(heaps, spec, len(features)).moved, state.schema), "boosted")
+        dropped(state)
+        state = after
+    forest = [(*k, [{"feature": t.feature, "cut": t.cut, "leaf": t.leaves(spec)} for t in own]) for k, own in zip(keys, trees, strict=True)]
+    known = _local(spark, forest, StructType([*(base.schema[c] for c in by), StructField("trees", ArrayType(_TREE))]))
+    table = written(_attached(base, known, by, models), "models")
+    dropped(state)
+    dropped(base)
+    return Model(spec, by, features, table, models)
+
+
 def mean_loss(spec: Boosting, label: str, prediction: str) -> Column:
     """The mean of the loss that `spec` lowers, as an aggregate."""
     y, p = F.col(label).cast("double"), F.col(prediction)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,27 @@ def test_loss_falls_every_round_and_partitions_do_not_matter(spark):
     assert trees(df.repartition(7, "b")) == trees(df.repartition(2, "c"))
 
 
+def test_slopes_have_the_last_bit_of_the_c_library(spark):
+    rng = random.Random(5)
+    y, s = [rng.random() * 60 for _ in range(2_000)], [rng.gauss(0, 3) for _ in range(2_000)]
+    for loss, (_, _, gradient, hessian, _) in LOSS.items():
+        g, h = boosting.slopes(loss, np.array(y), np.array(s))
+        assert g.tolist() == [math.floor(gradient(a, b) * UNIT + 0.5) for a, b in zip(y, s, strict=True)]
+        if loss != "logistic":
+            assert h.tolist() == [math.floor(hessian(a, b) * UNIT + 0.5) for a, b in zip(y, s, strict=True)]
+
+
+def test_few_models_grow_the_trees_of_many(spark, monkeypatch):
+    df = spark.createDataFrame([(*r[:5], r[5] * 1e7, r[6]) for r in sample(400, 3, models=3)], SCHEMA)  # sums beyond the whole numbers of a double
+    for loss, label in (("tweedie", "y"), ("log", "y"), ("logistic", "flag")):
+        spec = Boosting(loss=loss, rounds=3, depth=3, bins=8, least_rows=5)
+        trees = lambda: {r.target: (r.start, r.trees) for r in boosting.fit(df, ["target"], ["a", "b", "c"], label, spec).table.collect()}  # noqa: E731, B023
+        few = trees()
+        with monkeypatch.context() as m:
+            m.setattr(boosting, "MOST_CELLS", 0)
+            assert trees() == few
+
+
 def test_odd_training_rows(spark):
     spec = Boosting(rounds=2, depth=2, bins=4)
     empty = spark.createDataFrame([], SCHEMA)
