@@ -82,10 +82,10 @@ def log_spaced(low: float, high: float, n: int) -> list[float]:
 
 def grid(spark: SparkSession, b0_s: Sequence[float], gam_s: Sequence[float], eta: Sequence[float], promise_s: Sequence[float]) -> DataFrame:
     """Grid points with a key under which two points give the same schedule: a full budget makes the rest idle."""
-    axes = [spark.createDataFrame([(float(x),) for x in xs], f"{name} double") for name, xs in (("b0_s", b0_s), ("gam_s", gam_s), ("eta", eta), ("promise_s", promise_s))]
-    points = axes[0]
-    for axis in axes[1:]:  # a handful of values each
-        points = points.crossJoin(axis)
+    points = spark.range(0, 1, 1, 1)  # one partition: a product of tables would have the product of their partitions
+    for name, xs in (("b0_s", b0_s), ("gam_s", gam_s), ("eta", eta), ("promise_s", promise_s)):
+        points = points.withColumn(name, F.explode(F.array(*(F.lit(float(x)) for x in xs)).cast("array<double>")))
+    points = points.drop("id")
     full = F.col("b0_s") >= F.col("promise_s")
     key = F.when(full, F.concat_ws("|", F.lit("full"), F.col("promise_s").cast("string"))).otherwise(F.concat_ws("|", *(F.col(c).cast("string") for c in ("b0_s", "gam_s", "eta", "promise_s"))))
     return points.withColumn("schedule_key", key)

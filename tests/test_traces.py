@@ -37,3 +37,10 @@ def test_quantiles_by_ranges_equal_percentiles(spark):
     out = metrics.policy_summary(waits, ["policy"])
     assert "percentile" not in out._jdf.queryExecution().toString()
     assert out.first().window_p99_us == waits.where("in_window").agg(F.percentile("wait_us", F.lit(0.99)).alias("q")).first().q
+
+
+def test_a_grid_is_one_partition(spark):
+    from causeway.operators import study
+
+    points = study.grid(spark, [60, 300], [0, 5], [0, 0.1], [300, 600])
+    assert points.rdd.getNumPartitions() == 1 and points.distinct().count() == 16
