@@ -146,6 +146,25 @@ def test_a_rare_language_beside_a_hot_one(spark):
     assert all(r.lang_pred == ("en" if r.doc_id < 1000 else "de") for r in got)
 
 
+def test_every_language_is_learned_however_rare(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("αβγδεζηθ") for _ in range(5)) for _ in range(30)]
+    rows = [(i, speech(rng, "en", 30), "en") for i in range(900)] + [(2000 + i, " ".join(rng.sample(words, 20)), "el") for i in range(3)]
+    rows += [(3000 + 10 * i + j, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i) * 4}", f"l{i:03d}") for i in range(300) for j in range(2)]
+    rows.append((9000, rows[0][1], "zz"))  # a mark that is wrong takes nothing from the language of the text
+    df = spark.createDataFrame([*rows, (9001, "12", "en"), (9002, None, "en")], "doc_id long, text string, lang string")
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    one = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(df).collect()}
+    assert len(one) == len(rows) + 2 and one[9001] == one[9002] == ("und", 0.0)
+    assert all(one[i][0] == ("en" if i == 9000 else lang) for i, _, lang in rows if lang in learned and lang != "zz")
+    # the same from several tables, all of these filters having BLOCK positions or more
+    monkeypatch.setattr(language, "TABLE_BYTES", language.BLOCK * 8)
+    assert len(list(language.tables(df))) >= 4
+    several = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(df).collect()}
+    assert {i: x[0] for i, x in several.items()} == {i: x[0] for i, x in one.items()}
+    assert all(abs(x[1] - one[i][1]) < 0.05 for i, x in several.items())
+
+
 # ---------------------------------------------------------------- filter audit
 def plain_masks(rows):
     """(part, doc_id, set of failed filters) by their definition."""
