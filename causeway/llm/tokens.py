@@ -13,6 +13,9 @@ CACHE_WORDS = 600_000
 #: White space beside other white space: there the pattern of the tokenizer may join them.
 #: The separators from x1c on are white space to Python's patterns and not to the tokenizer's.
 UNEVEN = re.compile(r"\s\s|[\0\x1c-\x1f]")
+#: White space but the usual two, and the mark that words are cut at; a text with none of them needs no search by pattern.
+UNUSUAL = ["\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+DOUBLE = ("  ", " \n", "\n ", "\n\n")
 CLOSING = ".,;:!?"
 #: Letters below this one are letters to any Unicode version.
 SURE = "ɐ"
@@ -56,9 +59,6 @@ class Words(dict):
                 ids = array(self.code, [t.id for t in self.model.tokenize(stem.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
             else:
                 ids = self.encode(word)
-        elif "\n" in word and word != "\n":
-            lines = word.split("\n")
-            ids = self["\n"].join([self[x] for x in lines]) if all(lines) else self.encode(word)
         else:
             ids = self.encode(word)
         if len(self) < CACHE_WORDS and len(word) < 40:
@@ -91,12 +91,19 @@ class Encoder:
         self.marks = [] if marks_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_word or UNEVEN.search(text) or any(m in text for m in self.marks):
+        if not self.by_word or uneven(text) or any(m in text for m in self.marks):
             return self.words.encode(text)
-        words = text.replace(" ", "\0 ").split("\0")
+        words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return b"".join(map(self.words.__getitem__, words))
 
 
+def uneven(text: str) -> bool:
+    """Whether UNEVEN is found in a text."""
+    if any(map(text.__contains__, UNUSUAL)):
+        return UNEVEN.search(text) is not None
+    return any(map(text.__contains__, DOUBLE))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

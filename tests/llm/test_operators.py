@@ -278,6 +278,17 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_encoder_cuts_at_line_feeds_and_tells_uneven_space():
+    encode = tok.Encoder(tok.default_path())
+    text = "One two.\nThree four\nfive\n"
+    assert encode(text) == encode.words.encode(text)
+    assert not any("\n" in w and w != "\n" for w in encode.words)  # words are remembered, not what lines make of them
+    space = [c for c in map(chr, range(0x110000)) if re.match(r"\s|\0", c)]
+    for c in space:
+        for x in (f"a{c}b", f"a {c}b", f"a{c}{c}b", f"{c}\nb", f"{c}é{c}", f"世{c} "):
+            assert tok.uneven(x) == (tok.UNEVEN.search(x) is not None)
+
+
 def test_encoder_is_the_tokenizer():
     rng, encode = random.Random(4), tok.encoder(tok.default_path())
     parts = ["a", "Bc", " ", " ", "\n", "'s", "é", "1", ".", ",", "!", "\t", "²", "日本", "　", "_", "\0", "<|endoftext|>", "<|endof", "don't", "\u00a0", "\u2028", "\x1c", "\x85", "\u200b", "\u0301", "\U0001f600"]
