@@ -19,7 +19,8 @@ from below and rule out most candidates before texts are read.
 Equal sets are one node. Candidates are verified in two rounds: each set with
 its fingerprint's links and the next few of a shared shingle first, then all
 that are still in different components, so that a large group of near copies
-isn't compared pair by pair.
+isn't compared pair by pair. Sketches go where shingles meet, so a pair that
+they rule out is never a row.
 
 Defined results: words are those of the fingerprints of simhash; a text of up
 to five words is one shingle; null or empty texts have no shingle and are
@@ -77,6 +78,12 @@ def sketch(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount((found % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
 
 
+def sketched(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets with these sketches, and so many shingles together, may be alike."""
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1, dtype=np.int64)  # at most what is in one set only
+    return apart * (PART + WHOLE) <= sizes * (WHOLE - PART)
+
+
 def _common(rows: DataFrame) -> dict[int, int]:
     """How often the commonest shingles are in a sample of `rows` (_row, _text), at most KNOWN of them."""
 
@@ -158,9 +165,22 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 
 def _pairs(members: DataFrame, first: int, last: int | None) -> DataFrame:
-    """Candidates (a, b) among `members` (key, n, node, at, root), `first` to `last` places from each other by key and size."""
-
-    def compared(key, n, node, at, root) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) among `members` (key, n, node, at, root, sketch), `first` to `last` places from each other by key and size.
+
+    Pairs whose sketches rule them out are none.
+    """
+
+    def possible(rows, other, n, at, root, classes) -> np.ndarray:
+        most = np.minimum(n[rows] - at[rows], n[other] - at[other])
+        near = (most * (PART + WHOLE) >= PART * (n[rows] + n[other])) & (root[rows] != root[other])
+        chosen = np.flatnonzero(near)
+        for i in range(0, len(chosen), PAIRS):
+            some = chosen[i : i + PAIRS]
+            x, y = rows[some], other[some]
+            near[some] = sketched(classes[x], classes[y], n[x] + n[y])
+        return near
+
+    def compared(key, n, node, at, root, classes) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(start, len(key)))
         end = np.repeat(start + sizes, sizes)
@@ -173,8 +193,7 @@ def _pairs(members: DataFrame, first: int, last: int | None) -> DataFrame:
             if not len(rows):
                 break
             other = rows + step
-            most = np.minimum(n[rows] - at[rows], n[other] - at[other])
-            near = (most * (PART + WHOLE) >= PART * (n[rows] + n[other])) & (root[rows] != root[other])
+            near = possible(rows, other, n, at, root, classes)
             a, b = node[rows[near]], node[other[near]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
             held += len(a)
@@ -195,6 +214,7 @@ def _pairs(members: DataFrame, first: int, last: int | None) -> DataFrame:
             if not batch.num_rows:
                 continue
             columns = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
+            columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, CLASSES))
             if not held or columns[0][-1] == held[-1][0][0] == held[-1][0][-1]:  # one key goes on
                 held.append(columns)
                 continue
@@ -206,7 +226,7 @@ def _pairs(members: DataFrame, first: int, last: int | None) -> DataFrame:
         if held:
             yield from compared(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    dealt = members.select("key", "n", "node", "at", "root").repartition("key").sortWithinPartitions("key", "n", "node")
+    dealt = members.select("key", "n", "node", "at", "root", "sketch").repartition("key").sortWithinPartitions("key", "n", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -226,9 +246,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for c in batch.columns[4:])
-                apart = np.abs(x - y).sum(axis=1, dtype=np.int64)  # at most what is in one set only
-                yield batch.select([0, 1]).filter(pa.array(apart * (PART + WHOLE) <= sizes * (WHOLE - PART)))
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CLASSES) for c in batch.columns[4:])
+                yield batch.select([0, 1]).filter(pa.array(sketched(x, y, sizes)))
 
     side = lambda c, x: nodes.select(F.col("node").alias(c), F.col("n").cast("long").alias(f"n{x}"), F.col("sketch").alias(x))
     both = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "nx", "ny", "x", "y")
@@ -236,7 +255,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets are alike; `nodes` (node, n, sketch, _row) name a row of `rows` (_row, _text) for each."""
+    """Those of `pairs` (a, b) whose sets are alike; `nodes` (node, _row) name a row of `rows` (_row, _text) for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = (None, None)  # rows come by b
@@ -250,7 +269,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
                 keep.append(both * (PART + WHOLE) >= PART * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = materialise(_possible(pairs, nodes), "pairs")
+    pairs = materialise(pairs.distinct(), "pairs")
     sides = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(nodes.select("node", "_row").join(sides, "node"), "wanted")
     # repeated rows have one text; texts travel, since the sets are larger
@@ -268,13 +287,15 @@ def links(prints: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) that connect all sets of `prints` (_row, node, n, fp, sketch, first) that are alike; texts are in `rows` (_row, _text)."""
     few = prints.groupBy("node").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     nodes = materialise(few, "sets")
-    members = materialise(_members(prints.select("node", "n", "first").dropDuplicates(["node"])), "members")
+    held = materialise(_members(prints.select("node", "n", "first").dropDuplicates(["node"])), "members")
+    sketches = nodes.select(F.col("node").alias("_of"), "sketch")
+    members = held.join(sketches, F.col("node") == F.col("_of")).drop("_of")
     next_ = _pairs(members.withColumn("root", F.col("node")), 1, NEXT)
-    near = _alike(next_.unionByName(_by_print(nodes)), nodes, rows)
+    near = _alike(next_.unionByName(_possible(_by_print(nodes), nodes)), nodes, rows)
     roots = materialise(components(near), "roots").withColumnRenamed("node", "_node")
     rooted = members.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
     far = _alike(_pairs(rooted, NEXT + 1, None), nodes, rows)
-    discard(members)
+    discard(held)
     return near.unionByName(far)
 
 

@@ -104,3 +104,11 @@ def test_near_copies_from_four_fifths(spark):
     kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(kept) == sorted({ids[find(i)] for i in range(len(ids))})
     assert near_copies.one_of_each(docs.where("false")).count() == 0
+
+
+def test_pairs_that_sketches_rule_out_are_no_rows(spark):
+    sketch = lambda *at: bytes(5 if i in at else 0 for i in range(near_copies.CLASSES))
+    # one shared shingle, sets of ten; the first two may be alike, the third is in other classes
+    members = [(7, 10, 1, 0, 1, sketch(0, 1)), (7, 10, 2, 0, 2, sketch(0, 1)), (7, 10, 3, 0, 3, sketch(2, 3)), (8, 10, 3, 0, 3, sketch(2, 3))]
+    df = spark.createDataFrame(members, "key long, n int, node long, at int, root long, sketch binary")
+    assert [(r.a, r.b) for r in near_copies._pairs(df, 1, None).collect()] == [(1, 2)]
