@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.clock import keyed_bits
+from .metrics import running_sums
 
 HOUR, DAY, WEEK = 3_600_000_000, 86_400_000_000, 604_800_000_000
 
@@ -48,12 +49,22 @@ def assembled(superposed: DataFrame, by: Sequence[str], loads: Sequence[float],
     days before the trace after that. `servers` holds a number per load, from
     the busiest hour.
     """
-    order = Window.partitionBy(*by).orderBy("arrival_us", "job_id")
-    week = F.floor((F.col("arrival_us") - 4 * DAY) / WEEK)
-    ranked = superposed.withColumns({"rank": F.row_number().over(order) - 1, "calendar_week": week})
+    keys = {c: f"_k{i}" for i, c in enumerate(by)}
+    same = lambda *more: [*(F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()), *more]
+    named = [F.col(c).alias(k) for c, k in keys.items()]
+    # a trace is ranked within instants, and instants by running sums, so that no task sorts a whole trace
+    instants = superposed.groupBy(*by, "arrival_us").agg(F.count("*").alias("_here"))
+    upto = running_sums(instants, "arrival_us", {"_upto": "_here"}, by=by).select(*named, F.col("arrival_us").alias("_at"), (F.col("_upto") - F.col("_here")).alias("_before"))
+    within = Window.partitionBy(*by, "arrival_us").orderBy("job_id")
+    ranked = superposed.withColumn("_place", F.row_number().over(within)).join(upto, same(F.col("arrival_us") == F.col("_at"))).drop(*keys.values())
     levels = busy_hour(superposed, by).select(*by, "busy_us", F.array(*(servers(F.col("busy_us"), x) for x in loads)).alias("servers"))
-    out = rebased(ranked, by).join(levels, list(by))
-    return out.select(*by, "job_id", F.col("rank").cast("long").alias("rank"), "arrival_us", "work_us", "calendar_week", *labels, "busy_us", "servers")
+    first = superposed.groupBy(*by).agg(F.min("arrival_us").alias("_first"))
+    traces = levels.join(first, list(by)).select(*named, "busy_us", "servers", "_first")
+    out = ranked.join(F.broadcast(traces), same())  # a row per trace
+    return out.select(
+        *by, "job_id", (F.col("_before") + F.col("_place") - 1).cast("long").alias("rank"), (F.col("arrival_us") - F.floor(F.col("_first") / DAY) * DAY).alias("arrival_us"), "work_us",
+        F.floor((F.col("arrival_us") - 4 * DAY) / WEEK).alias("calendar_week"), *labels, "busy_us", "servers",
+    )
 
 
 def copies_probe(jobs: DataFrame, shifts: DataFrame, by: str) -> DataFrame:

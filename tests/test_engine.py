@@ -310,3 +310,20 @@ def test_powers_have_the_last_bit_of_the_c_library(spark):
     rows = spark.range(20_000).select((F.col("id") / F.lit(20_011.0)).alias("x"))
     assert all(r.y == math.pow(r.x, 1 / 0.7) for r in rows.select("x", clock.power(F.col("x"), 1 / 0.7).alias("y")).collect())
     assert spark.createDataFrame([(None,)], "x double").select(clock.power(F.col("x"), 0.5).alias("y")).first().y is None
+
+
+def test_assembled_ranks_traces_by_parts(spark):
+    import re
+
+    from causeway.operators import study
+
+    day = 86_400_000_000
+    rows = [(c, i, 9 * day + (i * 7 % 5) * 1_000, 1_000_000) for c in (0, 1) for i in range(20 + c)]
+    out = study.assembled(spark.createDataFrame(rows, "copy int, job_id long, arrival_us long, work_us long"), ["copy"], (0.5,))
+    for c in (0, 1):
+        want = [r[1] for r in sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[1]))]
+        got = sorted((r.rank, r.job_id, r.arrival_us) for r in out.where(f"copy = {c}").collect())
+        assert [x[0] for x in got] == list(range(len(want))) and [x[1] for x in got] == want and all(x[2] < day for x in got)
+    # no window along a whole trace
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert not re.search(r"windowspecdefinition\(copy#\d+, (arrival_us#\d+L ASC|specifiedwindowframe)", plan)
