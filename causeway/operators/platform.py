@@ -4,8 +4,9 @@ A record reads the judged results of its problem, user, contest, language and
 tags, of some pairs of these, and how many different problems its user has
 seen. Records are ranked by id; a result of rank j is read from rank j + lag + 1
 on, so results and reads are one stream in order of rank. Keys that contain
-the problem share one shuffle, as do those that contain the contest; tags are
-exploded, and what a record's tags hold is summed up again per record.
+the user share one shuffle; problems, contests and tags, of which there may be
+few, go by stretches of ranks. Tags are exploded, and what a record's tags hold
+is summed up again per record.
 
 Statistics without a result are null, counts 0. A record without contest or
 tags has counts of 0 there. Costs are whole numbers, so sums are exact.
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from .metrics import running_sums
+from .stretches import STRETCH, running
 
 _RESULT = "kind = 3"
+_ORDER = ("at", "kind", "id")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def _stream(rows: DataFrame, lag: int, carry: list[str]) -> DataFrame:
 
 
 def _over(*by: str) -> WindowSpec:
-    return Window.partitionBy(*by).orderBy("at", "kind", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return Window.partitionBy(*by).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _of(value: Column) -> Column:
@@ -54,6 +57,15 @@ def _state(prefix: str, over: WindowSpec, *what: str) -> dict[str, Column]:
     return out
 
 
+def _valued(stream: DataFrame, size: int, *sums: str) -> DataFrame:
+    """`stream` with stretches of `size` ranks, and with what a result adds in columns that are null on reads; states so far are null on results."""
+    cost = F.col("cost")
+    values = {"n": F.lit(1), "total": cost, "square": cost.cast("decimal(38,0)") * cost, "top": cost, "last": cost, **{c: F.col(c) for c in sums}}
+    known = [c for c in stream.columns if c.partition("_")[0] in ("u", "up", "cu", "ut")]
+    out = stream.withColumns({c: F.when(F.col("kind") == 1, F.col(c)) for c in known} | {c: _of(x) for c, x in values.items()})
+    return out.withColumn("stretch", F.floor(F.col("at") / max(size, 1)).cast("int")).drop("cost")
+
+
 def _mean(prefix: str, c: str) -> Column:
     return F.when(F.col(f"{prefix}_n") > 0, F.col(f"{prefix}_{c}").cast("double") / F.col(f"{prefix}_n"))
 
@@ -63,21 +75,29 @@ def _deviation(prefix: str) -> Column:
     return F.when(F.col(f"{prefix}_n") > 0, F.sqrt(F.greatest(_mean(prefix, "square") - mean * mean, F.lit(0.0))))
 
 
-def platform_history(rows: DataFrame, lag: int) -> DataFrame:
-    """A row per record. rows: id, problem, user, contest, lang, tags (array), cost, memory, length, heavy, over_time, accepted (numbers), judged."""
+def platform_history(rows: DataFrame, lag: int, size: int = STRETCH) -> DataFrame:
+    """A row per record. rows: id, problem, user, contest, lang, tags (array), cost, memory, length, heavy, over_time, accepted (numbers), judged.
+
+    A stretch of ranks has `size` rows of the stream.
+    """
     sums = ("heavy", "over_time", "accepted", "length")
     own = ranked(rows)
-    stream = _stream(own, lag, ["problem", "user", "contest", "lang", "cost", "memory", *sums]).repartition("problem")
-    pair = _over("problem", "user")
-    at = stream.withColumns(_state("p", _over("problem"), "total", "square", "top", "last", *sums, "memory"))
-    at = at.withColumns(_state("up", pair, "total", "top", "last", "last_ok", "last_limit"))
-    at = at.withColumns(_state("cp", _over("problem", "contest"), "total")).withColumns(_state("pl", _over("problem", "lang"), "total"))
+    stream = _stream(own, lag, ["problem", "user", "contest", "lang", "cost", "memory", *sums]).repartition("user")
+    users = stream.withColumns(_state("up", _over("user", "problem"), "total", "top", "last", "last_ok", "last_limit")).withColumns(_state("cu", _over("user", "contest"), "total"))
     # a problem counts for its user with the first result there
-    at = at.withColumn("fresh", F.when(F.expr(_RESULT) & (F.col("up_n") == 1), 1).otherwise(0))
-    at = at.withColumns(_state("u", _over("user"), "total", "square", "top", "last", *sums, "fresh")).repartition("contest")
-    at = at.withColumns(_state("c", _over("contest"), "total", "heavy")).withColumns(_state("cu", _over("contest", "user"), "total")).where("kind = 1")
-    tagged = _stream(own.select("id", "rank", "judged", "user", "cost", "heavy", F.explode("tags").alias("tag")), lag, ["tag", "user", "cost", "heavy"]).repartition("tag")
-    tagged = tagged.withColumns(_state("t", _over("tag"), "total", "heavy")).withColumns(_state("ut", _over("tag", "user"), "total")).where("kind = 1")
+    users = users.withColumn("fresh", F.when(F.expr(_RESULT) & (F.col("up_n") == 1), 1).otherwise(0))
+    users = users.withColumns(_state("u", _over("user"), "total", "square", "top", "last", *sums, "fresh"))
+    at = running(
+        _valued(users.drop("user", "fresh"), size // 2, *sums, "memory"), _ORDER,
+        {
+            "p": (["problem"], ["n", "total", "square", "top", "last", *sums, "memory"]), "cp": (["problem", "contest"], ["n", "total"]),
+            "pl": (["problem", "lang"], ["n", "total"]), "c": (["contest"], ["n", "total", "heavy"]),
+        },
+        {"n": "sum", "total": "sum", "square": "sum", "top": "max", "last": "last", **dict.fromkeys((*sums, "memory"), "sum")},
+    ).where("kind = 1").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("p_n", "cp_n", "pl_n", "c_n")})
+    tagged = _stream(own.select("id", "rank", "judged", "user", "cost", "heavy", F.explode("tags").alias("tag")), lag, ["tag", "user", "cost", "heavy"]).repartition("user")
+    tagged = _valued(tagged.withColumns(_state("ut", _over("user", "tag"), "total")).drop("user"), size // 4, "heavy")
+    tagged = running(tagged.drop("square", "top", "last"), _ORDER, {"t": (["tag"], ["n", "total", "heavy"])}, dict.fromkeys(("n", "total", "heavy"), "sum")).where("kind = 1")
     tags = tagged.groupBy(F.col("id").alias("_id")).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t_n", "t_total", "t_heavy", "ut_n", "ut_total")))
     both = at.join(tags, F.col("id") == F.col("_id"), "left")
     inside = F.col("contest").isNotNull()
