@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,45 +71,59 @@ def live_waits(events: DataFrame, k: int, scale: float = 1000.0) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(place, "user_id long, event_id long, wait_us long", "free array<long>, last array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Groups that the keys of live histories are dealt to by a hash; each is one state.
+BUCKETS = 256
+
+
 def live_history(jobs: DataFrame, by: str, late: str = "2 hours") -> DataFrame:
     """(job_id, n, work_us, errors): the results of its key that each job could read when it arrived.
 
     `jobs` has the key, job_id, ts (arrival, event time), arrival_us,
     available_us, work_us and is_error. A job waits until the watermark has
     passed its arrival, so rows may come in any order within `late`; a timer on
-    its key's earliest waiting job then fires, results whose availability is due
-    enter the sums in order, and the job reads them. A key holds its sums, the
-    jobs that wait and the results that aren't due. A row behind the watermark
-    is given no reading, and its result enters when it is due or at once.
+    its bucket's earliest waiting job then fires, and results and jobs behind
+    the watermark are read off in order. A state holds the sums of a bucket's
+    keys, and the jobs and results that the watermark has not passed. A bucket
+    is sorted and summed as a whole, so that a batch costs a call a bucket and
+    not one a key. A row behind the watermark is dropped.
     """
-    pending = "pending_at array<long>, pending_kind array<int>, pending_job array<long>, pending_work array<long>, pending_error array<int>"
-    schema = f"n long, work long, errors long, open_at array<long>, open_job array<long>, {pending}"
+    rows_of = "key array<int>, at array<long>, kind array<long>, job array<long>, cost array<long>, error array<long>"
+    schema = f"names array<string>, n array<long>, work array<long>, errors array<long>, {rows_of}"
 
-    def read(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, work, errors, open_at, open_job, *held = state.get if state.exists else (0, 0, 0, [], [], [], [], [], [], [])
-        waiting = list(zip(open_at, open_job, strict=True))
-        results = [tuple(r) for r in zip(*held, strict=True)]
+    def read(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, *known = state.get if state.exists else ([],) * 10
+        sums, held = np.array(known[:3], dtype="int64"), np.array(known[3:], dtype="int64")
         passed = state.getCurrentWatermarkMs() * 1000
-        for pdf in batches:  # none when a timer fires
-            for job, arrival, available, cost, error in zip(*(pdf[c] for c in ("job_id", "arrival_us", "available_us", "work_us", "is_error")), strict=True):
-                results.append((int(available), 3 if available == arrival else 0, int(job), int(cost), int(error)))
-                waiting.append((int(arrival), int(job)))
-        heapq.heapify(results)
-        heapq.heapify(waiting)
-        out = []
-        while waiting and waiting[0][0] < passed:
-            now, job = heapq.heappop(waiting)
-            while results and results[0][:2] < (now, 3):
-                _, _, _, cost, error = heapq.heappop(results)
-                n, work, errors = n + 1, work + cost, errors + error
-            out.append((job, n, work, errors))
-        state.update((n, work, errors, [w[0] for w in waiting], [w[1] for w in waiting], *([r[i] for r in results] for i in range(5))))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["job_id", "n", "work_us", "errors"], dtype="int64")
-
-    rows = jobs.withWatermark("ts", late).select(by, "ts", "job_id", "arrival_us", "available_us", "work_us", "is_error")
-    return rows.groupBy(by).applyInPandasWithState(read, "job_id long, n long, work_us long, errors long", schema, "append", GroupStateTimeout.EventTimeTimeout)
+        come = list(batches)  # none when a timer fires
+        if come:
+            pdf = pd.concat(come)
+            codes, names = pd.factorize(np.array([*names, *pdf["name"]], dtype=object), use_na_sentinel=False)
+            key = codes[sums.shape[1] :]
+            sums = np.pad(sums, ((0, 0), (0, len(names) - sums.shape[1])))
+            arrival, available, job, cost, error = (pdf[c].to_numpy("int64") for c in ("arrival_us", "available_us", "job_id", "work_us", "is_error"))
+            held = np.hstack([held, [key, available, np.where(available == arrival, 3, 0), job, cost, error], [key, arrival, np.ones_like(job), job, cost, error]])
+        held = held[:, np.lexsort(held[3::-1])]
+        key, at, kind, job, cost, error = held
+        result = kind != 1
+        upto = np.cumsum(np.where(result, [np.ones_like(cost), cost, error], 0), axis=1)
+        # where a key begins, what comes before is not its own
+        start = np.searchsorted(key, key, "left")
+        total = upto - np.where(start > 0, upto[:, start - 1], 0) + sums[:, key]
+        past = at < passed
+        due = past & ~result
+        out = pd.DataFrame({"job_id": job[due], "n": total[0, due], "work_us": total[1, due], "errors": total[2, due]})
+        done = past & result
+        for line, x in zip(sums, (np.ones_like(cost), cost, error), strict=True):
+            np.add.at(line, key[done], x[done])
+        held = held[:, ~past]
+        state.update((list(names), *sums.tolist(), *held.tolist()))
+        waiting = held[1, held[2] == 1]
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting.min()) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield out
+
+    rows = jobs.withWatermark("ts", late).select(F.pmod(F.xxhash64(by), F.lit(BUCKETS)).alias("bucket"), F.col(by).cast("string").alias("name"), "ts", "job_id", "arrival_us", "available_us", "work_us", "is_error")
+    return rows.groupBy("bucket").applyInPandasWithState(read, "job_id long, n long, work_us long, errors long", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
