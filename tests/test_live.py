@@ -44,3 +44,21 @@ def test_rows_behind_the_watermark_neither_read_nor_count(spark, tmp_path):
     end = job(-1, 99, 300 * HOUR, 300 * HOUR)
     got = run(spark, tmp_path, [[a, b], [job(-2, 98, 30 * HOUR, 30 * HOUR)], [job(-3, 98, 31 * HOUR, 31 * HOUR)], [late, after], [end]], "1 hour")
     assert {i: got[i][0] for i in got if i > 0} == {1: 0, 2: 1, 4: 2}
+
+
+def test_many_keys_are_few_states(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [job(i, rng.choice([None, *range(1500)]) if i % 9 else 7, 100 * HOUR + i * HOUR // 500, 100 * HOUR + i * HOUR // 500 + rng.choice([0, 1, HOUR])) for i in range(3000)]
+    for chunk in (rows[:1400], rows[1400:], [job(-1, 99, 900 * HOUR, 900 * HOUR)]):
+        spark.createDataFrame(chunk, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.live_history(live.event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], SCHEMA).schema, 1), "user_key")
+    got = {}
+
+    def take(batch, _):
+        got.update({r.job_id: (r.n, r.work_us, r.errors) for r in batch.collect()})
+
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert got == {r[1]: plain(rows, r) for r in rows}
+    assert 0 < max(states) <= live.BUCKETS
