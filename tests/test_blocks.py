@@ -142,3 +142,24 @@ def test_sliding_over_one_key_and_null_keys(spark):
     got = {r.job_id: r.n for r in history.recent_results(df.repartition(9), ["item_key"], 50).collect()}
     for r in rows:
         assert got[r[0]] == min(50, len([x for x in visible(rows, r) if (x[0] % 3 == 0) == (r[0] % 3 == 0)]))
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_carried_sums_are_a_fold(spark, size):
+    rng = random.Random(size)
+    rows = [(i, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"]), rng.choice([0, 1]), rng.randrange(50), rng.random() < 0.5, rng.random() < 0.6) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, k int, s string, t int, x long, counts boolean, reads boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        got = {r.i: tuple(r)[1:] for r in blocks.carried(df.repartition(3, "k").sortWithinPartitions("k", "i"), "k", {"s": ("s", ["x"]), "t": ("t", [])}, ["i"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    of = lambda r, c: [q for q in rows[: r[0] + 1] if q[5] and q[1] == r[1] and q[c] == r[c]]
+    assert got == {r[0]: (len(of(r, 2)), sum(q[4] for q in of(r, 2)), len(of(r, 3))) for r in rows if r[6]}
+
+
+def test_an_exercise_is_sorted_once_for_its_sums(spark):
+    df = spark.createDataFrame(submissions(50, 6), COLUMNS)
+    plan = blocks.feature_block(df, 1.2, 1.5, F.col("item_key"), F.col("assessment"))._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [item_key" in line]
+    assert 1 <= len(sorts) <= 2, plan  # its sums, and its last results
