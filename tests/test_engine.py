@@ -15,6 +15,7 @@ from causeway.access import Guard, SealedData
 from causeway.functions import clock
 from causeway.functions import text as text_functions
 from causeway.operators import history, metrics, study, temporal
+from causeway.plans import catalog
 from causeway.schema import MissingColumns, require_columns, require_rows
 from causeway.sources import readers, sinks
 
@@ -327,3 +328,17 @@ def test_assembled_ranks_traces_by_parts(spark):
     # no window along a whole trace
     plan = out._jdf.queryExecution().analyzed().toString()
     assert not re.search(r"windowspecdefinition\(copy#\d+, (arrival_us#\d+L ASC|specifiedwindowframe)", plan)
+
+
+def test_code_features_cut_a_text_up_once(spark, tmp_path):
+    rows = [(1, "import os.path, re\nfrom  numpy.linalg import norm\n\n  \t\nfor x in range(10):\n\twhile (1):\n        print(len(x)); évalué = eval(x)\n# sleep"), (2, "whilé for_ if if  import time\n from sys import a\nfromage import"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = catalog.QUERIES["code_features"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 3, plan  # words, modules and digits
+    alone = text_functions.code_features(F.coalesce("text", F.lit("")))
+    want = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", *(alone[c].cast("int").alias(c) for c in df.columns[1:]))
+    got = {r.doc_id: r for r in df.collect()}
+    assert got == {r.doc_id: r for r in want.collect()}
+    assert [got[1][c] for c in ("n_import", "imp_os", "imp_numpy", "imp_other", "n_for", "n_while", "n_len", "has_evalexec", "has_sleep", "has_open")] == [2, 1, 1, 0, 1, 1, 1, 1, 1, 0]
+    assert [got[2][c] for c in ("n_if", "n_for", "n_import", "imp_sys", "imp_time")] == [2, 0, 1, 1, 0]
