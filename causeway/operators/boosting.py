@@ -40,8 +40,8 @@ from ..sources.scratch import dropped, written
 
 #: Fixed point of gradients and hessians.
 UNIT = 1 << 20
-#: Accuracy of the quantiles: exact up to about so many rows a model, and so many values of memory at any size.
-ACCURACY = 1_000_000
+#: Accuracy of the sketch that brackets a quantile, which bounds its memory; the quantile itself is exact.
+SKETCH = 10_000
 #: Models whose trees are sent to the tasks; more are joined by a shuffle.
 MOST_SENT = 10_000
 #: Cells (model, node, feature, bin) that a task sums in arrays; more go by rows.
@@ -96,12 +96,91 @@ def _local(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFr
     return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds), schema)
 
 
+def _value(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _at_ranks(counts: DataFrame, by: Sequence[str], along: Sequence[str], bins: int, take: Column) -> DataFrame:
+    """(by, hits): `take` where the rows counted in `n` reach each of the ranks that bound `bins` bins; null without rows."""
+    order = Window.partitionBy(*by).orderBy(*along).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = counts.withColumns({"_to": F.sum("n").over(order), "_all": F.sum("n").over(Window.partitionBy(*by))})
+    ranks = [F.greatest(F.ceil(F.col("_all") * F.lit(i / bins)), F.lit(1)) for i in range(1, bins)]
+    return steps.groupBy(*by).agg(F.array(*(F.max(F.when((F.col("_to") >= r) & (F.col("_to") - F.col("n") < r), take)) for r in ranks)).alias("hits"))
+
+
 def cut_points(rows: DataFrame, by: Sequence[str], features: Sequence[str], bins: int) -> DataFrame:
-    """(by, cuts): per feature the different quantiles that bound `bins` bins."""
-    shares = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    per = [F.coalesce(F.percentile_approx(value(c), shares, F.lit(ACCURACY)), F.array().cast("array<double>")) for c in features]
-    return rows.groupBy(*by).agg(F.array(*(F.array_distinct(p) for p in per)).alias("cuts"))
+    """(by, cuts): per feature the different quantiles that bound `bins` bins, by counts of all values."""
+    each = rows.select(*by, F.posexplode(F.array(*map(_value, features))).alias("_f", "_v"))
+    counts = each.groupBy(*by, "_f", "_v").agg(F.count("_v").alias("n"))
+    per = _at_ranks(counts, [*by, "_f"], ["_v"], bins, F.col("_v")).select(*by, F.struct("_f", F.array_distinct(F.array_compact("hits")).alias("c")).alias("_c"))
+    return per.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("_c")), lambda c: c["c"]).alias("cuts"))
+
+
+def _merged(intervals: np.ndarray) -> np.ndarray:
+    """Closed intervals (a row each) as disjoint ones, rising."""
+    out: list[list[float]] = []
+    for low, high in sorted(map(tuple, intervals.tolist())):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return np.array(out)
+
+
+def _bracketed(bounds: dict[tuple[int, int], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (m, features) counts of the values inside the bounds of a model's feature; those beyond count together, above the end below them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(0).to_numpy()
+            x = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)]
+            out = []
+            for k in np.unique(m).tolist():
+                own = m == k
+                for f, column in enumerate(x):
+                    if (k, f) in bounds:
+                        v, (low, high) = column[own], bounds[k, f].T
+                        v = v[~np.isnan(v)]
+                        at = np.searchsorted(low, v, "right") - 1
+                        inside = (at >= 0) & (v <= high[at])
+                        ends, n = np.unique(at[~inside], return_counts=True)
+                        values, some = np.unique(v[inside], return_counts=True)
+                        value = np.concatenate([values, np.where(ends >= 0, high[ends], -np.inf)])
+                        beyond = np.repeat(np.array([0, 1]), [len(values), len(ends)])
+                        out.append((np.full(len(value), k), np.full(len(value), f), value, beyond, np.concatenate([some, n])))
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["_m", "feature", "value", "beyond", "n"])
+
+    return run
+
+
+def few_cuts(rows: DataFrame, models: int, features: Sequence[str], bins: int) -> list[list[np.ndarray]]:
+    """The cuts of models 0, 1, .. in column _m: a sketch brackets each quantile, and values inside the brackets are counted one by one.
+
+    A rank that a bracket misses falls between two of them, and that stretch
+    is counted next, so the quantiles are exact whatever the sketch says.
+    """
+    shares = [min(1.0, max(0.0, i / bins + d)) for i in range(1, bins) for d in (-2 / SKETCH, 2 / SKETCH)]
+    sketch = rows.groupBy("_m").agg(*(F.percentile_approx(_value(c), F.array(*map(F.lit, shares)), F.lit(SKETCH)).alias(f"_q{f}") for f, c in enumerate(features)))
+    bounds = {(r["_m"], f): _merged(np.reshape(r[f"_q{f}"], (-1, 2))) for r in sketch.collect() for f in range(len(features)) if r[f"_q{f}"] is not None}
+    cuts = [[np.empty(0)] * len(features) for _ in range(models)]
+    doubles = rows.select("_m", *(F.col(c).cast("double").alias(f"_x{f}") for f, c in enumerate(features)))
+    while bounds:
+        counts = doubles.mapInArrow(_bracketed(bounds), "_m int, feature int, value double, beyond int, n long")
+        counts = counts.repartition("_m", "feature").groupBy("_m", "feature", "value", "beyond").agg(F.sum("n").alias("n"))
+        missed = {}
+        for r in _at_ranks(counts, ["_m", "feature"], ["value", "beyond"], bins, F.struct("value", "beyond")).collect():
+            key, low = (r["_m"], r["feature"]), bounds[r["_m"], r["feature"]][:, 0]
+            gaps = [(h["value"], min(low[low > h["value"]], default=np.inf)) for h in r["hits"] if h["beyond"]]
+            if gaps:
+                missed[key] = _merged(np.concatenate([bounds[key], gaps]))
+            else:
+                cuts[key[0]][key[1]] = np.unique([h["value"] for h in r["hits"]])
+        bounds = missed
+    return cuts
 
 
 def bins_of(features: Sequence[str]) -> Column:
@@ -280,11 +359,12 @@ def fit(rows: DataFrame, by: Sequence[str], features: Sequence[str], label: str,
         mean = F.greatest(mean, F.lit(LEAST_MEAN))
     if spec.loss == "logistic":
         mean = F.least(mean, F.lit(1 - LEAST_MEAN))
-    starts = rows.groupBy(*by).agg(F.round(start(mean), 9).alias("start"))
-    base = written(starts.join(_keyed(cut_points(rows, by, features, spec.bins), by), _on(by)).select(*by, "start", "cuts"), "models")
-    models = base.count()
+    starts = written(rows.groupBy(*by).agg(F.round(start(mean), 9).alias("start")), "starts")
+    models = starts.count()
     if 0 < models << spec.depth and (models << spec.depth) * len(features) * (spec.bins + 1) <= MOST_CELLS:
-        return _fit_few(rows, base, by, features, spec, models)
+        return _fit_few(rows, starts, by, features, spec, models)
+    base = written(starts.join(_keyed(cut_points(rows, by, features, spec.bins), by), _on(by)).select(*by, "start", "cuts"), "models")
+    dropped(starts)
     state = written(_attached(rows, base, by, models).select(*by, F.col("_y").alias("y"), bins_of(features).alias("bins"), F.col("start").alias("score")), "boosted")
     dropped(rows)
     keys = StructType([base.schema[c] for c in by])
@@ -314,20 +394,24 @@ def fit(rows: DataFrame, by: Sequence[str], features: Sequence[str], label: str,
         state = after
     forest = [(*k, [{"feature": t.feature, "cut": t.cut, "leaf": t.leaves(spec)} for t in own]) for k, own in trees.items()]
     known = _local(spark, forest, StructType([*keys.fields, StructField("trees", ArrayType(_TREE))]))
-    table = written(_attached(base, known, by, models), "models")
+    table = written(_attached(base.drop("_m"), known, by, models), "models")
     dropped(state)
-    dropped(base)
     return Model(spec, by, features, table, models)
 
 
-def _fit_few(rows: DataFrame, base: DataFrame, by: list[str], features: list[str], spec: Boosting, models: int) -> Model:
+def _fit_few(rows: DataFrame, starts: DataFrame, by: list[str], features: list[str], spec: Boosting, models: int) -> Model:
     """The same trees where the cells of all models fit an array: a task reads its rows in batches and gives sums."""
     spark = rows.sparkSession
-    keys = [tuple(r) for r in base.select(*by).collect()]
-    numbers = _local(spark, [(*k, i) for i, k in enumerate(keys)], StructType([*(base.schema[c] for c in by), StructField("_m", IntegerType())]))
-    marked = _attached(base, numbers, by, models)
-    state = written(_attached(rows, marked, by, models).select("_m", F.col("_y").alias("y"), bins_of(features).alias("bins"), F.col("start").alias("score")), "boosted")
+    known = starts.collect()
+    keys = [tuple(r[c] for c in by) for r in known]
+    of = [starts.schema[c] for c in by]
+    numbers = _local(spark, [(*k, i) for i, k in enumerate(keys)], StructType([*of, StructField("_m", IntegerType())]))
+    cuts = few_cuts(_attached(rows, numbers, by, models), models, features, spec.bins)
+    table = [(*k, i, r.start, [c.tolist() for c in own]) for i, (k, r, own) in enumerate(zip(keys, known, cuts, strict=True))]
+    base = _local(spark, table, StructType([*of, StructField("_m", IntegerType()), StructField("start", DoubleType()), StructField("cuts", ArrayType(ArrayType(DoubleType())))]))
+    state = written(_attached(rows, base, by, models).select("_m", F.col("_y").alias("y"), bins_of(features).alias("bins"), F.col("start").alias("score")), "boosted")
     dropped(rows)
+    dropped(starts)
     search, cell = CutSearch(["_m"], spec), ["_m", "node", "feature", "bin"]
     totals = [F.sum(c).alias(c) for c in "ghn"]
     trees: list[list[_Heap]] = [[] for _ in keys]
@@ -345,9 +429,8 @@ def _fit_few(rows: DataFrame, base: DataFrame, by: list[str], features: list[str
         state = after
     forest = [(*k, [{"feature": t.feature, "cut": t.cut, "leaf": t.leaves(spec)} for t in own]) for k, own in zip(keys, trees, strict=True)]
     known = _local(spark, forest, StructType([*(base.schema[c] for c in by), StructField("trees", ArrayType(_TREE))]))
-    table = written(_attached(base, known, by, models), "models")
+    table = written(_attached(base.drop("_m"), known, by, models), "models")
     dropped(state)
-    dropped(base)
     return Model(spec, by, features, table, models)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.clock import keyed_bits
 from .boosting import Boosting, Model, fit
@@ -25,8 +26,20 @@ def training_pairs(rows: DataFrame, term: str, target: str = "target") -> DataFr
 
 
 def cutoffs(pairs: DataFrame, by: Sequence[str], value: str, **shares: float) -> DataFrame:
-    """(by, a column per share): exact quantiles of each model's own training rows, so that no cut-off knows its target."""
-    return pairs.groupBy(*by).agg(*(F.percentile(value, F.lit(p)).alias(name) for name, p in shares.items()))
+    """(by, a column per share): exact quantiles of each model's own training rows, so that no cut-off knows its target.
+
+    Values are counted and the counts sum up along a sorted stream, so that no task holds all values of a model.
+    """
+    counts = pairs.groupBy(*by, value).agg(F.count(value).alias("_n"))
+    along = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = counts.withColumns({"_to": F.sum("_n").over(along), "_all": F.sum("_n").over(Window.partitionBy(*by))})
+    out = []
+    for name, p in shares.items():
+        at = (F.col("_all") - F.lit(1)).cast("double") * F.lit(p)
+        held = lambda rank: F.max(F.when((F.col("_to") > rank) & (F.col("_to") - F.col("_n") <= rank), F.col(value).cast("double")))
+        out += [held(F.floor(at)).alias(f"_low_{name}"), held(F.ceil(at)).alias(f"_high_{name}"), F.max(at).alias(f"_at_{name}")]
+    both = lambda n: (F.ceil(f"_at_{n}") - F.col(f"_at_{n}")) * F.col(f"_low_{n}") + (F.col(f"_at_{n}") - F.floor(f"_at_{n}")) * F.col(f"_high_{n}")
+    return steps.groupBy(*by).agg(*out).select(*by, *(F.when(F.col(f"_low_{n}") == F.col(f"_high_{n}"), F.col(f"_low_{n}")).otherwise(both(n)).alias(n) for n in shares))
 
 
 def rolling_models(rows: DataFrame, term: str, features: Sequence[str], label: str, spec: Boosting = Boosting()) -> Model:

@@ -105,6 +105,32 @@ def test_slopes_have_the_last_bit_of_the_c_library(spark):
             assert h.tolist() == [math.floor(hessian(a, b) * UNIT + 0.5) for a, b in zip(y, s, strict=True)]
 
 
+def test_cuts_are_exact_beyond_any_sketch(spark, monkeypatch):
+    spec = Boosting(rounds=1, depth=1, bins=8)
+    df = spark.range(1_200_000).repartition(12).selectExpr("0 target", "cast(id as double) a", "1.0D y")
+    want = [[float(1_200_000 * i // 8 - 1) for i in range(1, 8)]]
+    assert boosting.fit(df, ["target"], ["a"], "y", spec).table.first().cuts == want
+    rows = [(*r[:4], random.Random(r[0]).choice([r[4], 0.5, float("nan"), float("inf"), -float("inf")]), *r[5:]) for r in sample(600, 7)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = {}
+    for target in (0, 1):
+        values = [sorted(x for r in rows if r[1] == target and (x := r[f]) is not None and x == x) for f in (2, 3, 4)]
+        want[target] = [sorted({v[max(0, math.ceil(len(v) * i / 8) - 1)] for i in range(1, 8)}) for v in values]
+    for name, most in (("SKETCH", 3), ("MOST_CELLS", 0)):  # brackets that miss; counts of all values
+        with monkeypatch.context() as m:
+            m.setattr(boosting, name, most)
+            assert {r.target: r.cuts for r in boosting.fit(df, ["target"], ["a", "b", "c"], "y", spec).table.collect()} == want
+
+
+def test_cutoffs_are_those_of_interpolated_ranks(spark):
+    rng = random.Random(8)
+    rows = [(i % 3, rng.choice([None, rng.randrange(40)]) if i % 3 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "target int, v int")
+    got = {r.target: (r.a, r.b) for r in predict.cutoffs(df, ["target"], "v", a=0.95, b=0.5).collect()}
+    assert got == {r.target: (r.a, r.b) for r in df.groupBy("target").agg(F.percentile("v", F.lit(0.95)).alias("a"), F.percentile("v", F.lit(0.5)).alias("b")).collect()}
+    assert got[0] == (None, None)
+
+
 def test_few_models_grow_the_trees_of_many(spark, monkeypatch):
     df = spark.createDataFrame([(*r[:5], r[5] * 1e7, r[6]) for r in sample(400, 3, models=3)], SCHEMA)  # sums beyond the whole numbers of a double
     for loss, label in (("tweedie", "y"), ("log", "y"), ("logistic", "flag")):
