@@ -5,7 +5,7 @@ and all models grow together, level by level. A level is one aggregation, by
 arrays in the tasks while their cells are few:
 gradients and hessians summed by (model, node, feature, bin), combined map-side,
 so that what is shuffled has a row per cell and task and no training row ever
-moves. Running sums over the bins of a cell give the gain of every cut; the
+moves; rows lie in blocks of one model then, a row of Spark each, and a block that takes its leaves counts the next root. Running sums over the bins of a cell give the gain of every cut; the
 best one of each node, and nothing else, comes to the driver.
 
 Features are cut at quantiles of each model's own training rows. Gradients are
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ SKETCH = 10_000
 MOST_SENT = 10_000
 #: Cells (model, node, feature, bin) that a task sums in arrays; more go by rows.
 MOST_CELLS = 1 << 20
+#: Rows of a block of one model, and rows that a task holds in unfinished blocks of all models.
+BLOCK_ROWS, HELD_ROWS = 1 << 15, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -204,7 +207,7 @@ def fixed(x: Column) -> Column:
 
 def exp(x: np.ndarray) -> np.ndarray:
     """By the C library, whose last bit other engines have; rows of one leaf share their score."""
-    few, at = np.unique(x, return_inverse=True)
+    at, few = pd.factorize(x)
     return np.array([math.exp(v) for v in few.tolist()])[at] if len(few) else x
 
 
@@ -221,53 +224,135 @@ def slopes(loss: str, y: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.
     return tuple(np.floor(x * float(UNIT) + 0.5).astype(np.int64) for x in (g, h))
 
 
+def _few(models: int, spec: Boosting, features: int) -> bool:
+    """Whether the cells of all models fit an array."""
+    return 0 < (models << spec.depth) * features * (spec.bins + 1) <= MOST_CELLS
+
+
+def _binned(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """bins_of a feature's values, by arrays."""
+    return np.where(np.isnan(x), 0, 1 + np.searchsorted(cuts, x, "left"))
+
+
+def _added(code: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of whole numbers by code: sums of doubles are exact up to 2^53, larger ones go in two parts."""
+    if int(np.abs(x).max(initial=0)) * len(x) < 1 << 53:
+        return np.bincount(code, x, size).astype(np.int64)
+    low = 1 << 24
+    return np.bincount(code, x % low, size).astype(np.int64) + np.bincount(code, x // low, size).astype(np.int64) * low
+
+
+_BLOCKS = "m int, bins binary, y binary, score binary, cells binary"
+
+
+class _Blocks:
+    """Training rows as blocks: a row of the table holds some thousand rows of one model as arrays, and their cells at the root."""
+
+    def __init__(self, spec: Boosting, models: int, features: int):
+        self.spec, self.models, self.features = spec, models, features
+        self.kind = np.dtype("u1" if spec.bins < 256 else "<u4")
+
+    def sums(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray | int, nodes: int) -> np.ndarray:
+        """Sums of gradients, hessians and rows by node (from 0), feature and bin."""
+        width = self.spec.bins + 1
+        out = np.zeros((3, nodes, self.features, width), np.int64)
+        start = node * width
+        for f in range(self.features):
+            code = bins[f] + start
+            for i, x in enumerate((g, h)):
+                out[i, :, f] = _added(code, x, nodes * width).reshape(nodes, width)
+            out[2, :, f] = np.bincount(code, minlength=nodes * width).reshape(nodes, width)
+        return out
+
+    def block(self, m: int, bins: np.ndarray, y: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        root = self.sums(bins, *slopes(self.spec.loss, y, score), 0, 1)
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in (bins, y, score, root)]
+        return pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), *columns], names=["m", "bins", "y", "score", "cells"])
+
+    def packed(self, cuts: list[list[np.ndarray]], starts: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """From rows (m, y, features) to blocks."""
+        most = max(1, min(BLOCK_ROWS, HELD_ROWS // self.models))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            rows: dict[int, int] = {}
+
+            def made(k: int) -> pa.RecordBatch:
+                bins, y = (np.concatenate(part, axis=-1) for part in zip(*held.pop(k), strict=True))
+                return self.block(k, bins, y, np.full(len(y), starts[k]))
+
+            for batch in batches:
+                m, y, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+                for k in np.unique(m).tolist():
+                    own = np.flatnonzero(m == k)
+                    bins = np.stack([_binned(c[own], cuts[k][f]) for f, c in enumerate(x)]).astype(self.kind)
+                    held.setdefault(k, []).append((bins, y[own]))
+                    rows[k] = rows.get(k, 0) + len(own)
+                    if rows[k] >= most:
+                        yield made(k)
+                        rows[k] = 0
+            for k in list(held):
+                yield made(k)
+
+        return run
+
+    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """m, bins (a row per feature), y and score of each block."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bins, y, score = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("bins", self.kind), ("y", "<f8"), ("score", "<f8")))
+                yield batch.column("m")[i].as_py(), bins.reshape(self.features, -1), y, score
+
+    def given(self, sums: np.ndarray, level: int) -> pa.RecordBatch:
+        """The cells of a task, each once. sums: by kind, model, node, feature and bin."""
+        m, node, f, bin_ = np.nonzero(sums[2])
+        columns = [pa.array(x, pa.int32()) for x in (m, node + (1 << level), f, bin_)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(x[m, node, f, bin_]) for x in sums)], names=["_m", "node", "feature", "bin", "g", "h", "n"])
+
+    def root(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From (m, cells) the cells of all roots."""
+        sums = np.zeros((3, self.models, 1, self.features, self.spec.bins + 1), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sums[:, batch.column("m")[i].as_py()] += np.frombuffer(batch.column("cells")[i].as_buffer(), np.int64).reshape(3, 1, self.features, -1)
+        yield self.given(sums, 0)
+
+
 class _Forest:
-    """One tree of each of a few models as arrays, for tasks that read rows (m, y, bins, score) in batches."""
+    """One tree of each of a few models as arrays, for tasks that read blocks."""
 
-    def __init__(self, heaps: Sequence[_Heap], spec: Boosting, features: int):
-        self.spec, self.features = spec, features
+    def __init__(self, heaps: Sequence[_Heap], blocks: _Blocks):
+        self.blocks, self.spec = blocks, blocks.spec
         self.feature, self.cut = (np.array([[-1 if x is None else x for x in getattr(h, c)] for h in heaps], np.int64) for c in ("feature", "cut"))
-        self.leaf = np.array([h.leaves(spec) for h in heaps])
-
-    def read(self, batch: pa.RecordBatch, levels: int) -> tuple[np.ndarray, ...]:
-        """m, y, bins (a row per row), score and the node after so many levels."""
-        m, y, score = (batch.column(i).to_numpy() for i in (0, 1, 3))
-        bins = batch.column(2).flatten().to_numpy().reshape(len(m), self.features)
-        node, row = np.ones(len(m), np.int64), np.arange(len(m))
-        for _ in range(levels):
-            f = self.feature[m, node]
-            node = 2 * node + ((f >= 0) & (bins[row, f] > self.cut[m, node]))
-        return m, y, bins, score, node
+        self.leaf = np.array([h.leaves(blocks.spec) for h in heaps])
+
+    def node(self, m: int, bins: np.ndarray, levels: int) -> np.ndarray:
+        return _walked(self.feature[m], self.cut[m], bins, levels)
 
     def cells(self, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         """Sums of gradients, hessians and rows by model, node, feature and bin: a task gives each of its cells once."""
-        shape = (len(self.leaf), 1 << level, self.features, self.spec.bins + 1)
-        size, low = int(np.prod(shape)), 1 << 24
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((3, size), np.int64)
-            for batch in batches:
-                m, y, bins, score, node = self.read(batch, level)
-                g, h = slopes(self.spec.loss, y, score)
-                first = (m.astype(np.int64) * shape[1] + node - (1 << level)) * shape[2]
-                for f in range(self.features):
-                    code = (first + f) * shape[3] + bins[:, f]
-                    for i, x in enumerate((g, h)):  # in two parts, so that sums of doubles are exact
-                        for part, unit in ((x % low, 1), (x // low, low)):
-                            sums[i] += np.bincount(code, part, size).astype(np.int64) * unit
-                    sums[2] += np.bincount(code, minlength=size)
-            at = np.flatnonzero(sums[2])
-            m, node, f, bin_ = np.unravel_index(at, shape)
-            columns = [pa.array(x, pa.int32()) for x in (m, node + (1 << level), f, bin_)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[at]) for x in sums)], names=["_m", "node", "feature", "bin", "g", "h", "n"])
+            sums = np.zeros((3, len(self.leaf), 1 << level, self.blocks.features, self.spec.bins + 1), np.int64)
+            for m, bins, y, score in self.blocks.read(batches):
+                sums[:, m] += self.blocks.sums(bins, *slopes(self.spec.loss, y, score), self.node(m, bins, level) - (1 << level), 1 << level)
+            yield self.blocks.given(sums, level)
 
         return run
 
     def moved(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows with their leaves added."""
-        for batch in batches:
-            m, _, _, score, node = self.read(batch, self.spec.depth)
-            yield batch.set_column(3, "score", pa.array(score + self.leaf[m, node - (1 << self.spec.depth)]))
+        """The blocks with their leaves added."""
+        for m, bins, y, score in self.blocks.read(batches):
+            yield self.blocks.block(m, bins, y, score + self.leaf[m][self.node(m, bins, self.spec.depth) - (1 << self.spec.depth)])
+
+
+def _walked(feature: np.ndarray, cut: np.ndarray, bins: np.ndarray, levels: int) -> np.ndarray:
+    """The node that bins (a row per feature) lead to after so many levels of one tree."""
+    node, row = np.ones(bins.shape[1], np.int64), np.arange(bins.shape[1])
+    for _ in range(levels):
+        f = feature[node]
+        node = 2 * node + ((f >= 0) & (bins[f, row] > cut[node]))
+    return node
 
 
 class CutSearch:
@@ -288,10 +373,13 @@ class CutSearch:
         self.best = [F.max("_ag").alias("g"), F.max("_ah").alias("h"), F.max(F.when(good, choice)).alias("c")]
         self.out = [*map(F.col, self.keys), F.col("g"), F.col("h"), (-F.col("c.f")).alias("feature"), (-F.col("c.b")).alias("cut"), F.col("c.lg").alias("lg"), F.col("c.lh").alias("lh")]
 
-    def __call__(self, cells: DataFrame) -> DataFrame:
-        """A row per node: its sums g and h and, where a cut gains enough, feature, cut and the sums of its left side. cells: node, feature, bin, g, h, n."""
+    def __call__(self, cells: DataFrame, parts: bool = False) -> DataFrame:
+        """A row per node: its sums g and h and, where a cut gains enough, feature, cut and the sums of its left side. cells: node, feature, bin, g, h, n, in `parts` or once each."""
         # one shuffle serves the running sums and the choice
-        return cells.repartition(*self.keys).withColumns(self.sums).groupBy(*self.keys).agg(*self.best).select(*self.out)
+        cells = cells.repartition(*self.keys)
+        if parts:
+            cells = cells.groupBy(*self.keys, "feature", "bin").agg(*(F.sum(c).alias(c) for c in "ghn"))
+        return cells.withColumns(self.sums).groupBy(*self.keys).agg(*self.best).select(*self.out)
 
 
 class _Heap:
@@ -341,12 +429,41 @@ class Model:
         clash = [c for c in rows.columns if c in tables]
         if clash:
             raise ValueError(f"columns {', '.join(clash)} must have other names")
+        if _few(self.models, self.spec, len(self.features)):
+            return self._score_few(rows, name)
         known = _attached(rows, self.table, self.by, self.models, "left").withColumn("bins", bins_of(self.features))
         right = lambda t, node: F.coalesce(F.get("bins", F.get(t["feature"], node)) > F.get(t["cut"], node), F.lit(False))
         leaf = lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(self.spec.depth)), F.lit(1), lambda node, _: node * 2 + F.when(right(t, node), 1).otherwise(0))
         total = F.aggregate("trees", F.col("start"), lambda acc, t: acc + F.get(t["leaf"], leaf(t) - (1 << self.spec.depth)))
         return known.withColumn(name, _LOSSES[self.spec.loss][4](total)).drop(*tables)
 
+    def _score_few(self, rows: DataFrame, name: str) -> DataFrame:
+        """The same where all models fit a task: only a row's features and the number of its model go to it."""
+        known = self.table.collect()
+        of = StructType([*(self.table.schema[c] for c in self.by), StructField("_m", IntegerType())])
+        numbers = _local(rows.sparkSession, [(*(r[c] for c in self.by), i) for i, r in enumerate(known)], of)
+        cuts = [[np.array(c, np.float64) for c in r.cuts] for r in known]
+        starts = [r.start for r in known]
+        whole = lambda heap: np.array([-1 if x is None else x for x in heap], np.int64)
+        trees = [[(whole(t.feature), whole(t.cut), np.array(t.leaf)) for t in r.trees] for r in known]
+        depth = self.spec.depth
+
+        @F.pandas_udf("double")
+        def total(m: pd.Series, *x: pd.Series) -> pd.Series:
+            out, number = np.full(len(m), np.nan), m.to_numpy()
+            for k in np.unique(number[number >= 0]).tolist():
+                own = np.flatnonzero(number == k)
+                bins = np.stack([_binned(c.to_numpy(np.float64, na_value=np.nan)[own], cuts[k][f]) for f, c in enumerate(x)])
+                score = np.full(len(own), starts[k])
+                for feature, cut, leaf in trees[k]:
+                    score = score + leaf[_walked(feature, cut, bins, depth) - (1 << depth)]
+                out[own] = score
+            return pd.Series(out)
+
+        said = total(F.coalesce("_m", F.lit(-1)), *(F.col(c).cast("double") for c in self.features))
+        marked = _attached(rows, numbers, self.by, self.models, "left").withColumn(name, said)
+        return marked.withColumn(name, F.when(F.col("_m").isNotNull(), _LOSSES[self.spec.loss][4](F.col(name)))).drop("_m")
+
 
 def fit(rows: DataFrame, by: Sequence[str], features: Sequence[str], label: str, spec: Boosting = Boosting()) -> Model:
     """A model per value of `by`, from the rows with that value."""
@@ -361,7 +478,7 @@ def fit(rows: DataFrame, by: Sequence[str], features: Sequence[str], label: str,
         mean = F.least(mean, F.lit(1 - LEAST_MEAN))
     starts = written(rows.groupBy(*by).agg(F.round(start(mean), 9).alias("start")), "starts")
     models = starts.count()
-    if 0 < models << spec.depth and (models << spec.depth) * len(features) * (spec.bins + 1) <= MOST_CELLS:
+    if _few(models, spec, len(features)):
         return _fit_few(rows, starts, by, features, spec, models)
     base = written(starts.join(_keyed(cut_points(rows, by, features, spec.bins), by), _on(by)).select(*by, "start", "cuts"), "models")
     dropped(starts)
@@ -400,36 +517,36 @@ def fit(rows: DataFrame, by: Sequence[str], features: Sequence[str], label: str,
 
 
 def _fit_few(rows: DataFrame, starts: DataFrame, by: list[str], features: list[str], spec: Boosting, models: int) -> Model:
-    """The same trees where the cells of all models fit an array: a task reads its rows in batches and gives sums."""
+    """The same trees where the cells of all models fit an array: a task reads its rows in blocks and gives sums."""
     spark = rows.sparkSession
     known = starts.collect()
     keys = [tuple(r[c] for c in by) for r in known]
     of = [starts.schema[c] for c in by]
     numbers = _local(spark, [(*k, i) for i, k in enumerate(keys)], StructType([*of, StructField("_m", IntegerType())]))
     cuts = few_cuts(_attached(rows, numbers, by, models), models, features, spec.bins)
-    table = [(*k, i, r.start, [c.tolist() for c in own]) for i, (k, r, own) in enumerate(zip(keys, known, cuts, strict=True))]
-    base = _local(spark, table, StructType([*of, StructField("_m", IntegerType()), StructField("start", DoubleType()), StructField("cuts", ArrayType(ArrayType(DoubleType())))]))
-    state = written(_attached(rows, base, by, models).select("_m", F.col("_y").alias("y"), bins_of(features).alias("bins"), F.col("start").alias("score")), "boosted")
+    blocks = _Blocks(spec, models, len(features))
+    doubles = _attached(rows, numbers, by, models).select("_m", "_y", *features)
+    small = {"parquet.block.size": 8 << 20}  # a task holds a row group's blocks
+    state = written(doubles.mapInArrow(blocks.packed(cuts, [r.start for r in known]), _BLOCKS), "boosted", **small)
     dropped(rows)
-    dropped(starts)
-    search, cell = CutSearch(["_m"], spec), ["_m", "node", "feature", "bin"]
-    totals = [F.sum(c).alias(c) for c in "ghn"]
+    search = CutSearch(["_m"], spec)
+    found = "_m int, node int, feature int, bin int, g long, h long, n long"
     trees: list[list[_Heap]] = [[] for _ in keys]
-    for _ in range(spec.rounds):
+    for step in range(spec.rounds):
         heaps = [_Heap(spec.depth) for _ in keys]
         for level in range(spec.depth):
-            run = _Forest(heaps, spec, len(features)).cells(level)
-            found = state.mapInArrow(run, "_m int, node int, feature int, bin int, g long, h long, n long").groupBy(*cell).agg(*totals)
-            for row in search(found).collect():  # a row per node
+            at = state.drop("cells").mapInArrow(_Forest(heaps, blocks).cells(level), found) if level else state.select("m", "cells").mapInArrow(blocks.root, found)
+            for row in search(at, parts=True).collect():  # a row per node
                 heaps[row["_m"]].grow(row)
         for own, heap in zip(trees, heaps, strict=True):
             own.append(heap)
-        after = written(state.mapInArrow(_Forest(heaps, spec, len(features)).moved, state.schema), "boosted")
-        dropped(state)
-        state = after
-    forest = [(*k, [{"feature": t.feature, "cut": t.cut, "leaf": t.leaves(spec)} for t in own]) for k, own in zip(keys, trees, strict=True)]
-    known = _local(spark, forest, StructType([*(base.schema[c] for c in by), StructField("trees", ArrayType(_TREE))]))
-    table = written(_attached(base.drop("_m"), known, by, models), "models")
+        if step + 1 < spec.rounds:
+            after = written(state.drop("cells").mapInArrow(_Forest(heaps, blocks).moved, _BLOCKS), "boosted", **small)
+            dropped(state)
+            state = after
+    forest = [(*k, r.start, [c.tolist() for c in own], [{"feature": t.feature, "cut": t.cut, "leaf": t.leaves(spec)} for t in grown]) for k, r, own, grown in zip(keys, known, cuts, trees, strict=True)]
+    table = written(_local(spark, forest, StructType([*of, StructField("start", DoubleType()), StructField("cuts", ArrayType(ArrayType(DoubleType()))), StructField("trees", ArrayType(_TREE))])), "models")
+    dropped(starts)
     dropped(state)
     return Model(spec, by, features, table, models)
 

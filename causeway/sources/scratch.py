@@ -19,11 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
+def written(rows: DataFrame, name: str, **options: object) -> DataFrame:
     """`rows` as a table of the shared folder: lineage is cut, and lost executors take nothing with them."""
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 

@@ -227,3 +227,22 @@ def test_auroc_of_groups(spark):
         p, q = ([s for x, s, y in rows if x == g and y == want] for want in (1, 0))
         want = sum((a > b) + (a == b) / 2 for a in p for b in q) / (len(p) * len(q)) if p and q else None
         assert got[g].auroc == (pytest.approx(want) if want is not None else None) and (got[g].positives, got[g].negatives) == (len(p), len(q))
+
+
+def test_blocks_are_cut_and_scored_as_rows_are(spark, monkeypatch):
+    rows = sample(400, 6, models=3)
+    df = spark.createDataFrame([*rows, (401, 9, 1.0, None, float("nan"), 1.0, 0)], SCHEMA).repartition(3)
+    spec = Boosting(rounds=2, depth=2, bins=8, least_rows=5)
+    learned = df.where("target < 3")
+    whole = boosting.fit(learned, ["target"], ["a", "b", "c"], "y", spec)
+    jobs = []
+    with monkeypatch.context() as m:
+        m.setattr(boosting, "BLOCK_ROWS", 7)
+        real = boosting.written
+        m.setattr(boosting, "written", lambda rows, name, **options: jobs.append(name) or real(rows, name, **options))
+        small = boosting.fit(learned, ["target"], ["a", "b", "c"], "y", spec)
+    assert jobs.count("boosted") == spec.rounds  # rows are packed once and take leaves between rounds
+    assert sorted(small.table.collect()) == sorted(whole.table.collect())
+    few = {r.job_id: r.prediction for r in whole.score(df).collect()}
+    monkeypatch.setattr(boosting, "MOST_CELLS", 0)
+    assert few == {r.job_id: r.prediction for r in whole.score(df).collect()} and few[401] is None
