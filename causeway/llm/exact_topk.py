@@ -8,7 +8,7 @@ whose bound is under a query's known k-th score are out, and survivors are
 scored exactly, in integers.
 
 Rows are dealt evenly into blocks, and each query block meets each candidate
-block once. A query's first k-th score comes from one block that all query
+block once, in the task of that block. A query's first k-th score comes from one block that all query
 blocks see first; its size is bounded, so it is broadcast.
 
 Defined results: vectors that are null or hold null or non-finite components
@@ -71,13 +71,21 @@ def blocks(rows: DataFrame, per_block: int) -> DataFrame:
         flat = np.concatenate(vectors) if vectors else np.empty(0, np.int64)
         keys = np.concatenate(ids) if ids else np.empty(0, np.int64)
         number = pa.array([TaskContext.get().partitionId()], pa.int32())
-        yield pa.RecordBatch.from_arrays([number, pa.array([dim], pa.int32()), pa.array([keys.astype("<i8").tobytes()]), pa.array([flat.astype("<i8").tobytes()])], names=["block", "dim", "ids", "vectors"])
+        yield pa.RecordBatch.from_arrays([number, pa.array([dim], pa.int32()), pa.array([keys.astype("<i8").tobytes()]), pa.array([narrow(flat).tobytes()])], names=["block", "dim", "ids", "vectors"])
 
     return rows.select("id", "vector", "dim").repartition(count).mapInArrow(pack, _BLOCK)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """`x` in the fewest bytes that hold it."""
+    low, high = x.min(initial=0), x.max(initial=0)
+    return x.astype(next(f"<i{n}" for n in (1, 2, 4, 8) if -(1 << 8 * n - 1) <= low and high < 1 << 8 * n - 1))
+
+
 def unpacked(dim: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, max(1, dim))
+    keys = np.frombuffer(ids, "<i8")
+    width = len(vectors) // max(1, len(keys) * dim) or 8
+    return keys, np.frombuffer(vectors, f"<i{width}").reshape(-1, max(1, dim)).astype(np.int64)
 
 
 def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -173,17 +181,22 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale: int =
         count = candidates.agg(F.max("block")).first()[0] + 1
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            others = None
             for batch in batches:
                 for i in range(batch.num_rows):
                     r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                    queries, others = unpacked(r["dim"], r["ids"], r["vectors"]), unpacked(r["dim"], r["c_ids"], r["c_vectors"])
-                    row, vec, score = block_top(queries, others, np.frombuffer(r["least"]), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(queries[0][row]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
-
+                    own = unpacked(r["dim"], r["ids"], r["vectors"])
+                    if r["least"] is None:
+                        others = own
+                        continue
+                    row, vec, score = block_top(own, others, np.frombuffer(r["least"]), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[0][row]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+        # a stream in place of a join, which Spark may send whole through the driver: a block of candidates, then all queries
         pairs = asked.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-        others = candidates.select(F.col("block").alias("c_block"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-        found = pairs.join(others, "c_block").select("dim", "ids", "vectors", "least", "c_ids", "c_vectors")
-        found = found.mapInArrow(meet, "query_id long, vec_id long, score long")
+        others = candidates.select("dim", "ids", "vectors", F.col("block").alias("c_block"), F.lit(None).cast("int").alias("block"), F.lit(None).cast("binary").alias("least"))
+        stream = others.unionByName(pairs).repartition(count, "c_block").sortWithinPartitions("c_block", F.col("block").asc_nulls_first())
+        found = stream.select("dim", "ids", "vectors", "least").mapInArrow(meet, "query_id long, vec_id long, score long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")

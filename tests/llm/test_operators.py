@@ -758,3 +758,25 @@ def test_components_of_a_long_chain(spark):
 def test_one_of_each_keeps_the_smallest(spark):
     rows = [(3, "a b c d", "s"), (2, "a b c d", "s"), (2, "a b c d", "s"), (9, "quite other words here", "s"), (None, "a b c d", "s")]
     assert sorted(r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()) == [2, 9]
+
+
+def test_exact_topk_sends_no_pairs_of_blocks_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(0, 3, (600, 6)), 3)
+    x[7, 2] = 1e7  # a block of wider numbers
+    monkeypatch.setattr(exact_topk, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(exact_topk, "BLOCK_QUERIES", 8)
+    found = exact_topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=5)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    q = np.floor(64 * x).astype(np.int64)
+    want = {}
+    for i in range(0, 600, 20):
+        order = sorted((j for j in range(600) if j != i), key=lambda j: (-int(q[i] @ q[j]), j))[:5]
+        want[i] = [(j, int(q[i] @ q[j])) for j in order]
+    got: dict = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+    for most in (127, 128, 2**15, -(2**15), -(2**15) - 1, 2**31, 2**62):
+        ids, back = exact_topk.unpacked(2, np.arange(2).tobytes(), exact_topk.narrow(np.array([1, most, -3, 0])).tobytes())
+        assert back.tolist() == [[1, most], [-3, 0]] and ids.tolist() == [0, 1]
