@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -780,3 +781,24 @@ def test_exact_topk_sends_no_pairs_of_blocks_through_the_driver(spark, monkeypat
     for most in (127, 128, 2**15, -(2**15), -(2**15) - 1, 2**31, 2**62):
         ids, back = exact_topk.unpacked(2, np.arange(2).tobytes(), exact_topk.narrow(np.array([1, most, -3, 0])).tobytes())
         assert back.tolist() == [[1, most], [-3, 0]] and ids.tolist() == [0, 1]
+
+
+def test_pools_take_new_nodes_by_arrays():
+    rng = random.Random(4)
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("node", pa.int64()), ("seen", pa.int32())]))
+    rows = []
+    for i in range(1_100):  # more than a stretch
+        nodes = rng.sample(range(60), rng.choice([0, 3, 12, 30]))
+        pool = sorted(((rng.randrange(9) / 4, v, rng.randrange(2)) for v in nodes[::2]), key=lambda p: (-p[0], -p[1]))
+        of = {v: s for s, v, _ in pool}
+        rows.append((i, pool, [(of.get(v, rng.randrange(9) / 4), v, 0) for v in nodes[1::2] + nodes[:4:2]]))
+    entries = lambda part: [dict(zip(("score", "node", "seen"), p, strict=True)) for p in part]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([entries(r[1]) for r in rows], kind), pa.array([entries(r[2]) for r in rows], kind)], names=["query_id", "pool", "new"])
+    got = [r for out in ann._taken(8, 3)(iter([batch.slice(1)])) for r in out.to_pylist()]
+    assert len(got) == 1_099
+    for r, (i, pool, new) in zip(got, rows[1:], strict=True):
+        visited = [v for _, v, seen in pool if not seen][:3]
+        known = {v for _, v, _ in pool}
+        old = [(s, v, 1 if seen or v in visited else 0) for s, v, seen in pool]
+        want = sorted(old + [p for p in new if p[1] not in known], reverse=True)[:8]
+        assert r == {"query_id": i, "pool": entries(want)}
